@@ -1,3 +1,3 @@
 """Modules that register queries."""
 
-MODULES = ["cohortspark.llm.q_mixing", "cohortspark.llm.q_chat"]
+MODULES = ["cohortspark.llm.q_mixing", "cohortspark.llm.q_chat", "cohortspark.llm.q_jaccard"]
