@@ -1,3 +1,3 @@
 """Modules that register queries."""
 
-MODULES = ["cohortspark.llm.q_mixing", "cohortspark.llm.q_chat", "cohortspark.llm.q_jaccard", "cohortspark.llm.q_packing", "cohortspark.llm.q_pii"]
+MODULES = ["cohortspark.llm.q_mixing", "cohortspark.llm.q_chat", "cohortspark.llm.q_jaccard", "cohortspark.llm.q_packing", "cohortspark.llm.q_pii", "cohortspark.llm.q_langid"]
