@@ -32,7 +32,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, has true sizes."""
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/cohortspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
