@@ -8,7 +8,9 @@ on the histogram. The plan (a fixed number of patterns at most) says for the k-t
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,8 +24,8 @@ from cohortspark.llm.shingles import text_bytes
 from cohortspark.sources.tables import materialize, sized
 
 CAPACITY = 2048
-#: Entries of a task's memory of encoded words; it starts anew when full.
-WORDS_KEPT = 300_000
+#: Entries of a worker's memory of encoded words (some 250 MB); it starts anew when full.
+WORDS_KEPT = 1_000_000
 MAX_PATTERNS = 60_000
 STEPS = 80
 
@@ -37,9 +39,12 @@ def vocabulary() -> str:
 class WordEncoder:
     """Ids of whole texts as packed little-endian 32-bit numbers.
 
-    The vocabulary never joins text across ASCII white space, so each run of other bytes is encoded once and kept.
+    The vocabulary lowers texts and never joins across ASCII white space, nor a letter with these marks after it.
+    So texts are lowered and cut there, and each run of other bytes is encoded once and kept.
     """
 
+    BORDER = re.compile(rb"(?<=[a-z])(?=[,.!;:?|%$&*#])")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -47,7 +52,7 @@ class WordEncoder:
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()
+        words = self.BORDER.sub(b" ", text.lower()).split()
         new = list(set(words).difference(self.kept))
         if new:
             if len(self.kept) + len(new) > WORDS_KEPT:
@@ -59,9 +64,15 @@ class WordEncoder:
         return b"".join(map(self.kept.__getitem__, words))
 
 
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, which serves many tasks."""
+    return WordEncoder(path)
+
+
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(path)
+        encode = encoder(path)
         for batch in batches:
             raw, at = text_bytes(batch.column(1))
             view = memoryview(raw)
