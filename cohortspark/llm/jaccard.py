@@ -29,6 +29,8 @@ from cohortspark.sources.tables import materialize, sized
 CELLS, BLOCKS = 1 << 20, 64
 #: Fragments of the global order. The last one holds the frequent shingles.
 FRAGMENTS = 8
+#: Fragments that are counted first; pairs that these rule out are not counted further.
+EARLY = 2
 PERCENT = 75
 
 
@@ -37,7 +39,7 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def _describe(width: int):
-    """Per row (doc_id, n_shingles, node); per task the blocks of its count sketch."""
+    """Per row (doc_id, n_shingles, node: the digest of its set); per task the blocks of its count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(CELLS, np.int64)
@@ -94,45 +96,50 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _postings(levels, width: int, percent: int):
-    """(doc_id, node, text) to (h, node, n, pos) for the first members of each set in the global order."""
+    """(doc_id, node, digest, text) to (h, node, n and pos in one number) for the first members of each set in the global order.
+
+    40 bits of a hash are enough to find candidates, and shuffle better.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
-            nodes = batch.column(1).to_numpy()
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for row, members in shingle_sets(batch.column(2), width):
+            nodes, digests = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            out: list[list[np.ndarray]] = [[], [], []]
+            for row, members in shingle_sets(batch.column(3), width):
                 n = len(members)
-                if not n or set_digest(members) != nodes[row]:
+                if not n or set_digest(members) != digests[row]:
                     continue
                 k = prefix_length(n, percent)
                 first = members[np.argsort(level[_cells(members)], kind="stable")[:k]]
-                out[0].append(first.view(np.int64))
+                out[0].append((first >> np.uint64(24)).view(np.int64))
                 out[1].append(np.full(k, nodes[row]))
-                out[2].append(np.full(k, n, np.int32))
-                out[3].append(np.arange(k, dtype=np.int32))
+                out[2].append((n << 32) + np.arange(k))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "node", "place"])
 
     return run
 
 
-def _segments(levels, width: int, fragments: int):
-    """(doc_id, node, text) to (node, fragment, members): each set cut at the borders of the global order's fragments."""
+def _segments(levels, width: int, fragments: int, early: bool):
+    """(doc_id, node, digest, text) to (node, fragment, members): the sets cut at the borders of the global order's fragments.
+
+    ``early`` gives the first ``EARLY`` fragments, else the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         borders = (np.arange(1, fragments - 1, dtype=np.float64) / (fragments - 1) * 2.0**64).astype(np.uint64)
         for batch in batches:
-            nodes = batch.column(1).to_numpy()
+            nodes, digests = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             own, part, members_of = [], [], []
-            for row, members in shingle_sets(batch.column(2), width):
-                if not len(members) or set_digest(members) != nodes[row]:
+            for row, members in shingle_sets(batch.column(3), width):
+                if not len(members) or set_digest(members) != digests[row]:
                     continue
                 common = level[_cells(members)] > 0
                 rare = members[~common]
                 for k, piece in enumerate([*np.split(rare, np.searchsorted(rare, borders)), members[common]]):
-                    if len(piece):
+                    if len(piece) and (k < EARLY) == early:
                         own.append(nodes[row])
                         part.append(k)
                         members_of.append(piece.view(np.int64))
@@ -152,8 +159,10 @@ def _segment_batch(own: list, part: list, members: list) -> pa.RecordBatch:
 
 
 def _fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, node, text) of the documents that stand for ``nodes`` (node, doc_id). The narrow side is broadcast if it is small."""
-    return docs.join(sized(nodes.select("doc_id", "node")), "doc_id").select("doc_id", "node", "text")
+    """(doc_id, node, digest, text) once for each of ``nodes``. The narrow side is broadcast if it is small; only texts of
+    doc_ids that stand in several equal rows are shuffled to keep one of them."""
+    found = docs.join(sized(nodes), "doc_id").select("doc_id", "node", "digest", "text", "again")
+    return found.where("NOT again").drop("again").unionByName(found.where("again").drop("again").dropDuplicates(["node", "digest", "text"]))
 
 
 def _fits(percent: int, a: str = "a", b: str = "b") -> str:
@@ -162,17 +171,31 @@ def _fits(percent: int, a: str = "a", b: str = "b") -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND ({rest}) * {100 + percent} >= {percent} * ({a}.n + {b}.n)"
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, levels, width: int, percent: int, fragments: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, na, nb) that reach the threshold: partial overlaps by fragment, summed per pair."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(wanted.hint("merge"), "node").select("node", "doc_id"))
-    segments = materialize(
-        _fetch(docs, wanted).mapInArrow(_segments(levels, width, fragments), "node long, fragment int, members array<long>").dropDuplicates(["node", "fragment"])
+def _partial(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, levels, width: int, fragments: int, early: bool) -> DataFrame:
+    """(a, b, common, sa, sb) summed over some fragments: common members and the sizes of both cuts. Pairs that have none of them are missing."""
+    sides = materialize(
+        pairs.select(F.col("a").alias("node"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("node"), "a", "b", F.lit(1).alias("side")))
     )
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("members").alias("ma")).hint("merge")
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("members").alias("mb")).hint("merge")
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ma", "mb")).alias("common"))
-    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    wanted = materialize(nodes.join(sides.select("node").distinct().hint("merge"), "node"))
+    cut = _fetch(docs, wanted).mapInArrow(_segments(levels, width, fragments, early), "node long, fragment int, members array<long>")
+    met = cut.join(sized(sides), "node").groupBy("a", "b", "fragment").agg(F.sort_array(F.collect_list(F.struct("side", "members"))).alias("x"))
+    first, second = (F.try_element_at(F.col("x"), F.lit(k)) for k in (1, 2))
+    own = lambda side: F.when(first["side"] == side, F.size(first["members"])).when(second["side"] == side, F.size(second["members"])).otherwise(0)
+    common = F.coalesce(F.size(F.array_intersect(first["members"], second["members"])), F.lit(0))
+    counted = met.select("a", "b", F.when(second.isNull(), 0).otherwise(common).alias("common"), own(0).alias("sa"), own(1).alias("sb"))
+    return counted.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("common", "sa", "sb")])
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, levels, width: int, percent: int, fragments: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, na, nb) that reach the threshold.
+
+    Partial overlaps are counted in the early fragments first. Pairs that can't reach the threshold whatever the other
+    fragments hold are left; for the rest the other fragments are counted too and all are summed.
+    """
+    early = pairs.join(_partial(docs, pairs, nodes, levels, width, fragments, True).hint("merge"), ["a", "b"], "left").na.fill(0, ["common", "sa", "sb"])
+    open_ = materialize(early.where(f"{100 + percent} * (common + least(na - sa, nb - sb)) >= {percent} * (na + nb)").select("a", "b", "na", "nb", "common"))
+    late = _partial(docs, open_, nodes, levels, width, fragments, False).select("a", "b", F.col("common").alias("more"))
+    summed = open_.join(late.hint("merge"), ["a", "b"], "left").withColumn("common", F.col("common") + F.coalesce("more", F.lit(0)))
     return summed.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b", "common")
 
 
@@ -186,26 +209,28 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     docs = docs.select("doc_id", "text")
     described = materialize(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, node long, block int, counts binary"))
-    rows = described.where("block IS NULL").select("doc_id", "n_shingles", "node")
-    nodes = materialize(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    rows = described.where("block IS NULL").select("doc_id", "n_shingles", F.col("node").alias("digest"))
+    nodes = materialize(_nodes(rows))
+    known = nodes.select("doc_id", "node", "digest", "again")
     levels = docs.sparkSession.sparkContext.broadcast(_levels(described))
 
-    postings = _fetch(docs, nodes).mapInArrow(_postings(levels, width, percent), "h long, node long, n int, pos int")
+    postings = _fetch(docs, known).mapInArrow(_postings(levels, width, percent), "h long, node long, place long")
     listed = Window.partitionBy("h")
+    n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
     lists = materialize(
-        postings.withColumn("first", F.min(F.struct((F.col("pos") / F.col("n")).alias("at"), "node", "n", "pos")).over(listed))
+        postings.withColumn("first", F.min(F.struct((pos / n).alias("at"), "node", "place")).over(listed))
         .withColumn("last", F.max("node").over(listed))
         .withColumn("least", F.min("node").over(listed))
         .where("least < last")
-        .select("h", "node", "n", "pos", "first.node", "first.n", "first.pos")
-        .toDF("h", "node", "n", "pos", "node0", "n0", "pos0")
+        .select("h", "node", n.cast("int").alias("n"), pos.cast("int").alias("pos"), F.col("first.node").alias("node0"), F.col("first.place").alias("place"))
+        .select("h", "node", "n", "pos", "node0", n.cast("int").alias("n0"), pos.cast("int").alias("pos0"))
     )
     met = (
         lists.select(F.struct("node", "n", "pos").alias("a"), F.struct(F.col("node0").alias("node"), F.col("n0").alias("n"), F.col("pos0").alias("pos")).alias("b"))
         .where("a.node <> b.node AND " + _fits(percent))
     )
     pairs = materialize(_pairs(met))
-    links = materialize(_verified(docs, pairs, nodes, levels, width, percent, fragments))
+    links = materialize(_verified(docs, pairs, known, levels, width, percent, fragments))
     joined = materialize(connected_components(links, "a", "b"))
 
     label = lists.select("h", "node", "n", "pos").join(sized(joined.select(F.col("id").alias("node"), "component")), "node", "left")
@@ -216,17 +241,28 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     a, b = (mixed.select("h", F.struct("node", "n", "pos", "component").alias(x)).hint("merge") for x in "ab")
     crossed = a.join(b, "h").where("a.node < b.node AND a.component <> b.component AND " + _fits(percent)).select("a", "b")
     more = materialize(_pairs(crossed).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-    links = materialize(links.unionByName(_verified(docs, more, nodes, levels, width, percent, fragments)))
+    links = materialize(links.unionByName(_verified(docs, more, known, levels, width, percent, fragments)))
     joined = connected_components(links, "a", "b").select(F.col("id").alias("node"), "component")
 
     placed = nodes.join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    placed = placed.join(ids.hint("merge"), "component").select("node", "component_id")
-    linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(placed.hint("merge"), "node").select("doc_id", "n_shingles", "component_id")
+    placed = placed.join(ids.hint("merge"), "component").select("digest", "component_id")
+    linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(placed.hint("merge"), "digest").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(node, digest, doc_id, again): a class of equal sets, the smallest doc_id that has it, whether that doc_id has it in several rows.
+
+    A class goes by that doc_id, or by its digest if the doc_id stands for several classes.
+    """
+    sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    least = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "n")).alias("x")).select("digest", "x.doc_id", (F.col("x.n") > 1).alias("again"))
+    shared = least.groupBy("doc_id").agg(F.count("*").alias("classes"))
+    return least.join(shared.hint("merge"), "doc_id").select(F.when(F.col("classes") == 1, F.col("doc_id")).otherwise(F.col("digest")).alias("node"), "digest", "doc_id", "again")
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     """Distinct (a, b, na, nb) with a < b from rows of two structs."""
     swap = "a.node < b.node"
