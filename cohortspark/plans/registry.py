@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from cohortspark.plans import q_metrics
+
+MODULES: list = [q_metrics]
 
 
 def queries() -> dict:
