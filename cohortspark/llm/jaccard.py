@@ -25,8 +25,9 @@ from cohortspark.llm.shingles import WIDTH, set_digest, shingle_sets
 from cohortspark.operators.components import connected_components
 from cohortspark.sources.tables import materialize, sized
 
-#: Cells of the count sketch, and the blocks in which tasks hand them on. A fixed 4 MB, whatever the input.
-CELLS, BLOCKS = 1 << 20, 64
+#: Cells of the count sketch, a byte each, and the blocks in which tasks hand them on. A fixed 32 MB, whatever the input.
+CELLS, BLOCKS = 1 << 25, 1024
+BLOCK = CELLS // BLOCKS
 #: Fragments of the global order. The last one holds the frequent shingles.
 FRAGMENTS = 8
 #: Fragments that are counted first; pairs that these rule out are not counted further.
@@ -35,36 +36,55 @@ PERCENT = 75
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+    return (hashes >> np.uint64(39)).astype(np.int64)
+
+
+class _Sketch:
+    """Saturating counts of cells."""
+
+    def __init__(self):
+        self.counts, self.waiting, self.size = np.zeros(CELLS, np.uint8), [], 0
+
+    def add(self, members: np.ndarray) -> None:
+        self.waiting.append(_cells(members).astype(np.uint32))
+        self.size += len(members)
+        if self.size > 4_000_000:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            cells, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.counts[cells] = np.minimum(self.counts[cells] + np.minimum(n, 255), 255)
+        self.waiting, self.size = [], 0
+
+    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(block, which cells are over 0, places and counts of those over 1): ids of 2 bytes, or a bit each if that is shorter."""
+        self.settle()
+        for k in range(BLOCKS):
+            own = self.counts[k * BLOCK : (k + 1) * BLOCK]
+            some = np.flatnonzero(own)
+            if len(some):
+                seen = some.astype("<u2").tobytes() if 2 * len(some) < BLOCK // 8 else np.packbits(own > 0).tobytes()
+                many = some[own[some] > 1]
+                yield k, seen, many.astype("<u2").tobytes() + own[many].tobytes()
 
 
 def _describe(width: int):
     """Per row (doc_id, n_shingles, node: the digest of its set); per task the blocks of its count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(CELLS, np.int64)
+        sketch, names = _Sketch(), ["doc_id", "n_shingles", "node", "block", "seen", "more"]
         for batch in batches:
             sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, members in shingle_sets(batch.column(1), width):
                 sizes[row], nodes[row] = len(members), set_digest(members)
-                np.add.at(sketch, _cells(members), 1)
+                sketch.add(members)
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(nodes), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["doc_id", "n_shingles", "node", "block", "counts"],
-            )
-        parts = sketch.astype("<i8").reshape(BLOCKS, -1)
-        kept = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.nulls(len(kept), pa.int64()),
-                pa.nulls(len(kept), pa.int64()),
-                pa.nulls(len(kept), pa.int64()),
-                pa.array(kept, pa.int32()),
-                pa.array([parts[k].tobytes() for k in kept], pa.binary()),
-            ],
-            ["doc_id", "n_shingles", "node", "block", "counts"],
-        )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(nodes), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names)
+        blocks = list(sketch.blocks())
+        none = pa.nulls(len(blocks), pa.int64())
+        told = [pa.array([b[0] for b in blocks], pa.int32()), *(pa.array([b[k] for b in blocks], pa.binary()) for k in (1, 2))]
+        yield pa.RecordBatch.from_arrays([none, none, none, *told], names)
 
     return run
 
@@ -72,22 +92,29 @@ def _describe(width: int):
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(counts, "<i8")
-            total[block] = total[block] + own if block in total else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+        for block, seen, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = total.setdefault(block, np.zeros(BLOCK, np.uint16))
+            if len(seen) == BLOCK // 8:
+                own += np.unpackbits(np.frombuffer(seen, np.uint8))
+            else:
+                own[np.frombuffer(seen, "<u2")] += 1
+            n = len(more) // 3
+            own[np.frombuffer(more[: 2 * n], "<u2")] += np.frombuffer(more[2 * n :], np.uint8) - np.uint16(1)
+            np.minimum(own, 255, out=own)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.uint8).tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
 
 
 def _levels(described: DataFrame) -> np.ndarray:
     """Frequency level of every sketch cell: 0 for what chance alone puts there, else growing with the count."""
-    rows = described.where("block IS NOT NULL").select("block", "counts").repartition(BLOCKS, "block")
-    counts = np.zeros((BLOCKS, CELLS // BLOCKS), np.int64)
-    for block, part in rows.mapInArrow(_sum_blocks, "block int, counts binary").collect():
-        counts[block] = np.frombuffer(part, "<i8")
+    rows = described.where("block IS NOT NULL").select("block", "seen", "more").repartition(64, "block")
+    counts = np.zeros((BLOCKS, BLOCK), np.uint8)
+    for block, part in rows.mapInArrow(_sum_blocks, "block int, counts binary").toLocalIterator():
+        counts[block] = np.frombuffer(part, np.uint8)
     counts = counts.reshape(-1)
-    usual = float(np.median(counts))
-    over = counts - usual
-    return np.where(over > 6 * math.sqrt(usual) + 8, np.log2(np.maximum(over, 2)).astype(np.int64), 0).astype(np.uint8)
+    usual = float(counts.mean())
+    bound = int(usual + 4 * math.sqrt(usual) + 2)
+    level = np.array([0 if n <= bound else 1 + int(math.log2(n - bound)) for n in range(256)], np.uint8)
+    return level[counts]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -208,7 +235,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     empty table gives an empty result; other columns are ignored. Sets are compared by 64-bit hashes.
     """
     docs = docs.select("doc_id", "text")
-    described = materialize(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, node long, block int, counts binary"))
+    described = materialize(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, node long, block int, seen binary, more binary"))
     rows = described.where("block IS NULL").select("doc_id", "n_shingles", F.col("node").alias("digest"))
     nodes = materialize(_nodes(rows))
     known = nodes.select("doc_id", "node", "digest", "again")
@@ -274,9 +301,10 @@ def _pairs(met: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, the least text if it is repeated."""
     marked = jaccard_components(docs, **how)
-    first = marked.where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    again = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("_n")))
-    kept = materialize(first.join(again.hint("merge"), F.col("doc_id").eqNullSafe(again["doc_id"])).select(first["doc_id"], "_n"))
+    first = marked.where("doc_id = component_id OR doc_id IS NULL").groupBy("doc_id").agg(F.lit(1).alias("_first"))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    kept = again.alias("a").join(first.alias("f").hint("merge"), F.col("a.doc_id").eqNullSafe(F.col("f.doc_id"))).select("a.doc_id", "_n")
+    kept = materialize(kept)
     small = kept.count() <= 1_000_000
     side = F.broadcast(kept.alias("k")) if small else kept.alias("k").hint("merge")
     found = docs.alias("d").join(side, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.*", "_n")
