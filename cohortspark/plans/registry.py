@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import q_metrics
+from cohortspark.plans import q_metrics, q_probs
 
-MODULES: list = [q_metrics]
+MODULES: list = [q_metrics, q_probs]
 
 
 def queries() -> dict:
