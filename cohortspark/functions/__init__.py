@@ -1 +1 @@
-
+"""Column functions: they take columns or names and return columns."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import q_metrics, q_probs
+from cohortspark.plans import q_audit, q_metrics, q_probs
 
-MODULES: list = [q_metrics, q_probs]
+MODULES: list = [q_metrics, q_probs, q_audit]
 
 
 def queries() -> dict:
@@ -13,3 +13,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {k: s for m in MODULES for k, (_, s) in m.QUERIES.items() if s}
+
+
+def flagship(spark, sf_dir: str):
+    """The source audit: one row per document with its group and whether it is quarantined."""
+    return q_audit.QUERIES["source_audit"][0](spark, sf_dir)
