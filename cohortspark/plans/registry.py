@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import q_audit, q_metrics, q_probs, q_select
+from cohortspark.plans import q_audit, q_metrics, q_probs, q_resample, q_select
 
-MODULES: list = [q_metrics, q_probs, q_audit, q_select]
+MODULES: list = [q_metrics, q_probs, q_audit, q_select, q_resample]
 
 
 def queries() -> dict:
