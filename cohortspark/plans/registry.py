@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import q_audit, q_metrics, q_probs, q_resample, q_select
+from cohortspark.plans import q_audit, q_files, q_heads, q_metrics, q_probs, q_reports, q_resample, q_select
 
-MODULES: list = [q_metrics, q_probs, q_audit, q_select, q_resample]
+MODULES: list = [q_metrics, q_probs, q_audit, q_select, q_resample, q_reports, q_files, q_heads]
 
 
 def queries() -> dict:

@@ -1 +1 @@
-
+"""Incremental runs with Structured Streaming."""
