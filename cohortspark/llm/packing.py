@@ -52,7 +52,8 @@ class WordEncoder:
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
 
     def __call__(self, text: bytes) -> bytes:
-        words = self.BORDER.sub(b" ", text.lower()).split()
+        # A mark such as <|endoftext|> is an id of its own, in just this spelling: texts with one are only cut at white space.
+        words = text.split() if b"<|" in text else self.BORDER.sub(b" ", text.lower()).split()
         new = list(set(words).difference(self.kept))
         if new:
             if len(self.kept) + len(new) > WORDS_KEPT:
@@ -131,23 +132,36 @@ def fit(rows: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarr
     return x
 
 
+#: Shares of the fitted repeats that are tried: with many lengths over half a sequence, full repeats leave long pieces without partners.
+TRIED = (1.0, 0.5, 0.25, 0.1)
+
+
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(((length, times), ...), repeats), ...]: every piece of the histogram (counts by length, index 0 unused) in one pattern."""
+    """[(((length, times), ...), repeats), ...]: every piece of the histogram (counts by length, index 0 unused) in one pattern.
+
+    Fitted repeats are rounded, and the rest is packed by best fit; of a few shares of the repeats the one with the fewest sequences stands.
+    """
     left = histogram.astype(np.int64).copy()
-    out: list = []
-    if left[capacity]:
-        out.append((((capacity, 1),), int(left[capacity])))
-        left[capacity] = 0
+    whole = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
     rows = patterns(np.flatnonzero(left), capacity)
-    if len(rows):
-        total = np.cumsum(fit(rows, left))
-        repeats = np.diff(np.floor(total + 0.5), prepend=0).astype(np.int64)
-        for k in np.flatnonzero(repeats):
-            lengths, times = np.unique(rows[k][rows[k] > 0], return_counts=True)
-            n = int(min(repeats[k], (left[lengths] // times).min()))
-            if n:
-                left[lengths] -= n * times
-                out.append((tuple(zip(lengths.tolist(), times.tolist(), strict=True)), n))
+    if not len(rows):
+        return whole + best_fit(left, capacity)
+    total = np.cumsum(fit(rows, left))
+    plans = [rounded(rows, share * total, left, capacity) for share in TRIED]
+    return whole + min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def rounded(rows: np.ndarray, total: np.ndarray, histogram: np.ndarray, capacity: int) -> list:
+    """Whole repeats that follow the running ``total``, as far as the histogram allows, and best fit for the rest."""
+    left, out = histogram.copy(), []
+    repeats = np.diff(np.floor(total + 0.5), prepend=0).astype(np.int64)
+    for k in np.flatnonzero(repeats):
+        lengths, times = np.unique(rows[k][rows[k] > 0], return_counts=True)
+        n = int(min(repeats[k], (left[lengths] // times).min()))
+        if n:
+            left[lengths] -= n * times
+            out.append((tuple(zip(lengths.tolist(), times.tolist(), strict=True)), n))
     return out + best_fit(left, capacity)
 
 
