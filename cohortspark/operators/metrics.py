@@ -13,6 +13,12 @@ BY = ("model",)
 EPS = 2.220446049250313e-16
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation as an aggregate; null where a side is constant (``corr`` divides by zero there)."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.try_divide(F.covar_pop(a, b), F.when(spread > 0, spread))
+
+
 def with_prediction(preds: DataFrame) -> DataFrame:
     """Adds ``pred`` (first class of the largest probability) and ``conf`` (that probability)."""
     return preds.withColumn("pred", (F.array_position("p", F.array_max("p")) - 1).cast("int")).withColumn("conf", F.array_max("p"))
@@ -209,7 +215,7 @@ def complementarity(pairs: DataFrame) -> DataFrame:
         F.count_if(a & ~b).alias("only_a"),
         F.count_if(~a & b).alias("only_b"),
     )
-    flat = pairs.select(F.explode(F.arrays_zip("p_a", "p_b")).alias("z")).agg(F.corr("z.p_a", "z.p_b").alias("correlation"))
+    flat = pairs.select(F.explode(F.arrays_zip("p_a", "p_b")).alias("z")).agg(correlation("z.p_a", "z.p_b").alias("correlation"))
     return rows.join(F.broadcast(flat))  # one row each
 
 
@@ -269,7 +275,7 @@ def spearman(rows: DataFrame, a: str, b: str, by=()) -> DataFrame:
     """(by, n, spearman): correlation of average ranks over rows where both values are present; null if a side is constant."""
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
     ranks = average_rank(average_rank(both, "_a", by, "_ra"), "_b", by, "_rb")
-    return ranks.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("spearman"))
+    return ranks.groupBy(*by).agg(F.count("*").alias("n"), correlation("_ra", "_rb").alias("spearman"))
 
 
 def curve_area(points: DataFrame, by, x: str = "x", y: str = "y") -> DataFrame:

@@ -124,7 +124,7 @@ def map_agreement(maps: DataFrame, a: str, b: str, key: str) -> DataFrame:
     rows = maps.select(key, F.explode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))).alias("z")).select(key, "z.a", "z.b")
     ranked = M.average_rank(M.average_rank(rows, "a", (key,), "_ra"), "b", (key,), "_rb")
     flat_a, flat_b = F.min("a") == F.max("a"), F.min("b") == F.max("b")
-    return ranked.groupBy(key).agg(F.when(flat_a & flat_b, 1.0).when(flat_a | flat_b, 0.0).otherwise(F.corr("_ra", "_rb")).alias("spearman"))
+    return ranked.groupBy(key).agg(F.when(flat_a & flat_b, 1.0).when(flat_a | flat_b, 0.0).otherwise(M.correlation("_ra", "_rb")).alias("spearman"))
 
 
 def faithfulness(points: DataFrame, key: str) -> DataFrame:
