@@ -54,20 +54,18 @@ def clean_boxes(rows: DataFrame, min_side: int = 1) -> DataFrame:
         out.withColumn("was_clipped", (F.col("x0") != F.col("xmin")) | (F.col("y0") != F.col("ymin")) | (F.col("x1") != F.col("xmax")) | (F.col("y1") != F.col("ymax")))
         .withColumn("valid", (wide >= min_side) & (high >= min_side))
         .withColumn("area_fraction", F.when(F.col("valid"), wide * high / (F.col("w") * F.col("h"))).otherwise(0.0))
-        .withColumn("exclusion_reason", F.when(~F.col("valid"), "invalid_box").when(F.col("area_fraction") < 0.001, "tiny_box").otherwise(""))
+        .withColumn("exclusion_reason", F.when(~F.col("valid"), "invalid_person_box").otherwise(""))
         .withColumn("eligible", F.col("exclusion_reason") == "")
     )
 
 
 def geometry(rows: DataFrame) -> DataFrame:
-    """Adds aspect, centre and height from corners x0 … y1, and ``geometry``: log area, log aspect, centre, log height, distance to the edge."""
+    """Adds aspect, centre and height from corners x0 … y1, and ``geometry``: log area, log aspect, centre, log height, distance of the centre to the edge."""
     wide, high = F.greatest(F.col("x1") - F.col("x0"), F.lit(1)), F.greatest(F.col("y1") - F.col("y0"), F.lit(1))
-    cx, cy = (F.col("x0") + F.col("x1")) / 2 / F.col("w"), (F.col("y0") + F.col("y1")) / 2 / F.col("h")
-    edge = F.least(F.col("x0") / F.col("w"), F.col("y0") / F.col("h"), 1 - F.col("x1") / F.col("w"), 1 - F.col("y1") / F.col("h"))
-    return (
-        rows.withColumn("aspect", wide / high).withColumn("cx", cx).withColumn("cy", cy).withColumn("pixel_height", high)
-        .withColumn("geometry", F.array(F.ln(wide * high / (F.col("w") * F.col("h"))), F.ln(wide / high), cx, cy, F.ln(high / F.col("h")), edge))
-    )
+    out = rows.withColumns({"aspect": wide / high, "cx": (F.col("x0") + F.col("x1")) / 2 / F.col("w"), "cy": (F.col("y0") + F.col("y1")) / 2 / F.col("h"), "pixel_height": high})
+    area = F.least(F.greatest(wide * high / (F.col("w") * F.col("h")), F.lit(1e-8)), F.lit(1.0))
+    edge = F.least("cx", 1 - F.col("cx"), "cy", 1 - F.col("cy"))
+    return out.withColumn("geometry", F.array(F.ln(area), F.ln("aspect"), "cx", "cy", F.ln(high), edge))
 
 
 def context_box(fraction: float) -> list[Column]:
@@ -81,50 +79,76 @@ def context_box(fraction: float) -> list[Column]:
 
 
 #: Name, shift of x and y as a share of the sides, scale.
-PERTURBATIONS = [("original", 0.0, 0.0, 1.0), ("left", -0.1, 0.0, 1.0), ("right", 0.1, 0.0, 1.0), ("up", 0.0, -0.1, 1.0), ("down", 0.0, 0.1, 1.0), ("smaller", 0.0, 0.0, 0.9), ("larger", 0.0, 0.0, 1.1)]
+PERTURBATIONS = [
+    ("none", 0.0, 0.0, 1.0),
+    ("shift_left_05", -0.05, 0.0, 1.0),
+    ("shift_right_05", 0.05, 0.0, 1.0),
+    ("shift_up_05", 0.0, -0.05, 1.0),
+    ("shift_down_05", 0.0, 0.05, 1.0),
+    ("scale_090", 0.0, 0.0, 0.90),
+    ("scale_110", 0.0, 0.0, 1.10),
+]
 
 
 def perturbed(rows: DataFrame) -> DataFrame:
-    """One row per box and declared perturbation: px0 … py1 (clipped, a pixel at least) and input_area, its share of the picture."""
+    """One row per box and declared perturbation: px0 … py1 (clipped), input_area (share of the picture), too_small (a side under a pixel)."""
     table = F.explode(F.array(*[F.struct(F.lit(n).alias("perturbation"), F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(s).alias("scale")) for n, a, b, s in PERTURBATIONS]))
-    out = rows.withColumn("q", table)
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    mx, my = (F.col("x0") + F.col("x1")) / 2 + F.col("q.dx") * w, (F.col("y0") + F.col("y1")) / 2 + F.col("q.dy") * h
-    out = out.withColumn("perturbation", F.col("q.perturbation")).withColumn("px0", clip(F.floor(mx - F.col("q.scale") * w / 2 + 0.5), F.lit(0), F.col("w") - 1)).withColumn(
-        "py0", clip(F.floor(my - F.col("q.scale") * h / 2 + 0.5), F.lit(0), F.col("h") - 1)
-    )
-    out = out.withColumn("px1", clip(F.floor(mx + F.col("q.scale") * w / 2 + 0.5), F.col("px0") + 1, F.col("w"))).withColumn("py1", clip(F.floor(my + F.col("q.scale") * h / 2 + 0.5), F.col("py0") + 1, F.col("h")))
-    return out.withColumn("input_area", (F.col("px1") - F.col("px0")) * (F.col("py1") - F.col("py0")) / (F.col("w") * F.col("h"))).drop("q")
+    out = rows.select("*", table.alias("q")).select("*", "q.perturbation")
+    for axis, size in (("x", "w"), ("y", "h")):
+        side = F.col(f"{axis}1") - F.col(f"{axis}0")
+        middle, half = (F.col(f"{axis}0") + F.col(f"{axis}1")) / 2 + F.col(f"q.d{axis}") * side, F.col("q.scale") * side / 2
+        out = out.withColumns({f"p{axis}0": F.greatest(middle - half, F.lit(0.0)), f"p{axis}1": F.least(middle + half, F.col(size).cast("double"))})
+    wide, high = F.col("px1") - F.col("px0"), F.col("py1") - F.col("py0")
+    return out.withColumn("input_area", wide * high / (F.col("w") * F.col("h"))).withColumn("too_small", (wide < 1) | (high < 1)).drop("q")
 
 
-def projected_box(resize: int = 256, crop: int = 224) -> list[Column]:
-    """Box corners after the shorter side is resized to ``resize`` and the middle ``crop`` square cut out: vx0, vy0, vx1, vy1."""
-    scale = F.lit(resize) / F.least("w", "h")
-    left, top = (F.col("w") * scale - crop) / 2, (F.col("h") * scale - crop) / 2
-    at = lambda c, off, f: clip(f(F.col(c) * scale - off), F.lit(0), F.lit(crop))
-    return [at("x0", left, F.floor).alias("vx0"), at("y0", top, F.floor).alias("vy0"), at("x1", left, F.ceil).alias("vx1"), at("y1", top, F.ceil).alias("vy1")]
+def projected_box(fraction: float | None = None, resize: int = 256, crop: int = 224) -> list[Column]:
+    """Box corners in the model's input: the picture (or the box grown by ``fraction``) with its shorter side at ``resize``, the middle ``crop`` square of it."""
+    left, top, right, bottom = context_box(fraction) if fraction is not None else (F.lit(0), F.lit(0), F.col("w"), F.col("h"))
+    wide, high = right - left, bottom - top
+    scale = F.lit(float(resize)) / F.least(wide, high)
+    shift = lambda side: F.floor((F.floor(side * scale) - crop) / 2)
+    at = lambda c, off, side: (F.col(c) - off) * scale - shift(side)
+    x0, y0 = (clip(F.floor(at(c, off, side)), F.lit(0), F.lit(crop - 1)) for c, off, side in (("x0", left, wide), ("y0", top, high)))
+    x1, y1 = (F.least(F.greatest(F.ceil(at(c, off, side)), first + 1), F.lit(crop)) for c, off, side, first in (("x1", left, wide, x0), ("y1", top, high, y0)))
+    return [x0.alias("vx0"), y0.alias("vy0"), x1.alias("vx1"), y1.alias("vy1")]
 
 
-SITTING, MOVING, STILL = ["sit"], ["walk", "run"], ["stand"]
+#: The target actions.
+ACTIONS = ["sit", "stand", "walk", "run"]
 
 
 def factorise_actions(c: str = "actions") -> dict[str, Column]:
-    """posture, motion, gait and labels of a set of actions; ambiguous sets are kept and marked, unknown actions give null throughout."""
-    has = lambda xs: F.arrays_overlap(c, F.array(*[F.lit(x) for x in xs]))
-    known = F.size(F.array_except(c, F.array(*[F.lit(x) for x in SITTING + MOVING + STILL]))) == 0
-    sit, move, stand = has(SITTING), has(MOVING), has(STILL)
-    posture = F.when(sit & (move | stand), "ambiguous").when(sit, "seated").when(move | stand, "upright").otherwise("none")
-    motion = F.when(move, "moving").when(sit | stand, "still").otherwise("none")
-    gait = F.when(F.array_contains(c, "run"), "run").when(F.array_contains(c, "walk"), "walk").otherwise("none")
-    clear = known & (F.size(c) == 1)
-    label3 = F.when(posture == "ambiguous", "ambiguous").when(posture == "seated", "seated").when(motion == "moving", "moving").when(stand, "standing").otherwise("none")
-    return {k: F.when(known, v).alias(k) for k, v in {"posture": posture, "motion": motion, "gait": gait, "label_3": label3}.items()} | {"clear": clear.alias("clear")}
-
-
-def exclusive_label(c: str = "actions") -> Column:
-    """One label by precedence: the fastest motion wins; sitting together with standing is excluded (null)."""
-    has = lambda x: F.array_contains(c, x)
-    return F.when(has("run"), "run").when(has("walk"), "walk").when(has("sit") & has("stand"), None).when(has("sit"), "sit").when(has("stand"), "stand")
+    """posture, motion, gait, both labels and two flags of a set of actions; ambiguous sets are kept, an empty set or an unknown action gives null throughout."""
+    sit, stand, walk, run = (F.array_contains(c, a) for a in ACTIONS)
+    known = (F.size(c) > 0) & (F.size(F.array_except(c, F.array(*[F.lit(a) for a in ACTIONS]))) == 0)
+    both, moves = sit & stand, walk | run
+    gait = F.when(walk & run, "ambiguous").when(walk, "walking").when(run, "running").otherwise("not_applicable")
+    rest = F.when(both, "").when(sit, "sitting").otherwise("standing")
+    out = {
+        "posture": F.when(both, "ambiguous").when(sit, "seated").otherwise("upright"),
+        "motion": F.when(moves, "locomoting").when(both, "ambiguous").otherwise("stationary"),
+        "gait": gait,
+        "label_3": F.when(moves, "walking_running").otherwise(rest),
+        "label_4": F.when(walk & run, "").when(moves, gait).otherwise(rest),
+        "legacy_eligible": ~both,
+        "factorized_clear": ~both,
+    }
+    return {k: F.when(known, v).alias(k) for k, v in out.items()}
+
+
+def exclusive_label(c: str = "actions") -> dict[str, Column]:
+    """coarse and fine label by precedence: motion wins over posture, two motions have no fine label, sitting with standing has none at all."""
+    sit, stand, walk, run = (F.array_contains(c, a) for a in ACTIONS)
+    still = F.when(sit & stand, None).when(sit, "sitting").when(stand, "standing")
+    fine = F.when(walk & run, None).when(walk, "walking").when(run, "running").otherwise(still)
+    return {"coarse": F.when(walk | run, "walking_running").otherwise(still).alias("coarse"), "fine": fine.alias("fine")}
+
+
+def tag_group(c: str = "actions") -> Column:
+    """Which tags a set of actions holds: sitting alone, standing alone, motion with or without a tag for standing."""
+    alone = lambda a: (F.size(c) == 1) & F.array_contains(c, a)
+    return F.when(alone("sit"), "sit").when(alone("stand"), "stand_only").when(F.array_contains(c, "stand") & F.arrays_overlap(c, F.array(F.lit("walk"), F.lit("run"))), "locomotion_with_stand_cotag").otherwise("locomotion_without_stand_cotag")
 
 
 def quartile(rows: DataFrame, value: str, name: str = "quartile", by: tuple = ()) -> DataFrame:
@@ -138,13 +162,10 @@ def quartile(rows: DataFrame, value: str, name: str = "quartile", by: tuple = ()
 
 
 def strata(rows: DataFrame, edge: float = 1.0) -> DataFrame:
-    """Adds people (boxes of the image), occupancy, touches_edge (within ``edge`` pixels) and tag_group for boxes with corners x0 … y1."""
+    """Adds people (boxes of the image), occupancy and boundary (whether the box comes within ``edge`` pixels) for boxes with corners x0 … y1."""
     n = rows.groupBy("image_id").agg(F.count("*").alias("people"))
     near = (F.col("x0") <= edge) | (F.col("y0") <= edge) | (F.col("x1") >= F.col("w") - edge) | (F.col("y1") >= F.col("h") - edge)
-    return (
-        rows.join(n, "image_id").withColumn("occupancy", F.when(F.col("people") == 1, "single").when(F.col("people") <= 3, "few").otherwise("many"))
-        .withColumn("touches_edge", near).withColumn("tag_group", F.when(F.col("label").rlike("^(URGENT|HIGH)"), "priority").otherwise("other"))
-    )
+    return rows.join(n, "image_id").withColumn("occupancy", F.when(F.col("people") == 1, "single_person").otherwise("multiple_people")).withColumn("boundary", F.when(near, "touches_boundary").otherwise("interior_box"))
 
 
 def fingerprint(rows: DataFrame, key: str, columns: list[str] | None = None, by: tuple = ()) -> DataFrame:

@@ -32,8 +32,11 @@ MAN = f"WITH {X.MANIFEST}"
 CLEAN = f"""WITH {X.BOXES}, cb0 AS (SELECT *, greatest(least(xmin, w), 0) AS x0, greatest(least(ymin, h), 0) AS y0, greatest(least(xmax, w), 0) AS x1, greatest(least(ymax, h), 0) AS y1 FROM boxes),
 cb1 AS (SELECT *, x0 <> xmin OR y0 <> ymin OR x1 <> xmax OR y1 <> ymax AS was_clipped, x1 - x0 >= 1 AND y1 - y0 >= 1 AS valid FROM cb0),
 cb2 AS (SELECT *, CASE WHEN valid THEN (x1 - x0) * (y1 - y0) / (w * h) ELSE 0 END AS area_fraction FROM cb1),
-cb AS (SELECT *, CASE WHEN NOT valid THEN 'invalid_box' WHEN area_fraction < 0.001 THEN 'tiny_box' ELSE '' END AS exclusion_reason FROM cb2)"""
+cb AS (SELECT *, CASE WHEN NOT valid THEN 'invalid_person_box' ELSE '' END AS exclusion_reason FROM cb2)"""
 _PERT = "(VALUES " + ", ".join(f"('{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({s} AS DOUBLE))" for n, a, b, s in B.PERTURBATIONS) + ") t(perturbation, dx, dy, scale)"
+_VIEW = """f0 AS (SELECT *, r - l AS vw, b - t AS vh, CAST(256 AS DOUBLE) / least(r - l, b - t) AS sc FROM vw0), f1 AS (SELECT *, floor((floor(vw * sc) - 224) / 2) AS ox, floor((floor(vh * sc) - 224) / 2) AS oy FROM f0),
+f2 AS (SELECT *, greatest(least(floor((x0 - l) * sc - ox), 223), 0) AS vx0, greatest(least(floor((y0 - t) * sc - oy), 223), 0) AS vy0 FROM f1)
+SELECT person_id, CAST(vx0 AS BIGINT) AS vx0, CAST(vy0 AS BIGINT) AS vy0, CAST(least(greatest(ceil((x1 - l) * sc - ox), vx0 + 1), 224) AS BIGINT) AS vx1, CAST(least(greatest(ceil((y1 - t) * sc - oy), vy0 + 1), 224) AS BIGINT) AS vy1 FROM f2"""
 NEAR = f"""nh AS (SELECT a.id AS left_id, b.id AS right_id, bit_count(xor(a.h32, b.h32)) AS distance FROM manifest a JOIN manifest b ON a.id < b.id AND a.split <> b.split AND bit_count(xor(a.h32, b.h32)) <= {RADIUS})"""
 LETTERS = "list_transform(range(26), lambda k: (length(text) - length(replace(text, chr(CAST(97 + k AS INT)), ''))) / greatest(length(text), 1))"
 
@@ -93,27 +96,29 @@ QUERIES = {
     "image_numbers": (lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id"), B.image_number(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("tensor("), "o_orderkey", F.lit(")"))).otherwise(F.concat(F.lit(" "), F.col("o_orderkey").cast("string")))).alias("image")),
         "SELECT o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS image FROM orders"),
     "action_factors": (acts(lambda a: a.select("annotation", *B.factorise_actions().values())),
-        f"""WITH {X.ACTIONS}, f AS (SELECT annotation, actions, list_contains(actions, 'sit') AS s, list_contains(actions, 'stand') AS t, list_contains(actions, 'walk') OR list_contains(actions, 'run') AS m FROM actions),
-g AS (SELECT *, CASE WHEN s AND (m OR t) THEN 'ambiguous' WHEN s THEN 'seated' WHEN m OR t THEN 'upright' ELSE 'none' END AS posture, CASE WHEN m THEN 'moving' WHEN s OR t THEN 'still' ELSE 'none' END AS motion FROM f)
-SELECT annotation, posture, motion, CASE WHEN list_contains(actions, 'run') THEN 'run' WHEN list_contains(actions, 'walk') THEN 'walk' ELSE 'none' END AS gait,
-CASE WHEN posture = 'ambiguous' THEN 'ambiguous' WHEN posture = 'seated' THEN 'seated' WHEN motion = 'moving' THEN 'moving' WHEN t THEN 'standing' ELSE 'none' END AS label_3, len(actions) = 1 AS clear FROM g"""),
-    "exclusive_label": (acts(lambda a: a.select("annotation", B.exclusive_label().alias("label"))),
-        f"WITH {X.ACTIONS} SELECT annotation, CASE WHEN list_contains(actions, 'run') THEN 'run' WHEN list_contains(actions, 'walk') THEN 'walk' WHEN list_contains(actions, 'sit') AND list_contains(actions, 'stand') THEN NULL WHEN list_contains(actions, 'sit') THEN 'sit' WHEN list_contains(actions, 'stand') THEN 'stand' END AS label FROM actions"),
+        f"""WITH {X.ACTIONS}, f AS (SELECT annotation, list_contains(actions, 'sit') AS s, list_contains(actions, 'stand') AS t, list_contains(actions, 'walk') AS w, list_contains(actions, 'run') AS r FROM actions),
+g AS (SELECT *, CASE WHEN w AND r THEN 'ambiguous' WHEN w THEN 'walking' WHEN r THEN 'running' ELSE 'not_applicable' END AS gait, CASE WHEN s AND t THEN '' WHEN s THEN 'sitting' ELSE 'standing' END AS rest FROM f)
+SELECT annotation, CASE WHEN s AND t THEN 'ambiguous' WHEN s THEN 'seated' ELSE 'upright' END AS posture, CASE WHEN w OR r THEN 'locomoting' WHEN s AND t THEN 'ambiguous' ELSE 'stationary' END AS motion, gait,
+CASE WHEN w OR r THEN 'walking_running' ELSE rest END AS label_3, CASE WHEN w AND r THEN '' WHEN w OR r THEN gait ELSE rest END AS label_4, NOT (s AND t) AS legacy_eligible, NOT (s AND t) AS factorized_clear FROM g"""),
+    "tag_groups": (acts(lambda a: a.select("annotation", B.tag_group().alias("tags"))), f"WITH {X.ACTIONS} SELECT annotation, CASE WHEN actions = ['sit'] THEN 'sit' WHEN actions = ['stand'] THEN 'stand_only' WHEN list_contains(actions, 'stand') AND (list_contains(actions, 'walk') OR list_contains(actions, 'run')) THEN 'locomotion_with_stand_cotag' ELSE 'locomotion_without_stand_cotag' END AS tags FROM actions"),
+    "exclusive_label": (acts(lambda a: a.select("annotation", *B.exclusive_label().values())),
+        f"""WITH {X.ACTIONS}, f AS (SELECT annotation, list_contains(actions, 'walk') AS w, list_contains(actions, 'run') AS r, CASE WHEN list_contains(actions, 'sit') AND list_contains(actions, 'stand') THEN NULL WHEN list_contains(actions, 'sit') THEN 'sitting' WHEN list_contains(actions, 'stand') THEN 'standing' END AS still FROM actions)
+SELECT annotation, CASE WHEN w OR r THEN 'walking_running' ELSE still END AS coarse, CASE WHEN w AND r THEN NULL WHEN w THEN 'walking' WHEN r THEN 'running' ELSE still END AS fine FROM f"""),
     "action_tokens": (acts(lambda a: a.select("annotation", F.array_join("actions", "|").alias("t")).select("annotation", B.has_token("t", "stand").alias("standing"))), f"WITH {X.ACTIONS} SELECT annotation, list_contains(actions, 'stand') AS standing FROM actions"),
     "clean_boxes": (box(lambda b: b.select("person_id", "x0", "y0", "x1", "y1", "was_clipped", "valid", "area_fraction", "eligible", "exclusion_reason")), f"{CLEAN} SELECT person_id, x0, y0, x1, y1, was_clipped, valid, round(area_fraction, 6) AS area_fraction, exclusion_reason = '' AS eligible, exclusion_reason FROM cb"),
     "box_geometry": (box(lambda b: B.geometry(b).select("person_id", "aspect", "cx", "cy", "pixel_height", *[F.col("geometry")[k].alias(f"g{k}") for k in range(6)])),
-        f"""{CLEAN}, g AS (SELECT person_id, greatest(x1 - x0, 1) AS bw, greatest(y1 - y0, 1) AS bh, (x0 + x1) / 2 / w AS cx, (y0 + y1) / 2 / h AS cy, least(x0 / w, y0 / h, 1 - x1 / w, 1 - y1 / h) AS edge, w, h FROM cb)
-SELECT person_id, round(bw / bh, 6) AS aspect, round(cx, 6) AS cx, round(cy, 6) AS cy, bh AS pixel_height, round(ln(bw * bh / (w * h)), 6) AS g0, round(ln(bw / bh), 6) AS g1, round(cx, 6) AS g2, round(cy, 6) AS g3, round(ln(bh / h), 6) AS g4, round(edge, 6) AS g5 FROM g"""),
+        f"""{CLEAN}, g AS (SELECT person_id, greatest(x1 - x0, 1) AS bw, greatest(y1 - y0, 1) AS bh, (x0 + x1) / 2 / w AS cx, (y0 + y1) / 2 / h AS cy, w, h FROM cb)
+SELECT person_id, round(bw / bh, 6) AS aspect, round(cx, 6) AS cx, round(cy, 6) AS cy, bh AS pixel_height, round(ln(least(greatest(bw * bh / (w * h), 1e-8), 1)), 6) AS g0, round(ln(bw / bh), 6) AS g1, round(cx, 6) AS g2, round(cy, 6) AS g3, round(ln(bh), 6) AS g4, round(least(cx, 1 - cx, cy, 1 - cy), 6) AS g5 FROM g"""),
     "context_boxes": (box(lambda b: b.select("person_id", *B.context_box(0.25))), f"{CLEAN} SELECT person_id, CAST(greatest(floor(x0 - (x1 - x0) * CAST(0.25 AS DOUBLE)), 0) AS BIGINT) AS cx0, CAST(greatest(floor(y0 - (y1 - y0) * CAST(0.25 AS DOUBLE)), 0) AS BIGINT) AS cy0, CAST(least(ceil(x1 + (x1 - x0) * CAST(0.25 AS DOUBLE)), w) AS BIGINT) AS cx1, CAST(least(ceil(y1 + (y1 - y0) * CAST(0.25 AS DOUBLE)), h) AS BIGINT) AS cy1 FROM cb"),
-    "perturbed_boxes": (lambda s, d: B.perturbed(B.clean_boxes(X.boxes(s, d))).select("person_id", "perturbation", "px0", "py0", "px1", "py1", F.round("input_area", 10).alias("input_area")),
-        f"""{CLEAN}, q AS (SELECT *, (x0 + x1) / 2 + dx * (x1 - x0) AS mx, (y0 + y1) / 2 + dy * (y1 - y0) AS my FROM cb, {_PERT}),
-q1 AS (SELECT *, greatest(least(floor(mx - scale * (x1 - x0) / 2 + 0.5), w - 1), 0) AS px0, greatest(least(floor(my - scale * (y1 - y0) / 2 + 0.5), h - 1), 0) AS py0 FROM q),
-q2 AS (SELECT *, greatest(least(floor(mx + scale * (x1 - x0) / 2 + 0.5), w), px0 + 1) AS px1, greatest(least(floor(my + scale * (y1 - y0) / 2 + 0.5), h), py0 + 1) AS py1 FROM q1)
-SELECT person_id, perturbation, CAST(px0 AS BIGINT) AS px0, CAST(py0 AS BIGINT) AS py0, CAST(px1 AS BIGINT) AS px1, CAST(py1 AS BIGINT) AS py1, round((px1 - px0) * (py1 - py0) / (w * h), 10) AS input_area FROM q2"""),
-    "projected_boxes": (box(lambda b: b.select("person_id", *B.projected_box())),
-        f"{CLEAN}, q AS (SELECT *, 256 / least(w, h) AS sc FROM cb), q1 AS (SELECT *, (w * sc - 224) / 2 AS l, (h * sc - 224) / 2 AS t FROM q) SELECT person_id, CAST(greatest(least(floor(x0 * sc - l), 224), 0) AS BIGINT) AS vx0, CAST(greatest(least(floor(y0 * sc - t), 224), 0) AS BIGINT) AS vy0, CAST(greatest(least(ceil(x1 * sc - l), 224), 0) AS BIGINT) AS vx1, CAST(greatest(least(ceil(y1 * sc - t), 224), 0) AS BIGINT) AS vy1 FROM q1"),
-    "box_strata": (box(lambda b: B.strata(b).select("person_id", "people", "occupancy", "touches_edge", "tag_group")),
-        f"{CLEAN}, n AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS people FROM cb) SELECT person_id, people, CASE WHEN people = 1 THEN 'single' WHEN people <= 3 THEN 'few' ELSE 'many' END AS occupancy, x0 <= 1 OR y0 <= 1 OR x1 >= w - 1 OR y1 >= h - 1 AS touches_edge, CASE WHEN label LIKE 'URGENT%' OR label LIKE 'HIGH%' THEN 'priority' ELSE 'other' END AS tag_group FROM n"),
+    "perturbed_boxes": (lambda s, d: B.perturbed(B.clean_boxes(X.boxes(s, d))).select("person_id", "perturbation", *[F.round(c, 9).alias(c) for c in ("px0", "py0", "px1", "py1", "input_area")], "too_small"),
+        f"""{CLEAN}, q AS (SELECT *, (x0 + x1) / 2 + dx * (x1 - x0) AS mx, (y0 + y1) / 2 + dy * (y1 - y0) AS my, scale * (x1 - x0) / 2 AS hx, scale * (y1 - y0) / 2 AS hy FROM cb, {_PERT}),
+q1 AS (SELECT *, greatest(mx - hx, 0) AS px0, greatest(my - hy, 0) AS py0, least(mx + hx, w) AS px1, least(my + hy, h) AS py1 FROM q)
+SELECT person_id, perturbation, round(px0, 9) AS px0, round(py0, 9) AS py0, round(px1, 9) AS px1, round(py1, 9) AS py1, round((px1 - px0) * (py1 - py0) / (w * h), 9) AS input_area, px1 - px0 < 1 OR py1 - py0 < 1 AS too_small FROM q1"""),
+    "projected_boxes": (box(lambda b: b.select("person_id", *B.projected_box())), f"{CLEAN}, vw0 AS (SELECT *, 0 AS l, 0 AS t, w AS r, h AS b FROM cb), {_VIEW}"),
+    "projected_context_boxes": (box(lambda b: b.where("valid").select("person_id", *B.projected_box(0.25))),
+        f"{CLEAN}, vw0 AS (SELECT *, greatest(floor(x0 - (x1 - x0) * CAST(0.25 AS DOUBLE)), 0) AS l, greatest(floor(y0 - (y1 - y0) * CAST(0.25 AS DOUBLE)), 0) AS t, least(ceil(x1 + (x1 - x0) * CAST(0.25 AS DOUBLE)), w) AS r, least(ceil(y1 + (y1 - y0) * CAST(0.25 AS DOUBLE)), h) AS b FROM cb WHERE valid), {_VIEW}"),
+    "box_strata": (box(lambda b: B.strata(b).select("person_id", "people", "occupancy", "boundary")),
+        f"{CLEAN}, n AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS people FROM cb) SELECT person_id, people, CASE WHEN people = 1 THEN 'single_person' ELSE 'multiple_people' END AS occupancy, CASE WHEN x0 <= 1 OR y0 <= 1 OR x1 >= w - 1 OR y1 >= h - 1 THEN 'touches_boundary' ELSE 'interior_box' END AS boundary FROM n"),
     "area_quartiles": (box(lambda b: B.quartile(b.withColumn("v", F.col("area_fraction") + F.col("person_id") * 1e-9), "v").select("person_id", "quartile")),
         f"{CLEAN}, v AS (SELECT person_id, area_fraction + person_id * CAST(1e-9 AS DOUBLE) AS v FROM cb), c AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM v) SELECT person_id, CASE WHEN v <= a THEN 1 WHEN v <= b THEN 2 WHEN v <= c THEN 3 ELSE 4 END AS quartile FROM v, c"),
     "unambiguous_images": (lambda s, d: X.boxes(s, d).groupBy("image_id").agg(F.count("*").alias("people"), (F.count_distinct("label") == 1).alias("unambiguous")), f"WITH {X.BOXES} SELECT image_id, count(*) AS people, count(DISTINCT label) = 1 AS unambiguous FROM boxes GROUP BY image_id"),

@@ -31,7 +31,7 @@ def scored(out, by=()):
 
 
 def _box_rows(s, d):
-    b = B.perturbed(B.clean_boxes(X.boxes(s, d)).where("eligible")).select(
+    b = B.perturbed(B.clean_boxes(X.boxes(s, d)).where("eligible")).where("NOT too_small").select(
         F.col("person_id").alias("id"), F.col("image_id").alias("grp"), "split", (F.col("person_id") % 3).cast("int").alias("y"), "perturbation",
         F.array(F.col("px0") / F.col("w"), F.col("py0") / F.col("h"), F.col("px1") / F.col("w"), F.col("py1") / F.col("h"), "input_area").alias("features"),
     )
