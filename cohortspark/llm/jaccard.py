@@ -48,7 +48,7 @@ class _Sketch:
     def add(self, members: np.ndarray) -> None:
         self.waiting.append(_cells(members).astype(np.uint32))
         self.size += len(members)
-        if self.size > 4_000_000:
+        if self.size > 1_000_000:
             self.settle()
 
     def settle(self) -> None:
@@ -269,6 +269,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     crossed = a.join(b, "h").where("a.node < b.node AND a.component <> b.component AND " + _fits(percent)).select("a", "b")
     more = materialize(_pairs(crossed).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
     links = materialize(links.unionByName(_verified(docs, more, known, levels, width, percent, fragments)))
+    levels.destroy()
     joined = connected_components(links, "a", "b").select(F.col("id").alias("node"), "component")
 
     placed = nodes.join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))

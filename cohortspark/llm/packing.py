@@ -24,8 +24,8 @@ from cohortspark.llm.shingles import text_bytes
 from cohortspark.sources.tables import materialize, sized
 
 CAPACITY = 2048
-#: Entries of a worker's memory of encoded words (some 250 MB); it starts anew when full.
-WORDS_KEPT = 1_000_000
+#: Entries of a worker's memory of encoded words (some 80 MB).
+WORDS_KEPT = 400_000
 MAX_PATTERNS = 60_000
 STEPS = 80
 
@@ -40,7 +40,8 @@ class WordEncoder:
     """Ids of whole texts as packed little-endian 32-bit numbers.
 
     The vocabulary lowers texts and never joins across ASCII white space, nor a letter with these marks after it.
-    So texts are lowered and cut there, and each run of other bytes is encoded once and kept.
+    So texts are lowered and cut there, and each run of other bytes is encoded once and kept. When half of the memory is
+    full it becomes the older half; words that are met again move on, so common words stay and rare ones go.
     """
 
     BORDER = re.compile(rb"(?<=[a-z])(?=[,.!;:?|%$&*#])")
@@ -49,15 +50,18 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.tokenizer, self.kept, self.older = Tokenizer.from_file(path), {}, {}
 
     def __call__(self, text: bytes) -> bytes:
         # A mark such as <|endoftext|> is an id of its own, in just this spelling: texts with one are only cut at white space.
         words = text.split() if b"<|" in text else self.BORDER.sub(b" ", text.lower()).split()
-        new = list(set(words).difference(self.kept))
+        new = set(words).difference(self.kept)
         if new:
-            if len(self.kept) + len(new) > WORDS_KEPT:
-                self.kept, new = {}, list(set(words))
+            if len(self.kept) + len(new) > WORDS_KEPT // 2:
+                self.kept, self.older, new = {}, self.kept, set(words)
+            again = new.intersection(self.older)
+            self.kept.update((w, self.older[w]) for w in again)
+            new = list(new - again)
             for k in range(0, len(new), 4096):
                 some = new[k : k + 4096]
                 for word, got in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):

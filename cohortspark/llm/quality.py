@@ -22,7 +22,7 @@ from cohortspark.llm.shingles import chunks, text_bytes, word_hashes, word_spans
 from cohortspark.sources.tables import materialize, sized
 
 #: Expected sizes of the labelled sample and of the unlabelled pool.
-LABELLED, POOL = 4000, 4000
+LABELLED, POOL = 3000, 2000
 ROUNDS, SHARE = 3, 0.05
 META = 256
 META_COLUMNS = ("source", "lang", "n_chars")
@@ -113,20 +113,22 @@ def _largest(z: np.ndarray, each: np.ndarray) -> float:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, steps: int = 150) -> Logistic:
-    """Weighted so that both classes count alike; accelerated gradient descent on standardised columns."""
+    """Weighted so that both classes count alike; accelerated gradient descent on standardised columns. Constant columns get no weight."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    z = ((x - mean) / scale).astype(np.float32)
-    each = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1))
-    each = each.astype(np.float32)
-    lip = 0.25 * _largest(z, each) + decay + 0.25
-    w, b = np.zeros(z.shape[1], np.float32), 0.0
+    live = np.flatnonzero(x.max(axis=0) > x.min(axis=0))
+    z = ((x[:, live] - mean[live]) / scale[live]).astype(np.float32)
+    each = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1)).astype(np.float32)
+    lip = 0.25 * (_largest(z, each) if len(live) else 0.0) + decay + 0.25
+    w, b = np.zeros(len(live), np.float32), 0.0
     v, c = w, b
     for k in range(steps):
-        g = each * (_sigmoid(z @ v + c) - y)
-        w2, b2 = v - (z.T @ g + decay * v) / lip, c - g.sum() / lip
+        g = (each * (_sigmoid(z @ v + c) - y)).astype(np.float32)
+        w2, b2 = v - (z.T @ g + decay * v) / np.float32(lip), c - float(g.sum()) / lip
         t = k / (k + 3)
-        v, c, w, b = w2 + t * (w2 - w), b2 + t * (b2 - b), w2, b2
-    return Logistic(mean, scale, w, b)
+        v, c, w, b = w2 + np.float32(t) * (w2 - w), b2 + t * (b2 - b), w2, b2
+    weights = np.zeros(x.shape[1])
+    weights[live] = w
+    return Logistic(mean, scale, weights, b)
 
 
 def calibrate(model: Logistic, x: np.ndarray, y: np.ndarray) -> None:
