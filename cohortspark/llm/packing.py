@@ -59,7 +59,7 @@ class WordEncoder:
         if new:
             if len(self.kept) + len(new) > WORDS_KEPT // 2:
                 self.kept, self.older, new = {}, self.kept, set(words)
-            again = new.intersection(self.older)
+            again = {w for w in new if w in self.older}
             self.kept.update((w, self.older[w]) for w in again)
             new = list(new - again)
             for k in range(0, len(new), 4096):
