@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,27 @@ def test_temperature_and_priors(spark, six):
     assert settled and priors[0] > 0.6 and priors[2] < 0.1 and sum(priors) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("classes,shift", [(3, 0.0), (5, 0.0), (3, 2.2)])
+def test_offsets_are_the_best_of_the_whole_grid(spark, classes, shift):
+    """Against all 101 x 101 offsets one by one; scores of few values give ties, and a shift puts the best beyond 1.75."""
+    rng = np.random.default_rng(classes)
+    y = rng.integers(0, classes, 60)
+    s = rng.integers(1, 6, (60, classes)) + 4.0 * (np.arange(classes) == y[:, None])
+    s[:, 1] *= np.exp(-shift)
+    p = s / s.sum(axis=1, keepdims=True)
+    grid, z, best = np.linspace(-2.5, 2.5, 101), np.log(p), None
+    for a in grid:
+        for b in grid:
+            pred = (z + np.array([0, a, b] + [0] * (classes - 3))).round(12).argmax(axis=1)
+            f1 = [2 * ((pred == c) & (y == c)).sum() / max((pred == c).sum() + (y == c).sum(), 1) for c in range(classes)]
+            rank = (-round(sum(f1) / classes, 12), round(a * a + b * b, 9), a, b)
+            best = min(best or rank, rank)
+    rows = [(k, int(y[k]), p[k].tolist()) for k in range(60)]
+    out = P.search_offsets(table(spark, rows, "id long, y int, p array<double>"), classes).first()
+    assert (-out.macro_f1, out.o1, out.o2) == pytest.approx((best[0], best[2], best[3]), abs=1e-9)
+    assert shift == 0 or out.o1 > 1.75
+
+
 def test_identical_models_have_no_difference(spark):
     pairs = table(spark, [(k, k // 3, k % 3, (k * k) % 3, (k * k) % 3) for k in range(60)], "id long, grp long, y int, pred_a int, pred_b int")
     out = H.interval(H.deltas(H.cluster_draws(pairs, 30, 1), 3)).first()
