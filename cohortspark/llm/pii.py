@@ -2,8 +2,9 @@
 
 The field is trained on the small labelled table below, in numpy, with exact gradients by forward and backward
 sums; it labels tokens (runs of letters, runs of digits, single other characters) and is decoded by Viterbi over
-padded batches of windows. A token can only be part of an entity if a digit or an ``@`` lies within ``REACH``
-characters, so windows around those are decoded and everything else is outside by definition.
+padded batches of windows. Every entity that ``plausible`` lets pass holds a digit, an ``@`` or the word "at", so windows
+of ``REACH`` characters around those are decoded, each as a whole however long. A window that has an entity at its
+edge is widened and decoded anew, so no entity is cut.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-HINT = re.compile(r"[0-9@]+")
+HINT = re.compile(r"[\d@]+|(?<=\W)at(?=\W)")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
 REACH = 48
 OUTSIDE = 0
 LABELS = 1 + 2 * len(KINDS)
 FEATURES = 4096
+BLOCK = 2000
 
 #: The labelled table: entities stand as [kind|text].
 LABELLED = [
@@ -84,7 +86,7 @@ LABELLED = [
 def shape(token: str) -> str:
     if token.isspace():
         return "\n" if "\n" in token else " "
-    if token.isdigit():
+    if token.isdecimal():
         return f"9{min(len(token), 6)}" + ("b" if len(token) < 4 and int(token) < 256 else "")
     if token.isalpha():
         return ("X" if token[0].isupper() else "x") + ("x" if len(token) > 1 else "") + ("l" if len(token) > 6 else "")
@@ -120,7 +122,7 @@ def features(tokens: list[str]) -> np.ndarray:
                 _hash("f", c[4], c[5], c[6]), _hash("g", *c[2:7]), _hash("h", c[4], near), _hash("i", *c[:5]), _hash("j", *c[4:]), _hash("k", w[k]),
             ]
         )
-    return np.array(rows, np.int64).reshape(-1, 11)
+    return np.array(rows, np.int16).reshape(-1, 11)
 
 
 def parse_labelled(line: str) -> tuple[list[str], list[int]]:
@@ -200,10 +202,10 @@ def train(lines: list[str] = LABELLED, rounds: int = 150, rate: float = 0.1, dec
 def viterbi(rows: list[np.ndarray], emit: np.ndarray, move: np.ndarray) -> list[np.ndarray]:
     """Best label sequence of each of a batch of feature rows."""
     n, longest = len(rows), max(map(len, rows))
-    x = np.full((n, longest, 11), FEATURES, np.int64)
+    scores = np.zeros((n, longest, LABELS))
     for k, r in enumerate(rows):
-        x[k, : len(r)] = r
-    scores = emit[x].sum(axis=2)
+        for at in range(0, len(r), BLOCK):
+            scores[k, at : at + BLOCK][: len(r) - at] = emit[r[at : at + BLOCK]].sum(axis=1)
     best = scores[:, 0] + move[LABELS]
     back = np.zeros((n, longest, LABELS), np.int8)
     ends = np.array([len(r) - 1 for r in rows])
@@ -250,30 +252,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def windows(text: str) -> list[tuple[int, list[str]]]:
-    """(start, tokens) of the stretches within ``REACH`` characters of a digit or ``@``, cut at token borders."""
-    out, low, high = [], None, 0
-    for m in HINT.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if low is not None and a <= high and b - low < 4000:
-            high = b
+def _kind(c: str) -> int:
+    """Neighbours of the same kind are one token, except kind 0."""
+    return 1 if c.isspace() else 2 if c in "0123456789" else 3 if re.match(r"[^\W\d_]", c) else 0
+
+
+def snapped(text: str, a: int, b: int) -> tuple[int, int]:
+    """The stretch from ``a`` to ``b``, widened to token borders."""
+    a, b = max(0, a), min(len(text), b)
+    while 0 < a < len(text) and (k := _kind(text[a])) and k == _kind(text[a - 1]):
+        a -= 1
+    while 0 < b < len(text) and (k := _kind(text[b])) and k == _kind(text[b - 1]):
+        b += 1
+    return a, b
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            if low is not None:
-                out.append((low, high))
-            low, high = a if low is None else max(a, high), b
-    if low is not None:
-        out.append((low, high))
-    return [(a, TOKEN.findall(text[a:b])) for a, b in out]
+            out.append((a, b))
+    return out
+
+
+def windows(text: str) -> list[tuple[int, int]]:
+    """The stretches within ``REACH`` characters of a digit, an ``@`` or the word "at", widened to token borders."""
+    near = merged([(m.start() - REACH, m.end() + REACH) for m in HINT.finditer(text)])
+    return merged([snapped(text, a, b) for a, b in near])
 
 
 def plausible(kind: int, text: str) -> bool:
-    digits = sum(map(str.isdigit, text))
+    digits = sum(map(str.isdecimal, text))
     if kind == 0:
         return ("@" in text or re.search(r"\W(at)\W", text) is not None) and bool(re.search(r"\w$", text)) and bool(re.match(r"\w", text))
     if kind == 1:
-        return text.count(".") == 3 and digits >= 4 and all(x.isdigit() and int(x) <= 255 for x in text.split(".") if len(x) < 9) or text.count(":") >= 3 and digits >= 2
+        return text.count(".") == 3 and digits >= 4 and all(x.isdecimal() and int(x) <= 255 for x in text.split(".") if len(x) < 9) or text.count(":") >= 3 and digits >= 2
     if kind == 2:
-        return 15 <= digits <= 19 and luhn("".join(filter(str.isdigit, text)))
+        return 15 <= digits <= 19 and luhn("".join(filter(str.isdecimal, text)))
     return 7 <= digits <= 15 and not re.search(r"[A-Za-z]", text) and text.count("(") == text.count(")")
 
 
@@ -294,18 +311,33 @@ def entities(labels: np.ndarray, start: int, tokens: list[str]) -> Iterator[tupl
 def find(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; spans that the field adds don't touch base spans."""
     base = [base_spans(t) for t in texts]
-    jobs = sorted(((d, a, tokens) for d, t in enumerate(texts) for a, tokens in windows(t)), key=lambda x: len(x[2]))
-    added: list[list] = [[] for _ in texts]
+    done: list[dict] = [{} for _ in texts]  # per text: window to its entities
+    todo = [(d, a, b) for d, t in enumerate(texts) for a, b in windows(t)]
+    while todo:
+        wider = _decode(texts, todo, done, model)
+        todo = []
+        for d, grown in wider.items():
+            every = merged([*done[d], *grown])
+            todo += [(d, a, b) for a, b in every if (a, b) not in done[d]]
+            done[d] = {w: done[d][w] for w in every if w in done[d]}
+    added = [[(k, s, e) for found in w.values() for k, s, e in found if all(e <= s2 or e2 <= s for _, s2, e2 in own) and plausible(k, t[s:e])] for t, own, w in zip(texts, base, done, strict=True)]
+    return [(b, sorted({*b, *more})) for b, more in zip(base, added, strict=True)]
+
+
+def _decode(texts: list[str], todo: list, done: list[dict], model) -> dict[int, list]:
+    """Puts the entities of windows into ``done``; returns wider windows, by text, for those that an entity may reach out of."""
+    jobs, wider = sorted(((d, a, b, TOKEN.findall(texts[d][a:b])) for d, a, b in todo), key=lambda x: len(x[3])), {}
     first = 0
     while first < len(jobs):
-        size = max(1, min(256, 20_000 // len(jobs[min(first + 255, len(jobs) - 1)][2])))
+        size = max(1, min(256, 40_000 // len(jobs[min(first + 255, len(jobs) - 1)][3])))
         some = jobs[first : first + size]
-        for (d, a, tokens), labels in zip(some, viterbi([features(x[2]) for x in some], *model), strict=True):
-            for kind, start, end in entities(labels, a, tokens):
-                if all(end <= s or e <= start for _, s, e in base[d]) and plausible(kind, texts[d][start:end]):
-                    added[d].append((kind, start, end))
+        for (d, a, b, tokens), labels in zip(some, viterbi([features(x[3]) for x in some], *model), strict=True):
+            if labels[0] and a > 0 or labels[-1] and b < len(texts[d]):
+                more = b - a
+                wider.setdefault(d, []).append(snapped(texts[d], a - more * bool(labels[0]), b + more * bool(labels[-1])))
+            done[d][a, b] = list(entities(labels, a, tokens))
         first += size
-    return [(b, sorted({*b, *more})) for b, more in zip(base, added, strict=True)]
+    return wider
 
 
 def told(spans: list) -> str:
@@ -313,8 +345,8 @@ def told(spans: list) -> str:
 
 
 def _hinted(column: pa.Array) -> np.ndarray:
-    """Rows whose text has a digit or an ``@``; no other row can have a span."""
-    return np.flatnonzero(pc.match_substring_regex(column.cast(pa.large_string()).fill_null(""), "[0-9@]").to_numpy(zero_copy_only=False))
+    """Rows whose text has a digit, an ``@`` or the word "at"; no other row can have a span."""
+    return np.flatnonzero(pc.match_substring_regex(column.cast(pa.large_string()).fill_null(""), r"[\p{Nd}@]|\Wat\W").to_numpy(zero_copy_only=False))
 
 
 def _detect(model):

@@ -111,6 +111,38 @@ def test_packing_plan_places_everything():
         assert sum(n for _, n in planned) <= 1.02 * least + 2
 
 
+@pytest.fixture(scope="module")
+def field():
+    return pii.train()
+
+
+@pytest.mark.parametrize("address", ["info (at) shop.example.com", "max (at) firma.example.de"])
+def test_pii_finds_addresses_without_digit_or_sign(spark, field, address):
+    text = f"reach us: {address} any time"
+    assert [text[a:b] for _, a, b in pii.find([text], field)[0][1]] == [address]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.detect(docs).first().spans == f"email:10:{10 + len(address)}"
+    assert pii.mask(docs).first().text == "reach us: [EMAIL] any time"
+
+
+def test_pii_windows_cut_nothing(field):
+    """A long list of numbers is decoded as one sequence: each number is found whole, wherever it stands."""
+    for more in range(4):
+        text = f"dial 425-555-0142 for help, please{' now' * more}. " * 500
+        want = [(3, m.start(), m.end()) for m in re.finditer("425-555-0142", text)]
+        assert pii.find([text], field)[0][1] == want
+
+
+def test_pii_windows_are_the_whole_text(field):
+    rng = np.random.default_rng(4)
+    bits = ["call 425-555-0142 now. ", "write to info (at) shop.example.com any time. ", "lorem ipsum dolor sit amet, ", "we met at noon, ", "x\u00b2 = 5\u00b2, ", "version 22 runs since 09/11. "]
+    for _ in range(20):
+        text = "".join(bits[k] for k in rng.integers(0, len(bits), 80))
+        tokens = pii.TOKEN.findall(text)
+        whole = pii.entities(pii.viterbi([pii.features(tokens)], *field)[0], 0, tokens)
+        assert pii.find([text], field)[0][1] == sorted(x for x in whole if pii.plausible(x[0], text[x[1] : x[2]]))
+
+
 def test_pii_base_is_the_plain_expression(spark, docs):
     plain = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
