@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,13 +53,13 @@ def stratified_group_folds(rows: DataFrame, group: str, label: str, folds: int)
         wide = pdf.pivot_table(index=group, columns=label, values="n", aggfunc="sum", fill_value=0)
         wide = wide.assign(_n=wide.sum(axis=1)).reset_index().sort_values(["_n", group], ascending=[False, True], kind="stable")
         classes = [c for c in wide.columns if c not in (group, "_n")]
-        held = pd.DataFrame(0.0, index=range(folds), columns=classes)
-        totals, out = wide[classes].sum(), []
-        for row in wide.itertuples(index=False):
-            own = pd.Series(row[1:-1], index=classes, dtype=float)
-            spread = [(((held + (pd.DataFrame([own], index=[k]).reindex(range(folds), fill_value=0))) / totals).std(ddof=0).mean(), held.loc[k].sum(), k) for k in range(folds)]
-            best = min(spread)[2]
-            held.loc[best] += own
+        own = wide[classes].to_numpy(float)
+        held, totals, out = np.zeros((folds, len(classes))), own.sum(axis=0), []
+        each = np.eye(folds)[:, :, None]  # k-th table: the group added to fold k
+        for row in own:
+            spread = ((held + each * row) / totals).std(axis=1).mean(axis=1)
+            best = min(zip(spread, held.sum(axis=1), range(folds), strict=True))[2]
+            held[best] += row
             out.append(best)
         return pd.DataFrame({group: wide[group], "fold": out})
 

@@ -50,3 +50,9 @@ def test_query_matches_its_sql(spark, sql, name):
 
 def test_the_entry_runs(spark):
     assert registry.flagship(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_every_group_gets_a_fold(spark):
+    out = registry.queries()["stratified_group_folds"](spark, SF).toPandas()
+    groups = {r.o_custkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().collect()}
+    assert len(out) == len(groups) and set(out["grp"]) == groups and set(out["fold"]) == {0, 1, 2}
