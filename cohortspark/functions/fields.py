@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Spellings of splits.
 SPLITS = {"train": "train", "training": "train", "valid": "val", "validation": "val", "val": "val", "test": "test", "testing": "test", "trainval": "train_val", "train_val": "train_val"}
@@ -168,10 +173,53 @@ def strata(rows: DataFrame, edge: float = 1.0) -> DataFrame:
     return rows.join(n, "image_id").withColumn("occupancy", F.when(F.col("people") == 1, "single_person").otherwise("multiple_people")).withColumn("boundary", F.when(near, "touches_boundary").otherwise("interior_box"))
 
 
+def _digests(width: int):
+    """Running digests over batches in order: ``width`` group columns, then the line. One row per group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, now, state = [], None, None
+        ended, first = [], True
+        names = None
+
+        def out():
+            columns = [pa.array([g[i] for g, _ in ended], kinds[i]) for i in range(width)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([x for _, x in ended], pa.string())], [*(names or []), "digest"])
+
+        for batch in batches:
+            kinds, names = [batch.schema.field(i).type for i in range(width)], batch.schema.names[:width]
+            lines = batch.column(width).to_pylist()
+            groups = list(zip(*[batch.column(i).to_pylist() for i in range(width)], strict=True)) if width else [()] * len(lines)
+            k = 0
+            while k < len(lines):
+                end = k
+                while end < len(lines) and groups[end] == groups[k]:
+                    end += 1
+                if state is None or groups[k] != now:
+                    if state is not None:
+                        ended.append((now, state.hexdigest()))
+                    state, first = hashlib.sha256(), True
+                now = groups[k]
+                state.update(("" if first else "\n").encode() + "\n".join(lines[k:end]).encode())
+                first, k = False, end
+            if ended:
+                yield out()
+                ended.clear()
+        if state is not None:
+            ended.append((now, state.hexdigest()))
+            yield out()
+
+    return run
+
+
 def fingerprint(rows: DataFrame, key: str, columns: list[str] | None = None, by: tuple = ()) -> DataFrame:
-    """(by, digest): SHA-256 of the rows' texts in order of the key, one to a line."""
-    line = F.concat_ws("|", *(columns or [key]))
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("v")))).alias("x")).select(*by, F.sha2(F.array_join("x.v", "\n"), 256).alias("digest"))
+    """(by, digest): SHA-256 of the rows' texts in order of the key, one to a line.
+
+    A group's rows are sorted (on disk, where they don't fit) and run through the digest in batches, so no row or task holds a group.
+    """
+    lines = rows.select(*by, F.col(key).alias("_k"), F.concat_ws("|", *(columns or [key])).alias("_v"))
+    ordered = (lines.repartition(*by) if by else lines.repartition(1)).sortWithinPartitions(*by, "_k", "_v").select(*by, "_v")
+    out = ordered.mapInArrow(_digests(len(by)), T.StructType([*(ordered.schema[c] for c in by), T.StructField("digest", T.StringType())]))
+    return out if by else out.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def fingerprint_large(rows: DataFrame, key: str, columns: list[str] | None = None, parts: int = 256) -> DataFrame:

@@ -29,12 +29,20 @@ _ON = "CASE WHEN o_orderkey % 13 = 0 THEN 2 ELSE 1 END * (CASE WHEN k = 0 THEN 1
 DOCS = "WITH d AS (SELECT *, o_orderkey % 7 AS k, 'img_' || o_orderkey AS filename FROM orders)"
 
 
-def _column_actions(s, d):
+BLOCK = 1000  # annotations to an array
+
+
+def _columns(s, d):
+    """(action, ann_id, image_id, label): per action and block of users three parallel arrays."""
     e = table(s, d, "events").select("user_id", X.action_of().alias("a")).distinct()
     every = e.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(x) for x in ("sit", "stand", "walk", "run")])).alias("a"))
     rows = every.join(e.withColumn("on", F.lit(1)), ["user_id", "a"], "left").withColumn("on", F.coalesce("on", F.lit(0)))
-    arrays = rows.groupBy(F.col("a").alias("action")).agg(F.array_sort(F.collect_list(F.struct("user_id", "on"))).alias("z"))
-    return A.column_actions(arrays.select("action", F.col("z.user_id").alias("ann_id"), F.transform("z.user_id", lambda u: u % 20).alias("image_id"), F.col("z.on").alias("label")))
+    arrays = rows.groupBy(F.col("a").alias("action"), F.floor(F.col("user_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("user_id", "on"))).alias("z"))
+    return arrays.select("action", F.col("z.user_id").alias("ann_id"), F.transform("z.user_id", lambda u: u % 20).alias("image_id"), F.col("z.on").alias("label"))
+
+
+def _column_actions(s, d):
+    return A.column_actions(_columns(s, d))
 
 
 def _instances(s, d, part):

@@ -1,10 +1,13 @@
 """Scans, sinks and the incremental run on files that the tests write."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from cohortspark.functions.fields import fingerprint
+from cohortspark.plans import q_files
 from cohortspark.sources import files as A
 from cohortspark.streaming.incremental import resume
 
@@ -99,3 +102,25 @@ def test_incremental_run_does_each_row_once(spark, tmp_path):
     once()
     once(str(tmp_path / "lost state"))
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(9))
+
+
+def test_digests_hold_no_group(spark):
+    rows = [(k, None if k % 5 == 0 else "ab"[k % 2]) for k in range(25_000)]
+    table = spark.createDataFrame(rows, "id long, split string").repartition(5)
+    for by in ((), ("split",)):
+        out = fingerprint(table, "id", by=by)
+        plan = out._jdf.queryExecution().toString()
+        assert "collect_list" not in plan and "MapInArrow" in plan
+        want = {}
+        for k, g in rows:
+            want.setdefault(g if by else None, []).append(str(k))
+        assert {r["split"] if by else None: r.digest for r in out.collect()} == {g: hashlib.sha256("\n".join(x).encode()).hexdigest() for g, x in want.items()}
+    none = table.limit(0)
+    assert [r.digest for r in fingerprint(none, "id").collect()] == [hashlib.sha256(b"").hexdigest()] and fingerprint(none, "id", by=("split",)).count() == 0
+
+
+def test_action_columns_are_bounded(spark, tmp_path):
+    spark.range(7000).selectExpr("id AS user_id", "'click' AS event_type").write.parquet(str(tmp_path / "events.parquet"))
+    columns = q_files._columns(spark, str(tmp_path))
+    assert columns.selectExpr("max(size(ann_id)) AS n").first().n <= 1000
+    assert A.column_actions(columns).where("actions = array('sit')").count() == 7000
