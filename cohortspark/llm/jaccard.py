@@ -205,7 +205,7 @@ def _partial(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, levels, width:
     )
     wanted = materialize(nodes.join(sides.select("node").distinct().hint("merge"), "node"))
     cut = _fetch(docs, wanted).mapInArrow(_segments(levels, width, fragments, early), "node long, fragment int, members array<long>")
-    met = cut.join(sized(sides), "node").groupBy("a", "b", "fragment").agg(F.sort_array(F.collect_list(F.struct("side", "members"))).alias("x"))
+    met = cut.join(sized(sides), "node").groupBy("a", "b", "fragment").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("side", "members")))).alias("x"))  # texts of one set give equal members
     first, second = (F.try_element_at(F.col("x"), F.lit(k)) for k in (1, 2))
     own = lambda side: F.when(first["side"] == side, F.size(first["members"])).when(second["side"] == side, F.size(second["members"])).otherwise(0)
     common = F.coalesce(F.size(F.array_intersect(first["members"], second["members"])), F.lit(0))

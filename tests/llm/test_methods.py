@@ -73,6 +73,15 @@ def test_jaccard_at_the_threshold_and_in_a_large_group(spark):
     assert dict(zip(out["doc_id"], out["component_id"], strict=True)) == want
 
 
+def test_jaccard_of_one_id_in_two_spellings(spark):
+    """Rows of one doc_id with equal sets are one side of a pair: documents 1 and 2 share half of their words and don't link."""
+    block = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    one = f"{block('r')} {block('b')}"
+    rows = [(1, one), (1, one.upper()), (2, f"{block('r')} {block('c')}")] + [(3 + k, f"{block('bc'[k % 2])} {block(f'u{k}x')}") for k in range(8)]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert (out["component_id"] == out["doc_id"]).all()
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
