@@ -1,33 +1,34 @@
 """Packing documents into sequences by patterns of lengths and non-negative least squares.
 
 Only lengths matter to a packing, and there are at most ``capacity`` of them. So the corpus is reduced to a histogram;
-patterns of two or three lengths that fill a sequence exactly are enumerated; how often each is repeated is fitted to
-the histogram by non-negative least squares, rounded, and what remains is packed by best fit, longest first, again
-on the histogram. The plan (a fixed number of patterns at most) says for the k-th piece of each length where it goes.
+patterns of two or three lengths that fill a sequence exactly are enumerated, all of them; how often each is repeated is
+fitted to the histogram by non-negative least squares, rounded, and what remains is packed by best fit, longest first,
+again on the histogram. The plan says for the k-th piece of each length where it goes.
 """
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.shingles import text_bytes
+from cohortspark.llm.shingles import chunks, text_bytes
 from cohortspark.sources.tables import materialize, sized
 
 CAPACITY = 2048
-#: Entries of a worker's memory of encoded words (some 80 MB).
-WORDS_KEPT = 400_000
-MAX_PATTERNS = 60_000
-STEPS = 80
+#: Entries of a worker's memory of encoded words (some 15 MB), and bytes of text that are cut into words at a time.
+WORDS_KEPT, SLICE = 400_000, 1 << 22
+#: Steps of the fit, and pieces of one length that one task ranks.
+STEPS, RANKED = 200, 4_000
+SLACK = 0.001
 
 
 def vocabulary() -> str:
@@ -37,36 +38,95 @@ def vocabulary() -> str:
 
 
 class WordEncoder:
-    """Ids of whole texts as packed little-endian 32-bit numbers.
+    """Ids of whole texts.
 
     The vocabulary lowers texts and never joins across ASCII white space, nor a letter with these marks after it.
-    So texts are lowered and cut there, and each run of other bytes is encoded once and kept. When half of the memory is
-    full it becomes the older half; words that are met again move on, so common words stay and rare ones go.
+    So texts are lowered and cut there by Arrow, a slice's words become a dictionary, and each new one is encoded once.
+    Words stand in one Arrow column with their ids in another, and ids of texts are taken from it by place; when the
+    memory is full it starts anew with the words of the slice at hand.
     """
 
-    BORDER = re.compile(rb"(?<=[a-z])(?=[,.!;:?|%$&*#])")
+    BORDER = r"([a-z])([,.!;:?|%$&*#])"
+    TOGETHER = 400
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_list(pa.uint32()))
 
     def __call__(self, text: bytes) -> bytes:
+        return self.slice(pa.array([text.decode()], pa.large_string()))[0].tobytes()
+
+    def slice(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a large_string column without nulls, whose buffers begin with its first text."""
         # A mark such as <|endoftext|> is an id of its own, in just this spelling: texts with one are only cut at white space.
-        words = text.split() if b"<|" in text else self.BORDER.sub(b" ", text.lower()).split()
-        new = set(words).difference(self.kept)
-        if new:
-            if len(self.kept) + len(new) > WORDS_KEPT // 2:
-                self.kept, self.older, new = {}, self.kept, set(words)
-            again = {w for w in new if w in self.older}
-            self.kept.update((w, self.older[w]) for w in again)
-            new = list(new - again)
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                for word, got in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    self.kept[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(self.kept.__getitem__, words))
+        cut = pc.replace_substring_regex(pc.ascii_lower(column), self.BORDER, r"\1 \2")
+        if (marked := pc.match_substring(column, "<|")).true_count:
+            cut = pc.replace_with_mask(cut, marked, column.filter(marked))
+        lists = pc.ascii_split_whitespace(cut)
+        coded = lists.flatten().dictionary_encode()
+        at = self.places(coded.dictionary)
+        taken = self.ids.take(at.take(coded.indices))
+        ends = taken.offsets.to_numpy()[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        ids = taken.values.to_numpy()
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def places(self, words: pa.Array) -> pa.Array:
+        """Where distinct ``words`` stand in the memory; new ones are added."""
+        if len(self.words) + len(words) > WORDS_KEPT:
+            self.forget()
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            new = words.filter(pc.is_null(at))
+            self.words, self.ids = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, self.encoded(new)])
+            at = pc.index_in(words, value_set=self.words)
+        return at
+
+    def encoded(self, words: pa.Array) -> pa.Array:
+        """A list of ids for each word. Words of letters are encoded together: as each has one id that ends it, the ids fall apart again."""
+        plain = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.binary_length(words), 64)).to_numpy(zero_copy_only=False)
+        texts = words.to_pylist()
+        flat, sizes = [], np.zeros(len(texts), np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        n = int(plain.sum())
+        runs = [order[k : min(k + self.TOGETHER, n)] for k in range(0, n, self.TOGETHER)]
+        alone = [order[n:]] if n < len(order) else []
+        for k in range(0, len(runs), 64):
+            some = runs[k : k + 64]
+            for rows, got in zip(some, self._encode([" ".join([texts[i] for i in r]) for r in some]), strict=True):
+                ends = np.flatnonzero(self.last[got])
+                if len(ends) == len(rows):
+                    flat.append(got)
+                    sizes[rows] = np.diff(ends, prepend=-1)
+                else:  # a letter that is lowered to several characters, some of them no letters
+                    flat += self._one_by_one(texts, rows, sizes)
+        for rows in alone:
+            flat += self._one_by_one(texts, rows, sizes)
+        at = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(sizes[order], out=at[1:])
+        lists = pa.LargeListArray.from_arrays(pa.array(at), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.uint32)))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return lists.take(pa.array(back))
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(g.ids, np.uint32) for g in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one_by_one(self, texts: list[str], rows: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for k in range(0, len(rows), 4096):
+            got = self._encode([texts[i] for i in rows[k : k + 4096]])
+            sizes[rows[k : k + 4096]] = [len(g) for g in got]
+            out += got
+        return out
 
 
 @functools.cache
@@ -79,18 +139,20 @@ def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            raw, at = text_bytes(batch.column(1))
-            view = memoryview(raw)
+            raw, offsets = text_bytes(batch.column(1))
             row, piece, start, length, crc = [], [], [], [], []
-            for d in range(batch.num_rows):
-                ids = encode(bytes(view[at[d] : at[d + 1]])) + b"\0\0\0\0"
-                for k, first in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[first : first + 4 * capacity]
-                    row.append(d)
-                    piece.append(k)
-                    start.append(first // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            for low, high in chunks(offsets, SLICE):
+                at, own = offsets[low : high + 1] - offsets[low], raw[offsets[low] : offsets[high]]
+                texts = pa.LargeStringArray.from_buffers(high - low, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(own)))
+                for d, ids in enumerate(encode.slice(texts), low):
+                    told = ids.tobytes() + b"\0\0\0\0"
+                    for k, first in enumerate(range(0, len(told), 4 * capacity)):
+                        part = told[first : first + 4 * capacity]
+                        row.append(d)
+                        piece.append(k)
+                        start.append(first // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
@@ -106,20 +168,21 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     return docs.select("doc_id", "text").mapInArrow(_pieces(path or vocabulary(), capacity), schema)
 
 
-def patterns(lengths: np.ndarray, capacity: int, most: int = MAX_PATTERNS) -> np.ndarray:
-    """Rows (a, b, c), a >= b >= c, of present lengths that sum to ``capacity``; c is 0 for pairs. Every k-th triple if there are too many."""
+def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Rows (a, b, c), a >= b >= c, of present lengths that sum to ``capacity``, longest a first; c is 0 for pairs.
+
+    All of them: with a capacity of 2048 there are 350,000 at most, however large the corpus.
+    """
     present = np.zeros(capacity + 1, bool)
     present[lengths] = True
-    pairs = np.array([(capacity - b, b, 0) for b in range(1, capacity // 2 + 1) if present[b] and present[capacity - b]], np.int64).reshape(-1, 3)
-    triples = []
+    present[0] = True
+    found = []
     for c in np.flatnonzero(present[: capacity // 3 + 1]):
-        if c:
-            b = np.arange(c, (capacity - c) // 2 + 1)
-            b = b[present[b] & present[capacity - c - b]]
-            triples.append(np.stack([capacity - c - b, b, np.full(len(b), c)], axis=1))
-    triples = np.concatenate(triples) if triples else np.zeros((0, 3), np.int64)
-    step = max(1, -(-len(triples) // most))
-    return np.concatenate([pairs, triples[step // 2 :: step]])
+        b = np.arange(max(c, 1), (capacity - c) // 2 + 1)
+        b = b[present[b] & present[capacity - c - b]]
+        found.append(np.stack([capacity - c - b, b, np.full(len(b), c)], axis=1))
+    rows = np.concatenate(found)
+    return rows[np.lexsort((rows[:, 2], rows[:, 1], -rows[:, 0]))]
 
 
 def fit(rows: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarray:
@@ -136,14 +199,12 @@ def fit(rows: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarr
     return x
 
 
-#: Shares of the fitted repeats that are tried: with many lengths over half a sequence, full repeats leave long pieces without partners.
-TRIED = (1.0, 0.5, 0.25, 0.1)
-
-
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(((length, times), ...), repeats), ...]: every piece of the histogram (counts by length, index 0 unused) in one pattern.
 
-    Fitted repeats are rounded, and the rest is packed by best fit; of a few shares of the repeats the one with the fewest sequences stands.
+    Fitted repeats are rounded and what they leave is packed by best fit. Only where that takes ``SLACK`` more sequences than
+    the least possible number (pieces over half a sequence that outnumber their partners) are smaller shares of the repeats
+    tried, and the plan with the fewest sequences stands.
     """
     left = histogram.astype(np.int64).copy()
     whole = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
@@ -152,12 +213,22 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[tu
     if not len(rows):
         return whole + best_fit(left, capacity)
     total = np.cumsum(fit(rows, left))
-    plans = [rounded(rows, share * total, left, capacity) for share in TRIED]
-    return whole + min(plans, key=lambda p: sum(n for _, n in p))
+    least = max(int(left @ np.arange(len(left))) / capacity, int(left[capacity // 2 + 1 :].sum()))
+    best = None
+    for share in (1.0, 0.5, 0.25, 0.125):
+        planned = rounded(rows, share * total, left, capacity)
+        if best is None or sum(n for _, n in planned) < sum(n for _, n in best):
+            best = planned
+        if sum(n for _, n in best) <= (1 + SLACK) * least + 2:
+            break
+    return whole + best
 
 
 def rounded(rows: np.ndarray, total: np.ndarray, histogram: np.ndarray, capacity: int) -> list:
-    """Whole repeats that follow the running ``total``, as far as the histogram allows, and best fit for the rest."""
+    """Whole repeats that follow the running ``total``, as far as the histogram allows, and best fit for the rest.
+
+    Patterns come with the longest pieces first, so that these, which best fit finds no partners for, get theirs.
+    """
     left, out = histogram.copy(), []
     repeats = np.diff(np.floor(total + 0.5), prepend=0).astype(np.int64)
     for k in np.flatnonzero(repeats):
@@ -236,8 +307,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     for length, n in pieces.groupBy("length").count().collect():  # one row per length, capacity at most
         histogram[length] = n
     shared = docs.sparkSession.sparkContext.broadcast(plan_table(plan(histogram, capacity)))
-    salts = max(1, int(histogram.sum()) // 100_000)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salts = F.element_at(F.array(*[F.lit(-(-max(int(n), 1) // RANKED)) for n in histogram]), (F.col("length") + 1).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
     counts = materialize(salted.groupBy("length", "salt").count())
     ahead = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = materialize(counts.select("length", "salt", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead")))
