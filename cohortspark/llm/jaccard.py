@@ -1,14 +1,16 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All shingles have one global order: rare ones first (by a count sketch of the whole corpus), then by hash. The order
-is cut into fragments. Two documents that reach the threshold must share a shingle in the early part of their sets
-(prefix filter), which gives candidates; a candidate pair's overlap is then counted fragment by fragment, each
-fragment on its own, and the partial counts are summed per pair. No pair that reaches the threshold is missed.
+All shingles have one global order: rare ones first (by counts over the whole corpus in 2 ** 30 cells), then by hash.
+The order decides what a search costs, not what it finds. It is cut into fragments. Two documents that reach the
+threshold must share a shingle in the early part of their sets (prefix filter), which gives candidates; a candidate
+pair's overlap is then counted fragment by fragment, each fragment on its own, and the partial counts are summed per
+pair. No pair that reaches the threshold is missed.
 
 Documents with equal sets form a class, of which one member takes part. Candidates come in two passes, so that a group
 of n near copies doesn't cost n * n pairs: first every document of a shingle's list meets the document that
 comes earliest in it; what these pairs link becomes one component. Then all pairs of a list that still lie in
-different components are compared. Sizes and places in the order leave out pairs that can't reach the threshold.
+different components are compared, by steps of size: sets whose sizes differ by more never meet. Sizes and places in
+the order leave out pairs that can't reach the threshold.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from cohortspark.llm.shingles import WIDTH, set_digest, shingle_sets
 from cohortspark.operators.components import connected_components
 from cohortspark.sources.tables import materialize, sized
 
-#: Cells of the count sketch, a byte each, and the blocks in which tasks hand them on. A fixed 32 MB, whatever the input.
-CELLS, BLOCKS = 1 << 25, 1024
-BLOCK = CELLS // BLOCKS
+#: Shingles are counted in 2 ** BITS cells, in blocks of 2 ** 16 that tasks sum one at a time: the whole is nowhere held.
+BITS = 30
+#: Members that a task counts before it hands them on, cells that every task may be told of, and the least count told.
+WAITING, TOLD, LEAST = 2_000_000, 4_000_000, 12
 #: Fragments of the global order. The last one holds the frequent shingles.
 FRAGMENTS = 8
 #: Fragments that are counted first; pairs that these rule out are not counted further.
@@ -35,86 +38,142 @@ EARLY = 2
 PERCENT = 75
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(39)).astype(np.int64)
+def _cells(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-class _Sketch:
-    """Saturating counts of cells."""
+def _binary(parts: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """``parts`` cut at ``cuts`` (places in it, from 0 to its length) as binary values."""
+    raw = np.ascontiguousarray(parts)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
 
-    def __init__(self):
-        self.counts, self.waiting, self.size = np.zeros(CELLS, np.uint8), [], 0
 
-    def add(self, members: np.ndarray) -> None:
-        self.waiting.append(_cells(members).astype(np.uint32))
-        self.size += len(members)
-        if self.size > 1_000_000:
-            self.settle()
+COUNTED = "block int, cells binary, many binary, counts binary"
 
-    def settle(self) -> None:
-        if self.waiting:
-            cells, n = np.unique(np.concatenate(self.waiting), return_counts=True)
-            self.counts[cells] = np.minimum(self.counts[cells] + np.minimum(n, 255), 255)
-        self.waiting, self.size = [], 0
 
-    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(block, which cells are over 0, places and counts of those over 1): ids of 2 bytes, or a bit each if that is shorter."""
-        self.settle()
-        for k in range(BLOCKS):
-            own = self.counts[k * BLOCK : (k + 1) * BLOCK]
-            some = np.flatnonzero(own)
-            if len(some):
-                seen = some.astype("<u2").tobytes() if 2 * len(some) < BLOCK // 8 else np.packbits(own > 0).tobytes()
-                many = some[own[some] > 1]
-                yield k, seen, many.astype("<u2").tobytes() + own[many].tobytes()
+def _counted(members: list[np.ndarray], bits: int) -> list[pa.Array]:
+    """Blocks of counts: (block, its cells, those of them over 1, their counts)."""
+    cells, n = np.unique(_cells(np.concatenate(members), bits), return_counts=True)
+    blocks, first = np.unique(cells >> 16, return_index=True)
+    many = n > 1
+    before = np.concatenate(([0], np.cumsum(many)))
+    cuts = np.append(first, len(cells))
+    low = (cells & 0xFFFF).astype("<u2")
+    return [pa.array(blocks.astype(np.int32)), _binary(low, cuts), _binary(low[many], before[cuts]), _binary(n[many].astype("<u4"), before[cuts])]
 
 
-def _describe(width: int):
-    """Per row (doc_id, n_shingles, node: the digest of its set); per task the blocks of its count sketch."""
+def _describe(width: int, bits: int):
+    """Per row (doc_id, n_shingles, node: the digest of its set); besides, blocks of counts of the members' cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, names = _Sketch(), ["doc_id", "n_shingles", "node", "block", "seen", "more"]
+        names = ["doc_id", "n_shingles", "node", "block", "cells", "many", "counts"]
+        waiting, size = [], 0
+
+        def counts() -> pa.RecordBatch:
+            told = _counted(waiting, bits)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(told[0]), pa.int64())] * 3 + told, names)
+
         for batch in batches:
             sizes, nodes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, members in shingle_sets(batch.column(1), width):
                 sizes[row], nodes[row] = len(members), set_digest(members)
-                sketch.add(members)
-            none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(nodes), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names)
-        blocks = list(sketch.blocks())
-        none = pa.nulls(len(blocks), pa.int64())
-        told = [pa.array([b[0] for b in blocks], pa.int32()), *(pa.array([b[k] for b in blocks], pa.binary()) for k in (1, 2))]
-        yield pa.RecordBatch.from_arrays([none, none, none, *told], names)
+                waiting.append(members)
+                size += len(members)
+                if size > WAITING:
+                    yield counts()
+                    size = 0
+            none = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(nodes), pa.nulls(batch.num_rows, pa.int32()), none, none, none], names)
+        if size:
+            yield counts()
+
+    return run
+
+
+def _over(bound: int):
+    """Rows of COUNTED in order of the block to (level, n, cells): the cells over ``bound``, by the logarithm of what they are over it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(1 << 16, np.int64)
+        found: list[tuple[int, int, bytes]] = []
+
+        def settle() -> None:
+            cells = np.flatnonzero(total > bound)
+            level = np.log2(total[cells] - bound).astype(np.int64) + 1
+            for k in np.unique(level):
+                own = ((now << 16) + cells[level == k]).astype("<u4")
+                found.append((int(k), len(own), own.tobytes()))
+            total[:] = 0
+
+        def told() -> pa.RecordBatch:
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["level", "n", "cells"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for block, cells, many, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    if now is not None:
+                        settle()
+                    now = block
+                total[np.frombuffer(cells, "<u2")] += 1
+                total[np.frombuffer(many, "<u2")] += np.frombuffer(counts, "<u4").astype(np.int64) - 1
+            yield told()
+        if now is not None:
+            settle()
+            yield told()
 
     return run
 
 
-def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, seen, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = total.setdefault(block, np.zeros(BLOCK, np.uint16))
-            if len(seen) == BLOCK // 8:
-                own += np.unpackbits(np.frombuffer(seen, np.uint8))
-            else:
-                own[np.frombuffer(seen, "<u2")] += 1
-            n = len(more) // 3
-            own[np.frombuffer(more[: 2 * n], "<u2")] += np.frombuffer(more[2 * n :], np.uint8) - np.uint16(1)
-            np.minimum(own, 255, out=own)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.uint8).tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
-
-
-def _levels(described: DataFrame) -> np.ndarray:
-    """Frequency level of every sketch cell: 0 for what chance alone puts there, else growing with the count."""
-    rows = described.where("block IS NOT NULL").select("block", "seen", "more").repartition(64, "block")
-    counts = np.zeros((BLOCKS, BLOCK), np.uint8)
-    for block, part in rows.mapInArrow(_sum_blocks, "block int, counts binary").toLocalIterator():
-        counts[block] = np.frombuffer(part, np.uint8)
-    counts = counts.reshape(-1)
-    usual = float(counts.mean())
-    bound = int(usual + 4 * math.sqrt(usual) + 2)
-    level = np.array([0 if n <= bound else 1 + int(math.log2(n - bound)) for n in range(256)], np.uint8)
-    return level[counts]
+class Frequent:
+    """Frequency levels of cells: those of the frequent ones, 0 for all others."""
+
+    FOLD = 27
+
+    def __init__(self, cells: np.ndarray, levels: np.ndarray, bits: int = BITS):
+        order = np.argsort(cells)
+        self.cells, self.of, self.bits, self.seen = cells[order], levels[order], bits, None
+
+    def levels(self, members: np.ndarray) -> np.ndarray:
+        cells = _cells(members, self.bits)
+        shift = np.uint32(max(0, self.bits - self.FOLD))
+        if self.seen is None:  # a bit for each group of cells: most members are told apart by it
+            self.seen = np.zeros(1 << (min(self.bits, self.FOLD) - 3), np.uint8)
+            folded = self.cells >> shift
+            np.bitwise_or.at(self.seen, folded >> 3, np.uint8(1) << (folded & 7).astype(np.uint8))
+        folded = cells >> shift
+        out = np.zeros(len(cells), np.uint8)
+        hit = np.flatnonzero(self.seen[folded >> 3] >> (folded & 7).astype(np.uint8) & 1)
+        if len(hit):
+            at = np.minimum(np.searchsorted(self.cells, cells[hit]), len(self.cells) - 1)
+            out[hit] = np.where(self.cells[at] == cells[hit], self.of[at], 0)
+        return out
+
+    def __getstate__(self):
+        return self.__dict__ | {"seen": None}
+
+
+def frequent(described: DataFrame, bits: int = BITS, most: int = TOLD) -> Frequent:
+    """The cells whose count is more than chance alone puts there, the most frequent ones if these are more than ``most``.
+
+    Cells are summed block by block where they lie; what is told to the driver and to the tasks has a fixed bound.
+    """
+    usual = (described.agg(F.sum("n_shingles")).first()[0] or 0) / float(1 << bits)
+    bound = max(LEAST, int(usual + 4 * math.sqrt(usual) + 2))
+    rows = described.where("block IS NOT NULL").select("block", "cells", "many", "counts").repartition("block").sortWithinPartitions("block")
+    over = materialize(rows.mapInArrow(_over(bound), "level int, n long, cells binary"))
+    room, least = most, 256
+    for level, n in sorted(map(tuple, over.groupBy("level").agg(F.sum("n")).collect()), reverse=True):  # one row per level
+        if n > room:
+            break
+        room, least = room - n, level
+    found = over.where(F.col("level") >= least).select("level", "cells").collect()  # ``most`` cells at most
+    cells = [np.frombuffer(r.cells, "<u4") for r in found]
+    levels = np.repeat(np.array([r.level for r in found], np.uint8), [len(c) for c in cells])
+    return Frequent(np.concatenate(cells) if cells else np.zeros(0, np.uint32), levels, bits)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -129,7 +188,7 @@ def _postings(levels, width: int, percent: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        known = levels.value
         for batch in batches:
             nodes, digests = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             out: list[list[np.ndarray]] = [[], [], []]
@@ -138,7 +197,7 @@ def _postings(levels, width: int, percent: int):
                 if not n or set_digest(members) != digests[row]:
                     continue
                 k = prefix_length(n, percent)
-                first = members[np.argsort(level[_cells(members)], kind="stable")[:k]]
+                first = members[np.argsort(known.levels(members), kind="stable")[:k]]
                 out[0].append((first >> np.uint64(24)).view(np.int64))
                 out[1].append(np.full(k, nodes[row]))
                 out[2].append((n << 32) + np.arange(k))
@@ -155,7 +214,7 @@ def _segments(levels, width: int, fragments: int, early: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        known = levels.value
         borders = (np.arange(1, fragments - 1, dtype=np.float64) / (fragments - 1) * 2.0**64).astype(np.uint64)
         for batch in batches:
             nodes, digests = batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -163,7 +222,7 @@ def _segments(levels, width: int, fragments: int, early: bool):
             for row, members in shingle_sets(batch.column(3), width):
                 if not len(members) or set_digest(members) != digests[row]:
                     continue
-                common = level[_cells(members)] > 0
+                common = known.levels(members) > 0
                 rare = members[~common]
                 for k, piece in enumerate([*np.split(rare, np.searchsorted(rare, borders)), members[common]]):
                     if len(piece) and (k < EARLY) == early:
@@ -226,7 +285,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, levels, width
     return summed.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b", "common")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS, bits: int = BITS) -> DataFrame:
     """Per row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id.
 
     Rows link when their sets' Jaccard similarity is at least ``percent`` / 100; component_id is the smallest doc_id that
@@ -235,11 +294,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     empty table gives an empty result; other columns are ignored. Sets are compared by 64-bit hashes.
     """
     docs = docs.select("doc_id", "text")
-    described = materialize(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, node long, block int, seen binary, more binary"))
+    described = materialize(docs.mapInArrow(_describe(width, bits), f"doc_id long, n_shingles long, node long, {COUNTED}"))
     rows = described.where("block IS NULL").select("doc_id", "n_shingles", F.col("node").alias("digest"))
     nodes = materialize(_nodes(rows))
     known = nodes.select("doc_id", "node", "digest", "again")
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(described))
+    levels = docs.sparkSession.sparkContext.broadcast(frequent(described, bits))
 
     postings = _fetch(docs, known).mapInArrow(_postings(levels, width, percent), "h long, node long, place long")
     listed = Window.partitionBy("h")
@@ -265,8 +324,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     mixed = materialize(
         label.withColumn("low", F.min("component").over(listed)).withColumn("high", F.max("component").over(listed)).where("low < high").drop("low", "high")
     )
-    a, b = (mixed.select("h", F.struct("node", "n", "pos", "component").alias(x)).hint("merge") for x in "ab")
-    crossed = a.join(b, "h").where("a.node < b.node AND a.component <> b.component AND " + _fits(percent)).select("a", "b")
+    step = F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-6)).cast("int")  # sizes of a link are at most one step apart
+    b = mixed.select("h", step.alias("step"), F.struct("node", "n", "pos", "component", step.alias("step")).alias("b")).hint("merge")
+    a = mixed.select("h", F.explode(F.array(step, step + 1)).alias("step"), F.struct("node", "n", "pos", "component", step.alias("step")).alias("a")).hint("merge")
+    apart = "(a.step < b.step OR a.node < b.node) AND a.component <> b.component AND "
+    crossed = a.join(b, ["h", "step"]).where(apart + _fits(percent)).select("a", "b")
     more = materialize(_pairs(crossed).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
     links = materialize(links.unionByName(_verified(docs, more, known, levels, width, percent, fragments)))
     levels.destroy()

@@ -256,3 +256,29 @@ def test_pipeline_stages(spark, docs):
     assert set(clean["doc_id"]) == set(single["doc_id"]) and not any(pii.base_spans(t) for t in clean["text"])
     assert set(mixed["text"]) <= set(clean["text"]) and mixed.groupby("doc_id").size().max() <= 3
     assert set(packed["doc_id"]) == set(mixed["doc_id"]) and packed.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_frequent_shingles_stand_out_of_full_cells(spark):
+    """With 2 ** 17 cells of some 300 members each, a passage of 200 documents is told from the rest, and its order doesn't change the links."""
+    rng = np.random.default_rng(11)
+    bits = 17
+    common = rng.integers(0, 1 << 64, 50, dtype=np.uint64)
+    rows = []
+    for part in range(20):
+        members = [rng.integers(0, 1 << 64, 2_000_000, dtype=np.uint64), *[common] * 40]
+        rows.append([jaccard._counted(members, bits), sum(map(len, members))])
+    tables = [(None, n, None, *x) for (told, n) in rows for x in [(None, None, None, None)]]
+    tables += [(None, None, None, b, c, m, k) for told, _ in rows for b, c, m, k in zip(*(t.to_pylist() for t in told), strict=True)]
+    described = spark.createDataFrame(tables, f"doc_id long, n_shingles long, node long, {jaccard.COUNTED}")
+    known = jaccard.frequent(described, bits)
+    usual = sum(n for _, n in rows) / (1 << bits)
+    assert usual > 300 and (known.levels(np.sort(common)) > 0).all()
+    other = np.sort(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    assert (known.levels(other) > 0).mean() < 0.01
+    assert len(jaccard.frequent(described, bits, most=10).cells) <= 10
+
+
+def test_jaccard_does_not_depend_on_the_cells(spark, docs):
+    frame = spark.createDataFrame(docs[["doc_id", "text"]])
+    want = {tuple(r) for r in jaccard.jaccard_components(frame).collect()}
+    assert {tuple(r) for r in jaccard.jaccard_components(frame, bits=16).collect()} == want
