@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.shingles import WIDTH, set_digest, shingle_sets
 from cohortspark.operators.components import connected_components
-from cohortspark.sources.tables import materialize, sized
+from cohortspark.sources.tables import BROADCAST_ROWS, materialize, sized
 
 #: Shingles are counted in 2 ** BITS cells, in blocks of 2 ** 16 that tasks sum one at a time: the whole is nowhere held.
 BITS = 30
@@ -244,11 +245,27 @@ def _segment_batch(own: list, part: list, members: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(part, pa.int32()), lists], ["node", "fragment", "members"])
 
 
-def _fetch(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, node, digest, text) once for each of ``nodes``. The narrow side is broadcast if it is small; only texts of
-    doc_ids that stand in several equal rows are shuffled to keep one of them."""
-    found = docs.join(sized(nodes), "doc_id").select("doc_id", "node", "digest", "text", "again")
-    return found.where("NOT again").drop("again").unionByName(found.where("again").drop("again").dropDuplicates(["node", "digest", "text"]))
+@dataclass
+class _Corpus:
+    """``docs`` and its classes of equal sets: nodes (node, digest, doc_id, again); ``few`` if they may be broadcast, ``repeated`` if some stand in several rows."""
+
+    docs: DataFrame
+    nodes: DataFrame
+    few: bool
+    repeated: bool
+
+    def texts(self, nodes: DataFrame, few: bool) -> DataFrame:
+        """(doc_id, node, digest, text) once for each of ``nodes``. Only texts of doc_ids that stand in several equal rows are
+        shuffled to keep one of them."""
+        found = self.docs.join(_side(nodes.select("doc_id", "node", "digest", "again"), few), "doc_id").select("doc_id", "node", "digest", "text", "again")
+        if not self.repeated:
+            return found.drop("again")
+        return found.where("NOT again").drop("again").unionByName(found.where("again").drop("again").dropDuplicates(["node", "digest", "text"]))
+
+
+def _side(side: DataFrame, few: bool) -> DataFrame:
+    """A side with a join hint: broadcast if it is known to have ``BROADCAST_ROWS`` rows at most."""
+    return F.broadcast(side) if few else side.hint("merge")
 
 
 def _fits(percent: int, a: str = "a", b: str = "b") -> str:
@@ -257,14 +274,12 @@ def _fits(percent: int, a: str = "a", b: str = "b") -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND ({rest}) * {100 + percent} >= {percent} * ({a}.n + {b}.n)"
 
 
-def _partial(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, levels, width: int, fragments: int, early: bool) -> DataFrame:
+def _partial(corpus: _Corpus, pairs: DataFrame, few: bool, levels, width: int, fragments: int, early: bool) -> DataFrame:
     """(a, b, common, sa, sb) summed over some fragments: common members and the sizes of both cuts. Pairs that have none of them are missing."""
-    sides = materialize(
-        pairs.select(F.col("a").alias("node"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("node"), "a", "b", F.lit(1).alias("side")))
-    )
-    wanted = materialize(nodes.join(sides.select("node").distinct().hint("merge"), "node"))
-    cut = _fetch(docs, wanted).mapInArrow(_segments(levels, width, fragments, early), "node long, fragment int, members array<long>")
-    met = cut.join(sized(sides), "node").groupBy("a", "b", "fragment").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("side", "members")))).alias("x"))  # texts of one set give equal members
+    sides = pairs.select(F.col("a").alias("node"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("node"), "a", "b", F.lit(1).alias("side")))
+    wanted = corpus.nodes.join(_side(sides.select("node").distinct(), few), "node")
+    cut = corpus.texts(wanted, few or corpus.few).mapInArrow(_segments(levels, width, fragments, early), "node long, fragment int, members array<long>")
+    met = cut.join(_side(sides, few), "node").groupBy("a", "b", "fragment").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("side", "members")))).alias("x"))  # texts of one set give equal members
     first, second = (F.try_element_at(F.col("x"), F.lit(k)) for k in (1, 2))
     own = lambda side: F.when(first["side"] == side, F.size(first["members"])).when(second["side"] == side, F.size(second["members"])).otherwise(0)
     common = F.coalesce(F.size(F.array_intersect(first["members"], second["members"])), F.lit(0))
@@ -272,17 +287,21 @@ def _partial(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, levels, width:
     return counted.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("common", "sa", "sb")])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, levels, width: int, percent: int, fragments: int) -> DataFrame:
-    """Those of ``pairs`` (a, b, na, nb) that reach the threshold.
+def _verified(corpus: _Corpus, pairs: DataFrame, levels, width: int, percent: int, fragments: int) -> DataFrame:
+    """Those of the written ``pairs`` (a, b, na, nb) that reach the threshold, written.
 
     Partial overlaps are counted in the early fragments first. Pairs that can't reach the threshold whatever the other
     fragments hold are left; for the rest the other fragments are counted too and all are summed.
     """
-    early = pairs.join(_partial(docs, pairs, nodes, levels, width, fragments, True).hint("merge"), ["a", "b"], "left").na.fill(0, ["common", "sa", "sb"])
+    n = pairs.count()
+    if not n:
+        return pairs.select("a", "b", F.lit(0).cast("long").alias("common"))
+    few = 2 * n <= BROADCAST_ROWS
+    early = pairs.join(_partial(corpus, pairs, few, levels, width, fragments, True).hint("merge"), ["a", "b"], "left").na.fill(0, ["common", "sa", "sb"])
     open_ = materialize(early.where(f"{100 + percent} * (common + least(na - sa, nb - sb)) >= {percent} * (na + nb)").select("a", "b", "na", "nb", "common"))
-    late = _partial(docs, open_, nodes, levels, width, fragments, False).select("a", "b", F.col("common").alias("more"))
+    late = _partial(corpus, open_, few, levels, width, fragments, False).select("a", "b", F.col("common").alias("more"))
     summed = open_.join(late.hint("merge"), ["a", "b"], "left").withColumn("common", F.col("common") + F.coalesce("more", F.lit(0)))
-    return summed.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b", "common")
+    return materialize(summed.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b", "common"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS, bits: int = BITS) -> DataFrame:
@@ -293,14 +312,20 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     null component_id. Equal rows give equal rows; a doc_id with different texts is looked at text by text. An
     empty table gives an empty result; other columns are ignored. Sets are compared by 64-bit hashes.
     """
+    return _marked(docs, width, percent, fragments, bits).select("doc_id", "n_shingles", "component_id")
+
+
+def _marked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, fragments: int = FRAGMENTS, bits: int = BITS) -> DataFrame:
+    """``jaccard_components`` with each row's digest of its set."""
     docs = docs.select("doc_id", "text")
     described = materialize(docs.mapInArrow(_describe(width, bits), f"doc_id long, n_shingles long, node long, {COUNTED}"))
     rows = described.where("block IS NULL").select("doc_id", "n_shingles", F.col("node").alias("digest"))
     nodes = materialize(_nodes(rows))
-    known = nodes.select("doc_id", "node", "digest", "again")
+    n, repeated = nodes.agg(F.count("*"), F.count_if("again")).first()
+    corpus = _Corpus(docs, nodes, n <= BROADCAST_ROWS, repeated > 0)
     levels = docs.sparkSession.sparkContext.broadcast(frequent(described, bits))
 
-    postings = _fetch(docs, known).mapInArrow(_postings(levels, width, percent), "h long, node long, place long")
+    postings = corpus.texts(nodes, corpus.few).mapInArrow(_postings(levels, width, percent), "h long, node long, place long")
     listed = Window.partitionBy("h")
     n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
     lists = materialize(
@@ -316,7 +341,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         .where("a.node <> b.node AND " + _fits(percent))
     )
     pairs = materialize(_pairs(met))
-    links = materialize(_verified(docs, pairs, known, levels, width, percent, fragments))
+    links = _verified(corpus, pairs, levels, width, percent, fragments)
     joined = materialize(connected_components(links, "a", "b"))
 
     label = lists.select("h", "node", "n", "pos").join(sized(joined.select(F.col("id").alias("node"), "component")), "node", "left")
@@ -330,15 +355,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     apart = "(a.step < b.step OR a.node < b.node) AND a.component <> b.component AND "
     crossed = a.join(b, ["h", "step"]).where(apart + _fits(percent)).select("a", "b")
     more = materialize(_pairs(crossed).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
-    links = materialize(links.unionByName(_verified(docs, more, known, levels, width, percent, fragments)))
+    links = _verified(corpus, more, levels, width, percent, fragments)
     levels.destroy()
-    joined = connected_components(links, "a", "b").select(F.col("id").alias("node"), "component")
+    if not links.isEmpty():  # the components so far are stars, which the new links join
+        stars = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        joined = connected_components(stars.unionByName(links.select("a", "b")), "a", "b")
+    joined = joined.select(F.col("id").alias("node"), "component")
 
     placed = nodes.join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = placed.join(ids.hint("merge"), "component").select("digest", "component_id")
-    linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(placed.hint("merge"), "digest").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(placed.hint("merge"), "digest").select("doc_id", "digest", "n_shingles", "component_id")
+    alone = rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "digest", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
@@ -361,17 +389,37 @@ def _pairs(met: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, the least text if it is repeated."""
-    marked = jaccard_components(docs, **how)
-    first = marked.where("doc_id = component_id OR doc_id IS NULL").groupBy("doc_id").agg(F.lit(1).alias("_first"))
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    kept = again.alias("a").join(first.alias("f").hint("merge"), F.col("a.doc_id").eqNullSafe(F.col("f.doc_id"))).select("a.doc_id", "_n")
-    kept = materialize(kept)
-    small = kept.count() <= 1_000_000
-    side = F.broadcast(kept.alias("k")) if small else kept.alias("k").hint("merge")
-    found = docs.alias("d").join(side, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))).select("d.*", "_n")
-    single = found.where("_n = 1 OR doc_id IS NULL").drop("_n")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    many = found.where("_n > 1 AND doc_id IS NOT NULL").withColumn("_at", F.row_number().over(order)).where("_at = 1").drop("_n", "_at")
-    return single.unionByName(many)
+def _digests(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = np.zeros(batch.num_rows, np.int64)
+            for row, members in shingle_sets(batch.column(1), width):
+                got[row] = set_digest(members)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*batch.schema.names, "digest"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
+    """``docs``, with all its columns, with one row of each component: that of the smallest doc_id.
+
+    A doc_id with several rows stays once, if it is the smallest of a component: with a text of that component, the least
+    one if there are several. Null and wordless texts are components of their own; rows with a null doc_id all stay. An
+    empty table stays empty; columns may have any names.
+    """
+    own = F.col("component_id") == F.col("doc_id")
+    marked = _marked(docs, width, **how).where("doc_id IS NOT NULL").groupBy("doc_id")
+    kept = materialize(marked.agg(F.count("*").alias("n"), F.min(F.when(own, F.col("digest"))).alias("digest")).where("digest IS NOT NULL"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
+    on = lambda side: F.col("id") == side["doc_id"]
+    once, again = kept.where("n = 1"), kept.where("n > 1")
+    side = sized(once.select("doc_id"))
+    single = rows.join(side, on(side)).select("row")
+    side = sized(again.select("doc_id", F.col("digest").alias("wanted")))
+    several = rows.join(side, on(side)).select("id", F.col("row.text").alias("text"), "wanted", "row")
+    texts = several.select("id", "text", "wanted").mapInArrow(_digests(width), "id long, text string, wanted long, digest long")
+    least = materialize(texts.where("digest = wanted").groupBy("id").agg(F.min(F.struct("text")).alias("x")).select("id", "x.text"))
+    same = several.alias("s").join(least.alias("l").hint("merge"), F.expr("s.id = l.id AND s.text <=> l.text")).select("s.id", "s.row")
+    place = Window.partitionBy("id").orderBy(F.xxhash64(F.to_json("row")))
+    many = same.withColumn("at", F.row_number().over(place)).where("at = 1").select("row")
+    return single.unionByName(many).unionByName(rows.where("id IS NULL").select("row")).select("row.*")

@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortspark.llm import chat, fingerprint, html, jaccard, langid, mixing, neighbours, packing, pii, quality
 
 LONG = "lorem ipsum dolor " * 20_000
@@ -51,6 +53,43 @@ def test_jaccard(docs, none):
     assert jaccard.keep_one(none).count() == 0
 
 
+CLASHES = ("copies", "_size", "_k", "_copy", "_n", "_at", "_first", "row", "n", "k", "h", "size", "part", "id", "digest", "wanted", "at", "y", "target", "salt", "host")
+
+
+def test_columns_may_have_any_names(docs, none):
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    for change in (mixing.apply_mix, jaccard.keep_one, pii.mask, lambda d: quality.keep_good(d, quality.train(d, labels))):
+        out = change(odd)
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert rows and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in CLASHES)
+        assert change(none.withColumns({c: F.lit(None).cast("string") for c in CLASHES})).count() == 0
+    for look in (mixing.mix, jaccard.jaccard_components, packing.pack, pii.detect, fingerprint.compare_versions):
+        assert sorted(map(str, look(odd).collect())) == sorted(map(str, look(docs).collect()))
+
+
+def test_one_id_with_texts_of_two_groups(spark):
+    """Of id 5, text A is alone and text B a near copy of document 2: B goes, A stays."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(5, a), (5, f"{b} more"), (2, b), (5, a)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()) == [(2, b), (5, a)]
+
+
+def test_pipeline(spark, docs, none):
+    sf = "/root/testdata/sf0.001"
+    for table in (docs, none, docs.where("text IS NULL"), docs.where("doc_id IS NULL")):
+        rows = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = stage(spark, rows, sf)
+            assert rows.columns == docs.columns
+            rows = corpus_pipeline.materialize(rows)
+        last = corpus_pipeline.STAGES[-1][1](spark, rows, sf).toPandas()
+        if len(last):
+            check_packed(last)
+        assert len(last) >= rows.count() and set(last["doc_id"].dropna()) == {r.doc_id for r in rows.select("doc_id").collect() if r.doc_id is not None}
+
+
 def test_packing(docs, none):
     out = packing.pack(docs).toPandas()
     assert out[out["doc_id"] == 0][["piece", "start", "length"]].values.tolist() == [[0, 0, 1]]
@@ -96,8 +135,9 @@ def test_quality(spark, docs, none):
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and kept.count() == int(out["keep"].sum())
     assert quality.score(none, model).count() == 0
-    with pytest.raises(ValueError):
-        quality.train(none, labels)
+    for few in (quality.train(none, labels), quality.train(docs, labels.limit(0)), quality.train(docs, labels.where("quality = 1"))):
+        even = quality.score(docs, few).toPandas()
+        assert (even["score"] == 0.5).all() and even["keep"].all() and quality.keep_good(docs, few).count() == docs.count()
 
 
 def test_fingerprint(docs, none):

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from cohortspark.llm import fingerprint, jaccard, packing, pii, queries
+from cohortspark.llm import fingerprint, html as pages, jaccard, mixing, neighbours, packing, pii, quality, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -194,6 +194,12 @@ def test_quality_separates_the_labels(spark):
     assert out[out["quality"] == 1]["keep"].mean() > 0.98 and out[out["quality"] == 0]["keep"].mean() < 0.1
 
 
+def test_both_views_teach(spark):
+    sf = "/root/testdata/sf0.1"
+    model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.passed["text"] > 50 and model.passed["meta"] > 50
+
+
 def test_fingerprints_are_brute_force(spark, docs):
     out = run(spark, "op8_fingerprint").set_index("doc_id")
     d = docs.sort_values("doc_id", ascending=False)
@@ -207,6 +213,16 @@ def test_fingerprints_are_brute_force(spark, docs):
             assert out.loc[i, column] == pytest.approx(want)
 
 
+def test_one_more_character_changes_one_piece():
+    rng = np.random.default_rng(2)
+    text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(400))[:2000]
+    for own in (text, text.replace(" ", "")):
+        a, b = fingerprint.piece_keys(own), fingerprint.piece_keys("x" + own)
+        assert len(a) >= 8 and fingerprint.likeness([a], [b])[0] >= 0.8
+    assert fingerprint.pieces("one\n\n  two \r\nthree") == [b"one", b"two", b"three"]
+    assert b"".join(fingerprint.pieces(text)) == text.encode()
+
+
 def test_peeling_recovers_the_difference_and_grows_when_stuck():
     rng = np.random.default_rng(5)
     keys = rng.integers(1, 1 << 63, 4000, dtype=np.uint64)
@@ -216,18 +232,34 @@ def test_peeling_recovers_the_difference_and_grows_when_stuck():
     assert whole[0] and set(found[sign > 0]) == set(pairs[0][0]) - set(pairs[0][1])
 
 
-def test_neighbours_recall(spark):
-    sf = "/root/testdata/check_s"
-    out = run(spark, "op6_neighbours", sf)
-    m = pd.read_parquet(f"{sf}/embeddings.parquet")
-    x, ids = np.stack(m["embedding"]).astype(float), m["vec_id"].to_numpy()
+def recall(out, x, ids):
     hit = 0
     for q, g in out.groupby("query_id"):
         d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
         d[ids == q] = np.inf
         hit += len(set(ids[np.lexsort((ids, d))[:10]]) & set(g["vec_id"]))
-        assert g.sort_values("rank")["score"].is_monotonic_increasing
-    assert hit / (10 * out["query_id"].nunique()) >= 0.9 and out["query_id"].nunique() == (ids % 100 == 0).sum()
+        assert g.sort_values("rank")["score"].is_monotonic_increasing and g["rank"].tolist() == list(range(1, 11))
+        assert g["score"].to_numpy() == pytest.approx(np.array([d[ids == v][0] for v in g["vec_id"]]), rel=1e-12)
+    assert out["query_id"].nunique() == (ids % 100 == 0).sum()
+    return hit / (10 * out["query_id"].nunique())
+
+
+def test_neighbours_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    out = run(spark, "op6_neighbours", sf)
+    m = pd.read_parquet(f"{sf}/embeddings.parquet")
+    assert recall(out, np.stack(m["embedding"]).astype(float), m["vec_id"].to_numpy()) >= 0.9
+
+
+def test_neighbours_recall_beyond_the_sample(spark):
+    """The index is fitted on a tenth of the rows; half of these lie in one dense cluster."""
+    rng = np.random.default_rng(8)
+    n, dim = 20_000, 40
+    centres = rng.normal(size=(60, dim)) * 2
+    x = centres[np.where(rng.random(n) < 0.5, 0, rng.integers(0, 60, n))] + rng.normal(size=(n, dim))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    out = neighbours.search(frame, sample_rows=2000).toPandas()
+    assert recall(out, x, np.arange(n)) >= 0.9
 
 
 def test_pages_keep_the_article_only(spark):
@@ -240,6 +272,37 @@ def test_pages_keep_the_article_only(spark):
         assert text == "\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='search'><article><p>the whole article</p></article></div><footer>x</footer>", "the whole article"),
+        ("<article><p>one</p><div class='side-effects'><p>two</p></div><div class='ad'>buy</div><aside>no</aside></article>", "one\ntwo"),
+        (f"<body class='has-sidebar'><div class='content with-sidebar'><p>{'word, ' * 30}</p><div class='sidebar'>links</div></div><div class='comments'><p>{'no ' * 200}</p></div></body>", ("word, " * 30).strip()),
+        (f"<form id='aspnet-form'><div><p>{'text ' * 30}</p></div></form><nav>menu</nav>", ("text " * 30).strip()),
+        ("<nav>menu</nav><footer>foot</footer>", ""),
+        ("<article><p>a</p><article class='comment'><p>I agree</p></article></article>", "a"),
+        ("<div>" * 100_000 + "<p>deep</p>", "deep"),
+    ],
+)
+def test_pages_are_cut_by_score_not_by_words_alone(html, text):
+    page = pages.Page(html)
+    assert page.extract(None) == text
+    assert page.extract(page.path_of(page.best()[0])) == text
+
+
+def test_mixing_takes_what_is_expected(spark):
+    """Over many seeds, every document is taken as often as its source's share says; the registered query meets its contract."""
+    sizes = [(k, f"s{k % 3}", " ".join(["w"] * (1 + k % 7))) for k in range(60)]
+    docs = spark.createDataFrame(sizes, "doc_id long, source string, text string")
+    runs = [mixing.mix(docs, seed=s).toPandas().assign(seed=s) for s in range(40)]
+    every = pd.concat(runs)
+    every["due"] = every["target"] / every["source_size"] * every["size"]
+    by = every.groupby("doc_id").agg(taken=("taken", "mean"), due=("due", "first"), size=("size", "first"))
+    assert (abs(by["taken"] - by["due"]) / by["size"]).max() < 0.35 and abs((by["taken"] - by["due"]) / by["size"]).mean() < 0.1
+    out = run(spark, "op1_mixing")
+    assert (out["taken"] <= 3 * out["size"]).all() and (abs(out.groupby("source", dropna=False)["taken"].sum() - out.groupby("source", dropna=False)["target"].first()) <= 1).all()
+
+
 def test_pipeline_stages(spark, docs):
     labels = pd.read_parquet(f"{SF}/labels.parquet")
     table, frames = spark.read.parquet(f"{SF}/documents.parquet"), []
