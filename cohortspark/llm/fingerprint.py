@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into pieces (paragraphs, long ones at sentence ends) and each piece's 64-bit digest is put into three
-cells of a small table: count, sum of digests, sum of checks. Tables of two versions subtract cell by cell, which
+A text is cut into paragraphs, long ones at places that their own bytes mark, so that a change moves no later border.
+Each piece's 64-bit digest is put into three cells of a small table: count, sum of digests, sum of checks. Tables of two versions subtract cell by cell, which
 leaves the digests that differ; cells that hold a single one are peeled until nothing is left. If peeling gets stuck,
 the sketch was too small for the difference and both are taken again, four times larger. All pairs of a batch
 are peeled together in numpy.
@@ -10,8 +10,8 @@ are peeled together in numpy.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +22,59 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm.shingles import mixed
 
-PIECE = re.compile(r"[^\n.!?]{1,200}(?:[.!?]+|\n)?|[.!?]+")
+#: Paragraphs over LONG bytes are cut where the last WINDOW bytes have a certain hash, once in EVERY bytes, LEAST bytes apart.
+LONG, WINDOW, EVERY, LEAST = 400, 8, 128, 32
 CELLS, HASHES, GROWTH, ATTEMPTS = 24, 3, 4, 9
 #: Ranges of doc_id that neighbours are looked for in; their borders and tops are known to every task.
-MOST_RANGES = 20_000
+MOST_RANGES = 200_000
 _SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+_WINDOW = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 32, WINDOW, dtype=np.uint32) | np.uint32(1)
+
+
+def _marks(raw: bytes) -> np.ndarray:
+    """Places in ``raw`` after which a long paragraph is cut."""
+    x = np.frombuffer(raw, np.uint8)
+    n = len(x) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint32)
+    for k in range(WINDOW):
+        h += x[k : n + k] * _WINDOW[k]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    return np.flatnonzero(h >> np.uint32(32 - EVERY.bit_length() + 1) == 0) + WINDOW
+
+
+def pieces(text: str) -> list[bytes]:
+    """Paragraphs without the white space round them; of long ones the stretches between marks."""
+    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    marks: list[int] | None = None
+    next_mark = 0
+    for part in raw.split(b"\n"):
+        end = at + len(part)
+        if len(part) > LONG:
+            if marks is None:
+                marks = _marks(raw).tolist()
+            first = at
+            next_mark = bisect.bisect_left(marks, at + LEAST, next_mark)
+            while next_mark < len(marks) and marks[next_mark] < end:
+                cut = marks[next_mark]
+                if cut >= first + LEAST:
+                    out.append(raw[first:cut])
+                    first = cut
+                next_mark += 1
+            out.append(raw[first:end])
+        elif part := part.strip():
+            out.append(part)
+        at = end + 1
+    return out
+
+
 def piece_keys(text: str) -> np.ndarray:
     """Digests of a text's pieces; the n-th repeat of a piece gets a digest of its own."""
-    digests = np.fromiter((xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for x in PIECE.findall(text) if (p := x.strip())), np.uint64)
+    digests = np.array([xxhash.xxh64_intdigest(p) for p in pieces(text)], np.uint64)
     if len(digests) < 2:
         return digests
     digests.sort()
@@ -151,7 +194,7 @@ def _tops(cuts):
 
 
 def _deal(shared):
-    """Adds the range (part) and role: 0 in its own range, 1 as a guest in the next higher one, whose last row it follows."""
+    """Adds the range (part) and role: 1 in its own range, 0 as a guest in the next higher one, whose lowest row it follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, parts, tops = shared.value
@@ -162,7 +205,7 @@ def _deal(shared):
             guest = np.flatnonzero(ids == tops[k])
             rows = np.concatenate([np.arange(len(ids)), guest])
             into = np.concatenate([part, parts[(k[guest] + 1) % len(parts)]])
-            role = np.concatenate([np.zeros(len(ids), np.int32), np.ones(len(guest), np.int32)])
+            role = np.concatenate([np.ones(len(ids), np.int32), np.zeros(len(guest), np.int32)])
             taken = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(into, pa.int64()), pa.array(role)], [*batch.schema.names, "part", "role"])
 
@@ -170,9 +213,8 @@ def _deal(shared):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of part, role, descending id; each group of equal ids waits for the first row of the next."""
+    """Rows in order of part, role, id: the first row of the next smaller id has just been seen, and is all that is held."""
     waiting: list = []  # (row's id, null?, text, keys, following text, its keys)
-    group: list = []
 
     def flush() -> pa.RecordBatch:
         texts, keys = [w[2] for w in waiting], [w[3] for w in waiting]
@@ -193,22 +235,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting.clear()
         return out
 
-    now = None
+    now = None  # range and id
+    following: tuple = ("", None)  # text and keys of the next smaller id's first row
+    first: tuple = ("", None)  # those of this id's first row
     size = 0
     for batch in batches:
         for i, none, text, part, role in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys = piece_keys(text)
             if now != (part, role, i):
-                if group:
-                    keys = piece_keys(text)
-                    waiting += [(*g, text, keys) for g in group]
-                    size += sum(len(g[2]) for g in group)
-                now, group = (part, role, i), []
-                if role == 0:
-                    own = keys if group or (waiting and waiting[-1][4] is text) else piece_keys(text)
-                    group = [(i, none, text, own)]
-            elif role == 0:
-                group.append((i, none, text, piece_keys(text)))
-            if len(waiting) >= 2000 or size > 4_000_000:
+                following, first = first, (text, keys)
+                now = (part, role, i)
+            if role == 1:
+                waiting.append((i, none, text, keys, *following))
+                size += len(text) + len(following[0])
+            if len(waiting) >= 1000 or size > 4_000_000:
                 size = 0
                 yield flush()
     if waiting:
@@ -235,6 +275,6 @@ def compare_versions(docs: DataFrame) -> DataFrame:
         tops = np.zeros((1, 2), np.int64)
     shared = sc.broadcast((cuts, tops[:, 0].copy(), tops[:, 1].copy()))
     dealt = rows.mapInArrow(_deal(shared), "id long, none boolean, text string, part long, role int").repartition("part")
-    ordered = dealt.sortWithinPartitions("part", "role", F.desc("id"), F.xxhash64("text"))
+    ordered = dealt.sortWithinPartitions("part", "role", "id", F.xxhash64("text"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(_compare, schema)

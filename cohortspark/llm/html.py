@@ -3,6 +3,10 @@
 Each page's containers are scored by the text that stands in them; the best one's path of tags and classes
 (numbers generalised) gets the page's vote. Votes are counted per host in Spark, and every page is then
 extracted anew with the path that won its host; a page that lacks that path falls back on its own best container.
+
+Tags and class words of menus, adverts, comments and the like are marks. Text under a mark counts for no container
+outside it and is left out of a container round it, unless the marked element holds the article: an article or main
+element, or for the less certain marks most of the page's paragraphs. Marks on the winning path or above it say nothing.
 """
 
 from __future__ import annotations
@@ -21,134 +25,233 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:
 NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = {"script", "style", "textarea", "title", "xmp", "noframes", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "noscript", "template", "button", "select", "option", "svg", "menu", "dialog", "canvas", "object", "label"}
+#: Elements that hold no text of a page's own, elements that mark, surely or less surely, something other than the article.
+DROPPED = RAW | {"head", "noscript", "template", "button", "select", "option", "svg", "canvas", "object", "label"}
+SURE, LESS_SURE = 2, 1
+MARKS = dict.fromkeys(("nav", "footer", "aside", "menu", "dialog"), SURE) | dict.fromkeys(("header", "form"), LESS_SURE)
 CONTAINERS = {"body", "article", "main", "section", "div", "td"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-#: Words in a class, id or role that mark something other than the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|sidebar|side|header|masthead|footer|comments?|replies|disqus|notices?|cookies?|consent|"
-    r"popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|search|complementary|contentinfo|alert)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of a class, id or role that mark something other than the article: surely if the word stands alone; as a part of a
+#: compound, or in the second list, less surely. Of the second list only the last part of a compound counts.
+SURE_WORD = re.compile(r"ads?|advert\w*|sponsor(?:ed|s)?|promo(?:tion|tions)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|footer|comments?|replies|disqus|cookies?|consent|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|complementary|contentinfo")
+OTHER_WORD = re.compile(r"banner|side|header|masthead|notices?|widget|toolbar|search|alert")
 
 
 def host_of(url) -> object:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def parse(html: str) -> tuple[list[tuple[str, int]], list[tuple[int, str]]]:
-    """(containers, blocks): path and parent of each container, and container and text of each block outside boilerplate."""
-    containers: list[tuple[str, int]] = [("", -1)]
-    blocks: list[tuple[int, str]] = []
-    stack: list[tuple[str, str, int, bool]] = []  # name, path, container, dropped
-    text: list[str] = []
-    at, owner = 0, 0
-    lowered = None
-
-    def flush() -> None:
-        if text:
-            block = " ".join(unescape("".join(text)).split())
-            if block:
-                blocks.append((owner, block))
-            text.clear()
-
-    def close(k: int) -> None:
-        nonlocal owner
-        if any(x[0] not in INLINE for x in stack[k:]):
-            flush()
-        del stack[k:]
-        owner = stack[-1][2] if stack else 0
+def _mark(name: str, marks: dict[str, str]) -> int:
+    if name in ("html", "body"):
+        return 0
+    found = MARKS.get(name, 0)
+    if not marks or found == SURE:
+        return found
+    if "hidden" in marks or marks.get("aria-hidden") == "true":
+        return SURE
+    for token in " ".join((marks.get("class", ""), marks.get("id", ""), marks.get("role", ""))).lower().split():
+        if SURE_WORD.fullmatch(token):
+            return SURE
+        parts = re.split(r"[_-]+", token)
+        if OTHER_WORD.fullmatch(parts[-1]) or len(parts) > 1 and any(map(SURE_WORD.fullmatch, parts)):
+            found = LESS_SURE
+    return found
 
-    for m in TAG.finditer(html):
-        if m.start() < at:
-            continue
-        if not (stack and stack[-1][3]):
-            text.append(html[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
-                close(k)
-            elif name not in INLINE and not (stack and stack[-1][3]):
-                flush()
-            continue
-        dropped = bool(stack and stack[-1][3])
-        if name in VOID:
-            if not dropped:
-                if name == "hr":
-                    flush()
-                else:
-                    text.append(" " if name == "br" else "")
-            continue
-        if name not in INLINE:
-            if not dropped:
+
+class Page:
+    """Nodes and blocks of a page. A node is a container or a marked element: its path's number, its parent node, its mark.
+
+    Paths are numbered by (number of the parent's path, step), so a page takes memory in proportion to its length, however
+    deep its tags lie. A block is (node, text, characters of it in links).
+    """
+
+    def __init__(self, html: str):
+        self.paths: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        self.path, self.parent, self.mark, self.article = [0], [-1], [0], [False]
+        self.blocks: list[tuple[int, str, int]] = []
+        self._parse(html)
+        self._weigh()
+
+    def _step(self, parent: int, step: str) -> int:
+        got = self.paths.get((parent, step))
+        if got is None:
+            got = self.paths[parent, step] = len(self.steps)
+            self.steps.append((parent, step))
+        return got
+
+    def path_of(self, node: int) -> str:
+        out, at = [], self.path[node]
+        while at > 0:
+            at, step = self.steps[at]
+            out.append(step)
+        return "".join(f"/{x}" for x in reversed(out))
+
+    def number_of(self, path: str) -> int | None:
+        at = 0
+        for step in path.split("/")[1:]:
+            at = self.paths.get((at, step))
+            if at is None:
+                return None
+        return at
+
+    def _parse(self, html: str) -> None:
+        stack: list[tuple[str, int, int, bool]] = []  # name, path, node, dropped
+        opened: dict[str, int] = {}
+        text: list[str] = []
+        at, owner, links, linked = 0, 0, 0, 0
+        lowered = None
+
+        def flush() -> None:
+            nonlocal linked
+            if text:
+                block = " ".join(unescape("".join(text)).split())
+                if block:
+                    self.blocks.append((owner, block, linked))
+                text.clear()
+            linked = 0
+
+        def close(k: int) -> None:
+            nonlocal owner, links
+            if any(x[0] not in INLINE for x in stack[k:]):
                 flush()
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, an item the item before it
-                if stack[k][0] == "p" or stack[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            for x in stack[k:]:
+                opened[x[0]] -= 1
+            links = opened.get("a", 0)
+            del stack[k:]
+            owner = stack[-1][2] if stack else 0
+
+        for m in TAG.finditer(html):
+            if m.start() < at:
+                continue
             dropped = bool(stack and stack[-1][3])
-        marks = {x[0].lower(): (x[1] or x[2] or x[3]) for x in NAMES.findall(m[3])} if m[3] else {}
-        if not dropped:
-            told = " ".join((marks.get("class", ""), marks.get("id", ""), marks.get("role", "")))
-            dropped = name in DROPPED or name not in ("html", "body", "article", "main") and (
-                bool(BOILERPLATE.search(told)) or "hidden" in marks or marks.get("aria-hidden") == "true"
-            )
-        if dropped and not (stack and stack[-1][3]):
+            if not dropped and m.start() > at:
+                text.append(html[at : m.start()])
+                if links:
+                    linked += m.start() - at
+            at = m.end()
+            name = m[2]
+            if name is None:
+                continue
+            name = name.lower()
+            if m[1]:
+                if opened.get(name):
+                    close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+                elif name not in INLINE and not dropped:
+                    flush()
+                continue
+            if name in VOID:
+                if not dropped:
+                    if name == "hr":
+                        flush()
+                    else:
+                        text.append(" " if name == "br" else "")
+                continue
+            if name not in INLINE:
+                if not dropped:
+                    flush()
+                for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, an item the item before it
+                    if stack[k][0] == "p" or stack[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                        close(k)
+                        break
+                    if stack[k][0] not in INLINE:
+                        break
+                dropped = bool(stack and stack[-1][3])
+            marks = {x[0].lower(): (x[1] or x[2] or x[3]) for x in NAMES.findall(m[3])} if m[3] else {}
+            mark = _mark(name, marks)
+            if not dropped and (name in DROPPED or name in INLINE and mark == SURE):
+                dropped = True
+                if name not in INLINE:
+                    flush()
+            path = stack[-1][1] if stack else 0
+            if name not in INLINE and not dropped:
+                classes = ".".join(sorted(re.sub(r"\d+", "N", c) for c in marks.get("class", "").replace("/", "|").split()))
+                path = self._step(path, f"{name}.{classes}" if classes else name)
+                if name in CONTAINERS or mark:
+                    self.path.append(path if name in CONTAINERS else -1)
+                    self.parent.append(owner)
+                    self.mark.append(mark)
+                    self.article.append(name in ("article", "main"))
+                    owner = len(self.path) - 1
+            if m[3].endswith("/") and name not in RAW:
+                owner = stack[-1][2] if stack else 0
+                continue
+            stack.append((name, path, owner, dropped))
+            opened[name] = opened.get(name, 0) + 1
+            links = opened.get("a", 0)
+            if name in RAW:
+                lowered = lowered if lowered is not None else html.lower() if len(html.lower()) == len(html) else re.sub(r"[A-Z]", lambda c: c[0].lower(), html)
+                end = lowered.find(f"</{name}", at)
+                at = len(html) if end < 0 else end
+        if not (stack and stack[-1][3]):
+            text.append(html[at:])
             flush()
-        classes = ".".join(sorted(re.sub(r"\d+", "N", c) for c in marks.get("class", "").split()))
-        path = f"{stack[-1][1] if stack else ''}/{name}{'.' + classes if classes else ''}" if name not in INLINE else (stack[-1][1] if stack else "")
-        if name in CONTAINERS and not dropped:
-            containers.append((path, owner))
-            owner = len(containers) - 1
-        if m[3].endswith("/") and name not in RAW:
-            owner = stack[-1][2] if stack else 0
-            continue
-        stack.append((name, path, owner, dropped))
-        if name in RAW:
-            lowered = lowered if lowered is not None else html.lower() if len(html.lower()) == len(html) else re.sub(r"[A-Z]", lambda c: c[0].lower(), html)
-            end = lowered.find(f"</{name}", at)
-            at = len(html) if end < 0 else end
-    if not (stack and stack[-1][3]):
-        text.append(html[at:])
-        flush()
-    return containers, blocks
-
-
-def best_path(containers: list, blocks: list) -> tuple[str, float]:
-    """Path and score of the best container: a block counts for its container, and half for the one around it."""
-    score = [0.0] * len(containers)
-    for owner, text in blocks:
-        s = 1 + min(len(text) / 100, 5) + min(text.count(","), 5) / 5
-        score[owner] += s
-        if containers[owner][1] >= 0:
-            score[containers[owner][1]] += s / 2
-    k = max(range(len(score)), key=lambda k: (score[k], -k))
-    return containers[k][0], score[k]
-
-
-def extract(containers: list, blocks: list, path: str | None) -> str:
-    inside = [False] * len(containers)
-    for wanted in (path, best_path(containers, blocks)[0]):
-        for k, (own, parent) in enumerate(containers):
-            inside[k] = own == wanted or parent >= 0 and inside[parent]
-        if any(inside):
-            break
-    return "\n".join(text for owner, text in blocks if inside[owner])
+
+    def _weigh(self) -> None:
+        """Takes back the marks of elements that hold the article, and finds what lies under a mark."""
+        n = len(self.path)
+        holds = [False] * n
+        for k in range(n - 1, 0, -1):
+            if holds[k] or self.article[k] and self.mark[k] != SURE:
+                holds[self.parent[k]] = True
+        marked = [self.mark[k] if not holds[k] else 0 for k in range(n)]
+        under = [marked[k] == SURE for k in range(n)]
+        for k in range(1, n):
+            under[k] = under[k] or under[self.parent[k]]
+        held = [0] * n
+        for node, text, linked in self.blocks:
+            if len(text) >= 40 and 2 * linked < len(text) and not under[node]:
+                held[node] += len(text)
+        for k in range(n - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        self.marked = [m == SURE or m == LESS_SURE and 2 * held[k] <= held[0] for k, m in enumerate(marked)]
+        self.under = list(self.marked)
+        for k in range(1, n):
+            self.under[k] = self.under[k] or self.under[self.parent[k]]
+
+    def _round(self, node: int) -> int:
+        """The container that a node lies in, or is."""
+        while node and self.path[node] < 0:
+            node = self.parent[node]
+        return node
+
+    def best(self) -> tuple[int, float]:
+        """The best container and its score: an unmarked block counts for its container, and half for the one around it."""
+        score = [0.0] * len(self.path)
+        for node, text, _ in self.blocks:
+            if not self.under[node]:
+                s = 1 + min(len(text) / 100, 5) + min(text.count(","), 5) / 5
+                own = self._round(node)
+                score[own] += s
+                if own:
+                    score[self._round(self.parent[own])] += s / 2
+        k = max(range(len(score)), key=lambda k: (score[k], -k))
+        return k, score[k]
+
+    def extract(self, path: str | None) -> str:
+        """The blocks in containers of ``path``, or else in the page's best container, without those under a mark inside it."""
+        wanted = self.number_of(path) if path is not None else None
+        inside = self._inside([p == wanted for p in self.path]) if wanted is not None else []
+        if not any(inside):
+            best = self.path[self.best()[0]]
+            inside = self._inside([p == best for p in self.path])
+        return "\n".join(text for node, text, _ in self.blocks if inside[node])
+
+    def _inside(self, chosen: list[bool]) -> list[bool]:
+        inside = list(chosen)
+        for k in range(1, len(inside)):
+            if not inside[k]:
+                inside[k] = inside[self.parent[k]] and not self.marked[k]
+        return inside
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         paths, scores = [], []
         for html in batch.column(1).to_pylist():
-            path, score = best_path(*parse(html or ""))
-            paths.append(path if score else None)
+            page = Page(html or "")
+            node, score = page.best()
+            paths.append(page.path_of(node) if score else None)
             scores.append(score)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], ["host", "path", "score"])
 
@@ -163,7 +266,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(*parse(html or ""), path) for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [Page(html or "").extract(path) for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(3)],
             ["page_id", "url", "text", "n_chars", "path"],

@@ -86,6 +86,7 @@ def decide(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float =
     ``n`` (equal rows), ``source_size``, ``target``, ``whole`` (copies of each), ``extra`` (rows that get one more),
     ``part`` (words that one further row gives, else 0). ``docs`` has doc_id, source and text; null text has no
     words; documents without words and sources without words take nothing. Random draws are hashes of the ids.
+    An empty table gives an empty one; other columns of ``docs`` are ignored.
     """
     items = (
         docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
@@ -158,7 +159,10 @@ def _rows(decisions: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, part and taken (= copies * size + part)."""
+    """Per document: doc_id, source, size, source_size, target, copies, part and taken (= copies * size + part).
+
+    Null doc_ids, sources and texts, repeated rows and empty tables as in ``decide``.
+    """
     rows = _rows(decide(docs, **how))
     return rows.select(
         "doc_id", "source", "size", "source_size", "target", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken")
@@ -166,23 +170,23 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed table: whole documents repeated as often as decided (the word-exact last part is left out).
+    """The mixed table: whole documents, with all their columns, repeated as often as decided (the word-exact last part is left out).
 
-    ``part`` is rounded to a whole copy where it is at least half of the document, so every text stays whole.
+    ``part`` is rounded to a whole copy where it is at least half of the document, so every text stays whole. Documents
+    without words (null or empty text) are taken as often as their source's whole copies say. Equal rows are decided
+    together and share their copies; rows of one doc_id, source and size are told apart by their texts' hashes. A null
+    doc_id or source is a value like others. An empty table stays empty; columns may have any names.
     """
     half = F.col("part") * 2 >= F.col("size")
     rows = _rows(decide(docs, **how)).withColumn("copies", F.col("copies") + half.cast("long") * (F.col("part") > 0).cast("long"))
     rows = materialize(rows.select("doc_id", "source", "size", "k", "n", "copies"))
     few = rows.count() <= 1_000_000
-    keyed = docs.withColumn("_size", n_words(F.col("text")))
-    on = lambda a, b: (F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}._size") == F.col(f"{b}.size")))
+    keyed = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
+    on = lambda a, b: (F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size")))
     hint = (lambda x: F.broadcast(x)) if few else (lambda x: x.hint("merge"))
-    single = keyed.alias("d").join(hint(rows.where("n = 1").alias("m")), on("d", "m")).select("d.*", "m.copies")
+    single = keyed.alias("d").join(hint(rows.where("n = 1").alias("m")), on("d", "m")).select("d.row", "m.copies")
     many = keyed.alias("d").join(hint(rows.where("n > 1 AND k = 1").alias("m")), on("d", "m"), "left_semi")
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    many = many.withColumn("_k", F.row_number().over(same))
-    many = (
-        many.alias("d").join(hint(rows.where("n > 1").alias("m")), on("d", "m") & (F.col("d._k") == F.col("m.k"))).select("d.*", "m.copies").drop("_k")
-    )
+    many = many.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("h")))
+    many = many.alias("d").join(hint(rows.where("n > 1").alias("m")), on("d", "m") & (F.col("d.k") == F.col("m.k"))).select("d.row", "m.copies")
     taken = single.unionByName(many).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

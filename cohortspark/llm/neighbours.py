@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by an adaptive dimension scan over inverted lists.
 
 Vectors are rotated at random, so that any few coordinates tell about the whole distance, and dealt to the list of
-their nearest centroid. A query looks through the lists whose centroids are nearest to it. Within a list, partial
-distances grow block by block of coordinates, and after each block a test drops candidates whose distance is too
-large to come among the best, with high probability. What is left is measured exactly on the original vectors.
+their nearest centroid; the index keeps the rotated ones as columns, each a block of coordinates. A query looks through
+the lists whose centroids are nearest to it. Within a list, partial distances grow block by block, and after each block
+a test drops candidates whose distance is too large to come among the best, with high probability. What is left is
+measured exactly on the original vectors.
 
-The index is fitted on a bounded sample and holds every row. How many lists to look through is set on the sample so that
+The index is fitted on a bounded sample and holds every row; lists grow in number with the square root of the rows. How many lists to look through is set on the sample so that
 ``recall`` of true neighbours lie in them. Lists and the queries of a list are dealt in parts of bounded size.
 """
 
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 from cohortspark.sources.tables import materialize
 
 K = 10
-#: Rows of the sample that fits the index, lists at most, and rows of a list (or queries of it) in one task.
-SAMPLE, LISTS, PART, QUERIES = 12_000, 1024, 4096, 1024
-#: Coordinates a block has, and how many standard deviations a partial distance must lie over the bound to be dropped.
-BLOCK, SURE = 8, 2.1
+#: Rows of the sample that fits the index (or EACH for a list, if these are more), lists at most, and rows of a list (or
+#: queries of it) in one task.
+SAMPLE, EACH, LISTS, PART, QUERIES = 12_000, 8, 8192, 4096, 1024
+#: Coordinates a block has at least, blocks at most, and how many standard deviations a partial distance must lie over the bound to be dropped.
+BLOCK, BLOCKS, SURE = 8, 16, 2.1
 #: Rows of the sample that give a query its first bound: a thousand, a tenth of the table at most.
 BOUNDING = 1000
 RECALL = 0.98
@@ -61,20 +63,34 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)[None, :], 0)
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squared(x[k : k + 2000], centroids).argmin(axis=1) for k in range(0, len(x), 2000)] or [np.zeros(0, np.int64)])
+
+
+def list_count(rows: int) -> int:
+    return int(max(1, min(LISTS, np.sqrt(rows))))
+
+
+def borders(dim: int) -> list[int]:
+    """Where the blocks of coordinates begin, and ``dim``."""
+    width = max(BLOCK, -(-dim // BLOCKS))
+    return [*range(0, dim, width), dim]
+
+
 def fit(ids: np.ndarray, sample: np.ndarray, rows: int, recall: float = RECALL, seed: int = 9) -> Index:
     rng = np.random.Generator(np.random.PCG64(seed))
     dim = sample.shape[1]
     rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-    lists = int(max(1, min(LISTS, np.sqrt(rows), len(sample) // 8 + 1)))
+    lists = min(list_count(rows), len(sample) // EACH + 1)
     centroids = sample[rng.permutation(len(sample))[:lists]].copy()
     for _ in range(8):
-        own = _squared(sample, centroids).argmin(axis=1)
+        own = _nearest(sample, centroids)
         n = np.bincount(own, minlength=lists)
         sums = np.stack([np.bincount(own, sample[:, d], lists) for d in range(dim)], axis=1)
         centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centroids)
     probes = lists
     if len(sample) > 10 * K:
-        own = _squared(sample, centroids).argmin(axis=1)
+        own = _nearest(sample, centroids)
         q = rng.permutation(len(sample))[:200]
         d = _squared(sample[q], sample)
         d[np.arange(len(q)), q] = np.inf
@@ -91,16 +107,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
+def _rows(x: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    raw = np.ascontiguousarray(x)
+    at = np.arange(len(raw) + 1, dtype=np.int32) * (raw.shape[1] * raw.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+
+
 def _assign(shared):
-    """(vec_id, v) to (list, vec_id, v as bytes)."""
+    """(vec_id, v) to (list, vec_id, v as bytes, blocks of the rotated v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(1))
-                own = np.concatenate([_squared(x[k : k + 2000], index.centroids).argmin(axis=1) for k in range(0, len(x), 2000)])
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["list", "vec_id", "v"])
+                own, rotated, at = _nearest(x, index.centroids), (x @ index.rotation).astype(np.float32), borders(x.shape[1])
+                blocks = [_rows(rotated[:, a:b]) for a, b in zip(at, at[1:])]
+                names = ["list", "vec_id", "v", *(f"b{k}" for k in range(len(blocks)))]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column(0), _rows(x), *blocks], names)
 
     return run
 
@@ -139,16 +164,19 @@ def _first_bounds(shared):
     return run
 
 
-def scan(query: np.ndarray, rotated_query: np.ndarray, x: np.ndarray, rotated: np.ndarray, bound: float) -> np.ndarray:
-    """Rows of ``x`` that may lie within ``bound``: partial distances by blocks of rotated coordinates, dropped once they are surely too large."""
-    dim = x.shape[1]
-    alive, partial = np.arange(len(x)), np.zeros(len(x))
-    for first in range(0, dim, BLOCK):
-        last = min(dim, first + BLOCK)
-        partial = partial + ((rotated[alive, first:last] - rotated_query[first:last]) ** 2).sum(axis=1)
-        most = bound * bound * (last / dim) * (1 + SURE / np.sqrt(last)) ** 2 if last < dim else bound * bound * (1 + 1e-9)
+def scan(rotated_query: np.ndarray, blocks: list[np.ndarray], bound: float) -> np.ndarray:
+    """Rows that may lie within ``bound``: partial distances by blocks of rotated coordinates, dropped once they are surely too large.
+
+    ``blocks`` holds the rows' coordinates in single precision, which the last test allows for.
+    """
+    dim = len(rotated_query)
+    alive, partial, first = np.arange(len(blocks[0])), np.zeros(len(blocks[0])), 0
+    for block in blocks:
+        last = first + block.shape[1]
+        partial = partial + ((block[alive] - rotated_query[first:last]) ** 2).sum(axis=1)
+        most = bound * bound * (last / dim) * (1 + SURE / np.sqrt(last)) ** 2 if last < dim else bound * bound * (1 + 1e-4)
         keep = partial <= most
-        alive, partial = alive[keep], partial[keep]
+        alive, partial, first = alive[keep], partial[keep], last
         if not len(alive):
             break
     return alive
@@ -158,11 +186,11 @@ def _search(shared):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(queries) and len(rows):
-            rotation = shared.value[0].rotation
             q, x = (np.frombuffer(b"".join(f["v"]), np.float64).reshape(len(f), -1) for f in (queries, rows))
-            ids, rq, rx = rows["vec_id"].to_numpy(), q @ rotation, x @ rotation
+            ids, rq = rows["vec_id"].to_numpy(), q @ shared.value[0].rotation
+            blocks = [np.frombuffer(b"".join(rows[f"b{k}"]), np.float32).reshape(len(rows), -1) for k in range(len(borders(x.shape[1])) - 1)]
             for k, (i, bound) in enumerate(zip(queries["query_id"].to_numpy(), queries["bound"].to_numpy(), strict=True)):
-                found = scan(q[k], rq[k], x, rx, bound)
+                found = scan(rq[k], blocks, bound)
                 found = found[ids[found] != i]
                 d = exact(q[k], x[found])
                 best = np.lexsort((ids[found], d))[:K]
@@ -172,24 +200,25 @@ def _search(shared):
     return run
 
 
-def search(table: DataFrame, every: int = 100) -> DataFrame:
+def search(table: DataFrame, every: int = 100, sample_rows: int = SAMPLE) -> DataFrame:
     """The K nearest rows found for each row of ``table`` (vec_id long, embedding) whose vec_id is divisible by ``every``.
 
     (query_id, rank from 1, vec_id, score): Euclidean distance in double precision, nearest first, ties to the smaller
     vec_id; all candidates if there are fewer than K. Rows that ``valid_vectors`` leaves out take no part. Of rows with the same
     vec_id none is a neighbour of another; a query that stands in several rows is one query (its least vector). An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. ``sample_rows`` bounds what the index is fitted on.
     """
     spark = table.sparkSession
     vectors = materialize(valid_vectors(table.select("vec_id", "embedding")))
     rows = vectors.count()
-    chosen = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) < F.lit(1e6 * SAMPLE / max(rows, 1))).collect()
-    chosen = sorted((r.vec_id, tuple(r.v)) for r in chosen)  # about SAMPLE rows
+    chosen = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1_000_000)) < F.lit(1e6 * max(sample_rows, EACH * list_count(rows)) / max(rows, 1))).collect()
+    chosen = sorted((r.vec_id, tuple(r.v)) for r in chosen)  # about so many rows, EACH * LISTS at most
     dim = len(chosen[0][1]) if chosen else 1
     sample = np.array([c[1] for c in chosen], np.float64).reshape(-1, dim)
     index = fit(np.array([c[0] for c in chosen], np.int64), sample, rows) if chosen else Index(np.eye(1), np.zeros((1, 1)), 1, np.zeros(0, np.int64), np.zeros((0, 1)))
     held = spark.sparkContext.broadcast(index)
-    listed = materialize(vectors.mapInArrow(_assign(held), "list int, vec_id long, v binary"))
+    blocks = [f"b{k}" for k in range(len(borders(dim)) - 1)]
+    listed = materialize(vectors.mapInArrow(_assign(held), ", ".join(["list int, vec_id long, v binary", *(f"{b} binary" for b in blocks)])))
     counts = np.zeros(len(index.centroids), np.int64)
     for k, n in listed.groupBy("list").count().collect():  # one row per list
         counts[k] = n
@@ -205,7 +234,7 @@ def search(table: DataFrame, every: int = 100) -> DataFrame:
     to = lambda n, c: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = queries.select("query_id", "v", "bound", F.explode("lists").alias("list")).join(deal, "list").select("list", all_of("parts").alias("part"), to("shares", "query_id").alias("share"), "query_id", "v", "bound")
-    right = listed.join(deal, "list").select("list", to("parts", "vec_id").alias("part"), all_of("shares").alias("share"), "vec_id", "v")
+    right = listed.join(deal, "list").select("list", to("parts", "vec_id").alias("part"), all_of("shares").alias("share"), "vec_id", "v", *blocks)
     key = ["list", "part", "share"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_search(shared), "query_id long, vec_id long, score double")
     first = queries.select("query_id", F.explode("near").alias("x")).select("query_id", "x.*")

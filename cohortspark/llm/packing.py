@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Entries of a worker's memory of encoded words (some 15 MB), and bytes of text that are cut into words at a time.
 WORDS_KEPT, SLICE = 400_000, 1 << 22
 #: Steps of the fit, and pieces of one length that one task ranks.
-STEPS, RANKED = 200, 4_000
+STEPS, RANKED = 200, 1_000
 SLACK = 0.001
 
 

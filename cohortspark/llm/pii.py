@@ -243,7 +243,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((0, start, m.end()))
             free = m.end()
         at = text.find("@", max(at + 1, free))
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(x) < 50 and int(x) <= 255 for x in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(own := x.lstrip("0")) <= 3 and int(own or 0) <= 255 for x in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):

@@ -1,7 +1,8 @@
 """Quality by co-training: a text classifier and a metadata classifier teach each other, and both views are combined.
 
 The text view sees how a text is written (pairs of character classes and some shares); the metadata view sees
-what the table says about it (source, language, length). Both are logistic models. In each round, each of them labels
+what a page's record says about it (source, language, length, and its layout: lines, bytes to a line, words, bytes
+to a word), none of its characters. Both are logistic models. In each round, each of them labels
 the documents of an unlabelled pool that it is surest of, and these become training examples of the other. At the
 end both are calibrated, combined, and every document is scored. Training uses bounded samples drawn by a hash of
 the id; scoring covers all rows and whole texts.
@@ -9,6 +10,7 @@ the id; scoring covers all rows and whole texts.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +26,7 @@ from cohortspark.sources.tables import materialize, sized
 #: Expected sizes of the labelled sample and of the unlabelled pool.
 LABELLED, POOL = 3000, 2000
 ROUNDS, SHARE = 3, 0.05
-META = 256
+META = 512
 META_COLUMNS = ("source", "lang", "n_chars")
 
 
@@ -44,18 +46,18 @@ N_CLASSES = int(CLASSES.max()) + 1
 N_TEXT = N_CLASSES * N_CLASSES + 8
 
 
-def text_features(column: pa.Array) -> np.ndarray:
-    """One row per text: square roots of the shares of class pairs, and shares of repeats, capitals, marks and the like."""
+def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(features, counts), one row per text: square roots of the shares of class pairs, and shares of repeats, capitals, marks
+    and the like; and its bytes, line ends and words."""
     raw, offsets = text_bytes(column)
-    out = np.zeros((len(column), N_TEXT), np.float32)
+    out, counts = np.zeros((len(column), N_TEXT), np.float32), np.zeros((len(column), 3), np.int64)
     for first, last in chunks(offsets):
         low = int(offsets[first])
         part, at = raw[low : int(offsets[last])], offsets[first : last + 1] - low
-        code = CLASSES[part]
         begin, end = word_spans(part, at[:-1])
         words, cut = word_hashes(part, begin, end), np.searchsorted(begin, at)
         for d in range(last - first):
-            c = code[at[d] : at[d + 1]]
+            c = CLASSES[part[at[d] : at[d + 1]]]
             row = out[first + d]
             if not len(c):
                 row[-1] = 1
@@ -71,19 +73,35 @@ def text_features(column: pa.Array) -> np.ndarray:
             kinds = np.bincount(c, minlength=N_CLASSES)
             row[-5], row[-4], row[-3] = kinds[2] / n, kinds[3] / n, kinds[6:-1].sum() / n
             row[-2] = min(np.log1p(n) / 12, 2)
-    return out
+            counts[first + d] = n, kinds[5], len(w)
+    return out, counts
+
 
+@functools.lru_cache(100_000)
+def _cell(name: str, value: object) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{name}\1{value}".encode(), digest_size=4).digest(), "little") % META
 
-def meta_features(columns: list[pa.Array | None], rows: int) -> np.ndarray:
-    """One row per document: hashed indicators of source and language, and of the length in steps of a quarter octave."""
+
+def meta_features(columns: list[pa.Array | None], counts: np.ndarray) -> np.ndarray:
+    """One row per document: hashed indicators of source and language, and of sizes and layout in steps of a part of an octave."""
+    rows = len(counts)
     out = np.zeros((rows, META), np.float32)
+    size, lines, words = counts.T.astype(float)
+    steps = {
+        "lines": np.floor(2 * np.log2(lines + 1)),
+        "line": np.floor(4 * np.log2(size / (lines + 1) + 1)),
+        "words": np.floor(2 * np.log2(words + 1)),
+        "word": np.floor(8 * np.log2(size / np.maximum(words, 1) + 1)),
+    }
+    for name, step in steps.items():
+        out[np.arange(rows), [_cell(name, v) for v in step.astype(int).tolist()]] = 1
     for name, column in zip(META_COLUMNS, columns, strict=True):
         if column is None:
             continue
         for k, value in enumerate(column.to_pylist()):
             if name == "n_chars" and value is not None:
                 value = int(4 * np.log2(max(float(value), 0) + 1))
-            out[k, int.from_bytes(hashlib.blake2b(f"{name}\1{value}".encode(), digest_size=4).digest(), "little") % META] = 1
+            out[k, _cell(name, value)] = 1
     return out
 
 
@@ -151,6 +169,13 @@ class Model:
     meta: Logistic
     combine: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0, 0.0]))  # of text logit, metadata logit, 1
     threshold: float = 0.5
+    passed: dict = field(default_factory=lambda: {"text": 0, "meta": 0})  # pseudo-labels that each view gave the other
+
+    @classmethod
+    def neutral(cls) -> Model:
+        """Scores all documents 0.5 and keeps them."""
+        flat = lambda n: Logistic(np.zeros(n), np.ones(n), np.zeros(n), 0.0)
+        return cls(flat(N_TEXT), flat(META))
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         t, m = self.text.logit(text), self.meta.logit(meta)
@@ -168,6 +193,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = RO
     views = {"text": text, "meta": meta}
     taught = {v: (use.copy(), y[use].astype(float)) for v in views}
     models = {v: fit_logistic(x[use], y[use].astype(float)) for v, x in views.items()}
+    passed = dict.fromkeys(views, 0)
     for _ in range(rounds):
         if not len(pool):
             break
@@ -181,11 +207,12 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = RO
             rows = pool[np.concatenate([sure_low, sure_high])]
             marks = np.concatenate([np.zeros(len(sure_low)), np.ones(len(sure_high))])
             seen = np.isin(rows, taught[other][0])
+            passed[v] += int((~seen).sum())
             taught[other] = (np.concatenate([taught[other][0], rows[~seen]]), np.concatenate([taught[other][1], marks[~seen]]))
         models = {v: fit_logistic(x[taught[v][0]], taught[v][1]) for v, x in views.items()}
     for v, x in views.items():
         calibrate(models[v], x[kept], y[kept])
-    model = Model(models["text"], models["meta"])
+    model = Model(models["text"], models["meta"], passed=passed)
     both = np.stack([models["text"].logit(text[kept]), models["meta"].logit(meta[kept])], axis=1)
     joint = fit_logistic(both, y[kept].astype(float), decay=1e-2)
     calibrate(joint, both, y[kept])
@@ -203,7 +230,8 @@ def _columns(docs: DataFrame) -> list[str]:
 def _batch_features(batch: pa.RecordBatch, text: int) -> tuple[np.ndarray, np.ndarray]:
     names = batch.schema.names
     columns = [batch.column(names.index(c)) if c in names else None for c in META_COLUMNS]
-    return text_features(batch.column(text)), meta_features(columns, batch.num_rows)
+    features, counts = text_features(batch.column(text))
+    return features, meta_features(columns, counts)
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +244,11 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on ``docs`` and ``labels`` (doc_id, quality). Ids with two different labels are left out of training."""
+    """Fit on ``docs`` and ``labels`` (doc_id, quality). Ids with two different labels are left out of training.
+
+    Without labels of both kinds among ``docs`` (an empty table, for one) the model scores all 0.5 and keeps all. Null texts and
+    metadata are values like others; of repeated doc_ids one row is drawn. Extra columns of both tables are ignored.
+    """
     marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z")).where("y = z").drop("z")
     marks = materialize(marks)
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
@@ -227,7 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     chosen = materialize(joined.where(draw < most))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = (
-        docs.join(sized(chosen), "doc_id")
+        docs.select("doc_id", "text", *_columns(docs))
+        .join(sized(chosen), "doc_id")
         .select("doc_id", "y", "text", *_columns(docs))
         .mapInArrow(_samples, f"doc_id {kind}, y int, text_view binary, meta_view binary")
         .toPandas()
@@ -236,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     )
     y = rows["y"].to_numpy()
     if not ((y == 0).any() and (y == 1).any()):
-        raise ValueError("quality labels of both kinds are needed")
+        return Model.neutral()
     view = lambda c, n: np.frombuffer(b"".join(rows[c]), np.float32).reshape(-1, n)
     order = np.argsort([hashlib.blake2b(str(i).encode(), digest_size=8).digest() for i in rows["doc_id"]], kind="stable")
     return co_train(view("text_view", N_TEXT)[order], view("meta_view", META)[order], y[order])
@@ -281,6 +314,9 @@ def _filter(shared, text: int):
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model keeps."""
+    """The rows of ``docs``, with all their columns, that the model keeps.
+
+    Null or empty text is scored like any other text; equal rows share their fate; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_filter(shared, docs.columns.index("text")), docs.schema)
