@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
 documents. ``run`` writes what a stage returns to the cluster's shared folder and reads it back for the next.
+
+In every stage null text counts as empty, a null doc_id, source or lang is a value like others, extra columns of any name go
+through unchanged, and an empty table gives an empty one. Empty texts are kept by stages two to four: they are never near
+copies, hold no personal data, and are taken as often as the whole copies of their source; a sequence gets one closing id
+for each. Equal rows share the first stage's decision, are one group in the second, and are packed each on its own.
 """
 
 from __future__ import annotations
@@ -17,12 +22,12 @@ from cohortspark.sources.tables import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go; without labels of both kinds all stay."""
     return keep_good(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
+    """Of each group of near copies, the document with the smallest id stays; a repeated id stays once."""
     return keep_one(docs)
 
 
