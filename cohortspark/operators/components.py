@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.operators.order import positions
 from cohortspark.sources.tables import materialize
 
 
@@ -53,16 +54,16 @@ def connected_components(edges: DataFrame, left: str = "left_id", right: str = "
 
 
 def numbered(components: DataFrame, pattern: str = "source_leakage_%04d") -> DataFrame:
-    """Adds ``name``: components counted from 1 in order of their smallest id. The window sees one row per component."""
-    roots = components.select("component").distinct()
-    names = roots.withColumn("name", F.format_string(pattern, F.dense_rank().over(Window.orderBy("component"))))
-    return components.join(names, "component")
+    """Adds ``name``: components counted from 1 in order of their smallest id. The default pattern is a fixed value."""
+    roots = positions(components.select("component").distinct(), (), [F.asc("component")], "_k")
+    names = roots.select("component", F.format_string(pattern, F.col("_k")).alias("name"))
+    return components.join(names.hint("merge"), "component")
 
 
 def quarantine(table: DataFrame, members: DataFrame, reason: str, key: str = "id") -> DataFrame:
     """Adds ``eligible`` and ``reason`` ('' for eligible rows): members of ``members`` are not eligible."""
     marks = members.select(key, F.lit(True).alias("_in")).distinct()
-    out = table.join(marks, key, "left")
+    out = table.join(marks.hint("merge"), key, "left")
     return out.withColumn("eligible", F.col("_in").isNull()).withColumn("reason", F.when(F.col("_in"), reason).otherwise("")).drop("_in")
 
 
@@ -70,7 +71,7 @@ def audit_groups(table: DataFrame, edges: DataFrame, inherited: DataFrame, key:
     """Adds grp, splits, quarantined: rows joined by edges are one group, and a group that lies in several splits or holds an
     inherited id is quarantined as a whole. Splits stay as they are."""
     found = connected_components(edges).select(F.col("id").alias(key), F.col("component"))
-    rows = table.join(found, key, "left").withColumn("grp", F.coalesce("component", key)).drop("component")
-    rows = rows.join(inherited.select(key, F.lit(1).alias("_old")).distinct(), key, "left")
+    rows = table.join(found.hint("merge"), key, "left").withColumn("grp", F.coalesce("component", key)).drop("component")
+    rows = rows.join(inherited.select(key, F.lit(1).alias("_old")).distinct().hint("merge"), key, "left")
     groups = rows.groupBy("grp").agg(F.count_distinct("split").alias("splits"), F.max(F.coalesce("_old", F.lit(0))).alias("_bad"))
-    return rows.drop("_old").join(groups, "grp").withColumn("quarantined", (F.col("splits") > 1) | (F.col("_bad") == 1)).drop("_bad")
+    return rows.drop("_old").join(groups.hint("merge"), "grp").withColumn("quarantined", (F.col("splits") > 1) | (F.col("_bad") == 1)).drop("_bad")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators.order import running
+
 BY = ("model",)
 EPS = 2.220446049250313e-16
 
@@ -27,9 +29,12 @@ def with_prediction(preds: DataFrame) -> DataFrame:
 def confusion(preds: DataFrame, k: int, by=BY, weight: Column | None = None) -> DataFrame:
     """(by, y, pred, n, row_share): the whole K * K grid, zeros too; row_share is n over the class's total, 0 if that is 0."""
     counts = preds.groupBy(*by, "y", "pred").agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
-    cells = F.sequence(F.lit(0), F.lit(k - 1))
-    grid = counts.select(*by).distinct().select(*by, F.explode(cells).alias("y")).select("*", F.explode(cells).alias("pred"))
-    full = grid.join(counts, [*by, "y", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    known = counts.where(F.col("y").between(0, k - 1) & F.col("pred").between(0, k - 1))
+    packed = known.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * k + F.col("pred")).cast("int"), "n"))).alias("_m"))  # k * k entries at most
+    cell = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("_c")
+    full = packed.select(*by, "_m", cell).select(
+        *by, F.floor(F.col("_c") / k).cast("int").alias("y"), (F.col("_c") % k).alias("pred"), F.coalesce(F.try_element_at("_m", "_c"), F.lit(0)).alias("n")
+    )
     total = F.sum("n").over(Window.partitionBy(*by, "y"))
     return full.withColumn("row_share", F.when(total > 0, F.col("n") / total).otherwise(0.0))
 
@@ -106,37 +111,21 @@ def calibration_error(bins: DataFrame, by=BY) -> DataFrame:
     return bins.groupBy(*by).agg((F.sum(gap * F.col("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"))
 
 
-def ranked(preds: DataFrame, by=BY, score: str = "conf", steps: int = 256) -> DataFrame:
-    """Adds rank (score descending, id ascending), group size n_all and running count of errors, without a window over a whole group.
-
-    Scores fall into ``steps`` ranges; rows are ranked inside a range and ranges are laid end to end by their counts.
-    """
-    step = F.least(F.floor((1 - F.col(score)) * steps), F.lit(steps - 1)).cast("int")
-    rows = preds.withColumn("_step", step).withColumn("_wrong", (F.col("y") != F.col("pred")).cast("long"))
-    before = Window.partitionBy(*by).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    counts = rows.groupBy(*by, "_step").agg(F.count("*").alias("_n"), F.sum("_wrong").alias("_w"))
-    counts = counts.select(
-        *by, "_step", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_w0"), F.sum("_n").over(whole).alias("n_all")
-    )
-    inside = Window.partitionBy(*by, "_step").orderBy(F.desc(score), "id")
-    return (
-        rows.join(counts, [*by, "_step"])
-        .withColumn("rank", F.row_number().over(inside) + F.col("_n0"))
-        .withColumn("errors_so_far", F.sum("_wrong").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_w0"))
-        .drop("_step", "_n0", "_w0", "_wrong")
-    )
+def ranked(preds: DataFrame, by=BY, score: str = "conf") -> DataFrame:
+    """Adds rank (score descending, id ascending), group size n_all and running count of errors, without a window over a whole group."""
+    wrong = (F.col("y") != F.col("pred")).cast("long")
+    return running(preds, by, [F.desc(score), F.asc("id")], {"rank": F.lit(1), "errors_so_far": wrong}, totals=True).withColumnRenamed("rank_all", "n_all").drop("errors_so_far_all")
 
 
 def adaptive_calibration_error(preds: DataFrame, bins: int = 15, by=BY) -> DataFrame:
-    """ECE over bins of equal counts in order of confidence; the first n % bins bins have one row more."""
-    n, r = F.col("n_all"), F.col("rank") - 1
+    """ECE over bins of equal counts in order of rising confidence, then id; the first n % bins bins have one row more."""
+    rows = preds.select(*by, "id", "conf", (F.col("y") == F.col("pred")).cast("double").alias("hit"))
+    rows = running(rows, by, [F.asc("conf"), F.asc("id")], {"rank": F.lit(1)}, totals=True)
+    n, r = F.col("rank_all"), F.col("rank") - 1
     size, extra = F.floor(n / bins), n % bins
     at = F.when(r < extra * (size + 1), F.floor(r / (size + 1))).otherwise(extra + F.floor((r - extra * (size + 1)) / F.greatest(size, F.lit(1))))
-    rows = ranked(preds, by).withColumn("bin", at).groupBy(*by, "bin").agg(
-        F.count("*").alias("n"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"), F.avg("conf").alias("confidence")
-    )
-    return calibration_error(rows, by).select(*by, F.col("ece").alias("adaptive_ece"))
+    binned = rows.withColumn("bin", at).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("hit").alias("accuracy"), F.avg("conf").alias("confidence"))
+    return calibration_error(binned, by).select(*by, F.col("ece").alias("adaptive_ece"))
 
 
 def one_vs_rest(preds: DataFrame, by=BY) -> DataFrame:
@@ -153,7 +142,7 @@ def risk_coverage(preds: DataFrame, coverages: list[float], by=BY, rule: str = "
     """(by, coverage, retained, threshold, accuracy, risk): the ceil (at least 1) or floor of coverage * n most confident rows."""
     wanted = F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage")
     take = F.greatest(F.ceil(F.col("coverage") * F.col("n_all")), F.lit(1)) if rule == "ceil" else F.floor(F.col("coverage") * F.col("n_all"))
-    last = ranked(preds, by).select("*", wanted).where(F.col("rank") == take)
+    last = ranked(preds.select(*by, "id", "y", "pred", "conf"), by).select("*", wanted).where(F.col("rank") == take)
     return last.select(
         *by, "coverage", F.col("rank").alias("retained"), F.col("conf").alias("threshold"), (1 - F.col("errors_so_far") / F.col("rank")).alias("accuracy"), (F.col("errors_so_far") / F.col("rank")).alias("risk")
     )
@@ -161,11 +150,11 @@ def risk_coverage(preds: DataFrame, coverages: list[float], by=BY, rule: str = "
 
 def aurc(preds: DataFrame, by=BY) -> DataFrame:
     """Mean over all coverages of the error rate among the rows kept."""
-    return ranked(preds, by).groupBy(*by).agg(F.avg(F.col("errors_so_far") / F.col("rank")).alias("aurc"))
+    return ranked(preds.select(*by, "id", "y", "pred", "conf"), by).groupBy(*by).agg(F.avg(F.col("errors_so_far") / F.col("rank")).alias("aurc"))
 
 
 def selective_macro(preds: DataFrame, k: int, coverage: float, by=BY) -> DataFrame:
-    kept = ranked(preds, by).where(F.col("rank") <= F.greatest(F.ceil(F.lit(coverage) * F.col("n_all")), F.lit(1)))
+    kept = ranked(preds.select(*by, "id", "y", "pred", "conf"), by).where(F.col("rank") <= F.greatest(F.ceil(F.lit(coverage) * F.col("n_all")), F.lit(1)))
     return macro_f1(kept, k, by)
 
 
@@ -185,7 +174,7 @@ def confidence_summary(preds: DataFrame, by=BY) -> DataFrame:
 def paired(preds: DataFrame, reference: str, candidate: str, extra=()) -> DataFrame:
     """One row per id: y, pred and p of both models (suffix _a the reference, _b the candidate)."""
     a, b = (preds.where(F.col("model") == m).select("id", "y", "grp", *extra, F.col("pred").alias(f"pred_{x}"), F.col("p").alias(f"p_{x}")) for m, x in ((reference, "a"), (candidate, "b")))
-    return a.join(b.select("id", "pred_b", "p_b"), "id")
+    return a.join(b.select("id", "pred_b", "p_b").hint("merge"), "id")
 
 
 def transitions(pairs: DataFrame, by=()) -> DataFrame:
@@ -222,25 +211,32 @@ def complementarity(pairs: DataFrame) -> DataFrame:
 def auroc(rows: DataFrame, by=(), score: str = "score", hit: str = "hit") -> DataFrame:
     """(by, auroc): rank form with ties halved, from counts per distinct score; null if one kind is missing."""
     counts = rows.groupBy(*by, score).agg(F.sum(hit).alias("pos"), F.sum(1 - F.col(hit)).alias("neg"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    area = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    return counts.withColumn("area", area).groupBy(*by).agg((F.sum("area") / F.try_divide(F.lit(1.0), F.try_divide(F.lit(1.0), F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))))).alias("auroc"))
+    summed = running(counts, by, [F.asc(score)], {"upto": F.col("neg")})
+    area = F.col("pos") * (F.col("upto") - F.col("neg") / 2)
+    return summed.withColumn("area", area).groupBy(*by).agg(F.try_divide(F.sum("area"), F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, by=(), score: str = "score", hit: str = "hit") -> DataFrame:
     """(by, average_precision): sum of recall steps times precision over descending distinct scores; null without a positive."""
     counts = rows.groupBy(*by, score).agg(F.sum(hit).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    area = F.col("pos") * F.sum("pos").over(down) / F.sum("n").over(down)
-    return counts.withColumn("area", area).groupBy(*by).agg(F.try_divide(F.sum("area"), F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
+    summed = running(counts, by, [F.desc(score)], {"_pos": F.col("pos"), "_n": F.col("n")})
+    area = F.col("pos") * F.col("_pos") / F.col("_n")
+    return summed.withColumn("area", area).groupBy(*by).agg(F.try_divide(F.sum("area"), F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
 def macro_auc(preds: DataFrame, by=BY) -> DataFrame:
     """Macro one-vs-rest ROC and PR areas; null if one class has none."""
-    rows = one_vs_rest(preds, by)
-    both = auroc(rows, (*by, "cls")).join(average_precision(rows, (*by, "cls")), [*by, "cls"])
+    keys = [*by, "cls"]
+    counts = one_vs_rest(preds, by).groupBy(*keys, "score").agg(F.sum("hit").alias("pos"), F.count("*").alias("n"))
+    up = running(counts, keys, [F.desc("score")], {"_pos": F.col("pos"), "_n": F.col("n")}, totals=True)
+    neg = F.col("n") - F.col("pos")
+    below = (F.col("_n_all") - F.col("_pos_all")) - (F.col("_n") - F.col("_pos"))
+    each = up.groupBy(*keys).agg(
+        F.try_divide(F.sum(F.col("pos") * (below + neg / 2)), F.nullif(F.sum("pos") * F.sum(neg), F.lit(0))).alias("auroc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("_pos") / F.col("_n")), F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"),
+    )
     mean = lambda c: F.when(F.count(c) == F.count("*"), F.avg(c)).alias(f"macro_{c}")
-    return both.groupBy(*by).agg(mean("auroc"), mean("average_precision"))
+    return each.groupBy(*by).agg(mean("auroc"), mean("average_precision"))
 
 
 def merged_f1(preds: DataFrame, groups: list[list[int]], by=BY) -> DataFrame:
@@ -258,17 +254,17 @@ def merged_f1(preds: DataFrame, groups: list[list[int]], by=BY) -> DataFrame:
 def ks_statistic(rows: DataFrame, value: str, side: str, by=()) -> DataFrame:
     """(by, ks): largest gap between the distributions of ``value`` where ``side`` (boolean) is true and false."""
     counts = rows.groupBy(*by, value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
-    up, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(whole) - F.sum("b").over(up) / F.sum("b").over(whole))
-    return counts.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"))
+    summed = running(counts, by, [F.asc(value)], {"_a": F.col("a"), "_b": F.col("b")}, totals=True)
+    gap = F.abs(F.col("_a") / F.col("_a_all") - F.col("_b") / F.col("_b_all"))
+    return summed.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"))
 
 
 def average_rank(rows: DataFrame, value: str, by=(), name: str = "rank") -> DataFrame:
     """Adds the rank of ``value`` with ties averaged, by prefix sums over distinct values."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*by, value, (F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-    return rows.join(counts, [*by, value])
+    summed = running(counts, by, [F.asc(value)], {"_upto": F.col("_n")})
+    places = summed.select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+    return rows.join(places.hint("merge"), [*by, value])
 
 
 def spearman(rows: DataFrame, a: str, b: str, by=()) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators.order import positions
+
 
 def draw(seed: object, *keys: str) -> Column:
     """A 32-bit number that depends on the seed and the keys alone."""
@@ -26,16 +28,17 @@ def _order(seed: object, key: str) -> list[Column]:
 
 def stratified_folds(rows: DataFrame, label: str, folds: int, seed: object, key: str = "id") -> DataFrame:
     """Adds ``fold``: each label's rows in hash order, dealt round."""
-    return rows.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(*_order(seed, key))) - 1) % folds)
+    placed = positions(rows, [label], _order(seed, key), "_at")
+    return placed.withColumn("fold", ((F.col("_at") - 1) % folds).cast("int")).drop("_at")
 
 
 def group_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
-    """Adds ``fold``: groups by falling size, dealt to and fro. The window sees one row per group."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    at = F.row_number().over(Window.orderBy(F.desc("_n"), group)) - 1
+    """Adds ``fold``: groups by falling size, dealt to and fro."""
+    sizes = positions(rows.groupBy(group).agg(F.count("*").alias("_n")), (), [F.desc("_n"), F.asc(group)], "_at")
+    at = F.col("_at") - 1
     lap, k = F.floor(at / folds), at % folds
     dealt = sizes.select(group, F.when(lap % 2 == 0, k).otherwise(folds - 1 - k).cast("int").alias("fold"))
-    return rows.join(dealt, group)
+    return rows.join(dealt.hint("merge"), group)
 
 
 def stratified_group_folds(rows: DataFrame, group: str, label: str, folds: int) -> DataFrame:
@@ -70,8 +73,8 @@ def fold_table(rows: DataFrame, folds: DataFrame, group: str, key: str = "id") -
     """(fold, rows, groups, digest of the ids in order)."""
     from cohortspark.functions.fields import fingerprint
 
-    joined = rows.join(folds, group)
-    return joined.groupBy("fold").agg(F.count("*").alias("rows"), F.count_distinct(group).alias("groups")).join(fingerprint(joined, key, by=("fold",)), "fold")
+    joined = rows.join(folds.hint("merge"), group)
+    return joined.groupBy("fold").agg(F.count("*").alias("rows"), F.count_distinct(group).alias("groups")).join(fingerprint(joined, key, by=("fold",)).hint("merge"), "fold")
 
 
 def quotas(rows: DataFrame, label: str, total: int) -> DataFrame:
@@ -88,16 +91,14 @@ def quotas(rows: DataFrame, label: str, total: int) -> DataFrame:
 def stratified_sample(rows: DataFrame, label: str, total: int, seed: object, key: str = "id") -> DataFrame:
     """``total`` rows by the quotas, each class's first in hash order. Smaller totals with the same seed give subsets, up to rounding of quotas."""
     q = F.broadcast(quotas(rows, label, total).select(label, "quota"))
-    at = F.row_number().over(Window.partitionBy(label).orderBy(*_order(seed, key)))
-    return rows.join(q, label).withColumn("_at", at).where("_at <= quota").drop("_at", "quota")
+    return positions(rows.join(q, label), [label], _order(seed, key), "_at").where("_at <= quota").drop("_at", "quota")
 
 
 def nested_subsets(rows: DataFrame, label: str, sizes: list[int], seed: object, key: str = "id") -> DataFrame:
     """(size, key, label): for each size the prefix of one order per class, so that a smaller subset lies in every larger one."""
-    n, everything = Window.partitionBy(label), Window.partitionBy(F.lit(1))
+    everything = Window.partitionBy(F.lit(1))
     per = rows.groupBy(label).agg(F.count("*").alias("_n")).withColumn("_share", F.col("_n") / F.sum("_n").over(everything)).select(label, "_share")
-    at = F.row_number().over(n.orderBy(*_order(seed, key)))
-    ordered = rows.join(F.broadcast(per), label).select(key, label, "_share", at.alias("_at"))
+    ordered = positions(rows.join(F.broadcast(per), label).select(key, label, "_share"), [label], _order(seed, key), "_at")
     size = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size")
     return ordered.select("*", size).where(F.col("_at") <= F.greatest(F.floor(F.col("_share") * F.col("size") + 1e-9), F.lit(1))).select("size", key, label)
 
@@ -119,7 +120,7 @@ def few_shot(rows: DataFrame, group: str, label: str, budgets: list[int], repeat
     # Only groups that can be reached matter: within each class, those before the budget is certainly met.
     near = Window.partitionBy("budget", "repeat", label).orderBy("_d", group).rowsBetween(Window.unboundedPreceding, -1)
     useful = dealt.withColumn("_before", F.coalesce(F.sum("n").over(near), F.lit(0))).where("_before < budget").select("budget", "repeat", group, "_d").distinct()
-    wanted = dealt.join(useful.select("budget", "repeat", group), ["budget", "repeat", group])
+    wanted = dealt.join(useful.select("budget", "repeat", group).hint("merge"), ["budget", "repeat", group])
     kind = rows.schema[group].dataType.simpleString()
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -65,7 +65,7 @@ QUERIES = {
     ),
     "adaptive_ece_15": (
         q(M.adaptive_calibration_error),
-        f"WITH {PREDS} SELECT model, round(sum(abs(a - c) * n) / sum(n), 6) AS adaptive_ece FROM (SELECT model, bin, count(*) AS n, avg(CASE WHEN y = pred THEN 1.0 ELSE 0 END) AS a, avg(conf) AS c FROM (SELECT *, ntile(15) OVER (PARTITION BY model ORDER BY conf DESC, id) AS bin FROM preds) GROUP BY ALL) GROUP BY model",
+        f"WITH {PREDS} SELECT model, round(sum(abs(a - c) * n) / sum(n), 6) AS adaptive_ece FROM (SELECT model, bin, count(*) AS n, avg(CASE WHEN y = pred THEN 1.0 ELSE 0 END) AS a, avg(conf) AS c FROM (SELECT *, ntile(15) OVER (PARTITION BY model ORDER BY conf, id) AS bin FROM preds) GROUP BY ALL) GROUP BY model",
     ),
     "classwise_ece": (
         q(M.classwise_calibration_error),
