@@ -20,7 +20,7 @@ def stratum_metrics(preds: DataFrame, columns: list[str], k: int, group: str = "
     """(stratum, value, by, n, groups, accuracy, macro_f1)."""
     rows, keys = with_strata(preds, columns), ("stratum", "value", *by)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(group).alias("groups"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
-    return counts.join(M.macro_f1(rows, k, keys), list(keys))
+    return counts.join(M.macro_f1(rows, k, keys).hint("merge"), list(keys))
 
 
 def wide_predictions(preds: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def error_families(preds: DataFrame, named: list[tuple[int, int]], by=("model",)
 
 def unanimity(preds: DataFrame, main: str) -> DataFrame:
     """Error rate of ``main`` where all models agree and where not, and the AUROC of disagreement for its errors."""
-    w = wide_predictions(preds).join(preds.where(F.col("model") == main).select("id", "pred"), "id")
+    w = wide_predictions(preds).join(preds.where(F.col("model") == main).select("id", "pred").hint("merge"), "id")
     rows = w.select((F.col("y") != F.col("pred")).cast("int").alias("hit"), (F.size(F.array_distinct("votes")) > 1).cast("int").alias("score"))
     rates = rows.agg(F.count("*").alias("n"), F.avg(F.when(F.col("score") == 0, F.col("hit"))).alias("error_unanimous"), F.avg(F.when(F.col("score") == 1, F.col("hit"))).alias("error_differing"))
     return rates.join(F.broadcast(M.auroc(rows)))
@@ -65,16 +65,16 @@ def leave_one_out(preds: DataFrame, models: list[str], k: int) -> DataFrame:
     rows = M.with_prediction(blend(preds, spark.createDataFrame(table, "fusion string, model string, w double")).withColumn("p", F.transform("p", lambda v: F.round(v, 12)))).withColumnRenamed("fusion", "omitted")
     base = rows.where("omitted = 'none'").select("id", F.col("pred").alias("base"))
     by = ("omitted",)
-    agree = rows.join(base, "id").groupBy("omitted").agg(F.avg((F.col("pred") == F.col("base")).cast("double")).alias("agreement"))
-    return M.accuracy(rows, by).select("omitted", "accuracy").join(M.macro_f1(rows, k, by), "omitted").join(agree, "omitted")
+    agree = rows.join(base.hint("merge"), "id").groupBy("omitted").agg(F.avg((F.col("pred") == F.col("base")).cast("double")).alias("agreement"))
+    return M.accuracy(rows, by).select("omitted", "accuracy").join(M.macro_f1(rows, k, by).hint("merge"), "omitted").join(agree.hint("merge"), "omitted")
 
 
 def domain_shift(source: DataFrame, target: DataFrame, value: str) -> DataFrame:
-    """Medians of both, their ratio, the target's share below the source's first quartile, and the KS statistic."""
+    """Medians of both, their ratio, the target's share at or below the source's first quartile, and the KS statistic."""
     both = source.select(F.col(value).alias("v"), F.lit(True).alias("s")).unionByName(target.select(F.col(value).alias("v"), F.lit(False).alias("s")))
     q = source.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5))).alias("q"))
     t = target.agg(F.percentile(value, F.lit(0.5)).alias("target_median"))
-    below = target.join(F.broadcast(q)).agg(F.avg((F.col(value) < F.col("q")[0]).cast("double")).alias("below_q1"))
+    below = target.join(F.broadcast(q)).agg(F.avg((F.col(value) <= F.col("q")[0]).cast("double")).alias("below_q1"))
     return q.select(F.col("q")[1].alias("source_median")).join(F.broadcast(t)).withColumn("ratio", F.col("target_median") / F.col("source_median")).join(F.broadcast(below)).join(F.broadcast(M.ks_statistic(both, "v", "s")))
 
 
@@ -88,10 +88,10 @@ def shares(rows: DataFrame, tests: dict[str, tuple[Column, Column]], by=()) -> D
 def mixed_images(preds: DataFrame, image: str, k: int, by=("model",)) -> DataFrame:
     """(by, rows, images, accuracy, macro_f1, varying) over images with several labels; varying counts those whose predictions differ."""
     mixed = preds.groupBy(*by, image).agg(F.count_distinct("y").alias("_l"), F.count_distinct("pred").alias("_p")).where("_l > 1")
-    rows = preds.join(mixed.select(*by, image), [*by, image], "left_semi")
+    rows = preds.join(mixed.select(*by, image).hint("merge"), [*by, image], "left_semi")
     counts = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"))
     images = mixed.groupBy(*by).agg(F.count("*").alias("images"), F.count_if(F.col("_p") > 1).alias("varying"))
-    return counts.join(images, list(by)).join(M.macro_f1(rows, k, by), list(by))
+    return counts.join(images.hint("merge"), list(by)).join(M.macro_f1(rows, k, by).hint("merge"), list(by))
 
 
 def scale_trend(runs: DataFrame, size: str, score: str) -> DataFrame:
@@ -176,7 +176,7 @@ def replay(actual: DataFrame, expected: DataFrame, keys: list[str], tolerance: f
 
 def probability_gap(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """(rows, max_gap, mean_gap, same_class, within): stored against recomputed probabilities."""
-    both = a.select(*keys, F.col("p").alias("pa")).join(b.select(*keys, F.col("p").alias("pb")), keys)
+    both = a.select(*keys, F.col("p").alias("pa")).join(b.select(*keys, F.col("p").alias("pb")).hint("merge"), keys)
     gap = F.zip_with("pa", "pb", lambda x, y: F.abs(x - y))
     first = lambda c: F.array_position(c, F.array_max(c))
     rows = both.select(F.array_max(gap).alias("m"), (F.aggregate(gap, F.lit(0.0), lambda s, v: s + v) / F.size(gap)).alias("g"), (first("pa") == first("pb")).alias("s"))

@@ -88,7 +88,7 @@ SELECT omitted, round({_ACC}, 6) AS accuracy, round(any_value(macro_f1), 6) AS m
     "domain_shift": (lambda s, d: r(R.domain_shift(X.boxes(s, d).where("split = 'train'").withColumn("a", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))), X.boxes(s, d).where("split = 'test'").withColumn("a", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))), "a")),
         f"""WITH {X.BOXES}, v AS (SELECT split, (xmax - xmin) * (ymax - ymin) AS a FROM boxes WHERE split <> 'val'), q AS (SELECT quantile_cont(a, 0.25) AS q1, quantile_cont(a, 0.5) AS q2 FROM v WHERE split = 'train'),
 c AS (SELECT a, count(*) FILTER (split = 'train') AS n, count(*) FILTER (split = 'test') AS m FROM v GROUP BY a), k AS (SELECT max(abs(cn / tn - cm / tm)) AS ks FROM (SELECT sum(n) OVER (ORDER BY a) AS cn, sum(m) OVER (ORDER BY a) AS cm, sum(n) OVER () AS tn, sum(m) OVER () AS tm FROM c))
-SELECT round(q2, 6) AS source_median, round(quantile_cont(a, 0.5), 6) AS target_median, round(quantile_cont(a, 0.5) / q2, 6) AS ratio, round(avg(CASE WHEN a < q1 THEN 1.0 ELSE 0 END), 6) AS below_q1, round(ks, 6) AS ks FROM v, q, k WHERE split = 'test' GROUP BY q1, q2, ks"""),
+SELECT round(q2, 6) AS source_median, round(quantile_cont(a, 0.5), 6) AS target_median, round(quantile_cont(a, 0.5) / q2, 6) AS ratio, round(avg(CASE WHEN a <= q1 THEN 1.0 ELSE 0 END), 6) AS below_q1, round(ks, 6) AS ks FROM v, q, k WHERE split = 'test' GROUP BY q1, q2, ks"""),
     "condition_shares": (q(lambda p: R.shares(p, {"sure": (F.col("conf") > 0.4, F.col("y") == F.col("pred")), "late": (F.col("yr") > 1997, F.col("y") != F.col("pred"))}, ["model"])),
         f"WITH {PREDS}, s AS (SELECT model, 'sure' AS name, count(*) FILTER (conf > 0.4 AND y = pred) AS numerator, count(*) FILTER (y = pred) AS denominator FROM preds GROUP BY model UNION ALL SELECT model, 'late', count(*) FILTER (yr > 1997 AND y <> pred), count(*) FILTER (y <> pred) FROM preds GROUP BY model) SELECT *, round(numerator / nullif(denominator, 0), 6) AS share FROM s"),
     "mixed_images": (q(lambda p: R.mixed_images(p, "grp", K)), f"{_MIX} SELECT model, count(*) AS rows, round({_ACC}, 6) AS accuracy, any_value(i.images) AS images, any_value(i.varying) AS varying, round(any_value(macro_f1), 6) AS macro_f1 FROM rw JOIN (SELECT model, count(*) AS images, count(*) FILTER (np > 1) AS varying FROM mx GROUP BY model) i USING (model) JOIN {_F1.format('model', 'rw')} USING (model) GROUP BY model"),
