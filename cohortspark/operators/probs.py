@@ -25,18 +25,27 @@ def collapsed(p: str, groups: list[list[int]]) -> Column:
     return F.array(*[sum((F.col(p)[k] for k in g), F.lit(0.0)) for g in groups])
 
 
-def _gathered(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """(keys, p) from rows (keys, k, …): ``value`` aggregated per k, in order of k."""
-    return rows.groupBy(*keys, "k").agg(value.alias("v")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("z")).select(*keys, F.col("z.v").alias("p"))
+def _width(preds: DataFrame) -> int:
+    return preds.agg(F.max(F.size("p"))).first()[0] or 0
 
 
-def blend(preds: DataFrame, weights: DataFrame, keys=("id", "y")) -> DataFrame:
-    """(fusion, keys, p): weighted sums over models for all fusions of ``weights`` (fusion, model, w) in one pass.
+def _each(k: int, value) -> list[Column]:
+    """An aggregate for each of the ``k`` places of p: ``value`` of the place's column."""
+    return [value(F.col("p")[j]).alias(f"_p{j}") for j in range(k)]
 
-    ``weights`` is a small table; its checks are ``weight_violations``.
+
+def _together(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    return rows.select(*keys, F.array(*[F.col(f"_p{j}") for j in range(k)]).cast("array<double>").alias("p"))
+
+
+def blend(preds: DataFrame, weights: DataFrame, keys=("id", "y"), k: int | None = None) -> DataFrame:
+    """(fusion, keys, p): weighted sums over models for all fusions of ``weights`` (fusion, model, w) in one pass and one shuffle.
+
+    ``weights`` is a small table; its checks are ``weight_violations``. ``k`` is the number of classes, looked up if not given.
     """
-    rows = preds.join(F.broadcast(weights), "model").select("fusion", *keys, "w", F.posexplode("p").alias("k", "v"))
-    return _gathered(rows, ["fusion", *keys], F.sum(F.col("w") * F.col("v")))
+    k = k or _width(preds)
+    rows = preds.join(F.broadcast(weights), "model").groupBy("fusion", *keys).agg(*_each(k, lambda v: F.sum(F.col("w") * v)))
+    return _together(rows, ["fusion", *keys], k)
 
 
 def weight_violations(weights: DataFrame, models: list[str]) -> DataFrame:
@@ -47,12 +56,13 @@ def weight_violations(weights: DataFrame, models: list[str]) -> DataFrame:
     ).where("negative > 0 OR abs(total - 1) > 1e-9 OR unknown > 0 OR repeated > 0")
 
 
-def mean_over(preds: DataFrame, keys=("id", "y"), how: str = "arithmetic") -> DataFrame:
+def mean_over(preds: DataFrame, keys=("id", "y"), how: str = "arithmetic", k: int | None = None) -> DataFrame:
     """(keys, p): mean of p over the rows of a key (seeds, perturbations); geometric means are normalised anew."""
-    rows = preds.select(*keys, F.posexplode("p").alias("k", "v"))
+    k = k or _width(preds)
     if how == "arithmetic":
-        return _gathered(rows, list(keys), F.avg("v"))
-    return _gathered(rows, list(keys), F.exp(F.avg(F.ln(F.greatest("v", F.lit(1e-8)))))).withColumn("p", normalised("p"))
+        return _together(preds.groupBy(*keys).agg(*_each(k, F.avg)), list(keys), k)
+    logs = preds.groupBy(*keys).agg(*_each(k, lambda v: F.exp(F.avg(F.ln(F.greatest(v, F.lit(1e-8)))))))
+    return _together(logs, list(keys), k).withColumn("p", normalised("p"))
 
 
 def weight_grid(spark, models: list[str], units: int) -> DataFrame:
@@ -68,9 +78,9 @@ def weight_grid(spark, models: list[str], units: int) -> DataFrame:
 
 def select_blend(preds: DataFrame, weights: DataFrame, k: int, keys=("id", "y")) -> DataFrame:
     """Scores of every weighting, best first: macro F1 descending, log loss, calibration error, weights."""
-    rows = M.with_prediction(blend(preds, weights.withColumnRenamed("weight_id", "fusion"), keys))
+    rows = M.with_prediction(blend(preds, weights.withColumnRenamed("weight_id", "fusion"), keys, k))
     by = ("fusion",)
-    scores = M.macro_f1(rows, k, by).join(M.log_loss(rows, by), "fusion").join(M.calibration_error(M.reliability(rows, 15, by), by).select("fusion", "ece"), "fusion")
+    scores = M.macro_f1(rows, k, by).join(M.log_loss(rows, by).hint("merge"), "fusion").join(M.calibration_error(M.reliability(rows, 15, by), by).select("fusion", "ece").hint("merge"), "fusion")
     rounded = [F.round(c, 9).alias(c) for c in ("macro_f1", "log_loss", "ece")]
     order = Window.orderBy(F.desc("macro_f1"), "log_loss", "ece", "fusion")  # one row per weighting
     return scores.select("fusion", *rounded).withColumn("place", F.row_number().over(order))
@@ -214,16 +224,16 @@ def probability_violations(preds: DataFrame, tolerance: float = 1e-6, key: str =
     return preds.select(key, reason.alias("reason")).where("reason IS NOT NULL")
 
 
-def per_image(preds: DataFrame, image: str) -> DataFrame:
+def per_image(preds: DataFrame, image: str, k: int | None = None) -> DataFrame:
     """(image, y, p): mean probabilities of an image's rows, normalised; only images with a single label."""
-    labels = preds.groupBy(image).agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").drop("_y")
-    rows = preds.select(image, F.posexplode("p").alias("k", "v"))
-    return _gathered(rows, [image], F.avg("v")).withColumn("p", normalised("p")).join(labels, image)
+    k = k or _width(preds)
+    rows = preds.groupBy(image).agg(F.min("y").alias("y"), F.max("y").alias("_y"), *_each(k, F.avg)).where("y = _y")
+    return _together(rows, [image, "y"], k).withColumn("p", normalised("p"))
 
 
 def drift(clean: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
     """Agreement of classes, mean and largest absolute gap of probabilities, median margin where the class changed and where not."""
-    both = clean.select(key, F.col("pred").alias("a"), F.col("p").alias("pa")).join(changed.select(key, F.col("pred").alias("b"), F.col("p").alias("pb")), key)
+    both = clean.select(key, F.col("pred").alias("a"), F.col("p").alias("pa")).join(changed.select(key, F.col("pred").alias("b"), F.col("p").alias("pb")).hint("merge"), key)
     gaps = F.zip_with("pa", "pb", lambda x, y: F.abs(x - y))
     top = F.sort_array("pa", asc=False)
     rows = both.select("a", "b", (total(gaps) / F.size(gaps)).alias("g"), F.array_max(gaps).alias("m"), (top[0] - top[1]).alias("margin"))
