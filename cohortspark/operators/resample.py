@@ -38,11 +38,18 @@ def with_draws(rows: DataFrame, draws: int, first: int = 0) -> DataFrame:
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))))
 
 
+def _by_group(base: DataFrame, group: str, draws: int) -> DataFrame:
+    """(group, draw, cells): a group's cells, of which there are a fixed number at most, once per draw, so that a draw's number is made once per group."""
+    own = [F.col(c) for c in base.columns if c != group]
+    return with_draws(base.groupBy(group).agg(F.collect_list(F.struct(*own)).alias("cells")), draws)
+
+
 def cluster_draws(pairs: DataFrame, draws: int, seed: object, group: str = "grp", by=()) -> DataFrame:
     """(by, draw, y, pred_a, pred_b, n): counts with each group weighted by Poisson(1). Draw -1 is the table as it is."""
     base = cells(pairs, group, by)
-    drawn = with_draws(base, draws).withColumn("n", F.col("n") * poisson_weight(uniform(seed, "draw", group)))
-    whole = base.withColumn("draw", F.lit(-1))
+    weighted = _by_group(base, group, draws).select("draw", poisson_weight(uniform(seed, "draw", group)).alias("w"), "cells")
+    drawn = weighted.select("draw", "w", F.explode("cells").alias("c")).select(*[f"c.{c}" for c in (*by, "y", "pred_a", "pred_b")], "draw", (F.col("c.n") * F.col("w")).alias("n"))
+    whole = base.select(*by, "y", "pred_a", "pred_b", F.lit(-1).alias("draw"), "n")
     return drawn.unionByName(whole).groupBy(*by, "draw", "y", "pred_a", "pred_b").agg(F.sum("n").alias("n"))
 
 
@@ -65,7 +72,7 @@ def deltas(drawn: DataFrame, k: int, by=()) -> DataFrame:
     keys = [*by, "draw"]
     macro = _scores(drawn, k, keys).groupBy(*keys).agg((F.sum("f1_a") / k).alias("macro_a"), (F.sum("f1_b") / k).alias("macro_b"), F.count_if(F.col("support") > 0).alias("classes"))
     hit = lambda s: (F.sum(F.when(F.col("y") == F.col(f"pred_{s}"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0))).alias(f"accuracy_{s}")
-    return macro.join(drawn.groupBy(*keys).agg(hit("a"), hit("b")), keys).withColumn("delta", F.col("macro_b") - F.col("macro_a"))
+    return macro.join(drawn.groupBy(*keys).agg(hit("a"), hit("b")).hint("merge"), keys).withColumn("delta", F.col("macro_b") - F.col("macro_a"))
 
 
 def class_deltas(drawn: DataFrame, k: int, by=()) -> DataFrame:
@@ -92,7 +99,7 @@ def complete_draws(drawn: DataFrame, k: int, wanted: int, by=()) -> DataFrame:
     rejected = real.groupBy(*by).agg(F.count_if(F.col("classes") < k).alias("rejected"))
     good = real.where(F.col("classes") == k).withColumn("_at", F.row_number().over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("draw"))).where(F.col("_at") <= wanted).drop("_at")
     rows = good.unionByName(drawn.where("draw < 0"))
-    return rows.join(F.broadcast(rejected), list(by)) if by else rows.join(F.broadcast(rejected))
+    return rows.join(rejected.hint("merge"), list(by)) if by else rows.join(F.broadcast(rejected))
 
 
 def randomization(pairs: DataFrame, k: int, draws: int, seed: object, group: str = "grp", by=()) -> DataFrame:
@@ -102,9 +109,10 @@ def randomization(pairs: DataFrame, k: int, draws: int, seed: object, group: str
     """
     base = cells(pairs, group, by)
     same = base.where("pred_a = pred_b").groupBy(*by, "y", "pred_a", "pred_b").agg(F.sum("n").alias("n"))
-    coin = uniform(seed, "draw", group) % 2 == 1
-    a, b = F.col("pred_a"), F.col("pred_b")
-    swapped = with_draws(base.where("pred_a <> pred_b"), draws).withColumn("_c", coin).select(*by, "draw", "y", F.when(F.col("_c"), b).otherwise(a).alias("pred_a"), F.when(F.col("_c"), a).otherwise(b).alias("pred_b"), "n")
+    coin = (uniform(seed, "draw", group) % 2 == 1).alias("_c")
+    a, b = F.col("c.pred_a"), F.col("c.pred_b")
+    tossed = _by_group(base.where("pred_a <> pred_b"), group, draws).select("draw", coin, "cells").select("draw", "_c", F.explode("cells").alias("c"))
+    swapped = tossed.select(*[f"c.{x}" for x in by], "draw", "c.y", F.when(F.col("_c"), b).otherwise(a).alias("pred_a"), F.when(F.col("_c"), a).otherwise(b).alias("pred_b"), "c.n")
     rows = swapped.unionByName(with_draws(same, draws)).unionByName(base.select(*by, F.lit(-1).alias("draw"), "y", "pred_a", "pred_b", "n"))
     stats = deltas(rows.groupBy(*by, "draw", "y", "pred_a", "pred_b").agg(F.sum("n").alias("n")), k, by).select(*by, "draw", "delta")
     seen = stats.where("draw = -1").select(*by, F.col("delta").alias("observed"))
@@ -151,7 +159,7 @@ def mean_draws(rows: DataFrame, value: str, draws: int, seed: object, key: str =
     whole = rows.where(fine).select(*by, key, value, F.lit(-1).alias("draw"), F.lit(1).alias("w"))
     out = drawn.unionByName(whole).groupBy(*by, "draw").agg((F.sum(F.col("w") * v) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"), F.count("*").alias("used"))
     lost = rows.groupBy(*by).agg(F.count_if(~F.coalesce(fine, F.lit(False))).alias("excluded"))
-    return out.join(F.broadcast(lost), list(by)) if by else out.join(F.broadcast(lost))
+    return out.join(lost.hint("merge"), list(by)) if by else out.join(F.broadcast(lost))
 
 
 def auroc_draws(rows: DataFrame, draws: int, seed: object, group: str = "grp") -> DataFrame:
@@ -174,8 +182,8 @@ def comparison_run(preds: DataFrame, comparisons: DataFrame, k: int, boot: int,
     named = F.broadcast(comparisons)
     a = preds.join(named.withColumnRenamed("reference", "model"), "model").select("comparison", "id", "grp", "y", F.col("pred").alias("pred_a"))
     b = preds.join(named.withColumnRenamed("candidate", "model"), "model").select("comparison", "id", F.col("pred").alias("pred_b"))
-    pairs, by = a.join(b, ["comparison", "id"]), ("comparison",)
+    pairs, by = a.join(b.hint("merge"), ["comparison", "id"]), ("comparison",)
     boots = interval(deltas(cluster_draws(pairs, boot, seed, by=by), k, by), by=by)
     tests = randomization(pairs, k, rand, f"{seed}r", by=by).select("comparison", "p")
-    out = holm(boots.join(tests, "comparison").withColumn("_all", F.lit(1)), ["_all"], name="comparison").drop("_all")
+    out = holm(boots.join(tests.hint("merge"), "comparison").withColumn("_all", F.lit(1)), ["_all"], name="comparison").drop("_all")
     return out.select("comparison", "point", "low", "high", "p", "p_holm", ((F.col("low") > 0) & (F.col("p_holm") <= 0.05)).alias("superior"))
