@@ -73,6 +73,49 @@ def geometry(rows: DataFrame) -> DataFrame:
     return out.withColumn("geometry", F.array(F.ln(area), F.ln("aspect"), "cx", "cy", F.ln(high), edge))
 
 
+def inspected(rows: DataFrame) -> DataFrame:
+    """``clean_boxes`` for files that were opened: (…, w, h as declared, file_w, file_h, decode_ok). Boxes are clipped to the file's own size;
+    adds dimension_match, and a file that can't be decoded is excluded before its box is looked at."""
+    own = rows.withColumns({"dimension_match": F.coalesce((F.col("w") == F.col("file_w")) & (F.col("h") == F.col("file_h")), F.lit(False)), "w": F.col("file_w"), "h": F.col("file_h")})
+    failed = ~F.coalesce(F.col("decode_ok"), F.lit(False))
+    out = clean_boxes(own)
+    return out.withColumn("exclusion_reason", F.when(failed, "decode_failure").otherwise(F.col("exclusion_reason"))).withColumn("eligible", F.col("exclusion_reason") == "")
+
+
+def pose(points: str, skeleton: list[tuple[int, int]]) -> Column:
+    """Features of key points (array of structs x, y, v: 0 not labelled, 1 hidden, 2 visible) in the box with corners x0 … y1.
+
+    Per point: place in the box (0 if not labelled), labelled, visible; per bone of ``skeleton``: steps in x and y, length, whether both
+    ends are labelled; then the shares of labelled and visible points and the mean place of the labelled ones.
+    """
+    wide, high = (F.greatest((F.col(b) - F.col(a)).cast("double"), F.lit(1.0)) for a, b in (("x0", "x1"), ("y0", "y1")))
+    flag = lambda c: c.cast("double")
+    own = F.transform(
+        points,
+        lambda q: F.struct(
+            F.when(q["v"] > 0, (q["x"] - F.col("x0")) / wide).otherwise(0.0).alias("x"), F.when(q["v"] > 0, (q["y"] - F.col("y0")) / high).otherwise(0.0).alias("y"),
+            flag(q["v"] > 0).alias("l"), flag(q["v"] == 2).alias("s"),
+        ),
+    )
+    base = F.flatten(F.transform(own, lambda q: F.array(q["x"], q["y"], q["l"], q["s"])))
+
+    def bone(a: int, b: int) -> list[Column]:
+        both = own[a]["l"] * own[b]["l"]
+        dx, dy = both * (own[b]["x"] - own[a]["x"]), both * (own[b]["y"] - own[a]["y"])
+        return [dx, dy, F.sqrt(dx * dx + dy * dy), both]
+
+    add = lambda name: F.aggregate(own, F.lit(0.0), lambda s, q: s + q[name])
+    n = F.size(own)
+    middle = [F.coalesce(F.try_divide(add(c), add("l")), F.lit(0.0)) for c in ("x", "y")]  # places of points that aren't labelled are 0
+    return F.concat(base, F.array(*[c for a, b in skeleton for c in bone(a, b)], add("l") / n, add("s") / n, *middle))
+
+
+def five_features(mode: str) -> Column:
+    """Five of the ``geometry`` features: "edge" leaves out the height, "height" the distance to the edge."""
+    g = F.col("geometry")
+    return F.slice(g, 1, 5) if mode == "height" else F.array(*[g[k] for k in (0, 1, 2, 3, 5)])
+
+
 def context_box(fraction: float) -> list[Column]:
     """Corners of the box grown by ``fraction`` of its sides, rounded outwards and clipped: cx0, cy0, cx1, cy1."""
     dx, dy = (F.col("x1") - F.col("x0")) * fraction, (F.col("y1") - F.col("y0")) * fraction
@@ -160,8 +203,8 @@ def quartile(rows: DataFrame, value: str, name: str = "quartile", by: tuple = ()
     """Adds the right-closed quartile 1 … 4 of ``value`` by interpolated cut points (three numbers per group); equal cut points are an error."""
     cuts = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_c"))
     sure = F.when((F.col("_c")[0] < F.col("_c")[1]) & (F.col("_c")[1] < F.col("_c")[2]), F.col("_c")).otherwise(F.raise_error(F.lit("quartile borders coincide")).cast("array<double>"))
-    cuts = F.broadcast(cuts.withColumn("_c", sure))
-    out = rows.join(cuts, list(by)) if by else rows.join(cuts)
+    cuts = cuts.withColumn("_c", sure)
+    out = rows.join(cuts.hint("merge"), list(by)) if by else rows.join(F.broadcast(cuts))
     v = F.col(value)
     return out.withColumn(name, F.when(v <= F.col("_c")[0], 1).when(v <= F.col("_c")[1], 2).when(v <= F.col("_c")[2], 3).otherwise(4)).drop("_c")
 
@@ -170,7 +213,7 @@ def strata(rows: DataFrame, edge: float = 1.0) -> DataFrame:
     """Adds people (boxes of the image), occupancy and boundary (whether the box comes within ``edge`` pixels) for boxes with corners x0 … y1."""
     n = rows.groupBy("image_id").agg(F.count("*").alias("people"))
     near = (F.col("x0") <= edge) | (F.col("y0") <= edge) | (F.col("x1") >= F.col("w") - edge) | (F.col("y1") >= F.col("h") - edge)
-    return rows.join(n, "image_id").withColumn("occupancy", F.when(F.col("people") == 1, "single_person").otherwise("multiple_people")).withColumn("boundary", F.when(near, "touches_boundary").otherwise("interior_box"))
+    return rows.join(n.hint("merge"), "image_id").withColumn("occupancy", F.when(F.col("people") == 1, "single_person").otherwise("multiple_people")).withColumn("boundary", F.when(near, "touches_boundary").otherwise("interior_box"))
 
 
 def _digests(width: int):

@@ -24,6 +24,26 @@ def box(f):
     return lambda spark, sf: r(f(B.clean_boxes(X.boxes(spark, sf))))
 
 
+def _opened(s, d):
+    """Boxes of files that were opened: some are narrower than declared, some can't be decoded."""
+    k = F.col("person_id")
+    return X.boxes(s, d).withColumns({"file_w": F.when(k % 9 == 0, F.col("w") - 50).otherwise(F.col("w")), "file_h": F.col("h"), "decode_ok": k % 17 != 0})
+
+
+def _pointed(b: DataFrame) -> DataFrame:
+    k = F.col("person_id")
+    return b.withColumn("points", F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.struct((k * (i + 3) % 400).alias("x"), (k * (i + 5) % 300).alias("y"), ((k + i) % 3).alias("v"))))
+
+
+_SKELETON = [(5, 7), (7, 9), (6, 8), (11, 13)]
+
+
+def _bone(a: int, b: int) -> str:
+    a, b = f"q[{a + 1}]", f"q[{b + 1}]"
+    both, dx, dy = f"{a}.l * {b}.l", f"{a}.l * {b}.l * ({b}.x - {a}.x)", f"{a}.l * {b}.l * ({b}.y - {a}.y)"
+    return f"{dx}, {dy}, sqrt(power({dx}, 2) + power({dy}, 2)), {both}"
+
+
 def acts(f):
     return lambda spark, sf: f(X.actions(spark, sf))
 
@@ -109,6 +129,19 @@ SELECT annotation, CASE WHEN w OR r THEN 'walking_running' ELSE still END AS coa
     "box_geometry": (box(lambda b: B.geometry(b).select("person_id", "aspect", "cx", "cy", "pixel_height", *[F.col("geometry")[k].alias(f"g{k}") for k in range(6)])),
         f"""{CLEAN}, g AS (SELECT person_id, greatest(x1 - x0, 1) AS bw, greatest(y1 - y0, 1) AS bh, (x0 + x1) / 2 / w AS cx, (y0 + y1) / 2 / h AS cy, w, h FROM cb)
 SELECT person_id, round(bw / bh, 6) AS aspect, round(cx, 6) AS cx, round(cy, 6) AS cy, bh AS pixel_height, round(ln(least(greatest(bw * bh / (w * h), 1e-8), 1)), 6) AS g0, round(ln(bw / bh), 6) AS g1, round(cx, 6) AS g2, round(cy, 6) AS g3, round(ln(bh), 6) AS g4, round(least(cx, 1 - cx, cy, 1 - cy), 6) AS g5 FROM g"""),
+    "five_geometry": (box(lambda b: B.geometry(b).select("person_id", *[F.transform(B.five_features(m), lambda v: F.round(v, 6)).alias(m) for m in ("edge", "height")])),
+        f"""{CLEAN}, g AS (SELECT person_id, greatest(x1 - x0, 1) AS bw, greatest(y1 - y0, 1) AS bh, (x0 + x1) / 2 / w AS cx, (y0 + y1) / 2 / h AS cy, w, h FROM cb),
+f AS (SELECT person_id, round(ln(least(greatest(bw * bh / (w * h), 1e-8), 1)), 6) AS a, round(ln(bw / bh), 6) AS b, round(cx, 6) AS c, round(cy, 6) AS d, round(ln(bh), 6) AS e, round(least(cx, 1 - cx, cy, 1 - cy), 6) AS f FROM g) SELECT person_id, [a, b, c, d, f] AS edge, [a, b, c, d, e] AS height FROM f"""),
+    "inspected_boxes": (lambda s, d: r(B.inspected(_opened(s, d)).select("person_id", "dimension_match", "x0", "y0", "x1", "y1", "area_fraction", "eligible", "exclusion_reason")),
+        f"""WITH {X.BOXES}, op AS (SELECT *, CASE WHEN person_id % 9 = 0 THEN w - 50 ELSE w END AS fw, h AS fh, person_id % 17 <> 0 AS ok FROM boxes),
+cl AS (SELECT *, greatest(least(xmin, fw), 0) AS x0, greatest(least(ymin, fh), 0) AS y0, greatest(least(xmax, fw), 0) AS x1, greatest(least(ymax, fh), 0) AS y1 FROM op)
+SELECT person_id, w = fw AS dimension_match, x0, y0, x1, y1, round(CASE WHEN x1 - x0 >= 1 AND y1 - y0 >= 1 THEN (x1 - x0) * (y1 - y0) / (fw * fh) ELSE 0 END, 6) AS area_fraction,
+  CASE WHEN NOT ok THEN 'decode_failure' WHEN x1 - x0 >= 1 AND y1 - y0 >= 1 THEN '' ELSE 'invalid_person_box' END AS exclusion_reason, exclusion_reason = '' AS eligible FROM cl"""),
+    "pose_features": (box(lambda b: _pointed(b).select("person_id", F.transform(B.pose("points", _SKELETON), lambda v: F.round(v, 6)).alias("pose"))),
+        f"""{CLEAN}, pt AS (SELECT person_id, greatest(x1 - x0, 1) AS bw, greatest(y1 - y0, 1) AS bh, x0, y0, list_transform(range(17), lambda i: {{'x': person_id * (i + 3) % 400, 'y': person_id * (i + 5) % 300, 'v': (person_id + i) % 3}}) AS q FROM cb),
+nm AS (SELECT person_id, list_transform(q, lambda z: {{'x': CASE WHEN z.v > 0 THEN (z.x - x0) / bw ELSE 0 END, 'y': CASE WHEN z.v > 0 THEN (z.y - y0) / bh ELSE 0 END, 'l': CASE WHEN z.v > 0 THEN 1.0 ELSE 0 END, 's': CASE WHEN z.v = 2 THEN 1.0 ELSE 0 END}}) AS q FROM pt)
+SELECT person_id, list_transform(list_concat(flatten(list_transform(q, lambda z: [z.x, z.y, z.l, z.s])), [{", ".join(_bone(a, b) for a, b in _SKELETON)},
+  list_sum(list_transform(q, lambda z: z.l)) / 17, list_sum(list_transform(q, lambda z: z.s)) / 17, list_sum(list_transform(q, lambda z: z.x)) / list_sum(list_transform(q, lambda z: z.l)), list_sum(list_transform(q, lambda z: z.y)) / list_sum(list_transform(q, lambda z: z.l))]::DOUBLE[]), lambda v: round(v, 6)) AS pose FROM nm"""),
     "context_boxes": (box(lambda b: b.select("person_id", *B.context_box(0.25))), f"{CLEAN} SELECT person_id, CAST(greatest(floor(x0 - (x1 - x0) * CAST(0.25 AS DOUBLE)), 0) AS BIGINT) AS cx0, CAST(greatest(floor(y0 - (y1 - y0) * CAST(0.25 AS DOUBLE)), 0) AS BIGINT) AS cy0, CAST(least(ceil(x1 + (x1 - x0) * CAST(0.25 AS DOUBLE)), w) AS BIGINT) AS cx1, CAST(least(ceil(y1 + (y1 - y0) * CAST(0.25 AS DOUBLE)), h) AS BIGINT) AS cy1 FROM cb"),
     "perturbed_boxes": (lambda s, d: B.perturbed(B.clean_boxes(X.boxes(s, d))).select("person_id", "perturbation", *[F.round(c, 9).alias(c) for c in ("px0", "py0", "px1", "py1", "input_area")], "too_small"),
         f"""{CLEAN}, q AS (SELECT *, (x0 + x1) / 2 + dx * (x1 - x0) AS mx, (y0 + y1) / 2 + dy * (y1 - y0) AS my, scale * (x1 - x0) / 2 AS hx, scale * (y1 - y0) / 2 AS hy FROM cb, {_PERT}),

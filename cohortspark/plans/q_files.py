@@ -36,7 +36,7 @@ def _columns(s, d):
     """(action, ann_id, image_id, label): per action and block of users three parallel arrays."""
     e = table(s, d, "events").select("user_id", X.action_of().alias("a")).distinct()
     every = e.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(x) for x in ("sit", "stand", "walk", "run")])).alias("a"))
-    rows = every.join(e.withColumn("on", F.lit(1)), ["user_id", "a"], "left").withColumn("on", F.coalesce("on", F.lit(0)))
+    rows = every.join(e.withColumn("on", F.lit(1)).hint("merge"), ["user_id", "a"], "left").withColumn("on", F.coalesce("on", F.lit(0)))
     arrays = rows.groupBy(F.col("a").alias("action"), F.floor(F.col("user_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("user_id", "on"))).alias("z"))
     return arrays.select("action", F.col("z.user_id").alias("ann_id"), F.transform("z.user_id", lambda u: u % 20).alias("image_id"), F.col("z.on").alias("label"))
 
@@ -48,7 +48,7 @@ def _column_actions(s, d):
 def _instances(s, d, part):
     ann = X.boxes(s, d).select(F.col("person_id").alias("annotation"), F.col("image_id").alias("image"), "xmin")
     images = X.boxes(s, d).select(F.col("image_id").alias("image"), "w", "h").distinct()
-    wanted = s.range(0, 20000, 7).select(F.col("id").alias("annotation"))
+    wanted = table(s, d, "lineitem").select((F.col("l_orderkey") + F.col("l_suppkey")).alias("annotation")).distinct()
     return A.instances(ann, images, wanted)[part]
 
 
@@ -83,8 +83,8 @@ QUERIES = {
         f"""{DOCS}, a AS (SELECT *, CASE WHEN k < 4 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 11 = 0 AND k <> 1 THEN 1 ELSE 0 END AS act FROM d)
 SELECT filename, 'persons' AS error FROM a WHERE o_orderkey % 13 = 0 UNION ALL SELECT filename, 'active' FROM a WHERE act <> 1 UNION ALL SELECT filename, 'box' FROM a WHERE o_orderkey % 3 = 0 UNION ALL SELECT filename, 'source' FROM a WHERE o_orderkey % 50 = 0"""),
     "column_actions": (_column_actions, f"WITH {X.ACTIONS} SELECT annotation, image, actions FROM actions"),
-    "instance_rows": (lambda s, d: _instances(s, d, 0), f"WITH {X.BOXES} SELECT image_id AS image, person_id AS annotation, xmin, w, h FROM boxes WHERE person_id % 7 = 0 AND person_id < 20000"),
-    "instance_missing": (lambda s, d: _instances(s, d, 1), "SELECT i AS annotation FROM range(0, 20000, 7) t(i) WHERE i NOT IN (SELECT o_orderkey FROM orders)"),
+    "instance_rows": (lambda s, d: _instances(s, d, 0), f"WITH {X.BOXES} SELECT image_id AS image, person_id AS annotation, xmin, w, h FROM boxes WHERE person_id IN (SELECT l_orderkey + l_suppkey FROM lineitem)"),
+    "instance_missing": (lambda s, d: _instances(s, d, 1), "SELECT DISTINCT l_orderkey + l_suppkey AS annotation FROM lineitem WHERE l_orderkey + l_suppkey NOT IN (SELECT o_orderkey FROM orders)"),
     "prediction_scan": (lambda s, d: r(X.preds(s, d).where("model = 'cand' AND split = 'val'").select("id", "y", F.element_at("p", F.col("y") + 1).alias("p_label"))), f"WITH {X.PREDS} SELECT id, y, round(p[y + 1], 6) AS p_label FROM preds WHERE model = 'cand' AND split = 'val'"),
     "feature_contract": (lambda s, d: A.feature_contract(X.vectors(s, d).select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 90 == 1, "other").otherwise("m").alias("model"), F.lit("full").alias("view"), "split", F.when(F.col("vec_id") % 100 == 5, F.slice("features", 1, 10)).otherwise(F.col("features")).alias("features")), "m", "full", 64),
         f"WITH {X.VECTORS} SELECT vec_id AS id, CASE WHEN vec_id % 90 = 1 THEN 'scope' WHEN split = 'test' THEN 'held out' ELSE 'size' END AS problem FROM vectors WHERE vec_id % 90 = 1 OR split = 'test' OR vec_id % 100 = 5"),
