@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.sources.tables import materialize, sized
+
 
 def enforce(violations: DataFrame, what: str) -> None:
     """Raises with a few examples if there is a violation."""
@@ -32,10 +34,14 @@ def repeated(table: DataFrame, keys: list[str]) -> DataFrame:
 def domain(table: DataFrame, column: str, allowed: DataFrame, by=()) -> DataFrame:
     """(by, value, problem): values that aren't allowed, and allowed ones that a group lacks. ``allowed`` has one column, value."""
     have = table.select(*by, F.col(column).alias("value")).distinct()
-    extra = have.join(F.broadcast(allowed), "value", "left_anti").withColumn("problem", F.lit("unknown"))
-    listed = allowed.agg(F.collect_set("value").alias("vs"))
-    wanted = table.select(*by).distinct() if by else table.sparkSession.range(1).select()
-    lack = wanted.join(F.broadcast(listed)).select(*by, F.explode("vs").alias("value")).join(have, [*by, "value"], "left_anti").withColumn("problem", F.lit("absent"))
+    known = allowed.select("value").distinct().hint("merge")
+    extra = have.join(known, "value", "left_anti").withColumn("problem", F.lit("unknown"))
+    if not by:
+        lack = known.join(have.hint("merge"), "value", "left_anti").withColumn("problem", F.lit("absent"))
+        return extra.select("value", "problem").unionByName(lack)
+    listed = sized(materialize(known))
+    wanted = have.select(*by).distinct()
+    lack = wanted.join(listed).join(have.hint("merge"), [*by, "value"], "left_anti").withColumn("problem", F.lit("absent"))
     return extra.select(*by, "value", "problem").unionByName(lack)
 
 
@@ -74,7 +80,7 @@ def key_coverage(tables: dict[str, DataFrame], key: str) -> DataFrame:
 
 def disagreements(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, column, left, right) where tables that share a key differ; null equals null."""
-    both = a.select(key, *[F.col(c).alias(f"a_{c}") for c in columns]).join(b.select(key, *[F.col(c).alias(f"b_{c}") for c in columns]), key)
+    both = a.select(key, *[F.col(c).alias(f"a_{c}") for c in columns]).join(b.select(key, *[F.col(c).alias(f"b_{c}") for c in columns]).hint("merge"), key)
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a_{c}").cast("string").alias("left"), F.col(f"b_{c}").cast("string").alias("right")) for c in columns])
     return both.select(key, F.explode(rows).alias("x")).select(key, "x.*").where("NOT (left <=> right)")
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators import metrics as M
 from cohortspark.operators import probs as P
 from cohortspark.operators import splits as J
+from cohortspark.sources.tables import materialize
 
 
 class Head:
@@ -52,7 +53,7 @@ def head_report(rows: DataFrame, classes: int, by=("split",), **how) -> DataFram
     """(by, n, accuracy, macro_f1, log_loss, iterations) of a head fitted on the train split."""
     head = fit_head(rows.where("split = 'train'"), classes, **how)
     out = M.with_prediction(head.predict(rows))
-    return M.accuracy(out, by).join(M.macro_f1(out, classes, by), list(by)).join(M.log_loss(out, by), list(by)).withColumn("iterations", F.lit(head.iterations))
+    return M.accuracy(out, by).join(M.macro_f1(out, classes, by).hint("merge"), list(by)).join(M.log_loss(out, by).hint("merge"), list(by)).withColumn("iterations", F.lit(head.iterations))
 
 
 def fit_factorised(rows: DataFrame, **how):
@@ -90,7 +91,7 @@ def stack(views: dict[str, DataFrame], classes: int, folds: int = 3, **how) -> D
     wide = None
     for name, rows in views.items():
         oof = cross_fit(rows, classes, folds, **how).select("id", "grp", "y", F.col("p").alias(name))
-        wide = oof if wide is None else wide.join(oof.select("id", name), "id")
+        wide = oof if wide is None else wide.join(oof.select("id", name).hint("merge"), "id")
     stacked = P.stack_features(wide, list(views)).select("id", "grp", "y", "features")
     return cross_fit(stacked, classes, folds, **how)
 
@@ -111,7 +112,7 @@ def svm_scores(rows: DataFrame, classes: int, folds: int = 3, c: float = 1.0) ->
 
 def tuned_calibrator(preds: DataFrame, classes: int, grid: list[float], folds: int = 3) -> tuple[DataFrame, float]:
     """(calibrated rows, C): a head on centred logs of p, its C chosen by log loss over group folds, then fitted on all rows."""
-    rows = J.group_folds(preds.withColumn("features", P.centred_logs("p")).drop("p"), "grp", folds).persist()
+    rows = materialize(J.group_folds(preds.withColumn("features", P.centred_logs("p")).drop("p"), "grp", folds))
     losses = {c: M.log_loss(out_of_fold(rows, flat(classes, c=c), folds), ()).first()[0] for c in grid}
     best = min(grid, key=lambda c: (losses[c], c))
     return fit_head(rows, classes, c=best).predict(rows), best
@@ -119,7 +120,7 @@ def tuned_calibrator(preds: DataFrame, classes: int, grid: list[float], folds: i
 
 def nested(rows: DataFrame, classes: int, grid: list[float], outer: int = 3, inner: int = 2) -> DataFrame:
     """(outer_fold, c, accuracy, macro_f1): C chosen on inner group folds of the other outer folds, scored on the outer fold."""
-    rows = J.group_folds(rows, "grp", outer).withColumnRenamed("fold", "outer_fold").persist()
+    rows = materialize(J.group_folds(rows, "grp", outer).withColumnRenamed("fold", "outer_fold"))
     parts = []
     for k in range(outer):
         train, test = rows.where(F.col("outer_fold") != k), rows.where(F.col("outer_fold") == k)
@@ -136,7 +137,7 @@ def fused_views(features: DataFrame, pairs: list[tuple[str, str]]) -> dict[str,
     out = {}
     for a, b in pairs:
         right = features.where(F.col("view") == b).select("id", F.col("features").alias("_f"))
-        out[f"{a}+{b}"] = features.where(F.col("view") == a).join(right, "id").withColumn("features", F.concat("features", "_f")).drop("_f", "view")
+        out[f"{a}+{b}"] = features.where(F.col("view") == a).join(right.hint("merge"), "id").withColumn("features", F.concat("features", "_f")).drop("_f", "view")
     return out
 
 
@@ -149,12 +150,13 @@ def augmented(views: DataFrame, classes: int, fit, condition: str = "perturbatio
 
 def learning_curve(rows: DataFrame, classes: int, sizes: list[int], seeds: list[int], **how) -> DataFrame:
     """(size, seed, accuracy, macro_f1) on the other rows of heads fitted on nested subsets of the train split."""
-    train, test = rows.where("split = 'train'"), rows.where("split <> 'train'").persist()
+    rows = materialize(rows)
+    train, test = rows.where("split = 'train'"), rows.where("split <> 'train'")
     parts = []
     for seed in seeds:
         subsets = J.nested_subsets(train, "y", sizes, seed).select("size", "id")
         for size in sizes:
-            head = fit_head(train.join(subsets.where(F.col("size") == size).select("id"), "id", "left_semi"), classes, **how)
+            head = fit_head(train.join(subsets.where(F.col("size") == size).select("id").hint("merge"), "id", "left_semi"), classes, **how)
             out = M.with_prediction(head.predict(test)).withColumns({"size": F.lit(size), "seed": F.lit(seed)})
             parts.append(M.accuracy(out, ("size", "seed")).join(M.macro_f1(out, classes, ("size", "seed")), ["size", "seed"]).select("size", "seed", "accuracy", "macro_f1"))
     return reduce(DataFrame.unionByName, parts)
@@ -162,7 +164,7 @@ def learning_curve(rows: DataFrame, classes: int, sizes: list[int], seeds: list[
 
 def screen(rows: DataFrame, classes: int, grid: list[float], folds: int = 3) -> DataFrame:
     """(c, accuracy, macro_f1, balanced_accuracy) of each C over group folds."""
-    folded = J.group_folds(rows, "grp", folds).persist()
+    folded = materialize(J.group_folds(rows, "grp", folds))
     parts = []
     for c in grid:
         out = M.with_prediction(out_of_fold(folded, flat(classes, c=c), folds)).withColumn("c", F.lit(c))
@@ -197,4 +199,4 @@ def adaptation_table(preds: DataFrame, classes: int) -> DataFrame:
     }
     rows = reduce(DataFrame.unionByName, [M.with_prediction(w.select("id", "y", "p")).withColumn("method", F.lit(n)) for n, w in ways.items()])
     by = ("method",)
-    return M.accuracy(rows, by).join(M.macro_f1(rows, classes, by), "method").join(M.log_loss(rows, by), "method").select("method", "accuracy", "macro_f1", "log_loss")
+    return M.accuracy(rows, by).join(M.macro_f1(rows, classes, by).hint("merge"), "method").join(M.log_loss(rows, by).hint("merge"), "method").select("method", "accuracy", "macro_f1", "log_loss")

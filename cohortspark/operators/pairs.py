@@ -20,13 +20,13 @@ def left_checked(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join that raises if ``right`` holds a key twice."""
     n = Window.partitionBy(key)
     sure = F.when(F.count("*").over(n) == 1, F.col(key)).otherwise(F.raise_error(F.lit(f"{key} repeats")).cast(right.schema[key].dataType))
-    return left.join(right.withColumn(key, sure), key, "left")
+    return left.join(right.withColumn(key, sure).hint("merge"), key, "left")
 
 
 def same_digest(table: DataFrame, digest: str = "sha256", key: str = "id") -> DataFrame:
     """(left_id, right_id, digest): pairs of rows in different splits with the same digest, each once."""
     a, b = (table.select(digest, F.col(key).alias(f"{s}_id"), F.col("split").alias(f"{s}_split")) for s in ("left", "right"))
-    return a.join(b, digest).where("left_split <> right_split AND left_id < right_id")
+    return a.join(b.hint("merge"), digest).where("left_split <> right_split AND left_id < right_id")
 
 
 def hash_bands(width: int, radius: int) -> list[tuple[int, int]]:
@@ -79,9 +79,10 @@ def embedding_neighbours(table: DataFrame, min_cosine: float, top_k: int, key: s
 
 def overlap(candidate: DataFrame, known: DataFrame, radius: int, width: int = 32) -> DataFrame:
     """(left_id, match, right_id): for each row and kind of match (sha256, hash, id) with another cohort the first partner."""
-    a, b = candidate.select("id", "sha256", "h32"), known.select(F.col("id").alias("right_id"), F.col("sha256"), "h32")
-    sha = a.join(b, "sha256").select(F.col("id").alias("left_id"), F.lit("sha256").alias("match"), "right_id")
-    same = a.join(b, F.col("id") == F.col("right_id")).select(F.col("id").alias("left_id"), F.lit("id").alias("match"), "right_id")
+    a, b = candidate.select("id", "sha256"), known.select(F.col("id").alias("right_id"), "sha256")
+    first = b.groupBy("sha256").agg(F.min("right_id").alias("right_id"))  # one partner of each digest, not all
+    sha = a.join(first.hint("merge"), "sha256").select(F.col("id").alias("left_id"), F.lit("sha256").alias("match"), "right_id")
+    same = a.join(b.select("right_id").distinct().hint("merge"), F.col("id") == F.col("right_id")).select(F.col("id").alias("left_id"), F.lit("id").alias("match"), "right_id")
     near = near_hash(candidate, radius, width, "h32", other=known, split=False).select("left_id", F.lit("hash").alias("match"), "right_id")
     return reduce(DataFrame.unionByName, [sha, same, near]).groupBy("left_id", "match").agg(F.min("right_id").alias("right_id"))
 
@@ -91,7 +92,7 @@ def enriched(pairs: DataFrame, table: DataFrame, key: str, vector: str, extra: l
     def side(s: str) -> DataFrame:
         return table.select(F.col(key).alias(f"{s}_id"), F.col(vector).alias(f"{s}_v"), *[F.col(c).alias(f"{s}_{c}") for c in extra])
 
-    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    both = pairs.join(side("left").hint("merge"), "left_id").join(side("right").hint("merge"), "right_id")
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
     n = F.size("left_v")
     both = both.withColumn("mae", add(F.zip_with("left_v", "right_v", lambda a, b: F.abs(a - b))) / n).withColumn("_l", add("left_v") / n).withColumn("_r", add("right_v") / n)
@@ -114,7 +115,7 @@ def star_edges(table: DataFrame, identity: str, key: str = "id") -> DataFrame:
     """(left_id, right_id): the smallest id of an identity to each other one: as many edges as rows, not as pairs."""
     rows = table.where(F.col(identity).isNotNull())
     hub = rows.groupBy(identity).agg(F.min(key).alias("left_id"))
-    return rows.join(hub, identity).where(F.col(key) != F.col("left_id")).select("left_id", F.col(key).alias("right_id"))
+    return rows.join(hub.hint("merge"), identity).where(F.col(key) != F.col("left_id")).select("left_id", F.col(key).alias("right_id"))
 
 
 def merged_evidence(sources: dict[str, DataFrame]) -> DataFrame:
@@ -126,12 +127,12 @@ def merged_evidence(sources: dict[str, DataFrame]) -> DataFrame:
 def relocated(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``old`` with ``columns`` taken from ``new``; rows that ``new`` lacks keep theirs."""
     fresh = new.select(key, F.lit(True).alias("_found"), *[F.col(c).alias(f"_{c}") for c in columns])
-    joined = old.join(fresh, key, "left")
+    joined = old.join(fresh.hint("merge"), key, "left")
     return joined.select(*[F.when(F.col("_found"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
 
 
 def marked_pairs(pairs: DataFrame, members: DataFrame, key: str = "id") -> DataFrame:
     """Adds ``status``: quarantined if both ends are members, else similar."""
     m = lambda s: members.select(F.col(key).alias(f"{s}_id"), F.lit(True).alias(f"_{s}")).distinct()
-    out = pairs.join(m("left"), "left_id", "left").join(m("right"), "right_id", "left")
+    out = pairs.join(m("left").hint("merge"), "left_id", "left").join(m("right").hint("merge"), "right_id", "left")
     return out.withColumn("status", F.when(F.col("_left") & F.col("_right"), "quarantined").otherwise("similar")).drop("_left", "_right")

@@ -81,8 +81,8 @@ def instances(annotations: DataFrame, images: DataFrame, wanted: DataFrame) -> t
     """(rows, missing): annotations of the wanted ids with their image's columns, and wanted ids without one. Repeated ids raise."""
     from cohortspark.operators.pairs import left_checked
 
-    rows = left_checked(annotations.join(wanted, "annotation", "left_semi"), images, "image")
-    return rows, wanted.join(annotations, "annotation", "left_anti")
+    rows = left_checked(annotations.join(wanted.hint("merge"), "annotation", "left_semi"), images, "image")
+    return rows, wanted.join(annotations.hint("merge"), "annotation", "left_anti")
 
 
 def feature_contract(rows: DataFrame, model: str, view: str, size: int) -> DataFrame:
@@ -122,13 +122,13 @@ def write_cohorts(rows: DataFrame, path: str, by: list[str], digest_key: str = "
 
     rows.write.mode("errorifexists").partitionBy(*by).parquet(path)
     back = rows.sparkSession.read.schema(rows.schema).parquet(path)
-    return back.groupBy(*by).agg(F.count("*").alias("rows")).join(fingerprint(back, digest_key, by=tuple(by)), by)
+    return back.groupBy(*by).agg(F.count("*").alias("rows")).join(fingerprint(back, digest_key, by=tuple(by)).hint("merge"), by)
 
 
 def cohort_receipt(rows: DataFrame, by: list[str], key: str = "id") -> DataFrame:
     from cohortspark.functions.fields import fingerprint
 
-    return rows.groupBy(*by).agg(F.count("*").alias("rows")).join(fingerprint(rows, key, by=tuple(by)), by)
+    return rows.groupBy(*by).agg(F.count("*").alias("rows")).join(fingerprint(rows, key, by=tuple(by)).hint("merge"), by)
 
 
 def portable(rows: DataFrame, columns: list[str], folder: str, name: str) -> DataFrame:

@@ -29,10 +29,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, has true sizes."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, has true sizes.
+
+    The folder goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/cohortspark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
