@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.shingles import WIDTH, set_digest, shingle_sets
+from cohortspark.llm.shingles import WIDTH, set_digest, shingle_sets, tidy
 from cohortspark.operators.components import connected_components
 from cohortspark.sources.tables import BROADCAST_ROWS, materialize, sized
 
 #: Shingles are counted in 2 ** BITS cells, in blocks of 2 ** 16 that tasks sum one at a time: the whole is nowhere held.
 BITS = 30
 #: Members that a task counts before it hands them on, cells that every task may be told of, and the least count told.
-WAITING, TOLD, LEAST = 2_000_000, 4_000_000, 12
+WAITING, TOLD, LEAST = 1_000_000, 4_000_000, 12
 #: Fragments of the global order. The last one holds the frequent shingles.
 FRAGMENTS = 8
 #: Fragments that are counted first; pairs that these rule out are not counted further.
@@ -66,6 +66,7 @@ def _counted(members: list[np.ndarray], bits: int) -> list[pa.Array]:
 def _describe(width: int, bits: int):
     """Per row (doc_id, n_shingles, node: the digest of its set); besides, blocks of counts of the members' cells."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "node", "block", "cells", "many", "counts"]
         waiting, size = [], 0
@@ -188,11 +189,15 @@ def _postings(levels, width: int, percent: int):
     40 bits of a hash are enough to find candidates, and shuffle better.
     """
 
+    def told(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "node", "place"])
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = levels.value
         for batch in batches:
             nodes, digests = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            out: list[list[np.ndarray]] = [[], [], []]
+            out, size = [[], [], []], 0
             for row, members in shingle_sets(batch.column(3), width):
                 n = len(members)
                 if not n or set_digest(members) != digests[row]:
@@ -202,8 +207,12 @@ def _postings(levels, width: int, percent: int):
                 out[0].append((first >> np.uint64(24)).view(np.int64))
                 out[1].append(np.full(k, nodes[row]))
                 out[2].append((n << 32) + np.arange(k))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "node", "place"])
+                size += k
+                if size > 200_000:
+                    yield told(out)
+                    out, size = [[], [], []], 0
+            if size:
+                yield told(out)
 
     return run
 
@@ -214,6 +223,7 @@ def _segments(levels, width: int, fragments: int, early: bool):
     ``early`` gives the first ``EARLY`` fragments, else the others.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = levels.value
         borders = (np.arange(1, fragments - 1, dtype=np.float64) / (fragments - 1) * 2.0**64).astype(np.uint64)

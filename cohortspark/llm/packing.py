@@ -20,12 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.shingles import chunks, text_bytes
+from cohortspark.llm.shingles import chunks, text_bytes, tidy
 from cohortspark.sources.tables import materialize, sized
 
 CAPACITY = 2048
 #: Entries of a worker's memory of encoded words (some 15 MB), and bytes of text that are cut into words at a time.
-WORDS_KEPT, SLICE = 400_000, 1 << 22
+WORDS_KEPT, SLICE = 400_000, 1 << 21
 #: Steps of the fit, and pieces of one length that one task ranks.
 STEPS, RANKED = 200, 1_000
 SLACK = 0.001
@@ -136,6 +136,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _pieces(path: str, capacity: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:

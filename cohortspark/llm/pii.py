@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cohortspark.llm.shingles import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -99,7 +101,7 @@ _SEEN: dict[tuple, int] = {}
 def _hash(*parts) -> int:
     got = _SEEN.get(parts)
     if got is None:
-        if len(_SEEN) > 200_000:
+        if len(_SEEN) > 60_000:
             _SEEN.clear()
         got = _SEEN[parts] = int.from_bytes(hashlib.blake2b("\1".join(map(str, parts)).encode(), digest_size=4).digest(), "little") % FEATURES
     return got
@@ -350,6 +352,7 @@ def _hinted(column: pa.Array) -> np.ndarray:
 
 
 def _detect(model):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
@@ -393,6 +396,7 @@ def masked(text: str, spans: list) -> str:
 
 
 def _mask(model, text: int, n_chars: int | None):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(text)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.shingles import chunks, text_bytes, word_hashes, word_spans
+from cohortspark.llm.shingles import chunks, text_bytes, tidy, word_hashes, word_spans
 from cohortspark.sources.tables import materialize, sized
 
 #: Expected sizes of the labelled sample and of the unlabelled pool.
@@ -276,6 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
 
 def _score(shared):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -303,6 +304,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _filter(shared, text: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):

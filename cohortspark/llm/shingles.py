@@ -6,14 +6,16 @@ distinct runs of ``width`` words; with fewer words the whole sequence is the one
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(90210))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -26,6 +28,20 @@ _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
 _powers: dict[str, np.ndarray] = {}
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function that at its end gives freed memory back to the system: Python workers serve many tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     got = _powers.get(name)
     if got is None or len(got) < n:
@@ -33,7 +49,7 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
         got = np.full(size, base, np.uint64)
         got[0] = 1
         got = np.multiply.accumulate(got)
-        if size <= 4 * _CHUNK:
+        if size == _CHUNK + 1:
             _powers[name] = got
     return got[:n]
 
