@@ -52,7 +52,7 @@ def fit_head(rows: DataFrame, classes: int, c: float = 1.0, balanced: bool = Fal
 def head_report(rows: DataFrame, classes: int, by=("split",), **how) -> DataFrame:
     """(by, n, accuracy, macro_f1, log_loss, iterations) of a head fitted on the train split."""
     head = fit_head(rows.where("split = 'train'"), classes, **how)
-    out = M.with_prediction(head.predict(rows))
+    out = materialize(M.with_prediction(head.predict(rows)).select(*by, "id", "y", "p", "pred", "conf"))
     return M.accuracy(out, by).join(M.macro_f1(out, classes, by).hint("merge"), list(by)).join(M.log_loss(out, by).hint("merge"), list(by)).withColumn("iterations", F.lit(head.iterations))
 
 

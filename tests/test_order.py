@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import fields as B
 from cohortspark.operators import gates as G
 from cohortspark.operators import metrics as M
+from cohortspark.operators import pairs as D
 from cohortspark.operators import probs as P
 from cohortspark.operators import splits as J
 from cohortspark.operators.order import positions, running
@@ -152,3 +153,15 @@ def test_files_that_fail_are_excluded_first(spark):
     out = {r.k: r for r in B.inspected(rows.withColumns({"xmin": F.lit(95), "ymin": F.lit(0), "xmax": F.lit(120), "ymax": F.lit(50)})).collect()}
     assert [out[k].exclusion_reason for k in (1, 2, 3, 4)] == ["", "invalid_person_box", "decode_failure", "decode_failure"]
     assert [out[k].dimension_match for k in (1, 2, 3, 4)] == [True, False, True, False] and out[1].x1 == 100
+
+
+def test_hashed_neighbours_find_nearly_all(spark):
+    """Near copies of 300 vectors among 900: at least nine tenths of the exact pairs, and no other pair."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 16))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.02, rng.normal(size=(300, 16))])
+    rows = [(k, "train" if k < 300 else "test", [float(v) for v in row]) for k, row in enumerate(x)] + [(900, "test", [0.0] * 16)]
+    frame = spark.createDataFrame(rows, "vec_id long, split string, features array<double>")
+    exact = {tuple(p) for p in D.embedding_neighbours(frame.where("vec_id < 900"), 0.985, 5).select("left_id", "right_id").collect()}
+    found = {tuple(p) for p in D.hashed_neighbours(frame, 0.985, 5).select("left_id", "right_id").collect()}
+    assert len(exact) >= 300 and found <= exact and len(found) >= 0.9 * len(exact)
