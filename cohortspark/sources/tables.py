@@ -7,9 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a side that may be broadcast. Keys and a few numbers per row, so some tens of MB at most.
 BROADCAST_ROWS = 1_000_000
+TEXT_BYTES = 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +44,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The narrow, written table ``df`` with a join hint: broadcast up to ``max_rows`` rows, sort-merge beyond."""
-    return F.broadcast(df) if df.count() <= max_rows else df.hint("merge")
+    """The narrow, written table ``df`` with a join hint: broadcast up to ``max_rows`` rows, sort-merge beyond.
+
+    Of a table with texts or other values of no fixed size, the bytes of these count: ``TEXT_BYTES`` for all rows at most.
+    """
+    free = [F.length(c.name) for c in df.schema if isinstance(c.dataType, (T.StringType, T.BinaryType))]
+    if any(isinstance(c.dataType, (T.ArrayType, T.MapType, T.StructType)) for c in df.schema):
+        return df.hint("merge")
+    size = F.sum(sum((F.coalesce(x, F.lit(0)) for x in free), F.lit(0)).cast("long"))
+    rows, own = df.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and own <= TEXT_BYTES else df.hint("merge")
