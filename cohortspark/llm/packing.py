@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.shingles import chunks, text_bytes, tidy
+from cohortspark.llm.shingles import chunks, release, text_bytes, tidy
 from cohortspark.sources.tables import materialize, sized
 
 CAPACITY = 2048
@@ -308,6 +308,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     for length, n in pieces.groupBy("length").count().collect():  # one row per length, capacity at most
         histogram[length] = n
     shared = docs.sparkSession.sparkContext.broadcast(plan_table(plan(histogram, capacity)))
+    release()
     salts = F.element_at(F.array(*[F.lit(-(-max(int(n), 1) // RANKED)) for n in histogram]), (F.col("length") + 1).cast("int"))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
     counts = materialize(salted.groupBy("length", "salt").count())

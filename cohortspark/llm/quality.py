@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.shingles import chunks, text_bytes, tidy, word_hashes, word_spans
+from cohortspark.llm.shingles import chunks, release, text_bytes, tidy, word_hashes, word_spans
 from cohortspark.sources.tables import materialize, sized
 
 #: Expected sizes of the labelled sample and of the unlabelled pool.
@@ -272,7 +272,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         return Model.neutral()
     view = lambda c, n: np.frombuffer(b"".join(rows[c]), np.float32).reshape(-1, n)
     order = np.argsort([hashlib.blake2b(str(i).encode(), digest_size=8).digest() for i in rows["doc_id"]], kind="stable")
-    return co_train(view("text_view", N_TEXT)[order], view("meta_view", META)[order], y[order])
+    model = co_train(view("text_view", N_TEXT)[order], view("meta_view", META)[order], y[order])
+    del rows, view
+    release()
+    return model
 
 
 def _score(shared):

@@ -28,16 +28,21 @@ _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable) -> Callable:
-    """A batch function that at its end gives freed memory back to the system: Python workers serve many tasks."""
+    """A batch function that calls ``release`` at its end: Python workers serve many tasks."""
 
     @functools.wraps(run)
     def wrapped(batches: Iterator) -> Iterator:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        release()
 
     return wrapped
 
