@@ -6,7 +6,8 @@ extracted anew with the path that won its host; a page that lacks that path fall
 
 Tags and class words of menus, adverts, comments and the like are marks. Text under a mark counts for no container
 outside it and is left out of a container round it, unless the marked element holds the article: an article or main
-element, or for the less certain marks most of the page's paragraphs. Marks on the winning path or above it say nothing.
+element, or for the less certain marks most of the page's paragraphs, or for the doubtful ones any prose. Marks on the winning
+path or above it say nothing, nor do marks on elements within a line.
 """
 
 from __future__ import annotations
@@ -21,20 +22,24 @@ from pyspark.sql import functions as F
 
 from cohortspark.sources.tables import materialize
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+NAME = re.compile(r"/?([a-zA-Z][^\s/><]*)")
+PLAIN = re.compile(r"[^>\"'<]*")
 NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = {"script", "style", "textarea", "title", "xmp", "noframes", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements that hold no text of a page's own, elements that mark, surely or less surely, something other than the article.
-DROPPED = RAW | {"head", "noscript", "template", "button", "select", "option", "svg", "canvas", "object", "label"}
-SURE, LESS_SURE = 2, 1
+DROPPED = RAW | {"head", "noscript", "template", "button", "select", "option", "svg", "canvas", "object"}
+SURE, LESS_SURE, DOUBTFUL = 3, 2, 1
 MARKS = dict.fromkeys(("nav", "footer", "aside", "menu", "dialog"), SURE) | dict.fromkeys(("header", "form"), LESS_SURE)
 CONTAINERS = {"body", "article", "main", "section", "div", "td"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 #: Words of a class, id or role that mark something other than the article: surely if the word stands alone; as a part of a
-#: compound, or in the second list, less surely. Of the second list only the last part of a compound counts.
-SURE_WORD = re.compile(r"ads?|advert\w*|sponsor(?:ed|s)?|promo(?:tion|tions)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|footer|comments?|replies|disqus|cookies?|consent|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|complementary|contentinfo")
+#: compound, or in the second list, less surely. Of the second list only the last part of a compound counts. Words of the
+#: third list are doubtful: they mark only what holds no prose, that is no block of PROSE characters that isn't mostly links.
+SURE_WORD = re.compile(r"ads?|advert\w*|sponsor(?:ed|s)?|promo(?:tion|tions)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|footer|comments?|replies|disqus|cookies?|consent|popup|modal|newsletter|subscribe|signup|login|complementary|contentinfo")
 OTHER_WORD = re.compile(r"banner|side|header|masthead|notices?|widget|toolbar|search|alert")
+DOUBTFUL_WORD = re.compile(r"share|sharing|social|related|recommended")
+PROSE = 80
 
 
 def host_of(url) -> object:
@@ -54,10 +59,59 @@ def _mark(name: str, marks: dict[str, str]) -> int:
             return SURE
         parts = re.split(r"[_-]+", token)
         if OTHER_WORD.fullmatch(parts[-1]) or len(parts) > 1 and any(map(SURE_WORD.fullmatch, parts)):
-            found = LESS_SURE
+            found = max(found, LESS_SURE)
+        elif any(map(DOUBTFUL_WORD.fullmatch, parts)):
+            found = max(found, DOUBTFUL)
     return found
 
 
+class Tags:
+    """Tags and comments of a page, found from any place on. Every character is looked at a few times at most.
+
+    A tag's name is followed by attributes up to a ``>`` outside quotes; a quote that never closes is none. A ``<`` that begins no tag
+    name, or whose tag meets another ``<`` outside quotes, is text. A comment or tag that the page's end cuts off ends there.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in "\"'>"}
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(start, end, name or None for a comment, whether it closes, attributes) of the first one from ``at`` on."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith(("<!", "<?"), start):
+                comment = html.startswith("<!--", start)
+                end = html.find("-->", start + 2) if comment else html.find(">", start)  # <!--> is one, too
+                return start, len(html) if end < 0 else end + (3 if comment else 1), None, False, ""
+            name = NAME.match(html, start + 1)
+            if name is None:
+                at = start + 1
+                continue
+            end = self._end(name.end())
+            if end >= 0:
+                return start, end, name[1].lower(), html[start + 1] == "/", html[name.end() : end - 1]
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place after the tag whose attributes begin at ``at``; -1 if it is none."""
+        html, n = self.html, len(self.html)
+        while True:
+            at = PLAIN.match(html, at).end()
+            if at == n:
+                return n
+            c = html[at]
+            if c == ">":
+                return at + 1
+            if c == "<":
+                return -1
+            if self.last[c] > at:
+                at = html.find(c, at + 1) + 1
+            else:
+                at += 1
+
+
 class Page:
     """Nodes and blocks of a page. A node is a container or a marked element: its path's number, its parent node, its mark.
 
@@ -121,20 +175,18 @@ class Page:
             del stack[k:]
             owner = stack[-1][2] if stack else 0
 
-        for m in TAG.finditer(html):
-            if m.start() < at:
-                continue
+        tags = Tags(html)
+        while (tag := tags.next(at)) is not None:
+            start, end, name, closes, told = tag
             dropped = bool(stack and stack[-1][3])
-            if not dropped and m.start() > at:
-                text.append(html[at : m.start()])
+            if not dropped and start > at:
+                text.append(html[at:start])
                 if links:
-                    linked += m.start() - at
-            at = m.end()
-            name = m[2]
+                    linked += start - at
+            at = end
             if name is None:
                 continue
-            name = name.lower()
-            if m[1]:
+            if closes:
                 if opened.get(name):
                     close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
                 elif name not in INLINE and not dropped:
@@ -157,9 +209,9 @@ class Page:
                     if stack[k][0] not in INLINE:
                         break
                 dropped = bool(stack and stack[-1][3])
-            marks = {x[0].lower(): (x[1] or x[2] or x[3]) for x in NAMES.findall(m[3])} if m[3] else {}
+            marks = {x[0].lower(): (x[1] or x[2] or x[3]) for x in NAMES.findall(told)} if told else {}
             mark = _mark(name, marks)
-            if not dropped and (name in DROPPED or name in INLINE and mark == SURE):
+            if not dropped and (name in DROPPED or name in INLINE and ("hidden" in marks or marks.get("aria-hidden") == "true")):
                 dropped = True
                 if name not in INLINE:
                     flush()
@@ -173,7 +225,7 @@ class Page:
                     self.mark.append(mark)
                     self.article.append(name in ("article", "main"))
                     owner = len(self.path) - 1
-            if m[3].endswith("/") and name not in RAW:
+            if told.endswith("/") and name not in RAW:
                 owner = stack[-1][2] if stack else 0
                 continue
             stack.append((name, path, owner, dropped))
@@ -181,8 +233,8 @@ class Page:
             links = opened.get("a", 0)
             if name in RAW:
                 lowered = lowered if lowered is not None else html.lower() if len(html.lower()) == len(html) else re.sub(r"[A-Z]", lambda c: c[0].lower(), html)
-                end = lowered.find(f"</{name}", at)
-                at = len(html) if end < 0 else end
+                found = lowered.find(f"</{name}", at)  # no tag is sought inside
+                at = len(html) if found < 0 else found
         if not (stack and stack[-1][3]):
             text.append(html[at:])
             flush()
@@ -198,13 +250,16 @@ class Page:
         under = [marked[k] == SURE for k in range(n)]
         for k in range(1, n):
             under[k] = under[k] or under[self.parent[k]]
-        held = [0] * n
+        held, prose = [0] * n, [False] * n
         for node, text, linked in self.blocks:
             if len(text) >= 40 and 2 * linked < len(text) and not under[node]:
                 held[node] += len(text)
+                prose[node] |= len(text) >= PROSE
         for k in range(n - 1, 0, -1):
             held[self.parent[k]] += held[k]
-        self.marked = [m == SURE or m == LESS_SURE and 2 * held[k] <= held[0] for k, m in enumerate(marked)]
+            prose[self.parent[k]] |= prose[k]
+        few = [2 * h <= held[0] for h in held]
+        self.marked = [m == SURE or few[k] and (m == LESS_SURE or m == DOUBTFUL and not prose[k]) for k, m in enumerate(marked)]
         self.under = list(self.marked)
         for k in range(1, n):
             self.under[k] = self.under[k] or self.under[self.parent[k]]
@@ -277,7 +332,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, path (the host's).
 
     Null html counts as empty, a null url as a host of its own. Blocks are joined by line ends, white space within
-    a block is one space, character references are decoded. Repeated rows are extracted each on its own; an empty
+    a block is one space, character references are decoded. Pages that are cut off or broken are read as far as they go, in time
+    that grows with their length. Repeated rows are extracted each on its own; an empty
     table gives an empty result; other columns are ignored.
     """
     winners = materialize(host_paths(pages)).select("host", "path")
