@@ -101,7 +101,7 @@ def pose(points: str, skeleton: list[tuple[int, int]]) -> Column:
 
     def bone(a: int, b: int) -> list[Column]:
         both = own[a]["l"] * own[b]["l"]
-        dx, dy = both * (own[b]["x"] - own[a]["x"]), both * (own[b]["y"] - own[a]["y"])
+        dx, dy = (F.when(both > 0, own[b][c] - own[a][c]).otherwise(0.0) for c in ("x", "y"))  # no zero with a sign
         return [dx, dy, F.sqrt(dx * dx + dy * dy), both]
 
     add = lambda name: F.aggregate(own, F.lit(0.0), lambda s, q: s + q[name])

@@ -141,7 +141,7 @@ SELECT person_id, w = fw AS dimension_match, x0, y0, x1, y1, round(CASE WHEN x1
         f"""{CLEAN}, pt AS (SELECT person_id, greatest(x1 - x0, 1) AS bw, greatest(y1 - y0, 1) AS bh, x0, y0, list_transform(range(17), lambda i: {{'x': person_id * (i + 3) % 400, 'y': person_id * (i + 5) % 300, 'v': (person_id + i) % 3}}) AS q FROM cb),
 nm AS (SELECT person_id, list_transform(q, lambda z: {{'x': CASE WHEN z.v > 0 THEN (z.x - x0) / bw ELSE 0 END, 'y': CASE WHEN z.v > 0 THEN (z.y - y0) / bh ELSE 0 END, 'l': CASE WHEN z.v > 0 THEN 1.0 ELSE 0 END, 's': CASE WHEN z.v = 2 THEN 1.0 ELSE 0 END}}) AS q FROM pt)
 SELECT person_id, list_transform(list_concat(flatten(list_transform(q, lambda z: [z.x, z.y, z.l, z.s])), [{", ".join(_bone(a, b) for a, b in _SKELETON)},
-  list_sum(list_transform(q, lambda z: z.l)) / 17, list_sum(list_transform(q, lambda z: z.s)) / 17, list_sum(list_transform(q, lambda z: z.x)) / list_sum(list_transform(q, lambda z: z.l)), list_sum(list_transform(q, lambda z: z.y)) / list_sum(list_transform(q, lambda z: z.l))]::DOUBLE[]), lambda v: round(v, 6)) AS pose FROM nm"""),
+  list_sum(list_transform(q, lambda z: z.l)) / 17, list_sum(list_transform(q, lambda z: z.s)) / 17, list_sum(list_transform(q, lambda z: z.x)) / list_sum(list_transform(q, lambda z: z.l)), list_sum(list_transform(q, lambda z: z.y)) / list_sum(list_transform(q, lambda z: z.l))]::DOUBLE[]), lambda v: round(v, 6) + 0.0) AS pose FROM nm"""),
     "context_boxes": (box(lambda b: b.select("person_id", *B.context_box(0.25))), f"{CLEAN} SELECT person_id, CAST(greatest(floor(x0 - (x1 - x0) * CAST(0.25 AS DOUBLE)), 0) AS BIGINT) AS cx0, CAST(greatest(floor(y0 - (y1 - y0) * CAST(0.25 AS DOUBLE)), 0) AS BIGINT) AS cy0, CAST(least(ceil(x1 + (x1 - x0) * CAST(0.25 AS DOUBLE)), w) AS BIGINT) AS cx1, CAST(least(ceil(y1 + (y1 - y0) * CAST(0.25 AS DOUBLE)), h) AS BIGINT) AS cy1 FROM cb"),
     "perturbed_boxes": (lambda s, d: B.perturbed(B.clean_boxes(X.boxes(s, d))).select("person_id", "perturbation", *[F.round(c, 9).alias(c) for c in ("px0", "py0", "px1", "py1", "input_area")], "too_small"),
         f"""{CLEAN}, q AS (SELECT *, (x0 + x1) / 2 + dx * (x1 - x0) AS mx, (y0 + y1) / 2 + dy * (y1 - y0) AS my, scale * (x1 - x0) / 2 AS hx, scale * (y1 - y0) / 2 AS hy FROM cb, {_PERT}),

@@ -32,7 +32,7 @@ def plain(x):
     if isinstance(x, bool):
         return str(x)
     if isinstance(x, (int, float)) or type(x).__name__ == "Decimal":
-        return f"{float(x) + 0.0:.6g}"
+        return f"{float(x):.6g}"  # the sign of zero counts
     return str(x)
 
 
