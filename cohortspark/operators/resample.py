@@ -6,18 +6,12 @@ Rows are first reduced to counts per (group, label, prediction a, prediction b);
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators import metrics as M
-
-#: Upper ends of the 32-bit numbers that stand for Poisson(1) weights 0, 1, 2, …
-POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(8)]
-
+from cohortspark.operators.draws import BLOCK, POISSON, coin, comparisons_of, hashed, md5_numbers, poisson, vector_sums
 
 def uniform(seed: object, *keys: str) -> Column:
     """A 32-bit number for each seed and keys (the first of them usually the draw)."""
@@ -38,19 +32,15 @@ def with_draws(rows: DataFrame, draws: int, first: int = 0) -> DataFrame:
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))))
 
 
-def _by_group(base: DataFrame, group: str, draws: int) -> DataFrame:
-    """(group, draw, cells): a group's cells, of which there are a fixed number at most, once per draw, so that a draw's number is made once per group."""
-    own = [F.col(c) for c in base.columns if c != group]
-    return with_draws(base.groupBy(group).agg(F.collect_list(F.struct(*own)).alias("cells")), draws)
+def _exploded(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, draw, n) of arrays over draws: as many rows as there are cells and draws."""
+    return sums.select(*keys, "block", F.posexplode("v").alias("_at", "n")).select(*keys, (F.col("block") * BLOCK + F.col("_at") - 1).cast("int").alias("draw"), "n")
 
 
 def cluster_draws(pairs: DataFrame, draws: int, seed: object, group: str = "grp", by=()) -> DataFrame:
     """(by, draw, y, pred_a, pred_b, n): counts with each group weighted by Poisson(1). Draw -1 is the table as it is."""
-    base = cells(pairs, group, by)
-    weighted = _by_group(base, group, draws).select("draw", poisson_weight(uniform(seed, "draw", group)).alias("w"), "cells")
-    drawn = weighted.select("draw", "w", F.explode("cells").alias("c")).select(*[f"c.{c}" for c in (*by, "y", "pred_a", "pred_b")], "draw", (F.col("c.n") * F.col("w")).alias("n"))
-    whole = base.select(*by, "y", "pred_a", "pred_b", F.lit(-1).alias("draw"), "n")
-    return drawn.unionByName(whole).groupBy(*by, "draw", "y", "pred_a", "pred_b").agg(F.sum("n").alias("n"))
+    keys = [*by, "y", "pred_a", "pred_b"]
+    return _exploded(vector_sums(cells(pairs, group, by), group, keys, draws, hashed(md5_numbers, poisson, seed)), keys)
 
 
 def _scores(drawn: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -107,13 +97,14 @@ def randomization(pairs: DataFrame, k: int, draws: int, seed: object, group: str
 
     Only groups where the models differ need a coin; the rest enters every draw as it is.
     """
+    keys = [*by, "y", "pred_a", "pred_b"]
     base = cells(pairs, group, by)
-    same = base.where("pred_a = pred_b").groupBy(*by, "y", "pred_a", "pred_b").agg(F.sum("n").alias("n"))
-    coin = (uniform(seed, "draw", group) % 2 == 1).alias("_c")
-    a, b = F.col("c.pred_a"), F.col("c.pred_b")
-    tossed = _by_group(base.where("pred_a <> pred_b"), group, draws).select("draw", coin, "cells").select("draw", "_c", F.explode("cells").alias("c"))
-    swapped = tossed.select(*[f"c.{x}" for x in by], "draw", "c.y", F.when(F.col("_c"), b).otherwise(a).alias("pred_a"), F.when(F.col("_c"), a).otherwise(b).alias("pred_b"), "c.n")
-    rows = swapped.unionByName(with_draws(same, draws)).unionByName(base.select(*by, F.lit(-1).alias("draw"), "y", "pred_a", "pred_b", "n"))
+    tossed = hashed(md5_numbers, coin, seed)
+    sums = vector_sums(base.where("pred_a <> pred_b"), group, keys, draws, lambda d, k: np.where(d >= 0, tossed(d, k), 0.0))
+    swapped = _exploded(sums, keys)
+    back = swapped.select(*by, "draw", "y", F.col("pred_b").alias("pred_a"), F.col("pred_a").alias("pred_b"), "n")
+    whole = with_draws(base.groupBy(*keys).agg(F.sum("n").alias("n")), draws + 1, -1)
+    rows = whole.unionByName(swapped.withColumn("n", -F.col("n"))).unionByName(back)
     stats = deltas(rows.groupBy(*by, "draw", "y", "pred_a", "pred_b").agg(F.sum("n").alias("n")), k, by).select(*by, "draw", "delta")
     seen = stats.where("draw = -1").select(*by, F.col("delta").alias("observed"))
     real = stats.where("draw >= 0")
@@ -177,13 +168,4 @@ def auroc_draws(rows: DataFrame, draws: int, seed: object, group: str = "grp") -
 
 def comparison_run(preds: DataFrame, comparisons: DataFrame, k: int, boot: int, rand: int, seed: object) -> DataFrame:
     """All declared comparisons (comparison, reference, candidate) in one plan: point, interval, p, Holm p and superiority, by comparison."""
-    from cohortspark.operators.select import holm
-
-    named = F.broadcast(comparisons)
-    a = preds.join(named.withColumnRenamed("reference", "model"), "model").select("comparison", "id", "grp", "y", F.col("pred").alias("pred_a"))
-    b = preds.join(named.withColumnRenamed("candidate", "model"), "model").select("comparison", "id", F.col("pred").alias("pred_b"))
-    pairs, by = a.join(b.hint("merge"), ["comparison", "id"]), ("comparison",)
-    boots = interval(deltas(cluster_draws(pairs, boot, seed, by=by), k, by), by=by)
-    tests = randomization(pairs, k, rand, f"{seed}r", by=by).select("comparison", "p")
-    out = holm(boots.join(tests.hint("merge"), "comparison").withColumn("_all", F.lit(1)), ["_all"], name="comparison").drop("_all")
-    return out.select("comparison", "point", "low", "high", "p", "p_holm", ((F.col("low") > 0) & (F.col("p_holm") <= 0.05)).alias("superior"))
+    return comparisons_of(preds, comparisons, k, boot, rand, seed, numbers=md5_numbers)

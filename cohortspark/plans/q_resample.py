@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortspark.operators import draws as D
 from cohortspark.operators import gates as G
 from cohortspark.operators import metrics as M
 from cohortspark.operators import resample as H
@@ -30,6 +31,17 @@ def _u(seed: object, key: str = "grp") -> str:
 PAIR = f"WITH {PREDS}, pr AS (SELECT 'c' AS comparison, a.id, a.grp, a.y, a.pred AS pa, b.pred AS pb FROM preds a JOIN preds b ON a.id = b.id AND a.model = 'ref' AND b.model = 'cand')"
 PAIRS = f"WITH {PREDS}, cm(comparison, reference, candidate) AS (VALUES ('cand-ref', 'ref', 'cand'), ('third-ref', 'ref', 'third'), ('cand-third', 'third', 'cand')), pr AS (SELECT comparison, a.id, a.grp, a.y, a.pred AS pa, b.pred AS pb FROM cm JOIN preds a ON a.model = cm.reference JOIN preds b ON b.model = cm.candidate AND a.id = b.id)"
 CELLS = "ce AS (SELECT comparison, grp, y, pa, pb, count(*) AS n FROM pr GROUP BY ALL)"
+_MIX = f"list_reduce([CAST({{0}} AS BIGINT), 1, 2, 3], lambda v, i: (xor(v, v >> CASE i {' '.join(f'WHEN {k} THEN {a}' for k, (a, _) in enumerate(D.MIX, 1))} END) * CASE i {' '.join(f'WHEN {k} THEN {b}' for k, (_, b) in enumerate(D.MIX, 1))} END) & 4294967295)"
+
+
+def _numbers(name: str, seed: object, draws: int) -> str:
+    """(grp, draw, u): the numbers of ``draws.mixed_numbers``."""
+    half = lambda k: f"CAST('0x' || substr(md5(CAST(grp AS VARCHAR)), {k}, 8) AS BIGINT)"
+    start = _MIX.format(f"CAST('0x' || substr(md5('{seed}'), 1, 8) AS BIGINT)")
+    return f"""{name}d AS (SELECT draw, {_MIX.format(f"xor({start}, draw)")} AS o FROM range({draws}) t(draw)), {name}g AS (SELECT grp, {half(1)} AS hi, {half(9)} AS lo FROM (SELECT DISTINCT grp FROM pr)),
+{name} AS (SELECT grp, draw, {_MIX.format(f"xor({_MIX.format('xor(o, hi)')}, lo)")} AS u FROM {name}g, {name}d)"""
+
+
 BOOTED = f"{CELLS}, dr AS (SELECT comparison, draw, y, pa, pb, sum(n * ({_w(_u(SEED))})) AS n FROM ce, range({BOOT}) t(draw) GROUP BY ALL UNION ALL SELECT comparison, -1, y, pa, pb, sum(n) FROM ce GROUP BY ALL)"
 
 
@@ -62,6 +74,13 @@ def _compared(s, d):
     return each[0].unionByName(each[1])
 
 
+_DECLARED = [("cand-ref", "ref", "cand"), ("third-ref", "ref", "third"), ("cand-third", "third", "cand")]
+
+
+def _declared(s):
+    return s.createDataFrame(_DECLARED, "comparison string, reference string, candidate string")
+
+
 COMPARED = f"""WITH {PREDS}, cm(comparison, candidate) AS (VALUES ('cand-ref', 'cand'), ('third-ref', 'third')), pr AS (SELECT comparison, a.id, a.grp, a.y, a.split AS run, a.pred AS pa, b.pred AS pb, a.p AS p_a, b.p AS p_b FROM cm JOIN preds a ON a.model = 'ref' JOIN preds b ON b.model = cm.candidate AND a.id = b.id)"""
 _F1 = "coalesce(2 * count(*) FILTER (y = k AND {0} = k) / nullif(count(*) FILTER (y = k) + count(*) FILTER ({0} = k), 0), 0)"
 _BR = "list_sum(list_transform([1, 2, 3, 4, 5], lambda j: power({0}[j] - CASE WHEN j = y + 1 THEN 1 ELSE 0 END, 2)))"
@@ -115,6 +134,16 @@ SELECT round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high, d
         f"""{PAIRS}, {BOOTED}, {DELTAS}, iv AS ({_interval('de', 'comparison, ')}), te AS (WITH {_swapped(f'{SEED}r')}, {DELTAS} {_TEST}), j AS (SELECT iv.*, te.p FROM iv JOIN te USING (comparison)),
 h AS (SELECT *, least(p * (count(*) OVER () - row_number() OVER (ORDER BY p, comparison) + 1), 1) AS s FROM j), g AS (SELECT *, max(s) OVER (ORDER BY p, comparison ROWS UNBOUNDED PRECEDING) AS p_holm FROM h)
 SELECT comparison, round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, round(p_holm, 6) AS p_holm, low > 0 AND p_holm <= 0.05 AS superior FROM g"""),
+    "joint_comparison_run": (lambda s, d: r(D.comparisons_of(preds(s, d), _declared(s), K, BOOT, RAND, SEED)),
+        f"""{PAIRS}, {CELLS}, {_numbers('us', SEED, BOOT)}, {_numbers('un', f'{SEED}r', RAND)}, dr AS (SELECT comparison, draw, y, pa, pb, sum(n * ({_w('u')})) AS n FROM ce JOIN us USING (grp) GROUP BY ALL UNION ALL SELECT comparison, -1, y, pa, pb, sum(n) FROM ce GROUP BY ALL), {DELTAS},
+iv AS ({_interval('de', 'comparison, ')}), te AS (WITH dr AS (SELECT comparison, draw, y, CASE WHEN u & 1 = 1 THEN pb ELSE pa END AS pa, CASE WHEN u & 1 = 1 THEN pa ELSE pb END AS pb, sum(n) AS n FROM ce JOIN un USING (grp) GROUP BY ALL UNION ALL SELECT comparison, -1, y, pa, pb, sum(n) FROM ce GROUP BY ALL), {DELTAS} {_TEST}), j AS (SELECT iv.*, te.p FROM iv JOIN te USING (comparison))
+SELECT comparison, round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p, round(p_holm, 6) AS p_holm, low > 0 AND p_holm <= 0.05 AS superior FROM {_holm('j', 'p', 'p_holm')}"""),
+    "model_draws": (lambda s, d: r(D.model_draws(preds(s, d), K, BOOT, SEED).select("model", "draw", "macro", "accuracy", "classes")),
+        f"""WITH {PREDS}, pr AS (SELECT grp FROM preds), ce AS (SELECT model, grp, y, pred, count(*) AS n FROM preds GROUP BY ALL), {_numbers('us', SEED, BOOT)}, dr AS (SELECT model, draw, y, pred, sum(n * ({_w('u')})) AS n FROM ce JOIN us USING (grp) GROUP BY ALL UNION ALL SELECT model, -1, y, pred, sum(n) FROM ce GROUP BY ALL),
+cf AS (SELECT model, draw, k, coalesce(2 * sum(CASE WHEN y = k AND pred = k THEN n END) / nullif(sum(CASE WHEN y = k THEN n ELSE 0 END) + sum(CASE WHEN pred = k THEN n ELSE 0 END), 0), 0) AS f, sum(CASE WHEN y = k THEN n ELSE 0 END) AS support, sum(CASE WHEN y = k AND pred = k THEN n ELSE 0 END) AS hit FROM dr, range(5) t(k) GROUP BY ALL)
+SELECT model, draw, round(sum(f) / 5, 6) AS macro, round(sum(hit) / sum(support), 6) AS accuracy, count(*) FILTER (support > 0) AS classes FROM cf GROUP BY ALL"""),
+    "locked_intervals": (lambda s, d: r(D.locked_intervals(_rare(s, d), K, 500, SEED)), None),
+    "method_intervals": (lambda s, d: r(D.method_intervals(preds(s, d), K, 1000, SEED, "cand", "ref")), None),
     "comparison_figures": (lambda s, d: r(G.figures(_compared(s, d), K).select(*_FIG_NAMES)), f"{COMPARED}, {FIGURES} SELECT comparison, {_FIGS} FROM fi"),
     "locked_gate": (lambda s, d: r(G.locked_gate(_compared(s, d), K, BOOT, SEED).select("comparison", "low", "p_holm", "failed", "passed")),
         f"""{COMPARED}, {BOOTED}, {DELTAS}, {FIGURES}, iv AS ({_interval('de', 'comparison, ')}), h AS {_holm('iv', 'p_two_sided', 'p_holm')}
