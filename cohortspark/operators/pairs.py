@@ -10,7 +10,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.sources.tables import materialize
+from cohortspark.sources.tables import materialize, sized
+
+#: Distinct hashes that may share a band before it is banded anew.
+HOT = 64
 
 
 def aligned(preds: DataFrame, models: list[str], by: str = "id") -> DataFrame:
@@ -44,24 +47,64 @@ def hash_bands(width: int, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def _bands(varying: Column, width: int, radius: int) -> Column:
+    """Masks of radius + 1 bands of the bits set in ``varying``, which are more than ``radius``."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.getbit(varying, k) == 1)
+    each, more = F.floor(F.size(bits) / (radius + 1)).cast("int"), F.size(bits) % (radius + 1)
+    band = lambda k: F.slice(bits, k * each + F.least(k, more) + 1, each + (k < more).cast("int"))
+    mask = lambda bs: F.aggregate(bs, F.lit(0).cast("bigint"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k)))
+    return F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda k: mask(band(k)))
+
+
+def near_values(left: DataFrame, radius: int, width: int = 64, right: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """(left_h, right_h, distance) of hashes ``h`` within ``radius`` bits, each pair once, the smaller first; with ``right``, between two tables.
+
+    Two hashes within the radius agree in one of radius + 1 bands of bits, so those that share a band meet. A band that more than
+    ``most`` distinct hashes share is banded anew on the bits in which these differ at all, where a pair may still differ by the whole radius,
+    and so on, until as few bits as the radius are left, in which 2 ** radius hashes can differ at most. So no list that is
+    paired is long, whatever the hashes, and no pair is left out.
+    """
+    most = HOT if most is None else most
+    side = lambda t, n: t.select(F.col("h").cast("bigint").alias("h")).where("h IS NOT NULL").distinct().withColumn("side", F.lit(n))
+    entries = side(left, 0) if right is None else side(left, 0).unionByName(side(right, 1))
+    entries = materialize(entries.select("h", "side", F.lit(0).cast("bigint").alias("m"), F.lit(0).cast("bigint").alias("part")))
+    found, distance = [], F.bit_count(F.col("left_h").bitwiseXOR(F.col("right_h")))
+    while True:
+        groups = entries.groupBy("m", "part").agg(F.count("*").alias("n"), F.bit_and("h").alias("a"), F.bit_or("h").alias("o")).withColumn("v", F.col("a").bitwiseXOR(F.col("o")))
+        crowded = materialize(groups.where((F.col("n") > most) & (F.bit_count("v") > radius)).select("m", "part", "v"))
+        known = sized(crowded)
+        few = entries.join(known, ["m", "part"], "left_anti")
+        a, b = few.select("m", "part", F.col("h").alias("left_h"), F.col("side").alias("ls")), few.select("m", "part", F.col("h").alias("right_h"), F.col("side").alias("rs"))
+        apart = F.col("left_h") < F.col("right_h") if right is None else F.col("ls") < F.col("rs")
+        found.append(a.join(b.hint("merge"), ["m", "part"]).where(apart & (distance <= radius)).select("left_h", "right_h", distance.alias("distance")))
+        if not crowded.head(1):
+            return reduce(DataFrame.unionByName, found).distinct()
+        # What all hashes of a list agree in stays fixed; each band is fixed in its own copy.
+        fresh = entries.join(known, ["m", "part"]).select("h", "side", "v", F.explode(_bands(F.col("v"), width, radius)).alias("band"))
+        to = F.bitwise_not("v").bitwiseOR(F.col("band"))
+        entries = materialize(fresh.select("h", "side", to.alias("m"), F.col("h").bitwiseAND(to).alias("part")))
+
+
 def near_hash(table: DataFrame, radius: int, width: int = 64, hashed: str = "h", key: str = "id", other: DataFrame | None = None, split: bool = True) -> DataFrame:
-    """(left_id, right_id, distance): pairs within ``radius`` bits, found through shared bands and measured once each.
+    """(left_id, right_id, distance): pairs of rows whose hashes are within ``radius`` bits, found once for each two distinct hashes.
 
-    Pairs of different splits only if ``split``; with ``other``, pairs between two tables. A band that very many rows share is
-    dealt further by Spark's skew join; no pair is left out.
+    Pairs of different splits only if ``split``; with ``other``, pairs between two tables. Rows without a hash take no part.
     """
-    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(hashed, at).bitwiseAND(F.lit((1 << bits) - 1)).alias("part")) for k, (at, bits) in enumerate(hash_bands(width, radius))]))
-    def side(t: DataFrame, s: str) -> DataFrame:
-        return t.select(F.col(key).alias(f"{s}_id"), F.col(hashed).alias(f"{s}_h"), *([F.col("split").alias(f"{s}_split")] if split else []), bands.alias("x")).select("*", "x.band", "x.part").drop("x")
-
-    joined = side(table, "left").join(side(other if other is not None else table, "right").hint("merge"), ["band", "part"])
-    distance = F.bit_count(F.col("left_h").bitwiseXOR(F.col("right_h")))
-    keep = distance <= radius
-    if other is None:
-        keep = keep & (F.col("left_id") < F.col("right_id"))
+    own = ["id", "h", *(["split"] if split else [])]
+    narrow = lambda t: materialize(t.select(F.col(key).alias("id"), F.col(hashed).cast("bigint").alias("h"), *own[2:]).where("h IS NOT NULL"))
+    side = lambda t, s: t.select(*[F.col(c).alias(f"{s}_{c}") for c in own])
+    rows = narrow(table)
+    rows, partners = side(rows, "left"), side(rows if other is None else narrow(other), "right")
+    values = near_values(rows.select(F.col("left_h").alias("h")), radius, width, None if other is None else partners.select(F.col("right_h").alias("h")))
+    if other is None:  # a pair of hashes stands for both orders, and equal hashes are near, too
+        turned = values.select(F.col("right_h").alias("left_h"), F.col("left_h").alias("right_h"), "distance")
+        equal = rows.groupBy(F.col("left_h").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("left_h"), F.col("h").alias("right_h"), F.lit(0).alias("distance"))
+        values = values.unionByName(turned).unionByName(equal)
+    keep = F.lit(True) if other is not None else F.col("left_id") < F.col("right_id")
     if split:
         keep = keep & (F.col("left_split") != F.col("right_split"))
-    return joined.where(keep).select("left_id", "right_id", distance.alias("distance")).distinct()
+    joined = rows.join(materialize(values).hint("merge"), "left_h").join(partners.hint("merge"), "right_h")
+    return joined.where(keep).select("left_id", "right_id", "distance").distinct()
 
 
 def cosine(a: str, b: str) -> Column:
