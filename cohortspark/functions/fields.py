@@ -201,7 +201,9 @@ def tag_group(c: str = "actions") -> Column:
 
 def quartile(rows: DataFrame, value: str, name: str = "quartile", by: tuple = ()) -> DataFrame:
     """Adds the right-closed quartile 1 … 4 of ``value`` by interpolated cut points (three numbers per group); equal cut points are an error."""
-    cuts = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_c"))
+    from cohortspark.operators.quantiles import quantiles
+
+    cuts = quantiles(rows, value, [0.25, 0.5, 0.75], by, "_c")
     sure = F.when((F.col("_c")[0] < F.col("_c")[1]) & (F.col("_c")[1] < F.col("_c")[2]), F.col("_c")).otherwise(F.raise_error(F.lit("quartile borders coincide")).cast("array<double>"))
     cuts = cuts.withColumn("_c", sure)
     out = rows.join(cuts.hint("merge"), list(by)) if by else rows.join(F.broadcast(cuts))

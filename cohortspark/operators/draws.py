@@ -263,6 +263,58 @@ def multinomial_sums(rows: DataFrame, unit: list[str], cell: list[str], draws: i
     return _added(dealt.select("_s", "_b", "_key", "_mass", *cell, "n").mapInArrow(run, f"{schema}, block int, v array<bigint>"), cell)
 
 
+def ranked_areas(counts: DataFrame, draws: int, weigh: Weigh) -> DataFrame:
+    """(draw, auroc) of (g, score, pos, neg) under weights of the units ``g``; null where a draw lacks hits or misses."""
+    every = np.arange(-1, draws)
+    chunk = max(100, 4_000_000 // len(every))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zero = np.zeros(len(every))
+        area, all_pos, all_neg, open_pos, open_neg, open_score, least = zero, zero, zero, zero, zero, None, None
+
+        def close(pos: np.ndarray, neg: np.ndarray) -> None:
+            """Adds scores in order (rows) whose weights of hits and misses are known."""
+            nonlocal area, all_pos, all_neg
+            below = np.cumsum(neg, axis=0) - neg + all_neg
+            area = area + (pos * (below + neg / 2)).sum(0)
+            all_pos, all_neg = all_pos + pos.sum(0), all_neg + neg.sum(0)
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, chunk):
+                f = batch.slice(low, chunk).to_pandas()
+                units, place = _coded(f, ["g"])
+                named = [u[0] for u in units if u[0] is not None]
+                weights = np.ones((len(units), len(every)))
+                weights[[u[0] is not None for u in units]] = weigh(every, named)
+                first = np.flatnonzero(np.concatenate([[True], np.diff(f["score"].to_numpy()) != 0]))
+                pos, neg = (np.add.reduceat(f[c].to_numpy()[:, None] * weights[place], first, axis=0) for c in ("pos", "neg"))
+                if least is None:
+                    least = float(f["score"].iloc[0])
+                if f["score"].iloc[0] == open_score:
+                    pos[0] += open_pos
+                    neg[0] += open_neg
+                elif open_score is not None:
+                    close(open_pos[None], open_neg[None])
+                close(pos[:-1], neg[:-1])
+                open_pos, open_neg, open_score = pos[-1], neg[-1], f["score"].iloc[-1]
+        if least is not None:
+            close(open_pos[None], open_neg[None])
+            blocks = range(0, len(every), BLOCK)
+            cut = lambda v: pa.array([v[k : k + BLOCK].tolist() for k in blocks], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK for k in blocks], pa.int32()), pa.array([least] * len(blocks)), cut(area), cut(all_pos), cut(all_neg)], ["block", "least", "area", "pos", "neg"])
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("least")  # a row for each range
+        area, pos, neg = (np.stack(frame[c]) for c in ("area", "pos", "neg"))
+        whole = (area + pos * (np.cumsum(neg, axis=0) - neg)).sum(0)
+        of = pos.sum(0) * neg.sum(0)
+        value = pd.Series(np.where(of > 0, whole / np.maximum(of, 1), np.nan)).astype(object).where(of > 0, None)
+        return pd.DataFrame({"draw": int(frame["block"].iloc[0]) * BLOCK - 1 + np.arange(len(whole)), "auroc": value})
+
+    ranged = counts.repartitionByRange("score").sortWithinPartitions("score")
+    return ranged.select("g", "score", "pos", "neg").mapInArrow(run, "block int, least double, area array<double>, pos array<double>, neg array<double>").groupBy("block").applyInPandas(join, "draw int, auroc double")
+
+
 def confusion_scores(sums: DataFrame, k: int, by: list[str]) -> DataFrame:
     """(by, draw, macro, accuracy, classes, f1, support) per draw of arrays of counts (by, y, pred, block, v): ``classes`` have labels in the draw."""
     schema, _ = _types(sums, by)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.functions.special import kolmogorov_tail, t_two_sided
 from cohortspark.operators.order import running
 
 BY = ("model",)
@@ -259,6 +260,14 @@ def ks_statistic(rows: DataFrame, value: str, side: str, by=()) -> DataFrame:
     return summed.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"))
 
 
+def ks_test(rows: DataFrame, value: str, side: str, by=()) -> DataFrame:
+    """(by, ks, n_a, n_b, p): ``ks_statistic`` with the numbers of values and the p-value of Kolmogorov's limit distribution."""
+    sizes = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count_if(F.col(side)).alias("n_a"), F.count_if(~F.col(side)).alias("n_b"))
+    ks = ks_statistic(rows.where(F.col(value).isNotNull()), value, side, by)
+    both = ks.join(sizes.hint("merge"), list(by)) if by else ks.join(F.broadcast(sizes))
+    return both.withColumn("p", kolmogorov_tail(F.col("ks") * F.sqrt(F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")))))
+
+
 def average_rank(rows: DataFrame, value: str, by=(), name: str = "rank") -> DataFrame:
     """Adds the rank of ``value`` with ties averaged, by prefix sums over distinct values."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
@@ -274,6 +283,13 @@ def spearman(rows: DataFrame, a: str, b: str, by=()) -> DataFrame:
     return ranks.groupBy(*by).agg(F.count("*").alias("n"), correlation("_ra", "_rb").alias("spearman"))
 
 
+def spearman_test(rows: DataFrame, a: str, b: str, by=()) -> DataFrame:
+    """(by, n, spearman, p): ``spearman`` with the two-sided p-value of Student's distribution with n - 2 degrees of freedom."""
+    r, n = F.col("spearman"), F.col("n")
+    t = F.when(F.abs(r) >= 1, float("inf")).otherwise(r * F.sqrt((n - 2) / (1 - r * r)))
+    return spearman(rows, a, b, by).withColumn("p", t_two_sided(t, n - 2))
+
+
 def curve_area(points: DataFrame, by, x: str = "x", y: str = "y") -> DataFrame:
     """(by, area): trapezoid area of a curve over its range of x; x must grow strictly within a curve, else the area is null."""
     w = Window.partitionBy(*by).orderBy(x)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators import metrics as M
+from cohortspark.operators.quantiles import quantiles
+from cohortspark.sources.tables import materialize
 
 
 def total(p: Column | str) -> Column:
@@ -237,8 +239,7 @@ def drift(clean: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame:
     gaps = F.zip_with("pa", "pb", lambda x, y: F.abs(x - y))
     top = F.sort_array("pa", asc=False)
     rows = both.select("a", "b", (total(gaps) / F.size(gaps)).alias("g"), F.array_max(gaps).alias("m"), (top[0] - top[1]).alias("margin"))
-    same = F.col("a") == F.col("b")
-    return rows.agg(
-        F.count("*").alias("n"), F.avg(same.cast("double")).alias("agreement"), F.avg("g").alias("mean_gap"), F.max("m").alias("max_gap"),
-        F.percentile(F.when(~same, F.col("margin")), F.lit(0.5)).alias("margin_changed"), F.percentile(F.when(same, F.col("margin")), F.lit(0.5)).alias("margin_stable"),
-    )
+    rows = materialize(rows.withColumn("same", F.col("a") == F.col("b")))
+    whole = rows.agg(F.count("*").alias("n"), F.avg(F.col("same").cast("double")).alias("agreement"), F.avg("g").alias("mean_gap"), F.max("m").alias("max_gap"))
+    middle = quantiles(rows, "margin", [0.5], ["same"]).select("same", F.col("q")[0].alias("q"))
+    return whole.join(F.broadcast(middle.agg(F.max(F.when(~F.col("same"), F.col("q"))).alias("margin_changed"), F.max(F.when(F.col("same"), F.col("q"))).alias("margin_stable"))))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators import metrics as M
+from cohortspark.operators.quantiles import quantiles
+from cohortspark.sources.tables import materialize
 
 
 def with_strata(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -69,11 +71,20 @@ def leave_one_out(preds: DataFrame, models: list[str], k: int) -> DataFrame:
     return M.accuracy(rows, by).select("omitted", "accuracy").join(M.macro_f1(rows, k, by).hint("merge"), "omitted").join(agree.hint("merge"), "omitted")
 
 
+def _with(out: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
+    """Left join of rows per group, nulls in keys equal."""
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_r_{b}"))
+    right = more.select(*[F.col(b).alias(f"_r_{b}") for b in by], *[c for c in more.columns if c not in by])
+    return out.join(right.hint("merge"), same, "left").drop(*[f"_r_{b}" for b in by])
+
+
 def domain_shift(source: DataFrame, target: DataFrame, value: str) -> DataFrame:
     """Medians of both, their ratio, the target's share at or below the source's first quartile, and the KS statistic."""
     both = source.select(F.col(value).alias("v"), F.lit(True).alias("s")).unionByName(target.select(F.col(value).alias("v"), F.lit(False).alias("s")))
-    q = source.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5))).alias("q"))
-    t = target.agg(F.percentile(value, F.lit(0.5)).alias("target_median"))
+    q = materialize(quantiles(source, value, [0.25, 0.5]))
+    t = quantiles(target, value, [0.5]).select(F.col("q")[0].alias("target_median"))
     below = target.join(F.broadcast(q)).agg(F.avg((F.col(value) <= F.col("q")[0]).cast("double")).alias("below_q1"))
     return q.select(F.col("q")[1].alias("source_median")).join(F.broadcast(t)).withColumn("ratio", F.col("target_median") / F.col("source_median")).join(F.broadcast(below)).join(F.broadcast(M.ks_statistic(both, "v", "s")))
 
@@ -110,8 +121,8 @@ def repeated_runs(runs: DataFrame, by: list[str], score: str, seed: str = "seed"
 
 def manifest_summary(rows: DataFrame, value: str, digest: str, by: list[str]) -> DataFrame:
     """(by, n, digests, repeated, mean, p05, median, p95)."""
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(digest).alias("digests"), F.avg(value).alias("mean"), q.alias("q"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(digest).alias("digests"), F.avg(value).alias("mean"))
+    out = _with(out, quantiles(rows, value, [0.05, 0.5, 0.95], by), by)
     return out.select(*by, "n", "digests", (F.col("n") - F.col("digests")).alias("repeated"), "mean", *[F.col("q")[k].alias(n) for k, n in enumerate(("p05", "median", "p95"))])
 
 
@@ -154,7 +165,10 @@ def method_table(rows: DataFrame, by: list[str], eligible: str, score: str) -> D
 
 
 def medians(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile(v, F.lit(0.5)).alias(f"median_{v}") for v in values])
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    for v in values:
+        out = _with(out, quantiles(rows, v, [0.5], by), by).withColumn("q", F.col("q")[0]).withColumnRenamed("q", f"median_{v}")
+    return out
 
 
 # Replay of stored evidence

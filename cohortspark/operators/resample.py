@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators.draws import BLOCK, POISSON, coin, comparisons_of, hashed, md5_numbers, poisson, vector_sums
+from cohortspark.operators.draws import BLOCK, POISSON, coin, comparisons_of, hashed, md5_numbers, poisson, ranked_areas, vector_sums
 
 def uniform(seed: object, *keys: str) -> Column:
     """A 32-bit number for each seed and keys (the first of them usually the draw)."""
@@ -154,16 +154,15 @@ def mean_draws(rows: DataFrame, value: str, draws: int, seed: object, key: str =
 
 
 def auroc_draws(rows: DataFrame, draws: int, seed: object, group: str = "grp") -> DataFrame:
-    """(draw, auroc) of (group, score, hit): groups weighted by Poisson(1)."""
-    from pyspark.sql import Window
+    """(draw, auroc) of (group, score, hit): groups weighted by Poisson(1), the same numbers as in ``cluster_draws``. Draw -1 is the table as it is.
 
-    base = rows.groupBy(group, "score").agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
-    w = poisson_weight(uniform(seed, "draw", group))
-    drawn = with_draws(base, draws).withColumn("w", w).groupBy("draw", "score").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
-    drawn = drawn.unionByName(base.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(F.lit(-1).alias("draw"), "score", "pos", "neg"))
-    below = Window.partitionBy("draw").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    area = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    return drawn.withColumn("area", area).groupBy("draw").agg((F.sum("area") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"))
+    Scores are dealt to ranges; a task runs through its range in order and keeps, as arrays over draws, the weight of hits and misses and the
+    area inside the range. Ranges are then laid end to end. Null scores take no part.
+    """
+    base = rows.where("score IS NOT NULL").groupBy(F.col(group).cast("string").alias("g"), F.col("score").cast("double").alias("score")).agg(
+        F.sum("hit").cast("double").alias("pos"), F.sum(1 - F.col("hit")).cast("double").alias("neg")
+    )
+    return ranked_areas(base, draws, hashed(md5_numbers, poisson, seed))
 
 
 def comparison_run(preds: DataFrame, comparisons: DataFrame, k: int, boot: int, rand: int, seed: object) -> DataFrame:

@@ -115,6 +115,16 @@ SELECT model, round(avg(coalesce(f1, 0)), 6) AS macro_f1 FROM f GROUP BY model""
         """WITH c AS (SELECT o_totalprice AS v, count(*) FILTER (year(o_orderdate) < 1996) AS a, count(*) FILTER (year(o_orderdate) >= 1996) AS b FROM orders GROUP BY 1)
 SELECT round(max(abs(ca / ta - cb / tb)), 6) AS ks FROM (SELECT sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM c)""",
     ),
+    "ks_test": (
+        q(lambda p: M.ks_test(p.where("model = 'ref'").withColumn("early", F.col("yr") < 1996), "price", "early", ["split"])),
+        """WITH o AS (SELECT CASE WHEN o_custkey % 10 < 7 THEN 'train' WHEN o_custkey % 10 < 8 THEN 'val' ELSE 'test' END AS split, o_totalprice AS v, year(o_orderdate) < 1996 AS early FROM orders),
+c AS (SELECT split, v, count(*) FILTER (early) AS a, count(*) FILTER (NOT early) AS b FROM o GROUP BY ALL),
+k AS (SELECT split, max(abs(ca / ta - cb / tb)) AS ks, max(ta) AS n_a, max(tb) AS n_b FROM (SELECT split, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER (PARTITION BY split) AS ta, sum(b) OVER (PARTITION BY split) AS tb FROM c WINDOW w AS (PARTITION BY split ORDER BY v)) GROUP BY split),
+x AS (SELECT *, ks * sqrt(n_a * n_b / (n_a + n_b)) AS x FROM k)
+SELECT split, round(ks, 6) AS ks, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, round(CASE WHEN x < 1 THEN 1 - sqrt(2 * pi()) / x * list_sum(list_transform(range(1, 41), lambda i: exp(-power(2 * i - 1, 2) * pi() * pi() / 8 / (x * x))))
+  ELSE 2 * list_sum(list_transform(range(1, 41), lambda i: CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * i * i * x * x))) END, 6) AS p FROM x""",
+    ),
+    "spearman_test": (q(lambda p: M.spearman_test(p, "conf", "price", ["model", "split"]).select("model", "split", "n", "spearman", "p")), None),
     "spearman_by_model": (
         q(lambda p: M.spearman(p, "conf", "price", ["model"])),
         f"""WITH {PREDS}, k AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY conf) + (count(*) OVER (PARTITION BY model, conf) - 1) / 2 AS a, rank() OVER (PARTITION BY model ORDER BY price) + (count(*) OVER (PARTITION BY model, price) - 1) / 2 AS b FROM preds)

@@ -130,6 +130,10 @@ dm AS (SELECT y, draw, sum(w * conf) / sum(w) AS mean FROM (SELECT *, {_w(_u('m1
 dr AS (SELECT draw, score, sum(w * pos) AS pos, sum(w * neg) AS neg FROM (SELECT *, {_w(_u('a1'))} AS w FROM rw, range(30) t(draw)) GROUP BY ALL UNION ALL SELECT -1, score, sum(pos), sum(neg) FROM rw GROUP BY score),
 au AS (SELECT draw, sum(pos * (coalesce(nb, 0) + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc FROM (SELECT *, sum(neg) OVER (PARTITION BY draw ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb FROM dr) GROUP BY draw)
 SELECT round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high, draws FROM ({_interval('au', '', 'auroc')})"""),
+    "auroc_draws": (lambda s, d: r(H.auroc_draws(preds(s, d).where("model = 'cand'").select("grp", F.col("conf").alias("score"), (F.col("y") == F.col("pred")).cast("int").alias("hit")), 40, "a2")),
+        f"""WITH {PREDS}, rw AS (SELECT grp, conf AS score, sum(CASE WHEN y = pred THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN y <> pred THEN 1 ELSE 0 END) AS neg FROM preds WHERE model = 'cand' GROUP BY ALL),
+dr AS (SELECT draw, score, sum(w * pos) AS pos, sum(w * neg) AS neg FROM (SELECT *, {_w(_u('a2'))} AS w FROM rw, range(40) t(draw)) GROUP BY ALL UNION ALL SELECT -1, score, sum(pos), sum(neg) FROM rw GROUP BY score)
+SELECT draw, round(sum(pos * (coalesce(nb, 0) + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 6) AS auroc FROM (SELECT *, sum(neg) OVER (PARTITION BY draw ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb FROM dr) GROUP BY draw"""),
     "comparison_run": (lambda s, d: r(H.comparison_run(preds(s, d), s.createDataFrame([("cand-ref", "ref", "cand"), ("third-ref", "ref", "third"), ("cand-third", "third", "cand")], "comparison string, reference string, candidate string"), K, BOOT, RAND, SEED)),
         f"""{PAIRS}, {BOOTED}, {DELTAS}, iv AS ({_interval('de', 'comparison, ')}), te AS (WITH {_swapped(f'{SEED}r')}, {DELTAS} {_TEST}), j AS (SELECT iv.*, te.p FROM iv JOIN te USING (comparison)),
 h AS (SELECT *, least(p * (count(*) OVER () - row_number() OVER (ORDER BY p, comparison) + 1), 1) AS s FROM j), g AS (SELECT *, max(s) OVER (ORDER BY p, comparison ROWS UNBOUNDED PRECEDING) AS p_holm FROM h)
