@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators.neighbours import hashed_neighbours  # noqa: F401  the form for large tables of embedding_neighbours
 from cohortspark.sources.tables import materialize, sized
 
 #: Distinct hashes that may share a band before it is banded anew.
@@ -129,21 +127,6 @@ def _nearest(near: DataFrame, top_k: int) -> DataFrame:
     return top.groupBy(F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id")).agg(F.max("cosine").alias("cosine"))
 
 
-def hashed_neighbours(table: DataFrame, min_cosine: float, top_k: int, key: str = "vec_id", tables: int = 6, seed: int = 11) -> DataFrame:
-    """``embedding_neighbours`` for large tables and high ``min_cosine``: only rows that share a bucket of a random projection meet.
-
-    Cosines are exact; pairs that no bucket joins are missed, the fewer the more ``tables`` there are. Zero vectors take no part.
-    """
-    length = F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
-    unit = table.withColumn("_n", length).where("_n > 0").select(key, "split", "features", array_to_vector(F.transform("features", lambda v: v.cast("double") / F.col("_n"))).alias("_v"))
-    apart = math.sqrt(max(2 - 2 * min_cosine, 1e-9))
-    unit = materialize(unit)
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=4 * apart, numHashTables=tables, seed=seed).fit(unit)
-    met = model.approxSimilarityJoin(unit, unit, apart * (1 + 1e-9), "_d").where("datasetA.split <> datasetB.split")
-    near = met.select(F.col(f"datasetA.{key}").alias("a_id"), F.col(f"datasetB.{key}").alias("b_id"), cosine("datasetA.features", "datasetB.features").alias("cosine"))
-    return _nearest(near.where(F.col("cosine") >= min_cosine), top_k)
-
-
 def overlap(candidate: DataFrame, known: DataFrame, radius: int, width: int = 32) -> DataFrame:
     """(left_id, match, right_id): for each row and kind of match (sha256, hash, id) with another cohort the first partner."""
     a, b = candidate.select("id", "sha256"), known.select(F.col("id").alias("right_id"), "sha256")

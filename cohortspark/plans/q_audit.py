@@ -188,7 +188,7 @@ SELECT id, 'in several parts' AS problem FROM p GROUP BY id HAVING count(DISTINC
     "near_hash_pairs": (man(lambda m: D.near_hash(m, RADIUS, WIDTH, "h32")), f"{MAN}, {NEAR} SELECT * FROM nh"),
     "embedding_neighbours": (lambda s, d: r(D.embedding_neighbours(X.vectors(s, d), 0.38, 20)),
         f"WITH {X.VECTORS}, c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.features::DOUBLE[], b.features::DOUBLE[]) AS c FROM vectors a JOIN vectors b ON a.split <> b.split), t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM c WHERE c >= 0.38) SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, round(max(c), 6) AS cosine FROM t WHERE k <= 20 GROUP BY 1, 2"),
-    "hashed_neighbours": (lambda s, d: r(D.hashed_neighbours(X.vectors(s, d), 0.9, 20)), None),
+    "hashed_neighbours": (lambda s, d: r(D.hashed_neighbours(X.vectors(s, d), 0.38, 20)), None),
     "cohort_overlap": (man(lambda m: D.overlap(m.where("id % 2 = 0"), m.where("id % 5 < 2"), 1)),
         f"{MAN}, a AS (SELECT * FROM manifest WHERE id % 2 = 0), b AS (SELECT * FROM manifest WHERE id % 5 < 2) SELECT a.id AS left_id, 'sha256' AS match, min(b.id) AS right_id FROM a JOIN b USING (sha256) GROUP BY 1 UNION ALL SELECT id, 'id', id FROM a JOIN b USING (id) UNION ALL SELECT a.id, 'hash', min(b.id) FROM a JOIN b ON bit_count(xor(a.h32, b.h32)) <= 1 GROUP BY 1"),
     "pair_enrichment": (man(lambda m: r(D.enriched(D.near_hash(m, RADIUS, WIDTH, "h32"), letters(m), "id", "thumb", ["label"]))),
