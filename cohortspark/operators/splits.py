@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators.order import positions
+from cohortspark.sources.tables import materialize, sized
 
 
 def draw(seed: object, *keys: str) -> Column:
@@ -42,31 +45,48 @@ def group_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
 
 
 def stratified_group_folds(rows: DataFrame, group: str, label: str, folds: int) -> DataFrame:
-    """(group, fold): groups of falling size go to the fold where the spread of class counts grows least.
+    """(group, fold): groups go one by one to the fold where the spread of class counts grows least, large ones first, of equal size by counts, then by name.
 
-    Works on the table of groups and classes in hash parts of bounded size, each dealt on its own, so no task holds all groups.
+    Groups with the same class counts stand together, so only the distinct lists of counts go through the one task that deals, with
+    how many groups have each: its state is a table of folds and classes. As soon as each fold is chosen once in a row of picks, the
+    picks repeat until the counts change, so a list's picks are a beginning and a cycle. Groups take theirs by their place
+    among those with the same counts. The folds don't depend on partitioning or size.
     """
-    counts = rows.groupBy(group, label).agg(F.count("*").alias("n"))
-    groups = counts.select(group).distinct().count()
-    parts = max(1, groups // 20_000)
-    dealt = counts.withColumn("part", F.pmod(F.xxhash64(group), F.lit(parts)))
-    kind = rows.schema[group].dataType.simpleString()
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=group, columns=label, values="n", aggfunc="sum", fill_value=0)
-        wide = wide.assign(_n=wide.sum(axis=1)).reset_index().sort_values(["_n", group], ascending=[False, True], kind="stable")
-        classes = [c for c in wide.columns if c not in (group, "_n")]
-        own = wide[classes].to_numpy(float)
-        held, totals, out = np.zeros((folds, len(classes))), own.sum(axis=0), []
-        each = np.eye(folds)[:, :, None]  # k-th table: the group added to fold k
-        for row in own:
-            spread = ((held + each * row) / totals).std(axis=1).mean(axis=1)
-            best = min(zip(spread, held.sum(axis=1), range(folds), strict=True))[2]
-            held[best] += row
-            out.append(best)
-        return pd.DataFrame({group: wide[group], "fold": out})
-
-    return dealt.groupBy("part").applyInPandas(deal, f"{group} {kind}, fold int")
+    classes = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
+    own = rows.groupBy(group).agg(F.array(*[F.count_if(F.col(label).eqNullSafe(F.lit(c))) for c in classes]).alias("_v"), F.count("*").alias("_n"))
+    own = materialize(own)
+    runs = own.groupBy("_v", "_n").agg(F.count("*").alias("_m"))
+    totals = np.array(own.select(*[F.sum(F.col("_v")[k]) for k in range(len(classes))]).first() or [], float)
+    if not classes or totals[0] != totals[0]:
+        return own.select(group, F.lit(0).alias("fold"))
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, each = np.zeros((folds, len(classes))), np.eye(folds)[:, :, None]  # k-th table: the group added to fold k
+        for f in frames:
+            begins, cycles = [], []
+            for v, m in zip(f["_v"], f["_m"], strict=True):
+                row, picks, cycle = np.array(v, float), [], []
+                while len(picks) < m:
+                    spread = ((held + each * row) / totals).std(axis=1).mean(axis=1).round(12)
+                    best = min(zip(spread, held.sum(axis=1), range(folds), strict=True))[2]
+                    held[best] += row
+                    picks.append(best)
+                    if len(set(picks[-folds:])) == folds:
+                        cycle = picks[-folds:]
+                        laps, rest = divmod(int(m) - len(picks), folds)
+                        held += laps * row
+                        for k in cycle[:rest]:
+                            held[k] += row
+                        break
+                begins.append(picks)
+                cycles.append(cycle)
+            yield f[["_v"]].assign(begin=begins, cycle=cycles)
+
+    one = runs.repartition(1).sortWithinPartitions(F.desc("_n"), F.desc("_v"))
+    dealt = materialize(one.select("_v", "_m").mapInPandas(deal, "_v array<bigint>, begin array<int>, cycle array<int>"))
+    placed = positions(own, ["_v"], [F.asc(group)], "_at").join(dealt.hint("merge"), "_v")
+    at, n = F.col("_at").cast("int"), F.size("begin")
+    return placed.select(group, F.when(at <= n, F.get("begin", at - 1)).otherwise(F.get("cycle", F.pmod(at - n - 1, F.lit(folds)))).alias("fold"))
 
 
 def fold_table(rows: DataFrame, folds: DataFrame, group: str, key: str = "id") -> DataFrame:
@@ -111,15 +131,22 @@ def fixed_test(rows: DataFrame) -> DataFrame:
 def few_shot(rows: DataFrame, group: str, label: str, budgets: list[int], repeats: int, seed: object) -> DataFrame:
     """(budget, repeat, group): whole groups, in hash order, until every class has ``budget`` rows; a group is taken if it helps a class that is short.
 
-    Draws work on the table (group, class, count), each in a task of its own.
+    Draws work on the table (group, class, count). Rows of each class are first counted in bins of the hash; only the groups up to the bin
+    where the budget is certainly met are ordered and taken, by a task for each draw.
     """
     counts = rows.groupBy(group, label).agg(F.count("*").alias("n"))
     plan = F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(k).alias("repeat")) for b in budgets for k in range(repeats)]))
     dealt = counts.select("*", plan.alias("p")).select(group, label, "n", "p.budget", "p.repeat")
     dealt = dealt.withColumn("_d", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "budget", "repeat", group)), 1, 8), 16, 10).cast("bigint"))
     # Only groups that can be reached matter: within each class, those before the budget is certainly met.
+    draw_of = ["budget", "repeat", label]
+    binned = dealt.withColumn("_bin", F.shiftright("_d", 20))  # 4,096 bins
+    upto = Window.partitionBy(*draw_of).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # sees bins, not groups
+    counted = binned.groupBy(*draw_of, "_bin").agg(F.sum("n").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    last = materialize(counted.where("_ahead < budget").groupBy(*draw_of).agg(F.max("_bin").alias("_last")))
+    reached = binned.join(sized(last), draw_of).where("_bin <= _last")
     near = Window.partitionBy("budget", "repeat", label).orderBy("_d", group).rowsBetween(Window.unboundedPreceding, -1)
-    useful = dealt.withColumn("_before", F.coalesce(F.sum("n").over(near), F.lit(0))).where("_before < budget").select("budget", "repeat", group, "_d").distinct()
+    useful = reached.withColumn("_before", F.coalesce(F.sum("n").over(near), F.lit(0))).where("_before < budget").select("budget", "repeat", group, "_d").distinct()
     wanted = dealt.join(useful.select("budget", "repeat", group).hint("merge"), ["budget", "repeat", group])
     kind = rows.schema[group].dataType.simpleString()
 
