@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.sources.tables import materialize
+
 #: Spellings of splits.
 SPLITS = {"train": "train", "training": "train", "valid": "val", "validation": "val", "val": "val", "test": "test", "testing": "test", "trainval": "train_val", "train_val": "train_val"}
 
@@ -272,3 +274,35 @@ def fingerprint_large(rows: DataFrame, key: str, columns: list[str] | None = Non
     part = F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")
     inner = fingerprint(rows.withColumn("part", part), key, columns, ("part",))
     return fingerprint(inner, "part", ["part", "digest"])
+
+
+def merkle(rows: DataFrame, columns: list[str], by: tuple = (), digits: tuple[int, ...] = (4, 2)) -> DataFrame:
+    """(by, prefix, digest): the hash tree of a group's rows, its root with an empty prefix; the same for the same rows in any order.
+
+    A row's hash is of its columns, one to a field; equal rows are one entry with a count. Entries are dealt by the first hexadecimal digits of
+    their hash, a node's digest is of its entries in order, and nodes by fewer digits are of the digests below, so a task holds no group,
+    only one node's entries: a group's rows over 16 ** ``digits[0]``. Nulls count as a field of their own.
+    """
+    by = list(by)
+    fields = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    h = F.sha2(F.concat_ws("|", *fields), 256)
+    entries = rows.groupBy(*by, h.alias("prefix")).agg(F.count("*").cast("string").alias("digest"))
+    levels = []
+    for n in (*digits, 0):
+        text = F.concat("prefix", F.lit(":"), "digest")
+        entries = entries.groupBy(*by, F.substring("prefix", 1, n).alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(text)), "\n"), 256).alias("digest"))
+        entries = materialize(entries.withColumnRenamed("node", "prefix"))
+        levels.append(entries)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def merkle_changes(a: DataFrame, b: DataFrame, by: tuple = ()) -> DataFrame:
+    """(by, prefix) of the nodes of two trees that differ or that one of them lacks. Only rows below the longest prefixes need comparing."""
+    same = F.col("a.prefix") == F.col("b.prefix")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    both = a.alias("a").join(b.alias("b").hint("merge"), same, "full").where(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
+    return both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in by], F.coalesce("a.prefix", "b.prefix").alias("prefix"))

@@ -162,6 +162,26 @@ def learning_curve(rows: DataFrame, classes: int, sizes: list[int], seeds: list[
     return reduce(DataFrame.unionByName, parts)
 
 
+def few_shot_curve(rows: DataFrame, classes: int, budgets: list[int], repeats: int, seed: object, **how) -> tuple[DataFrame, DataFrame]:
+    """(draws, curve): heads fitted on few-shot draws of the train split and scored on the other rows.
+
+    Draws are (budget, repeat, rows, accuracy, macro_f1); the curve has (budget, repeats, mean and sample deviation of both, mean rows).
+    """
+    rows = materialize(rows)
+    train, test = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    taken = materialize(train.select("id", "grp", "y", "features").join(J.few_shot(train, "grp", "y", budgets, repeats, seed).hint("merge"), "grp"))
+    sizes, parts = taken.groupBy("budget", "repeat").agg(F.count("*").alias("rows")), []
+    for budget in budgets:
+        for repeat in range(repeats):
+            drawn = taken.where((F.col("budget") == budget) & (F.col("repeat") == repeat))
+            parts.append(M.with_prediction(fit_head(drawn, classes, **how).predict(test)).select(F.lit(budget).alias("budget"), F.lit(repeat).alias("repeat"), "id", "y", "pred"))
+    by = ["budget", "repeat"]
+    every = materialize(reduce(DataFrame.unionByName, parts))
+    draws = M.accuracy(every, by).select(*by, "accuracy").join(M.macro_f1(every, classes, by).hint("merge"), by).join(sizes.hint("merge"), by).select(*by, "rows", "accuracy", "macro_f1")
+    figures = [f(c).alias(f"{n}_{c}") for c in ("accuracy", "macro_f1") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    return draws, draws.groupBy("budget").agg(F.count("*").alias("repeats"), F.avg("rows").alias("mean_rows"), *figures)
+
+
 def screen(rows: DataFrame, classes: int, grid: list[float], folds: int = 3) -> DataFrame:
     """(c, accuracy, macro_f1, balanced_accuracy) of each C over group folds."""
     folded = materialize(J.group_folds(rows, "grp", folds))

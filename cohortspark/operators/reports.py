@@ -112,6 +112,15 @@ def scale_trend(runs: DataFrame, size: str, score: str) -> DataFrame:
     return means.agg(F.count("*").alias("sizes"), F.regr_slope("y", x).alias("slope"), F.regr_intercept("y", x).alias("intercept"), F.regr_r2("y", x).alias("r2"))
 
 
+def scale_sizes(runs: DataFrame, size: str, score: str, seed: str = "seed", digest: str | None = None) -> DataFrame:
+    """(size, first, n, digests, scores, identical) per size: the score of the least seed, how many runs, subsets and scores there are, and whether all repeats are one."""
+    subset = F.col(digest) if digest else F.lit("")
+    out = runs.groupBy(F.col(size).alias("size")).agg(
+        F.min_by(score, F.struct(seed, score)).alias("first"), F.count("*").alias("n"), F.count_distinct(subset).alias("digests"), F.count_distinct(F.col(score)).alias("scores")
+    )
+    return out.withColumn("identical", (F.col("digests") == 1) & (F.col("scores") == 1))
+
+
 def repeated_runs(runs: DataFrame, by: list[str], score: str, seed: str = "seed") -> DataFrame:
     """(by, runs, seeds, mean, sd, q05, median, q95)."""
     q = F.percentile(score, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))

@@ -156,6 +156,14 @@ SELECT person_id, perturbation, round(px0, 9) AS px0, round(py0, 9) AS py0, roun
         f"{CLEAN}, v AS (SELECT person_id, area_fraction + person_id * CAST(1e-9 AS DOUBLE) AS v FROM cb), c AS (SELECT quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM v) SELECT person_id, CASE WHEN v <= a THEN 1 WHEN v <= b THEN 2 WHEN v <= c THEN 3 ELSE 4 END AS quartile FROM v, c"),
     "unambiguous_images": (lambda s, d: X.boxes(s, d).groupBy("image_id").agg(F.count("*").alias("people"), (F.count_distinct("label") == 1).alias("unambiguous")), f"WITH {X.BOXES} SELECT image_id, count(*) AS people, count(DISTINCT label) = 1 AS unambiguous FROM boxes GROUP BY image_id"),
     "split_fingerprints": (man(lambda m: B.fingerprint(m, "id", ["id", "label", "split", "sha256"], ("split",))), f"{MAN} SELECT split, sha256(string_agg(id || '|' || label || '|' || split || '|' || sha256, chr(10) ORDER BY id)) AS digest FROM manifest GROUP BY split"),
+    "merkle_digests": (man(lambda m: B.merkle(m, ["id", "label", "sha256"], ("split",))),
+        f"""{MAN}, l0 AS (SELECT split, sha256('=' || id || '|' || coalesce('=' || label, '-') || '|=' || sha256) AS prefix, CAST(count(*) AS VARCHAR) AS digest FROM manifest GROUP BY ALL),
+l1 AS (SELECT split, left(prefix, 4) AS p, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix || ':' || digest)) AS digest FROM l0 GROUP BY ALL),
+l2 AS (SELECT split, left(p, 2) AS q, sha256(string_agg(p || ':' || digest, chr(10) ORDER BY p || ':' || digest)) AS digest FROM l1 GROUP BY ALL)
+SELECT split, p AS prefix, digest FROM l1 UNION ALL SELECT split, q, digest FROM l2 UNION ALL SELECT split, '', sha256(string_agg(q || ':' || digest, chr(10) ORDER BY q || ':' || digest)) FROM l2 GROUP BY split"""),
+    "merkle_changes": (man(lambda m: B.merkle_changes(B.merkle(m, ["id", "label"], ("split",)), B.merkle(m.withColumn("label", F.when(F.col("id") % 500 == 3, "xx").otherwise(F.col("label"))), ["id", "label"], ("split",)), ("split",))),
+        f"""{MAN}, h AS (SELECT split, sha256('=' || id || '|' || coalesce('=' || label, '-')) AS a, sha256('=' || id || '|' || CASE WHEN id % 500 = 3 THEN '=xx' ELSE coalesce('=' || label, '-') END) AS b FROM manifest),
+c AS (SELECT split, a AS p FROM h WHERE a <> b UNION SELECT split, b FROM h WHERE a <> b) SELECT DISTINCT split, left(p, n) AS prefix FROM c, (VALUES (4), (2), (0)) t(n)"""),
     "large_fingerprint": (man(lambda m: B.fingerprint_large(m, "id", ["id", "sha256"])), None),
     # constraints
     "blank_values": (lambda s, d: C.blanks(table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 100 == 3, "  ").otherwise(F.col("o_orderstatus")).alias("status"), F.when(F.col("o_custkey") % 50 == 1, None).otherwise(F.col("o_custkey")).alias("cust")), "o_orderkey", ["status", "cust"]),

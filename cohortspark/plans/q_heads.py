@@ -66,6 +66,7 @@ QUERIES = {
     "fused_views": (_fused, None),
     "augmented_head": (lambda s, d: r(Z.augmented(_box_rows(s, d), 3, Z.fit_factorised)[1]), None),
     "learning_curve": (lambda s, d: r(Z.learning_curve(rows(s, d), LABELS, [50, 200], [42, 52])), None),
+    "few_shot_curve": (lambda s, d: r(Z.few_shot_curve(rows(s, d), LABELS, [1, 5, 20], 2, 7)[1]), None),
     "geometry_baseline": (lambda s, d: r(Z.head_report(_geometry(s, d), 2)), None),
     "head_screen": (lambda s, d: r(Z.screen(rows(s, d), LABELS, [0.01, 1.0])), None),
     "final_refit": (_refit, None),

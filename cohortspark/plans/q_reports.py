@@ -93,6 +93,7 @@ SELECT round(q2, 6) AS source_median, round(quantile_cont(a, 0.5), 6) AS target_
         f"WITH {PREDS}, s AS (SELECT model, 'sure' AS name, count(*) FILTER (conf > 0.4 AND y = pred) AS numerator, count(*) FILTER (y = pred) AS denominator FROM preds GROUP BY model UNION ALL SELECT model, 'late', count(*) FILTER (yr > 1997 AND y <> pred), count(*) FILTER (y <> pred) FROM preds GROUP BY model) SELECT *, round(numerator / nullif(denominator, 0), 6) AS share FROM s"),
     "mixed_images": (q(lambda p: R.mixed_images(p, "grp", K)), f"{_MIX} SELECT model, count(*) AS rows, round({_ACC}, 6) AS accuracy, any_value(i.images) AS images, any_value(i.varying) AS varying, round(any_value(macro_f1), 6) AS macro_f1 FROM rw JOIN (SELECT model, count(*) AS images, count(*) FILTER (np > 1) AS varying FROM mx GROUP BY model) i USING (model) JOIN {_F1.format('model', 'rw')} USING (model) GROUP BY model"),
     "scale_trend": (cand(lambda c: R.scale_trend(c.withColumn("size", F.pow(F.lit(2), F.col("best_epoch"))), "size", "macro_f1")), f"{CAND}, m AS (SELECT best_epoch AS x, avg(macro_f1) AS y FROM candidates GROUP BY 1) SELECT count(*) AS sizes, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM m"),
+    "scale_sizes": (cand(lambda c: R.scale_sizes(c, "best_epoch", "macro_f1", digest="family")), f"{CAND} SELECT best_epoch AS size, round(arg_min(macro_f1, {{'a': seed, 'b': macro_f1}}), 6) AS first, count(*) AS n, count(DISTINCT family) AS digests, count(DISTINCT macro_f1) AS scores, digests = 1 AND scores = 1 AS identical FROM candidates GROUP BY best_epoch"),
     "repeated_runs": (cand(lambda c: R.repeated_runs(c, ["family"], "macro_f1")), f"{CAND} SELECT family, count(*) AS runs, count(DISTINCT seed) AS seeds, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS sd, round(quantile_cont(macro_f1, 0.05), 6) AS q05, round(quantile_cont(macro_f1, 0.5), 6) AS median, round(quantile_cont(macro_f1, 0.95), 6) AS q95 FROM candidates GROUP BY family"),
     "manifest_summary": (lambda s, d: r(R.manifest_summary(table(s, d, "documents").withColumn("sha", F.sha2("text", 256)).withColumn("size", F.length("text")), "size", "sha", ["lang"])), "SELECT lang, count(*) AS n, count(DISTINCT text) AS digests, count(*) - count(DISTINCT text) AS repeated, round(avg(length(text)), 6) AS mean, round(quantile_cont(length(text), 0.05), 6) AS p05, round(quantile_cont(length(text), 0.5), 6) AS median, round(quantile_cont(length(text), 0.95), 6) AS p95 FROM documents GROUP BY lang"),
     "split_label_pivot": (lambda s, d: X.manifest(s, d).groupBy("split").pivot("label", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1))).na.fill(0), f"WITH {X.MANIFEST} SELECT split, count(*) FILTER (label = 'de') AS de, count(*) FILTER (label = 'en') AS en, count(*) FILTER (label = 'es') AS es, count(*) FILTER (label = 'fr') AS fr FROM manifest GROUP BY split"),

@@ -99,6 +99,21 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def checked_digests(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(path, bytes, sha256, error) of the ``wanted`` paths below ``path``: null, or why a file has no digest: absent or unreadable.
+
+    A file without bytes, which Spark's scan doesn't list, counts as absent. Files are listed without being opened; those that can't be read are passed over by the scan that hashes, and flagged here. One bad
+    file fails no other.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = found.select("path", F.col("length").alias("bytes"))
+    lenient = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(path)
+    hashed = lenient.select("path", F.sha2("content", 256).alias("sha256"))
+    both = wanted.select("path").distinct().join(listed.hint("merge"), "path", "left").join(hashed.hint("merge"), "path", "left")
+    error = F.when(F.col("bytes").isNull(), "absent").when(F.col("sha256").isNull(), "unreadable")
+    return both.select("path", "bytes", "sha256", error.alias("error"))
+
+
 def run_summaries(spark: SparkSession, folder: str, name: str = "summary.json") -> DataFrame:
     """One flat row per run summary below ``folder``: nested fields as a_b, and the folder as ``run``."""
     rows = spark.read.option("recursiveFileLookup", True).option("multiLine", True).option("pathGlobFilter", name).json(folder).withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))

@@ -75,3 +75,39 @@ def test_few_shot_draws_are_brute_force(spark):
                 want.append(g)
                 have += counts[g]
         assert taken == sorted(want)
+
+
+def test_few_shot_curve_grows(spark):
+    from cohortspark.operators import heads as Z
+
+    rng = random.Random(5)
+    rows = [(k, k // 2, k % 3, "train" if k % 4 else "test", [rng.gauss(2.0 * (j == k % 3), 1) for j in range(3)]) for k in range(240)]
+    draws, curve = Z.few_shot_curve(spark.createDataFrame(rows, "id long, grp long, y int, split string, features array<double>"), 3, [1, 20], 2, 1)
+    out = {r.budget: r for r in curve.collect()}
+    assert draws.count() == 4 and out[20].mean_accuracy > out[1].mean_accuracy and out[20].mean_rows >= 60 and out[1].repeats == 2
+
+
+def test_hash_trees_find_the_changed_rows(spark):
+    from cohortspark.functions import fields as B
+
+    a = spark.range(3_000).selectExpr("id % 2 AS side", "id", "concat('t', id % 7) AS t").union(spark.sql("SELECT 0L, NULL, NULL"))
+    tree = lambda df: {(r.side, r.prefix): r.digest for r in B.merkle(df, ["id", "t"], ("side",), (2, 1)).collect()}
+    one = tree(a)
+    assert one == tree(a.repartition(7)) and set(len(p) for _, p in one) == {0, 1, 2}
+    changed = a.selectExpr("side", "id", "CASE WHEN id = 8 THEN 'x' ELSE t END AS t")
+    other = tree(changed)
+    assert one[1, ""] == other[1, ""] and one[0, ""] != other[0, ""] and 3 <= sum(one.get(k) != other.get(k) for k in one | other) <= 5
+    twice = tree(a.union(a.where("id = 8")))
+    assert twice[0, ""] != one[0, ""]
+
+
+def test_bad_files_are_flagged(spark, tmp_path):
+    from cohortspark.sources import files as A
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.bin").write_bytes(b"abc")
+    (tmp_path / "d" / "none.bin").write_bytes(b"")
+    paths = [f"file:{tmp_path}/d/{n}.bin" for n in ("one", "none", "gone")]
+    out = {r.path.rsplit("/", 1)[1]: r for r in A.checked_digests(spark, str(tmp_path), spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert out["one.bin"].sha256 == hashlib.sha256(b"abc").hexdigest() and out["one.bin"].error is None
+    assert out["none.bin"].error == out["gone.bin"].error == "absent" and out["gone.bin"].sha256 is None
