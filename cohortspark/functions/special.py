@@ -15,6 +15,24 @@ def _sum(n: int, term) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0.0), lambda s, k: s + term(k.cast("double")))
 
 
+def array_ranks(values: Column) -> Column:
+    """Ranks from 1 of an array's values, ties averaged, in the order of the array."""
+    below = lambda x: F.size(F.filter(values, lambda y: y < x))
+    return F.transform(values, lambda x: below(x) + (F.size(F.filter(values, lambda y: y == x)) + 1) / 2)
+
+
+def array_spearman(a: Column, b: Column) -> Column:
+    """Rank correlation of two arrays of one row, ties averaged; constant arrays: 1 if both are, else 0; null if lengths differ or are 0."""
+    n = F.size(a)
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    middle = (n + 1) / 2
+    ra, rb = (F.transform(array_ranks(x), lambda v: v - middle) for x in (a, b))
+    spread = lambda x: add(F.transform(x, lambda v: v * v))
+    flat_a, flat_b = F.array_min(a) == F.array_max(a), F.array_min(b) == F.array_max(b)
+    told = add(F.zip_with(ra, rb, lambda u, v: u * v)) / F.sqrt(spread(ra) * spread(rb))
+    return F.when((n != F.size(b)) | (n == 0), None).when(flat_a & flat_b, 1.0).when(flat_a | flat_b, 0.0).otherwise(told)
+
+
 def kolmogorov_tail(x: Column) -> Column:
     """P(K > x) of Kolmogorov's distribution: the alternating series from 1 on, its theta transform below, both to full precision."""
     safe = F.greatest(x, F.lit(0.04))  # below, the tail is 1 to the last bit

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.functions.special import array_spearman
 from cohortspark.operators import metrics as M
 from cohortspark.operators.quantiles import quantiles
 from cohortspark.sources.tables import materialize
@@ -154,6 +155,23 @@ def faithfulness(points: DataFrame, key: str) -> DataFrame:
     return out.withColumn("gap", F.col("random") - F.col("deletion"))
 
 
+def road(points: DataFrame, key: str) -> DataFrame:
+    """(key, most, least, random, gap, combined) from curve rows (key, metric, x, y) of removal in falling, rising and random order of
+    attribution: areas per curve, least minus most, and half that difference averaged over the points that both curves have."""
+    names = ["most", "least", "random"]
+    out = M.curve_area(points, (key, "metric")).groupBy(key).pivot("metric", names).agg(F.first("area"))
+    at = points.groupBy(key, "x").pivot("metric", names[:2]).agg(F.first("y"))
+    combined = at.groupBy(key).agg(F.avg((F.col("least") - F.col("most")) / 2).alias("combined"))
+    return out.withColumn("gap", F.col("least") - F.col("most")).join(combined.hint("merge"), key).select(key, *names, "gap", "combined")
+
+
+def subset_faithfulness(subsets: DataFrame, key: str, original: str = "original") -> DataFrame:
+    """(key, subsets, spearman) of (key, original, mass, probability) rows, one for each removed subset: rank correlation of the subset's
+    attribution mass and of the fall of the probability; constant ones: 1 if both are, else 0. A key's subsets are a fixed plan, some tens."""
+    pairs = subsets.groupBy(key).agg(F.collect_list(F.struct("mass", (F.col(original) - F.col("probability")).alias("drop"))).alias("_p"))
+    return pairs.select(key, F.size("_p").alias("subsets"), array_spearman(F.col("_p.mass"), F.col("_p.drop")).alias("spearman"))
+
+
 def localisation(maps: DataFrame, values: str, width: int, box: tuple[str, str, str, str], key: str) -> DataFrame:
     """(key, mass, area, lift, pointing): share of the map's positive mass in the box, the box's share of cells, their ratio, and whether the first largest cell lies in it."""
     x0, y0, x1, y1 = box

@@ -89,3 +89,16 @@ def test_areas_of_draws_are_brute_force(spark):
         low, high = np.searchsorted(s, s, "left"), np.searchsorted(s, s, "right")
         area = (pos * (cum[low] + (cum[high] - cum[low]) / 2)).sum()
         assert out[d] == pytest.approx(area / (pos.sum() * neg.sum()), abs=1e-12)
+
+
+def test_rank_correlation_within_rows(spark):
+    import pandas as pd
+
+    rng = random.Random(6)
+    rows = [(k, [float(rng.randrange(4 + k % 9)) for _ in range(n)], [rng.choice([0.5, rng.random()]) for _ in range(n)]) for k in range(60) for n in [2 + k % 17]]
+    rows += [(100, [1.0, 1.0], [2.0, 2.0]), (101, [1.0, 1.0], [2.0, 3.0]), (102, [], []), (103, [1.0], [1.0, 2.0])]
+    out = {r.k: r.s for r in spark.createDataFrame(rows, "k int, a array<double>, b array<double>").select("k", S.array_spearman(F.col("a"), F.col("b")).alias("s")).collect()}
+    for k, a, b in rows[:60]:
+        if len(set(a)) > 1 and len(set(b)) > 1:
+            assert out[k] == pytest.approx(float(np.corrcoef(pd.Series(a).rank(), pd.Series(b).rank())[0, 1]), abs=1e-9)
+    assert (out[100], out[101], out[102], out[103]) == (1, 0, None, None)
