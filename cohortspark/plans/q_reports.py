@@ -111,8 +111,8 @@ SELECT round(q2, 6) AS source_median, round(quantile_cont(a, 0.5), 6) AS target_
 a2 AS (SELECT vec_id, metric, sum((y + py) / 2 * (x - px)) / (max(x) - min(x)) AS area FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM c2 WINDOW w AS (PARTITION BY vec_id, metric ORDER BY x)) GROUP BY ALL),
 cb AS (SELECT a.vec_id, avg((b.y - a.y) / 2) AS combined FROM c2 a JOIN c2 b ON a.vec_id = b.vec_id AND a.x = b.x AND a.metric = 'most' AND b.metric = 'least' GROUP BY 1)
 SELECT vec_id, round(max(area) FILTER (metric = 'most'), 6) AS most, round(max(area) FILTER (metric = 'least'), 6) AS least, round(max(area) FILTER (metric = 'random'), 6) AS random, round(max(area) FILTER (metric = 'least') - max(area) FILTER (metric = 'most'), 6) AS gap, round(max(combined), 6) AS combined FROM a2 JOIN cb USING (vec_id) GROUP BY vec_id"""),
-    "subset_faithfulness": (vec(lambda v: R.subset_faithfulness(v.select("vec_id", F.lit(1.0).alias("original"), F.posexplode(F.slice("features", 1, 32)).alias("i", "m"), "features").select("vec_id", "original", F.round(F.abs("m"), 1).cast("double").alias("mass"), F.expr("round(abs(features[i + 32]), 1)").cast("double").alias("probability")), "vec_id")),
-        f"{VEC}, z AS (SELECT vec_id, CAST(round(abs(features[i + 1]), 1) AS DOUBLE) AS a, 1.0::DOUBLE - CAST(round(abs(features[i + 33]), 1) AS DOUBLE) AS b FROM vectors, range(32) t(i)), k AS (SELECT vec_id, rank() OVER (PARTITION BY vec_id ORDER BY a) + (count(*) OVER (PARTITION BY vec_id, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY vec_id ORDER BY b) + (count(*) OVER (PARTITION BY vec_id, b) - 1) / 2 AS rb FROM z) SELECT vec_id, count(*) AS subsets, round(corr(ra, rb), 6) AS spearman FROM k GROUP BY vec_id"),
+    "subset_faithfulness": (vec(lambda v: R.subset_faithfulness(v.select("vec_id", F.lit(1.0).alias("original"), F.posexplode(F.slice("features", 1, 32)).alias("i", "m"), "features").select("vec_id", "original", (F.floor(F.abs(F.col("m").cast("double")) * 10) / 10).alias("mass"), F.expr("floor(abs(CAST(features[i + 32] AS DOUBLE)) * 10) / 10").cast("double").alias("probability")), "vec_id")),
+        f"{VEC}, z AS (SELECT vec_id, floor(abs(CAST(features[i + 1] AS DOUBLE)) * 10) / 10 AS a, 1.0::DOUBLE - floor(abs(CAST(features[i + 33] AS DOUBLE)) * 10) / 10 AS b FROM vectors, range(32) t(i)), k AS (SELECT vec_id, rank() OVER (PARTITION BY vec_id ORDER BY a) + (count(*) OVER (PARTITION BY vec_id, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY vec_id ORDER BY b) + (count(*) OVER (PARTITION BY vec_id, b) - 1) / 2 AS rb FROM z) SELECT vec_id, count(*) AS subsets, round(corr(ra, rb), 6) AS spearman FROM k GROUP BY vec_id"),
     "localisation": (vec(lambda v: R.localisation(v.select("vec_id", F.transform("features", lambda x: F.abs(x).cast("double")).alias("m"), (F.col("vec_id") % 4).alias("x0"), F.lit(2).alias("y0"), (F.col("vec_id") % 4 + 4).alias("x1"), F.lit(6).alias("y1")), "m", 8, ("x0", "y0", "x1", "y1"), "vec_id")),
         f"""{VEC}, c AS (SELECT vec_id, i, abs(features[i + 1])::DOUBLE AS v, i % 8 >= vec_id % 4 AND i % 8 < vec_id % 4 + 4 AND i // 8 >= 2 AND i // 8 < 6 AS inside FROM vectors, range(64) t(i)),
 g AS (SELECT vec_id, sum(CASE WHEN inside THEN v ELSE 0 END) / sum(v) AS mass, avg(CASE WHEN inside THEN 1.0 ELSE 0 END) AS area, max_by(inside, (v, -i)) AS pointing FROM c GROUP BY vec_id) SELECT vec_id, round(mass, 6) AS mass, round(area, 6) AS area, round(mass / area, 6) AS lift, pointing FROM g"""),
