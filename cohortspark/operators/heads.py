@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from cohortspark.operators import metrics as M
 from cohortspark.operators import probs as P
 from cohortspark.operators import splits as J
+from cohortspark.operators.draws import confusion_scores, multinomial_sums
+from cohortspark.operators.resample import interval
 from cohortspark.sources.tables import materialize
 
 
@@ -110,26 +112,23 @@ def svm_scores(rows: DataFrame, classes: int, folds: int = 3, c: float = 1.0) ->
     return out_of_fold(raw.withColumn("features", F.col("scores")).drop("scores"), flat(classes), folds)
 
 
-def tuned_calibrator(preds: DataFrame, classes: int, grid: list[float], folds: int = 3) -> tuple[DataFrame, float]:
-    """(calibrated rows, C): a head on centred logs of p, its C chosen by log loss over group folds, then fitted on all rows."""
+def fit_calibrator(preds: DataFrame, classes: int, grid: list[float], folds: int = 3, balanced: bool = False) -> tuple[Head, float]:
+    """(head, C): a head on centred logs of p, its C chosen by log loss over group folds, then fitted on all rows."""
     rows = materialize(J.group_folds(preds.withColumn("features", P.centred_logs("p")).drop("p"), "grp", folds))
-    losses = {c: M.log_loss(out_of_fold(rows, flat(classes, c=c), folds), ()).first()[0] for c in grid}
+    losses = {c: M.log_loss(out_of_fold(rows, flat(classes, c=c, balanced=balanced), folds), ()).first()[0] for c in grid}
     best = min(grid, key=lambda c: (losses[c], c))
-    return fit_head(rows, classes, c=best).predict(rows), best
+    return fit_head(rows, classes, c=best, balanced=balanced), best
 
 
-def nested(rows: DataFrame, classes: int, grid: list[float], outer: int = 3, inner: int = 2) -> DataFrame:
-    """(outer_fold, c, accuracy, macro_f1): C chosen on inner group folds of the other outer folds, scored on the outer fold."""
-    rows = materialize(J.group_folds(rows, "grp", outer).withColumnRenamed("fold", "outer_fold"))
-    parts = []
-    for k in range(outer):
-        train, test = rows.where(F.col("outer_fold") != k), rows.where(F.col("outer_fold") == k)
-        folded = J.group_folds(train, "grp", inner)
-        scores = {c: M.macro_f1(M.with_prediction(out_of_fold(folded, flat(classes, c=c), inner)), classes, ()).first()[0] for c in grid}
-        best = max(grid, key=lambda c: (round(scores[c], 9), -c))
-        out = M.with_prediction(fit_head(train, classes, c=best).predict(test))
-        parts.append(M.accuracy(out, ("outer_fold",)).join(M.macro_f1(out, classes, ("outer_fold",)), "outer_fold").select("outer_fold", F.lit(best).alias("c"), "accuracy", "macro_f1"))
-    return reduce(DataFrame.unionByName, parts)
+def calibrated(head: Head, preds: DataFrame) -> DataFrame:
+    """``preds`` with the probabilities of a calibrator in place of p."""
+    return head.predict(preds.withColumn("features", P.centred_logs("p")).drop("p")).drop("features")
+
+
+def tuned_calibrator(preds: DataFrame, classes: int, grid: list[float], folds: int = 3) -> tuple[DataFrame, float]:
+    """(calibrated rows, C) of the rows that the calibrator is fitted on."""
+    head, best = fit_calibrator(preds, classes, grid, folds)
+    return calibrated(head, preds), best
 
 
 def fused_views(features: DataFrame, pairs: list[tuple[str, str]]) -> dict[str, DataFrame]:
@@ -148,17 +147,23 @@ def augmented(views: DataFrame, classes: int, fit, condition: str = "perturbatio
     return P.mean_over(scored, ("id", "y"), "geometric"), M.accuracy(M.with_prediction(scored), (condition,))
 
 
-def learning_curve(rows: DataFrame, classes: int, sizes: list[int], seeds: list[int], **how) -> DataFrame:
-    """(size, seed, accuracy, macro_f1) on the other rows of heads fitted on nested subsets of the train split."""
+def learning_curve(rows: DataFrame, classes: int, sizes: list[float], seeds: list[int], **how) -> DataFrame:
+    """(size, seed, accuracy, macro_f1) on the other rows of heads fitted on nested subsets of the train split.
+
+    Sizes are numbers of rows, or shares of the train rows if they are at most 1 and not whole numbers of rows (1.0 is all of them).
+    """
     rows = materialize(rows)
     train, test = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    if any(isinstance(x, float) for x in sizes):
+        n = train.count()
+        sizes = [max(1, round(x * n)) if isinstance(x, float) else x for x in sizes]
     parts = []
     for seed in seeds:
         subsets = J.nested_subsets(train, "y", sizes, seed).select("size", "id")
         for size in sizes:
             head = fit_head(train.join(subsets.where(F.col("size") == size).select("id").hint("merge"), "id", "left_semi"), classes, **how)
             out = M.with_prediction(head.predict(test)).withColumns({"size": F.lit(size), "seed": F.lit(seed)})
-            parts.append(M.accuracy(out, ("size", "seed")).join(M.macro_f1(out, classes, ("size", "seed")), ["size", "seed"]).select("size", "seed", "accuracy", "macro_f1"))
+            parts.append(M.accuracy(out, ("size", "seed")).join(M.macro_f1(out, classes, ("size", "seed")).hint("merge"), ["size", "seed"]).select("size", "seed", "accuracy", "macro_f1"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -189,7 +194,7 @@ def screen(rows: DataFrame, classes: int, grid: list[float], folds: int = 3) ->
     for c in grid:
         out = M.with_prediction(out_of_fold(folded, flat(classes, c=c), folds)).withColumn("c", F.lit(c))
         figures = M.macro(M.per_class(M.confusion(out, classes, ("c",)), ("c",)), ("c",))
-        parts.append(M.accuracy(out, ("c",)).join(figures, "c").select("c", "accuracy", "macro_f1", "balanced_accuracy"))
+        parts.append(M.accuracy(out, ("c",)).join(figures.hint("merge"), "c").select("c", "accuracy", "macro_f1", "balanced_accuracy"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -201,22 +206,28 @@ def refit(rows: DataFrame, classes: int, stored: DataFrame, tolerance: float = 1
     return fit_head(rows, classes, **how).predict(rows), probability_gap(again, stored, ["id"], tolerance)
 
 
-def adaptation_table(preds: DataFrame, classes: int) -> DataFrame:
-    """(method, accuracy, macro_f1, log_loss) on val of ways to adapt probabilities that are fitted on train: none, temperature, priors, EM, offsets, head."""
-    train, val = preds.where("split = 'train'"), preds.where("split = 'val'")
-    source = [1 / classes] * classes
-    labels = {r.y: r["count"] for r in train.groupBy("y").count().collect()}
-    seen = [labels.get(k, 0) / max(sum(labels.values()), 1) for k in range(classes)]
-    t = P.fit_temperature(train.withColumn("_g", F.lit(1)), ("_g",)).first().temperature
-    o = P.search_offsets(train, classes).first()
-    calibrated = fit_head(train.withColumn("features", P.centred_logs("p")), classes)
-    offsets = [0.0, o.o1, o.o2] + [0.0] * (classes - 3)
-    ways = {
-        "none": val, "temperature": val.withColumn("p", P.with_temperature("p", t)), "priors": val.withColumn("p", P.with_priors("p", source, seen)),
-        "em": val.withColumn("p", P.with_priors("p", source, P.estimate_priors(val, source)[0])),
-        "offsets": val.withColumn("p", P.normalised(F.zip_with("p", F.array(*[F.exp(F.lit(x)) for x in offsets]), lambda a, b: a * b))),
-        "head": calibrated.predict(val.withColumn("features", P.centred_logs("p"))),
-    }
-    rows = reduce(DataFrame.unionByName, [M.with_prediction(w.select("id", "y", "p")).withColumn("method", F.lit(n)) for n, w in ways.items()])
-    by = ("method",)
-    return M.accuracy(rows, by).join(M.macro_f1(rows, classes, by).hint("merge"), "method").join(M.log_loss(rows, by).hint("merge"), "method").select("method", "accuracy", "macro_f1", "log_loss")
+def geometry_report(development: DataFrame, test: DataFrame, external: DataFrame, classes: int, merged: list[list[int]], draws: int, seed: int, folds: int = 5) -> DataFrame:
+    """(candidate, domain, n, oof_macro_f1, accuracy, macro_f1, low, high, log_loss): a balanced head on geometry against the commonest class.
+
+    The head is scored out of fold on ``development`` (stratified folds), fitted on all of it, then scored on ``test``, with a 95 % interval
+    of macro F1 from rows drawn anew inside their class, and on ``external`` rows, whose labels are those of ``merged`` classes, as are its
+    summed probabilities. Of classes equally common the first counts. Rows are (id, y, features).
+    """
+    how = {"balanced": True}
+    oof = M.with_prediction(out_of_fold(J.stratified_folds(development, "y", folds, seed), flat(classes, **how), folds))
+    own = M.macro_f1(oof, classes, ()).select(F.lit("geometry").alias("candidate"), F.lit("source").alias("domain"), F.col("macro_f1").alias("oof_macro_f1"))
+    head = fit_head(development, classes, **how)
+    common = development.groupBy("y").count().orderBy(F.desc("count"), "y").first()["y"]
+    tested = materialize(M.with_prediction(head.predict(test)).select("y", "p", "pred"))
+    other = M.with_prediction(head.predict(external).select("y", P.collapsed("p", merged).alias("p")))
+    drawn = tested.groupBy("y", "pred").agg(F.count("*").alias("mass")).withColumn("n", F.lit(1))
+    spread = interval(confusion_scores(multinomial_sums(drawn, ["y", "pred"], ["y", "pred"], draws, seed, "y", "mass"), classes, []), "macro")
+    spread = spread.select(F.lit("geometry").alias("candidate"), F.lit("source").alias("domain"), "low", "high")
+    parts = []
+    for candidate, domain, rows, k in (("geometry", "source", tested, classes), ("majority", "source", tested.withColumn("pred", F.lit(common)), classes), ("geometry", "external", other, len(merged))):
+        of = rows.withColumns({"candidate": F.lit(candidate), "domain": F.lit(domain)})
+        by = ("candidate", "domain")
+        loss = M.log_loss(of, by).select(*by, (F.col("log_loss") if candidate == "geometry" else F.lit(None).cast("double")).alias("log_loss"))
+        parts.append(M.accuracy(of, by).select(*by, "n", "accuracy").join(M.macro_f1(of, k, by).hint("merge"), list(by)).join(loss.hint("merge"), list(by)).select(*by, "n", "accuracy", "macro_f1", "log_loss"))
+    out = reduce(DataFrame.unionByName, parts).join(own.hint("merge"), ["candidate", "domain"], "left").join(spread.hint("merge"), ["candidate", "domain"], "left")
+    return out.select("candidate", "domain", "n", "oof_macro_f1", "accuracy", "macro_f1", "low", "high", "log_loss")

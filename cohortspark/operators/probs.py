@@ -150,44 +150,76 @@ def estimate_priors(preds: DataFrame, source: list[float], tolerance: float = 1e
         rows.unpersist()
 
 
-def search_offsets(preds: DataFrame, k: int, span: float = 2.5, points: int = 101) -> DataFrame:
-    """(o1, o2, macro_f1): log offsets of classes 1 and 2 (the others stay) with the best macro F1 of the whole grid of ``points`` x ``points`` on [-span, span]; ties to the least norm.
+def priors_by(preds: DataFrame, source: list[float], by=("model",), tolerance: float = 1e-8, rounds: int = 200) -> DataFrame:
+    """(by, priors, rounds, settled): ``estimate_priors`` of every group side by side; a round is one pass over the groups that still move.
+
+    The driver holds a few numbers per group. Groups whose key is null take no part.
+    """
+    spark, by = preds.sparkSession, list(by)
+    base = materialize(preds.select(*by, "p"))
+    own = F.array(*[F.lit(max(x, 1e-12)) for x in source])
+    q = normalised(F.zip_with("p", F.zip_with("_now", own, lambda a, b: a / b), lambda v, r: v * r))
+    kinds = base.select(*by, F.lit(None).cast("array<double>").alias("_now")).schema
+    moving, done = [(*r, list(source)) for r in base.select(*by).dropna().distinct().collect()], []
+    for k in range(1, rounds + 1):
+        if not moving:
+            break
+        now = F.broadcast(spark.createDataFrame(moving, kinds))
+        sums = base.join(now, by).select(*by, "_now", q.alias("_q")).groupBy(*by, "_now").agg(*[F.avg(F.col("_q")[j]).alias(f"_c{j}") for j in range(len(source))])
+        still = []
+        for r in sums.collect():
+            new = [r[f"_c{j}"] for j in range(len(source))]
+            row = (*[r[b] for b in by], new)
+            settled = max(abs(a - b) for a, b in zip(new, r["_now"], strict=True)) < tolerance
+            if settled or k == rounds:
+                done.append((*row, k, settled))
+            else:
+                still.append(row)
+        moving = still
+    names = ", ".join(f"`{b}` {base.schema[b].dataType.simpleString()}" for b in by)
+    return spark.createDataFrame(done, f"{names}, priors array<double>, rounds int, settled boolean")
+
+
+def search_offsets(preds: DataFrame, k: int, span: float = 2.5, points: int = 101, by=()) -> DataFrame:
+    """(by, o1, o2, macro_f1): log offsets of classes 1 and 2 (the others stay) with the best macro F1 of the whole grid of ``points`` x ``points`` on [-span, span]; ties to the least norm.
 
     A row's classes win where two of its borders are passed: class 1 from tick i1 on and while i - j >= d, class 2 from tick i2 on and while
     i - j < d, and below i1 and i2 the best of the other classes. So rows are counted by their borders (at most some 20,000 cells a class,
     however many rows), and running sums of the counts score all points at once.
     """
-    last, step = points - 1, 2 * span / (points - 1)
+    last, step, by = points - 1, 2 * span / (points - 1), list(by)
     z = F.transform("p", lambda v: F.ln(F.greatest(v, F.lit(1e-12))))
     rest = F.filter("z", lambda v, i: (i != 1) & (i != 2))
-    rows = preds.where(F.col("p").isNotNull() & F.col("y").between(0, k - 1)).select("y", z.alias("z")).select(
-        "y", F.col("z")[1].alias("z1"), F.coalesce(F.get("z", F.lit(2)), F.lit(-1e6)).alias("z2"), F.array_max(rest).alias("zo"), (F.array_position(rest, F.array_max(rest)) - 1).alias("m")
+    rows = preds.where(F.col("p").isNotNull() & F.col("y").between(0, k - 1)).select(*by, "y", z.alias("z")).select(
+        *by, "y", F.col("z")[1].alias("z1"), F.coalesce(F.get("z", F.lit(2)), F.lit(-1e6)).alias("z2"), F.array_max(rest).alias("zo"), (F.array_position(rest, F.array_max(rest)) - 1).alias("m")
     )
     ticks = lambda gap: F.round(gap / step, 9)
     start = lambda t: F.when(F.col("m") == 0, F.floor(t) + 1).otherwise(F.ceil(t))  # noqa: E731  # of equal values the first class wins
     held = lambda c, low, high: F.greatest(F.least(c, F.lit(high)), F.lit(low)).cast("int")
     rows = rows.select(
-        "y", F.when(F.col("m") > 0, F.col("m") + 2).otherwise(0).cast("int").alias("m"), held(start(ticks(F.col("zo") - F.col("z1") + span)), 0, points).alias("i1"),
+        *by, "y", F.when(F.col("m") > 0, F.col("m") + 2).otherwise(0).cast("int").alias("m"), held(start(ticks(F.col("zo") - F.col("z1") + span)), 0, points).alias("i1"),
         held(start(ticks(F.col("zo") - F.col("z2") + span)), 0, points).alias("i2"), held(F.ceil(ticks(F.col("z2") - F.col("z1"))), -last, points).alias("d"),
-    ).groupBy("y", "m", "i1", "i2", "d").agg(F.count("*").alias("n"))
+    ).groupBy(*by, "y", "m", "i1", "i2", "d").agg(F.count("*").alias("n"))
     # A class is predicted at a point iff u <= U and v <= V there; U runs from 0 to last.
     event = lambda c, u, v: F.struct(c.alias("c"), u.alias("u"), v.alias("v"))
     i1, i2, d = F.col("i1"), F.col("i2"), F.col("d")
-    events = rows.select("y", "n", F.explode(F.array(event(F.col("m"), points - i1, points - i2), event(F.lit(1), i1, d), event(F.lit(2), i2, -d))).alias("e")).select("y", "n", "e.*")
-    cells = events.where(F.col("u") <= last).groupBy("c", "u", "v").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y") == F.col("c"), F.col("n")).otherwise(0)).alias("hits"))
-    spread = cells.select("c", F.explode(F.sequence("u", F.lit(last))).alias("u"), "v", "n", "hits").groupBy("c", "u", "v").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    events = rows.select(*by, "y", "n", F.explode(F.array(event(F.col("m"), points - i1, points - i2), event(F.lit(1), i1, d), event(F.lit(2), i2, -d))).alias("e")).select(*by, "y", "n", "e.*")
+    cells = events.where(F.col("u") <= last).groupBy(*by, "c", "u", "v").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y") == F.col("c"), F.col("n")).otherwise(0)).alias("hits"))
+    spread = cells.select(*by, "c", F.explode(F.sequence("u", F.lit(last))).alias("u"), "v", "n", "hits").groupBy(*by, "c", "u", "v").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     none, i, j = F.lit(None).cast("int"), F.col("i"), F.col("j")
     tick = F.sequence(F.lit(0), F.lit(last))
-    asked = preds.sparkSession.range(k).select(F.col("id").cast("int").alias("c"), F.explode(tick).alias("i")).select("*", F.explode(tick).alias("j"))
-    asked = asked.select("c", F.when(F.col("c") == 1, i).when(F.col("c") == 2, j).otherwise(last - i).alias("u"), F.when(F.col("c") == 1, i - j).when(F.col("c") == 2, j - i - 1).otherwise(last - j).alias("v"), F.lit(0).alias("n"), F.lit(0).alias("hits"), "i", "j")
-    up = Window.partitionBy("c", "u").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # bounded by the grid
-    sums = spread.withColumns({"i": none, "j": none}).unionByName(asked).select("c", "i", "j", F.sum("n").over(up).alias("predicted"), F.sum("hits").over(up).alias("tp")).where("i IS NOT NULL")
-    support = rows.groupBy(F.col("y").alias("c")).agg(F.sum("n").alias("support"))
+    each = preds.select(*by).distinct() if by else preds.sparkSession.range(1).select()
+    asked = each.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("c")).select("*", F.explode(tick).alias("i")).select("*", F.explode(tick).alias("j"))
+    asked = asked.select(*by, "c", F.when(F.col("c") == 1, i).when(F.col("c") == 2, j).otherwise(last - i).alias("u"), F.when(F.col("c") == 1, i - j).when(F.col("c") == 2, j - i - 1).otherwise(last - j).alias("v"), F.lit(0).alias("n"), F.lit(0).alias("hits"), "i", "j")
+    up = Window.partitionBy(*by, "c", "u").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # bounded by the grid
+    sums = spread.withColumns({"i": none, "j": none}).unionByName(asked).select(*by, "c", "i", "j", F.sum("n").over(up).alias("predicted"), F.sum("hits").over(up).alias("tp")).where("i IS NOT NULL")
+    support = rows.groupBy(*by, F.col("y").alias("c")).agg(F.sum("n").alias("support"))
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.coalesce("support", F.lit(0)) + F.col("predicted")), F.lit(0.0))
-    scores = sums.join(F.broadcast(support), "c", "left").groupBy("i", "j").agg((F.sum(f1) / k).alias("macro_f1"))
+    scores = sums.join(support.hint("merge"), [*by, "c"], "left").groupBy(*by, "i", "j").agg((F.sum(f1) / k).alias("macro_f1"))
     norm = (2 * i - last) * (2 * i - last) + (2 * j - last) * (2 * j - last)
-    best = scores.orderBy(F.desc(F.round("macro_f1", 12)), norm, "i", "j").limit(1)
-    return best.select(F.round(i * step - span, 9).alias("o1"), F.round(j * step - span, 9).alias("o2"), "macro_f1")
+    place = F.struct(-F.round("macro_f1", 12), norm, i, j)
+    best = scores.groupBy(*by).agg(F.min_by(F.struct("i", "j", "macro_f1"), place).alias("b")).select(*by, "b.*")
+    return best.select(*by, F.round(i * step - span, 9).alias("o1"), F.round(j * step - span, 9).alias("o2"), "macro_f1")
 
 
 def factorised(seated: Column | str, moving: Column | str) -> Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions import fields as B
+from cohortspark.operators import adaptation as A
 from cohortspark.operators import heads as Z
 from cohortspark.operators import metrics as M
+from cohortspark.operators import nested as N
 from cohortspark.plans.q_metrics import r
 from cohortspark.sources import fixtures as X
 from cohortspark.sources.fixtures import CLASSES as K
+from cohortspark.sources.tables import materialize, scratch_folder
 
 LABELS = 3
 
@@ -27,7 +33,7 @@ def view(x, first: int, n: int):
 
 def scored(out, by=()):
     p = M.with_prediction(out)
-    return r(M.accuracy(p, by).join(M.macro_f1(p, LABELS, by), list(by)) if by else M.accuracy(p, ()).join(F.broadcast(M.macro_f1(p, LABELS, ()))))
+    return r(M.accuracy(p, by).join(M.macro_f1(p, LABELS, by).hint("merge"), list(by)) if by else M.accuracy(p, ()).join(F.broadcast(M.macro_f1(p, LABELS, ()))))
 
 
 def _box_rows(s, d):
@@ -39,8 +45,29 @@ def _box_rows(s, d):
 
 
 def _geometry(s, d):
+    """Every fourth image is external; labels say whether a box is higher and whether it is wider than 100 pixels."""
     b = B.geometry(B.clean_boxes(X.boxes(s, d)).where("eligible"))
-    return b.select(F.col("person_id").alias("id"), F.col("image_id").alias("grp"), "split", (F.col("pixel_height") > 100).cast("int").alias("y"), F.slice("geometry", 1, 4).alias("features"))
+    y = F.when(F.col("pixel_height") > 100, 2).otherwise(0) + F.when(F.col("x1") - F.col("x0") > 100, 1).otherwise(0)
+    x = b.select(F.col("person_id").alias("id"), F.col("image_id").alias("grp"), "split", y.cast("int").alias("y"), B.five_features("edge").alias("features"))
+    x = materialize(x)  # the boxes' expressions are long, and every fit reads them
+    own, other = x.where("grp % 4 <> 3"), x.where("grp % 4 = 3").withColumn("y", F.least("y", F.lit(2)))
+    return Z.geometry_report(own.where("split <> 'test'"), own.where("split = 'test'"), other, 4, [[0], [1], [2, 3]], 500, 20260822)
+
+
+def _calibrated(s, d):
+    """Log loss on all other rows of each model before and after a calibrator that is fitted on its val rows."""
+    parts = []
+    for name, *_ in X.MODELS:
+        rows = X.preds(s, d).where(F.col("model") == name).select("model", "split", "id", "grp", "y", "p")
+        head, c = Z.fit_calibrator(rows.where("split = 'val'").select("id", "grp", "y", "p"), K, [0.1, 10.0])
+        rest = rows.where("split <> 'val'")
+        parts.append(M.log_loss(rest, ("model", "split")).withColumnRenamed("log_loss", "before").join(M.log_loss(Z.calibrated(head, rest), ("model", "split")).hint("merge"), ["model", "split"]).withColumn("c", F.lit(c)))
+    return r(reduce(DataFrame.unionByName, parts))
+
+
+def _ledger(s, d):
+    families = {"flat": {"c=0.01": {"c": 0.01}, "c=1": {"c": 1.0}}, "factorised": {"c=1": {"c": 1.0}}}
+    return r(N.nested_runs(rows(s, d), families, N.heads_of(LABELS), LABELS, scratch_folder(s))[0])
 
 
 def _fused(s, d):
@@ -61,14 +88,15 @@ QUERIES = {
     "factorised_cross_fit": (lambda s, d: scored(Z.out_of_fold(Z.J.group_folds(rows(s, d), "grp", 3), Z.fit_factorised, 3)), None),
     "probability_stack": (lambda s, d: scored(Z.stack({"a": view(rows(s, d), 1, 32), "b": view(rows(s, d), 33, 32)}, LABELS, 2)), None),
     "svm_head": (lambda s, d: scored(Z.svm_scores(rows(s, d), LABELS, 2)), None),
-    "tuned_calibrator": (lambda s, d: r(M.log_loss(Z.tuned_calibrator(X.preds(s, d).where("model = 'ref' AND split = 'val'").select("id", "grp", "y", "p"), K, [0.1, 10.0])[0], ())), None),
-    "nested_selection": (lambda s, d: r(Z.nested(rows(s, d), LABELS, [0.01, 1.0])), None),
+    "tuned_calibrator": (_calibrated, None),
+    "nested_selection": (lambda s, d: r(N.nested(rows(s, d), LABELS, [0.01, 1.0])), None),
+    "nested_ledger": (_ledger, None),
     "fused_views": (_fused, None),
     "augmented_head": (lambda s, d: r(Z.augmented(_box_rows(s, d), 3, Z.fit_factorised)[1]), None),
-    "learning_curve": (lambda s, d: r(Z.learning_curve(rows(s, d), LABELS, [50, 200], [42, 52])), None),
+    "learning_curve": (lambda s, d: r(Z.learning_curve(rows(s, d), LABELS, [0.1, 0.5, 1.0], [42, 52])), None),
     "few_shot_curve": (lambda s, d: r(Z.few_shot_curve(rows(s, d), LABELS, [1, 5, 20], 2, 7)[1]), None),
-    "geometry_baseline": (lambda s, d: r(Z.head_report(_geometry(s, d), 2)), None),
+    "geometry_baseline": (lambda s, d: r(_geometry(s, d)), None),
     "head_screen": (lambda s, d: r(Z.screen(rows(s, d), LABELS, [0.01, 1.0])), None),
     "final_refit": (_refit, None),
-    "adaptation_table": (lambda s, d: r(Z.adaptation_table(X.preds(s, d).where("model = 'cand'"), K)), None),
+    "adaptation_table": (lambda s, d: r(A.adaptation_table(X.preds(s, d), K, [1 / K] * K, 500, 20260823, grid=(0.1, 10.0), folds=2)), None),
 }

@@ -43,6 +43,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new, empty folder among the scratch tables, for a job that writes several; it goes when the driver ends."""
+    path = f"{scratch_root(spark).rstrip('/')}/cohortspark-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
+
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The narrow, written table ``df`` with a join hint: broadcast up to ``max_rows`` rows, sort-merge beyond.
 
