@@ -48,7 +48,7 @@ def domain(table: DataFrame, column: str, allowed: DataFrame, by=()) -> DataFram
 def expected_counts(table: DataFrame, by: list[str], expected: DataFrame) -> DataFrame:
     """(by, n, expected) of groups whose row count differs from the declared one."""
     have = table.groupBy(*by).agg(F.count("*").alias("n"))
-    both = have.join(expected, by, "full_outer").na.fill(0, ["n", "expected"])
+    both = have.join(expected.hint("merge"), by, "full_outer").na.fill(0, ["n", "expected"])
     return both.where("n <> expected")
 
 
@@ -63,7 +63,7 @@ def union_mismatch(parts: list[DataFrame], whole: DataFrame, key: str) -> DataFr
     tagged = reduce(DataFrame.unionByName, [p.select(key, F.lit(k).alias("part")) for k, p in enumerate(parts)])
     overlap = tagged.groupBy(key).agg(F.count_distinct("part").alias("n")).where("n > 1").select(key, F.lit("in several parts").alias("problem"))
     a, b = tagged.select(key).distinct(), whole.select(key).distinct()
-    return overlap.unionByName(a.join(b, key, "left_anti").withColumn("problem", F.lit("not in the whole"))).unionByName(b.join(a, key, "left_anti").withColumn("problem", F.lit("in no part")))
+    return overlap.unionByName(a.join(b.hint("merge"), key, "left_anti").withColumn("problem", F.lit("not in the whole"))).unionByName(b.join(a.hint("merge"), key, "left_anti").withColumn("problem", F.lit("in no part")))
 
 
 def crossing(table: DataFrame, group: str, split: str = "split") -> DataFrame:
@@ -87,7 +87,7 @@ def disagreements(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> D
 
 def leaks(held_out: DataFrame, development: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     """(id, reason): held-out rows whose id, group or digest stands in the development table too."""
-    found = [held_out.join(development.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_semi").select(F.col(id_column), F.lit(k).alias("reason")) for k in keys]
+    found = [held_out.join(development.select(k).where(F.col(k).isNotNull()).distinct().hint("merge"), k, "left_semi").select(F.col(id_column), F.lit(k).alias("reason")) for k in keys]
     return reduce(DataFrame.unionByName, found)
 
 

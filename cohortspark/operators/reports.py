@@ -210,7 +210,7 @@ def long_metrics(wide: DataFrame, by: list[str]) -> DataFrame:
 def replay(actual: DataFrame, expected: DataFrame, keys: list[str], tolerance: float = 1e-12) -> DataFrame:
     """(keys, actual, expected, problem): figures that differ by more than the tolerance, or stand on one side only."""
     a, b = actual.select(*keys, F.col("value").alias("actual"), F.lit(1).alias("_a")), expected.select(*keys, F.col("value").alias("expected"), F.lit(1).alias("_b"))
-    both = a.join(b, keys, "full_outer")
+    both = a.join(b.hint("merge"), keys, "full_outer")
     problem = F.when(F.col("_a").isNull(), "missing").when(F.col("_b").isNull(), "extra").when(~(F.col("actual").eqNullSafe(F.col("expected"))) & ~F.coalesce(F.abs(F.col("actual") - F.col("expected")) <= tolerance, F.lit(False)), "changed")
     return both.withColumn("problem", problem).where("problem IS NOT NULL").select(*keys, "actual", "expected", "problem")
 
@@ -226,7 +226,7 @@ def probability_gap(a: DataFrame, b: DataFrame, keys: list[str], tolerance: floa
 
 def bindings(expected: DataFrame, actual: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
     """(path, problem): files that are missing, changed or not declared."""
-    both = expected.select(key, F.col(digest).alias("_e")).join(actual.select(key, F.col(digest).alias("_a")), key, "full_outer")
+    both = expected.select(key, F.col(digest).alias("_e")).join(actual.select(key, F.col(digest).alias("_a")).hint("merge"), key, "full_outer")
     problem = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(F.col("_a") != F.col("_e"), "changed")
     return both.select(key, problem.alias("problem")).where("problem IS NOT NULL")
 
@@ -235,13 +235,13 @@ def rescored(matrices: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, accuracy, macro_f1, weighted_f1) from exported confusion counts (by, y, pred, n) alone; negative counts are an error."""
     sure = matrices.withColumn("n", F.when(F.col("n") >= 0, F.col("n")).otherwise(F.raise_error(F.lit("negative count")).cast("bigint")))
     acc = sure.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    return acc.join(M.macro(M.per_class(sure, by), by).select(*by, "macro_f1", "weighted_f1"), by)
+    return acc.join(M.macro(M.per_class(sure, by), by).select(*by, "macro_f1", "weighted_f1").hint("merge"), by)
 
 
 def fit_ledger(declared: DataFrame, runs: DataFrame, keys: list[str], config: list[str]) -> DataFrame:
     """(keys, runs, runtime, problem): each declared fit with the number of its runs, their time, and what is wrong: missing, repeated, undeclared, or the differing settings."""
     have = runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum("runtime").alias("runtime"), *[F.max(c).alias(f"_{c}") for c in config])
-    both = declared.withColumn("_d", F.lit(1)).join(have, keys, "full_outer")
+    both = declared.withColumn("_d", F.lit(1)).join(have.hint("merge"), keys, "full_outer")
     wrong = F.array_join(F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in config]), lambda x: x.isNotNull()), ",")
     problem = F.when(F.col("runs").isNull(), "missing").when(F.col("_d").isNull(), "undeclared").when(F.col("runs") > 1, "repeated").otherwise(wrong)
     return both.select(*keys, F.coalesce("runs", F.lit(0)).alias("runs"), "runtime", problem.alias("problem"))

@@ -43,7 +43,7 @@ def gated(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 def select_or_retain(rows: DataFrame, by: list[str], keys: list[Column], name: str, incumbent: str) -> DataFrame:
     """(by, choice): the best row that passed its gate, or the incumbent's name if none did."""
     best = ranking(rows.where("passed"), by, keys).where("selected").select(*by, F.col(name).alias("choice"))
-    return rows.select(*by).distinct().join(best, by, "left").withColumn("choice", F.coalesce("choice", F.lit(incumbent)))
+    return rows.select(*by).distinct().join(best.hint("merge"), by, "left").withColumn("choice", F.coalesce("choice", F.lit(incumbent)))
 
 
 def seed_sensitivity(scores: DataFrame, seeds: list[int], by: list[str], reference: str = "ref") -> DataFrame:
@@ -106,5 +106,5 @@ def candidate_grid(spark, options: dict[str, list]) -> DataFrame:
 def view_pairs(views: DataFrame) -> DataFrame:
     """(left, right): pairs of feature views that share their model or their view; ``views`` has (name, model, view)."""
     a, b = (views.select(*[F.col(c).alias(f"{c}_{s}") for c in ("name", "model", "view")]) for s in "ab")
-    same = [a.join(b, F.col(f"{c}_a") == F.col(f"{c}_b")).where("name_a < name_b") for c in ("model", "view")]
+    same = [a.join(b.hint("merge"), F.col(f"{c}_a") == F.col(f"{c}_b")).where("name_a < name_b") for c in ("model", "view")]
     return same[0].unionByName(same[1]).select(F.col("name_a").alias("left"), F.col("name_b").alias("right")).distinct()

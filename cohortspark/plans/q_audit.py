@@ -197,8 +197,8 @@ SELECT id, 'in several parts' AS problem FROM p GROUP BY id HAVING count(DISTINC
     "embedding_neighbours": (lambda s, d: r(D.embedding_neighbours(X.vectors(s, d), 0.38, 20)),
         f"WITH {X.VECTORS}, c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.features::DOUBLE[], b.features::DOUBLE[]) AS c FROM vectors a JOIN vectors b ON a.split <> b.split), t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM c WHERE c >= 0.38) SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, round(max(c), 6) AS cosine FROM t WHERE k <= 20 GROUP BY 1, 2"),
     "hashed_neighbours": (lambda s, d: r(D.hashed_neighbours(X.vectors(s, d), 0.38, 20)), None),
-    "cohort_overlap": (man(lambda m: D.overlap(m.where("id % 2 = 0"), m.where("id % 5 < 2"), 1)),
-        f"{MAN}, a AS (SELECT * FROM manifest WHERE id % 2 = 0), b AS (SELECT * FROM manifest WHERE id % 5 < 2) SELECT a.id AS left_id, 'sha256' AS match, min(b.id) AS right_id FROM a JOIN b USING (sha256) GROUP BY 1 UNION ALL SELECT id, 'id', id FROM a JOIN b USING (id) UNION ALL SELECT a.id, 'hash', min(b.id) FROM a JOIN b ON bit_count(xor(a.h32, b.h32)) <= 1 GROUP BY 1"),
+    "cohort_overlap": (man(lambda m: D.overlap(m.where("id % 2 = 0"), m.where("id % 2 = 1 OR id % 5 < 2"), 1)),
+        f"{MAN}, a AS (SELECT * FROM manifest WHERE id % 2 = 0), b AS (SELECT * FROM manifest WHERE id % 2 = 1 OR id % 5 < 2) SELECT a.id AS left_id, 'sha256' AS match, min(b.id) AS right_id FROM a JOIN b USING (sha256) GROUP BY 1 UNION ALL SELECT id, 'id', id FROM a JOIN b USING (id) UNION ALL SELECT a.id, 'hash', min(b.id) FROM a JOIN b ON bit_count(xor(a.h32, b.h32)) <= 1 GROUP BY 1"),
     "pair_enrichment": (man(lambda m: r(D.enriched(D.near_hash(m, RADIUS, WIDTH, "h32"), letters(m), "id", "thumb", ["label"]))),
         f"{MAN}, {NEAR}, th AS (SELECT id, label, {LETTERS} AS v FROM manifest), z AS (SELECT n.*, a.label AS left_label, b.label AS right_label, unnest(a.v) AS x, unnest(b.v) AS y FROM nh n JOIN th a ON a.id = n.left_id JOIN th b ON b.id = n.right_id) SELECT left_id, right_id, distance, left_label, right_label, round(avg(abs(x - y)), 6) AS mae, round(corr(x, y), 6) AS correlation FROM z GROUP BY ALL"),
     "confirmed_pairs": (man(lambda m: D.confirmed(D.enriched(D.near_hash(m, RADIUS, WIDTH, "h32"), letters(m), "id", "thumb"), 2, 0.95).select("left_id", "right_id", "rule")),
@@ -206,14 +206,14 @@ SELECT id, 'in several parts' AS problem FROM p GROUP BY id HAVING count(DISTINC
     "star_edges": (man(lambda m: D.star_edges(m, "sha256")), f"{MAN} SELECT * FROM (SELECT min(id) OVER (PARTITION BY sha256) AS left_id, id AS right_id FROM manifest) WHERE left_id <> right_id"),
     "merged_evidence": (man(lambda m: D.merged_evidence({"sha256": D.star_edges(m, "sha256"), "hash": D.near_hash(m, RADIUS, WIDTH, "h32").select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))})),
         f"{MAN}, {NEAR}, s AS (SELECT * FROM (SELECT min(id) OVER (PARTITION BY sha256) AS left_id, id AS right_id FROM manifest) WHERE left_id <> right_id) SELECT left_id, right_id, 'sha256' AS source FROM s UNION ALL SELECT left_id, right_id, 'hash' FROM nh WHERE (left_id, right_id) NOT IN (SELECT left_id, right_id FROM s)"),
-    "members_only": (man(lambda m: m.join(m.where("label = 'en' AND id % 7 = 0").select("sha256").distinct(), "sha256", "left_semi").join(m.where("split = 'test'").select("id"), "id", "left_anti").select("id")),
+    "members_only": (man(lambda m: m.join(m.where("label = 'en' AND id % 7 = 0").select("sha256").distinct().hint("merge"), "sha256", "left_semi").join(m.where("split = 'test'").select("id").hint("merge"), "id", "left_anti").select("id")),
         f"{MAN} SELECT id FROM manifest WHERE sha256 IN (SELECT sha256 FROM manifest WHERE label = 'en' AND id % 7 = 0) AND split <> 'test'"),
     "relocated_cohort": (man(lambda m: D.relocated(m.select("id", "label", "split"), m.where("id % 4 = 0").select("id", F.upper("label").alias("label"), F.lit("x").alias("split")), "id", ["label"])), f"{MAN} SELECT id, CASE WHEN id % 4 = 0 THEN upper(label) ELSE label END AS label, split FROM manifest"),
     "marked_pairs": (man(lambda m: D.marked_pairs(D.near_hash(m, RADIUS, WIDTH, "h32"), m.where("id % 3 <> 0")).select("left_id", "right_id", "status")), f"{MAN}, {NEAR} SELECT left_id, right_id, CASE WHEN left_id % 3 <> 0 AND right_id % 3 <> 0 THEN 'quarantined' ELSE 'similar' END AS status FROM nh"),
     # components
     "components": (man(lambda m: E.connected_components(_nodes_edges(m))), f"{_CC} SELECT * FROM cc"),
     "numbered_components": (man(lambda m: E.numbered(E.connected_components(_nodes_edges(m)))), f"{_CC} SELECT id, component, printf('source_leakage_%04d', dense_rank() OVER (ORDER BY component)) AS name FROM cc"),
-    "quarantined_rows": (man(lambda m: E.quarantine(m.select("id", "split"), C.crossing(m, "sha256").join(m, "sha256").select("id"), "crosses splits")), f"{MAN}, x AS (SELECT sha256 FROM manifest GROUP BY sha256 HAVING count(DISTINCT split) > 1) SELECT id, split, sha256 NOT IN (SELECT sha256 FROM x) AS eligible, CASE WHEN sha256 IN (SELECT sha256 FROM x) THEN 'crosses splits' ELSE '' END AS reason FROM manifest"),
+    "quarantined_rows": (man(lambda m: E.quarantine(m.select("id", "split"), C.crossing(m, "sha256").join(m.hint("merge"), "sha256").select("id"), "crosses splits")), f"{MAN}, x AS (SELECT sha256 FROM manifest GROUP BY sha256 HAVING count(DISTINCT split) > 1) SELECT id, split, sha256 NOT IN (SELECT sha256 FROM x) AS eligible, CASE WHEN sha256 IN (SELECT sha256 FROM x) THEN 'crosses splits' ELSE '' END AS reason FROM manifest"),
     "group_audit": (man(lambda m: E.audit_groups(m.select("id", "split"), D.star_edges(m, "sha256"), m.where("id % 97 = 0")).select("id", "split", "grp", "splits", "quarantined")),
         f"{MAN}, g AS (SELECT id, split, min(id) OVER (PARTITION BY sha256) AS grp FROM manifest), q AS (SELECT grp, count(DISTINCT split) AS splits, max(CASE WHEN id % 97 = 0 THEN 1 ELSE 0 END) AS bad FROM g GROUP BY grp) SELECT id, split, grp, splits, splits > 1 OR bad = 1 AS quarantined FROM g JOIN q USING (grp)"),
     "source_audit": (man(source_audit), f"{AUDIT} SELECT id, split, label, grp, splits, splits > 1 OR bad = 1 AS quarantined FROM au JOIN gs USING (grp)"),

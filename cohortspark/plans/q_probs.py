@@ -78,8 +78,8 @@ QUERIES = {
         f"WITH {PREDS}, a AS (SELECT model, yr, avg(CASE WHEN y = pred THEN 1.0 ELSE 0 END) AS a FROM preds GROUP BY ALL) SELECT model, round(min(a), 6) AS worst_accuracy, round(avg(a), 6) AS mean_accuracy FROM a GROUP BY model",
     ),
     "weight_grid": (
-        on(lambda s, p: P.weight_grid(s, MODELS, 10).join(F.broadcast(p.groupBy("model").agg(F.count("*").alias("rows"))), "model")),
-        f"WITH {PREDS}, g AS (SELECT a || '|' || b || '|' || (10 - a - b) AS weight_id, [a, b, 10 - a - b] AS n FROM range(11) x(a), range(11) z(b) WHERE a + b <= 10), c AS (SELECT model, count(*) AS rows FROM preds GROUP BY model) SELECT weight_id, model, n[k] / 10 AS w, rows FROM g, (VALUES ('ref', 1), ('cand', 2), ('third', 3)) t(model, k) JOIN c USING (model)",
+        on(lambda s, p: r(P.weight_grid(s, MODELS, 10).join(F.broadcast(p.groupBy("model").agg(F.avg(M.of_label()).alias("own"))), "model").groupBy("weight_id").agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("own")).alias("p_label")))),
+        f"WITH {PREDS}, g AS (SELECT a || '|' || b || '|' || (10 - a - b) AS weight_id, [a, b, 10 - a - b] AS n FROM range(11) x(a), range(11) z(b) WHERE a + b <= 10), c AS (SELECT model, avg(p[y + 1]) AS own FROM preds GROUP BY model) SELECT weight_id, round(sum(n[k] / 10), 6) AS total, round(sum(n[k] / 10 * own), 6) AS p_label FROM g, (VALUES ('ref', 1), ('cand', 2), ('third', 3)) t(model, k) JOIN c USING (model) GROUP BY weight_id",
     ),
     "blend_selection": (
         on(lambda s, p: P.select_blend(p, P.weight_grid(s, MODELS, 4), K).select("fusion", "place", F.round("macro_f1", 6).alias("macro_f1"), F.round("log_loss", 6).alias("log_loss"), F.round("ece", 6).alias("ece"))),
@@ -98,8 +98,8 @@ QUERIES = {
         on(lambda s, p: p.select("model", "id", P.with_priors("p", [0.2] * 5, [0.4, 0.3, 0.1, 0.1, 0.1]).alias("p")).select("model", "id", ra())),
         f"WITH {PREDS}, e AS (SELECT model, id, [p[1] * 2, p[2] * 1.5, p[3] * 0.5, p[4] * 0.5, p[5] * 0.5] AS e FROM preds) SELECT model, id, list_transform(e, lambda v: round(v / list_sum(e), 9)) AS p FROM e",
     ),
-    "estimate_priors": (on(lambda s, p: s.createDataFrame([(k, round(v, 9)) for k, v in enumerate(P.estimate_priors(p.where("model = 'cand' AND split = 'test'"), [0.2] * 5)[0])], "cls int, prior double")), None),
-    "decision_offsets": (on(lambda s, p: r(P.search_offsets(p.where("model = 'cand' AND split = 'val'"), K))), None),
+    "estimate_priors": (on(lambda s, p: r(P.priors_by(p, [0.2] * 5, ("model", "split")).select("model", "split", "rounds", "settled", F.posexplode("priors").alias("cls", "prior")))), None),
+    "decision_offsets": (on(lambda s, p: r(P.search_offsets(p, K, by=("model", "split")))), None),
     "factorised_decode": (
         on(lambda s, p: p.select("model", "id", P.factorised(F.col("p")[0], F.col("p")[1]).alias("p")).select("model", "id", ra())),
         f"WITH {PREDS} SELECT model, id, {RP.format('[p[1], (1 - p[1]) * (1 - p[2]), (1 - p[1]) * p[2]]')} AS p FROM preds",

@@ -52,7 +52,7 @@ ar AS (SELECT vec_id, metric, sum((y + py) / 2 * (x - px)) / (max(x) - min(x)) A
 
 
 def _metrics(p):
-    return R.long_metrics(M.accuracy(p).join(M.macro(M.per_class(M.confusion(p, K))), "model"), ["model"])
+    return R.long_metrics(M.accuracy(p).join(M.macro(M.per_class(M.confusion(p, K))).hint("merge"), "model"), ["model"])
 
 
 def _replayed(p):
@@ -98,7 +98,7 @@ SELECT round(q2, 6) AS source_median, round(quantile_cont(a, 0.5), 6) AS target_
     "manifest_summary": (lambda s, d: r(R.manifest_summary(table(s, d, "documents").withColumn("sha", F.sha2("text", 256)).withColumn("size", F.length("text")), "size", "sha", ["lang"])), "SELECT lang, count(*) AS n, count(DISTINCT text) AS digests, count(*) - count(DISTINCT text) AS repeated, round(avg(length(text)), 6) AS mean, round(quantile_cont(length(text), 0.05), 6) AS p05, round(quantile_cont(length(text), 0.5), 6) AS median, round(quantile_cont(length(text), 0.95), 6) AS p95 FROM documents GROUP BY lang"),
     "split_label_pivot": (lambda s, d: X.manifest(s, d).groupBy("split").pivot("label", ["de", "en", "es", "fr"]).agg(F.count(F.lit(1))).na.fill(0), f"WITH {X.MANIFEST} SELECT split, count(*) FILTER (label = 'de') AS de, count(*) FILTER (label = 'en') AS en, count(*) FILTER (label = 'es') AS es, count(*) FILTER (label = 'fr') AS fr FROM manifest GROUP BY split"),
     "action_combinations": (lambda s, d: X.actions(s, d).groupBy("image", F.array_join("actions", "|").alias("combination")).agg(F.count("*").alias("n")), f"WITH {X.ACTIONS} SELECT image, array_to_string(actions, '|') AS combination, count(*) AS n FROM actions GROUP BY ALL"),
-    "worst_errors": (lambda s, d: r(R.top_rows(X.preds(s, d).where("y <> pred"), ["model", "y"], [F.desc("conf"), F.col("id")], 5).join(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id").select("model", "y", "pred", "id", "conf", "o_orderstatus")),
+    "worst_errors": (lambda s, d: r(R.top_rows(X.preds(s, d).where("y <> pred"), ["model", "y"], [F.desc("conf"), F.col("id")], 5).join(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus").hint("merge"), "id").select("model", "y", "pred", "id", "conf", "o_orderstatus")),
         f"WITH {PREDS}, k AS (SELECT * FROM preds WHERE y <> pred QUALIFY row_number() OVER (PARTITION BY model, y ORDER BY conf DESC, id) <= 5) SELECT model, y, pred, id, round(conf, 6) AS conf, o_orderstatus FROM k JOIN orders ON o_orderkey = id"),
     "majority_class": (q(lambda p: p.where("model = 'ref'").groupBy("split", "y").agg(F.count("*").alias("n")).groupBy("split").agg(F.max(F.struct("n", (-F.col("y")).alias("m"))).alias("b"), F.sum("n").alias("t")).select("split", (-F.col("b.m")).alias("y"), (F.col("b.n") / F.col("t")).alias("share"))),
         f"WITH {PREDS}, n AS (SELECT split, y, count(*) AS n FROM preds WHERE model = 'ref' GROUP BY ALL) SELECT split, max_by(y, (n, -y)) AS y, round(max(n) / sum(n), 6) AS share FROM n GROUP BY split"),
@@ -120,7 +120,7 @@ g AS (SELECT vec_id, sum(CASE WHEN inside THEN v ELSE 0 END) / sum(v) AS mass, a
         f"{CAND}, m AS (SELECT family, complexity, complexity < 4 AS eligible, count(*) AS n, avg(macro_f1) AS mean, stddev_samp(macro_f1) AS sd FROM candidates GROUP BY ALL) SELECT family, complexity, eligible, n, round(mean, 6) AS mean, round(sd, 6) AS sd, CASE WHEN eligible THEN row_number() OVER (PARTITION BY family, eligible ORDER BY round(mean, 9) DESC, round(sd, 9), family, complexity) END AS place FROM m"),
     "geometry_medians": (lambda s, d: r(R.medians(B.geometry(clean(s, d)), ["label"], ["area_fraction", "aspect", "pixel_height"])),
         f"{CLEAN} SELECT label, count(*) AS n, round(quantile_cont(area_fraction, 0.5), 6) AS median_area_fraction, round(quantile_cont(greatest(x1 - x0, 1) / greatest(y1 - y0, 1), 0.5), 6) AS median_aspect, round(quantile_cont(greatest(y1 - y0, 1), 0.5), 6) AS median_pixel_height FROM cb GROUP BY label"),
-    "attribution_strata": (vec(lambda v: M.curve_area(curves(v), ("vec_id", "metric")).join(v.select("vec_id", "label"), "vec_id").groupBy("label", "metric").agg(F.avg("area").alias("mean_area"), F.count("*").alias("n"))), f"{CURVES} SELECT label, metric, round(avg(area), 6) AS mean_area, count(*) AS n FROM ar JOIN vectors USING (vec_id) GROUP BY label, metric"),
+    "attribution_strata": (vec(lambda v: M.curve_area(curves(v), ("vec_id", "metric")).join(v.select("vec_id", "label").hint("merge"), "vec_id").groupBy("label", "metric").agg(F.avg("area").alias("mean_area"), F.count("*").alias("n"))), f"{CURVES} SELECT label, metric, round(avg(area), 6) AS mean_area, count(*) AS n FROM ar JOIN vectors USING (vec_id) GROUP BY label, metric"),
     # replay
     "metric_replay": (q(_replayed),
         f"""{CLASSES_SQL}, mm AS (SELECT model, avg(CASE WHEN y = pred THEN 1.0 ELSE 0 END) AS acc, count(*) AS n, count(*) FILTER (y <> pred) AS errors FROM preds GROUP BY model)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import fields as B
 from cohortspark.operators import metrics as M
+from cohortspark.operators import probs as P
 from cohortspark.operators import select as L
 from cohortspark.operators import splits as J
 from cohortspark.plans.q_metrics import r
@@ -21,6 +22,14 @@ def ref(f):
     return lambda s, d: f(X.preds(s, d).where("model = 'ref'").select("id", "grp", "split", "y", "price"))
 
 
+def _grid(s, d):
+    """Log loss of every declared temperature and floor over all predictions of each model."""
+    grid = [F.struct(*[F.lit(v).alias(n) for n, v in g.asDict().items()]) for g in L.candidate_grid(s, {"t": [0.5, 1.0, 2.0], "floor": [0.001, 0.05]}).collect()]  # as many as are declared
+    rows = X.preds(s, d).select("model", "y", "p", F.explode(F.array(*grid)).alias("g")).select("model", "y", "g.*", P.with_temperature("p", F.col("g.t")).alias("p"))
+    floored = F.transform("p", lambda v: F.greatest(v, F.col("floor")))
+    return r(M.log_loss(rows.withColumn("p", P.normalised(floored)), ("candidate_id", "t", "floor", "model")))
+
+
 CAND = f"WITH {X.CANDIDATES}"
 REF = f"WITH {X.PREDS}, rr AS (SELECT id, grp, split, y, price FROM preds WHERE model = 'ref')"
 DRAW = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
@@ -63,12 +72,12 @@ QUERIES = {
     "final_epochs": (cand(lambda c: L.final_epochs(c, ["family"])), f"{CAND} SELECT family, CAST(greatest(round_even(quantile_cont(best_epoch, 0.5), 0), 1) AS INT) AS median_epoch, CAST(greatest(round_even(avg(best_epoch), 0), 1) AS INT) AS mean_epoch FROM candidates GROUP BY family"),
     "carried_values": (cand(lambda c: L.last_known(c.withColumn("rate", F.when(F.col("best_epoch") % 3 == 0, F.col("log_loss"))), ["family"], "candidate", "rate").select("candidate", "carried")),
         f"{CAND} SELECT candidate, round(last_value(CASE WHEN best_epoch % 3 = 0 THEN log_loss END IGNORE NULLS) OVER (PARTITION BY family ORDER BY candidate ROWS UNBOUNDED PRECEDING), 6) AS carried FROM candidates"),
-    "candidate_table": (cand(lambda c: L.candidate_table([c.where("family = 0").select("candidate", "macro_f1"), c.where("family = 1").select("candidate", F.col("macro_f1").alias("val_macro_f1"), "ece")], ["macro_f1", "val_macro_f1"]).select("candidate", "score", "ece")),
-        f"{CAND} SELECT candidate, round(macro_f1, 6) AS score, CASE WHEN family = 1 THEN round(ece, 6) END AS ece FROM candidates WHERE family < 2"),
+    "candidate_table": (cand(lambda c: L.candidate_table([c.where("family = 0").select("candidate", "macro_f1"), c.where("family = 1").select("candidate", F.col("macro_f1").alias("val_macro_f1"), "ece"), c.where("family = 2").select("candidate", F.col("macro_f1").alias("oof_macro_f1"), "log_loss")], ["macro_f1", "val_macro_f1", "oof_macro_f1"]).select("candidate", "score", "ece", "log_loss")),
+        f"{CAND} SELECT candidate, round(macro_f1, 6) AS score, CASE WHEN family = 1 THEN round(ece, 6) END AS ece, CASE WHEN family = 2 THEN round(log_loss, 6) END AS log_loss FROM candidates"),
     "confirmed_components": (cand(lambda c: L.confirmed_components(c, "run", [42, 52, 62], ["complexity"])),
         f"{CAND} SELECT run, string_agg(CAST(seed AS VARCHAR), ',' ORDER BY seed) AS seeds, count(DISTINCT complexity) AS configs, round(quantile_cont(best_epoch, 0.5), 6) AS median_epoch, string_agg(CAST(seed AS VARCHAR), ',' ORDER BY seed) = '42,52,62' AND count(DISTINCT complexity) = 1 AS consistent FROM candidates GROUP BY run"),
     "assembled_folds": (ref(lambda p: L.assembled_folds([p.where(f"id % 3 = {k}").select("id", "y") for k in range(3)], "id")), f"{REF} SELECT id, y, id % 3 AS fold FROM rr"),
-    "candidate_grid": (lambda s, d: L.candidate_grid(s, {"c": [0.1, 1.0, 10.0], "kind": ["flat", "factor"]}).join(X.candidates(s, d).groupBy((F.col("family") == 0).alias("zero")).agg(F.count("*").alias("n")).where("zero")), f"{CAND}, v(c) AS (VALUES (0.1::DOUBLE), (1.0), (10.0)), w(kind) AS (VALUES ('flat'), ('factor')) SELECT 'c=' || c || '|kind=' || kind AS candidate_id, c, kind, true AS zero, (SELECT count(*) FROM candidates WHERE family = 0) AS n FROM v, w"),
+    "candidate_grid": (_grid, f"WITH {X.PREDS}, v(t) AS (VALUES (0.5::DOUBLE), (1.0), (2.0)), w(floor) AS (VALUES (0.001::DOUBLE), (0.05)), e AS (SELECT model, id, y, t, floor, list_transform(p, lambda x: exp(ln(x) / t)) AS e FROM preds, v, w), n AS (SELECT model, y, t, floor, list_transform(e, lambda x: greatest(x / list_sum(e), floor)) AS n FROM e) SELECT 'floor=' || floor || '|t=' || t AS candidate_id, t, floor, model, round(avg(-ln(n[y + 1] / list_sum(n))), 6) AS log_loss FROM n GROUP BY ALL"),
     "view_pairs": (cand(lambda c: L.view_pairs(c.select(F.col("candidate").alias("name"), F.col("run").alias("model"), (F.col("complexity") * 100 + F.col("best_epoch")).alias("view")))),
         f"{CAND}, v AS (SELECT candidate AS name, run AS model, complexity * 100 + best_epoch AS view FROM candidates) SELECT a.name AS \"left\", b.name AS \"right\" FROM v a JOIN v b ON a.name < b.name AND (a.model = b.model OR a.view = b.view)"),
     # splits and samples

@@ -185,9 +185,9 @@ def fitness(table: DataFrame, aliases: dict[str, list[str]]) -> int:
 
 def unfinished(rows: DataFrame, done: DataFrame, key: str, contract: str) -> DataFrame:
     """Rows that no finished chunk of this contract holds."""
-    return rows.join(done.where(F.col("contract") == contract).select(key), key, "left_anti")
+    return rows.join(done.where(F.col("contract") == contract).select(key).hint("merge"), key, "left_anti")
 
 
 def digest_drift(rows: DataFrame, done: DataFrame, key: str, digest: str = "sha256") -> DataFrame:
     """Finished rows whose source has changed since."""
-    return rows.select(key, F.col(digest).alias("now")).join(done.select(key, F.col(digest).alias("then")), key).where("now <> then")
+    return rows.select(key, F.col(digest).alias("now")).join(done.select(key, F.col(digest).alias("then")).hint("merge"), key).where("now <> then")
