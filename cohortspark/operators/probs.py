@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortspark.operators import metrics as M
 from cohortspark.operators.quantiles import quantiles
@@ -159,12 +161,14 @@ def priors_by(preds: DataFrame, source: list[float], by=("model",), tolerance: f
     base = materialize(preds.select(*by, "p"))
     own = F.array(*[F.lit(max(x, 1e-12)) for x in source])
     q = normalised(F.zip_with("p", F.zip_with("_now", own, lambda a, b: a / b), lambda v, r: v * r))
+    names = [*by, "_now"]
     kinds = base.select(*by, F.lit(None).cast("array<double>").alias("_now")).schema
     moving, done = [(*r, list(source)) for r in base.select(*by).dropna().distinct().collect()], []
     for k in range(1, rounds + 1):
         if not moving:
             break
-        now = F.broadcast(spark.createDataFrame(moving, kinds))
+        local = pa.table({n: [m[i] for m in moving] for i, n in enumerate(names)}, to_arrow_schema(kinds))  # rows of the plan itself, no job
+        now = F.broadcast(spark.createDataFrame(local))
         sums = base.join(now, by).select(*by, "_now", q.alias("_q")).groupBy(*by, "_now").agg(*[F.avg(F.col("_q")[j]).alias(f"_c{j}") for j in range(len(source))])
         still = []
         for r in sums.collect():
@@ -176,8 +180,8 @@ def priors_by(preds: DataFrame, source: list[float], by=("model",), tolerance: f
             else:
                 still.append(row)
         moving = still
-    names = ", ".join(f"`{b}` {base.schema[b].dataType.simpleString()}" for b in by)
-    return spark.createDataFrame(done, f"{names}, priors array<double>, rounds int, settled boolean")
+    typed = ", ".join(f"`{b}` {base.schema[b].dataType.simpleString()}" for b in by)
+    return spark.createDataFrame(done, f"{typed}, priors array<double>, rounds int, settled boolean")
 
 
 def search_offsets(preds: DataFrame, k: int, span: float = 2.5, points: int = 101, by=()) -> DataFrame:
