@@ -92,7 +92,7 @@ def _side_by_side(work: Callable, todo: list, parallel: int) -> None:
 
 
 def nested_runs(
-    rows: DataFrame, families: dict[str, dict[str, dict]], fit_of: Callable, classes: int, path: str, outer: int = 3, inner: int = 2, parallel: int = 4, version: str = "1"
+    rows: DataFrame, families: dict[str, dict[str, dict]], fit_of: Callable, classes: int, path: str, outer: int = 3, inner: int = 2, parallel: int = 2, version: str = "1"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(selection, scores, held out) of a nested selection in each family, with its ledger below ``path``.
 
@@ -100,6 +100,7 @@ def nested_runs(
     fold the candidates are scored on inner group folds of the other folds; the best (macro F1, log loss, order of declaration) is
     fitted on all of these and scored on the outer fold. Rows are (id, grp, y, features); those without a group take no part.
 
+    ``parallel`` fits are under way at a time: each keeps plans and results of its many small jobs on the driver.
     A rerun under the same contract (rows, declaration, folds, ``version`` of the code) makes only the fits that the ledger lacks.
     Selection: (family, outer_fold, candidate, n, accuracy, macro_f1, log_loss, selected). Held out: (family, outer_fold, id, y, p).
     """
@@ -113,7 +114,7 @@ def nested_runs(
 
     def score(family: str, k: int, candidate: str, _: int) -> None:
         fit = fit_of(family, families[family][candidate])
-        out = Z.out_of_fold(train(k).withColumn("fold", F.col("inner")[k]), fit, inner, inner)
+        out = Z.out_of_fold(train(k).withColumn("fold", F.col("inner")[k]), fit, inner, 1)
         ledger.add("inner", (family, k, candidate, *scores(out, classes)))
 
     _side_by_side(score, ledger.missing("inner", declared), parallel)
