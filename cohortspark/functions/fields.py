@@ -99,17 +99,21 @@ def pose(points: str, skeleton: list[tuple[int, int]]) -> Column:
             flag(q["v"] > 0).alias("l"), flag(q["v"] == 2).alias("s"),
         ),
     )
-    base = F.flatten(F.transform(own, lambda q: F.array(q["x"], q["y"], q["l"], q["s"])))
 
-    def bone(a: int, b: int) -> list[Column]:
-        both = own[a]["l"] * own[b]["l"]
-        dx, dy = (F.when(both > 0, own[b][c] - own[a][c]).otherwise(0.0) for c in ("x", "y"))  # no zero with a sign
-        return [dx, dy, F.sqrt(dx * dx + dy * dy), both]
+    def features(own: Column) -> Column:
+        base = F.flatten(F.transform(own, lambda q: F.array(q["x"], q["y"], q["l"], q["s"])))
 
-    add = lambda name: F.aggregate(own, F.lit(0.0), lambda s, q: s + q[name])
-    n = F.size(own)
-    middle = [F.coalesce(F.try_divide(add(c), add("l")), F.lit(0.0)) for c in ("x", "y")]  # places of points that aren't labelled are 0
-    return F.concat(base, F.array(*[c for a, b in skeleton for c in bone(a, b)], add("l") / n, add("s") / n, *middle))
+        def bone(a: int, b: int) -> list[Column]:
+            both = own[a]["l"] * own[b]["l"]
+            dx, dy = (F.when(both > 0, own[b][c] - own[a][c]).otherwise(0.0) for c in ("x", "y"))  # no zero with a sign
+            return [dx, dy, F.sqrt(dx * dx + dy * dy), both]
+
+        add = lambda name: F.aggregate(own, F.lit(0.0), lambda s, q: s + q[name])
+        n = F.size(own)
+        middle = [F.coalesce(F.try_divide(add(c), add("l")), F.lit(0.0)) for c in ("x", "y")]  # places of points that aren't labelled are 0
+        return F.concat(base, F.array(*[c for a, b in skeleton for c in bone(a, b)], add("l") / n, add("s") / n, *middle))
+
+    return F.transform(F.array(own), features)[0]  # the points' places are worked out once a row
 
 
 def five_features(mode: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,14 @@ from cohortspark.operators import metrics as M
 from cohortspark.operators.quantiles import quantiles
 from cohortspark.sources.tables import materialize
 
+#: Distinct rows of a group whose priors are estimated in one task.
+FEW = 50_000
+
+
+def held(value: Column | str, f) -> Column:
+    """``f`` of a value that is worked out once a row: inside the functions on arrays, an expression is worked out anew wherever it stands, for each element."""
+    return F.transform(F.array(value), f)[0]
+
 
 def total(p: Column | str) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, v: a + v)
@@ -20,8 +30,8 @@ def normalised(p: Column | str, floor: float | None = None) -> Column:
     """Shares of the sum; with ``floor``, values are raised to it first. Without it a sum that isn't positive and finite gives null."""
     if floor is not None:
         p = F.transform(p, lambda v: F.greatest(v, F.lit(floor)))
-    mass = total(p)
-    return F.when((mass > 0) & (mass < F.lit(float("inf"))), F.transform(p, lambda v: v / mass))
+    shares = lambda q, mass: F.when((mass > 0) & (mass < F.lit(float("inf"))), F.transform(q, lambda v: v / mass))
+    return held(p, lambda q: held(total(q), lambda mass: shares(q, mass)))
 
 
 def collapsed(p: str, groups: list[list[int]]) -> Column:
@@ -92,12 +102,11 @@ def select_blend(preds: DataFrame, weights: DataFrame, k: int, keys=("id", "y"))
 
 def centred_logs(p: Column | str, eps: float = 1e-12) -> Column:
     logs = F.transform(p, lambda v: F.ln(F.greatest(v, F.lit(eps))))
-    return F.transform(logs, lambda v: v - total(logs) / F.size(logs))
+    return held(logs, lambda z: held(total(z) / F.size(z), lambda middle: F.transform(z, lambda v: v - middle)))
 
 
 def softmax(z: Column | str) -> Column:
-    top = F.array_max(z)
-    return normalised(F.transform(z, lambda v: F.exp(v - top)))
+    return held(z, lambda x: held(F.array_max(x), lambda top: normalised(F.transform(x, lambda v: F.exp(v - top)))))
 
 
 def with_temperature(p: Column | str, t: Column | float) -> Column:
@@ -110,9 +119,9 @@ def fit_temperature(preds: DataFrame, by=("model",), rounds: int = 12) -> DataFr
 
     The loss is convex in it. A round is one aggregate over all rows; the driver holds one number per group.
     """
-    base = preds.select(*by, F.element_at(centred_logs("p"), F.col("y") + 1).alias("own"), centred_logs("p").alias("z"))
+    base = materialize(preds.select(*by, "y", centred_logs("p").alias("z")).select(*by, F.element_at("z", F.col("y") + 1).alias("own"), "z"))
     now = preds.select(*by).distinct().withColumn("b", F.lit(1.0))
-    e = F.transform("z", lambda v: F.exp(F.col("b") * (v - F.array_max("z"))))
+    e = held(F.array_max("z"), lambda top: F.transform("z", lambda v: F.exp(F.col("b") * (v - top))))
     moment = lambda k: F.aggregate(F.zip_with("e", "z", lambda w, v: w * F.pow(v, F.lit(k))), F.lit(0.0), lambda a, v: a + v) / total("e")
     for _ in range(rounds):
         rows = base.join(F.broadcast(now), list(by)).withColumn("e", e).withColumns({"m1": moment(1), "m2": moment(2)})
@@ -152,24 +161,52 @@ def estimate_priors(preds: DataFrame, source: list[float], tolerance: float = 1e
         rows.unpersist()
 
 
+def _settle(source: list[float], own: list[float], by: list[str], tolerance: float, rounds: int):
+    """All rounds of ``priors_by`` over the distinct rows of one group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        p, n, now = np.array(rows["p"].tolist(), np.float64), rows["_n"].to_numpy(np.float64), np.array(source)
+        settled, k = False, 0
+        while k < rounds and not settled:
+            part = p * (now / own)
+            mass = part.sum(1)
+            sure = (mass > 0) & np.isfinite(mass)
+            new = (n[sure, None] * part[sure] / mass[sure, None]).sum(0) / n[sure].sum()
+            k, settled, now = k + 1, bool(np.abs(new - now).max() < tolerance), new
+        return pd.DataFrame({**{b: rows[b].iloc[:1] for b in by}, "priors": pd.Series([now.tolist()], index=rows.index[:1]), "rounds": k, "settled": settled})
+
+    return run
+
+
 def priors_by(preds: DataFrame, source: list[float], by=("model",), tolerance: float = 1e-8, rounds: int = 200) -> DataFrame:
-    """(by, priors, rounds, settled): ``estimate_priors`` of every group side by side; a round is one pass over the groups that still move.
+    """(by, priors, rounds, settled): ``estimate_priors`` of every group side by side.
 
-    The driver holds a few numbers per group. Groups whose key is null take no part.
+    Equal rows are one with a count. A group of at most ``FEW`` distinct rows goes through all its rounds in one task; of the others, a round is one
+    pass over the groups that still move, for which the driver holds a few numbers per group. Groups whose key is null and rows without p take no part.
     """
     spark, by = preds.sparkSession, list(by)
-    base = materialize(preds.select(*by, "p"))
-    own = F.array(*[F.lit(max(x, 1e-12)) for x in source])
-    q = normalised(F.zip_with("p", F.zip_with("_now", own, lambda a, b: a / b), lambda v, r: v * r))
+    base = materialize(preds.dropna(subset=[*by, "p"]).groupBy(*by, "p").agg(F.count("*").alias("_n")))
+    own = [max(x, 1e-12) for x in source]
+    typed = ", ".join(f"`{b}` {base.schema[b].dataType.simpleString()}" for b in by) + ", priors array<double>, rounds int, settled boolean"
+    sizes = materialize(base.groupBy(*by).agg((F.count("*") <= FEW).alias("_few")))
+    few = base.join(sizes.where("_few").select(*by).hint("merge"), by)
+    told = materialize(few.groupBy(*by).applyInPandas(_settle(source, own, by, tolerance, rounds), typed))
+    moving, done = [(*r, list(source)) for r in sizes.where("NOT _few").select(*by).collect()], []
+    if not moving:
+        return told
+    base = materialize(base.join(sizes.where("NOT _few").select(*by).hint("merge"), by))
+    part = [F.col("p")[j] * (F.col("_now")[j] / x) for j, x in enumerate(own)]
+    mass = sum(part, F.lit(0.0))
+    n = F.when((mass > 0) & (mass < F.lit(float("inf"))), F.col("_n"))
+    mean = lambda j: F.sum(n * (part[j] / F.when(n.isNotNull(), mass))) / F.sum(n)
     names = [*by, "_now"]
     kinds = base.select(*by, F.lit(None).cast("array<double>").alias("_now")).schema
-    moving, done = [(*r, list(source)) for r in base.select(*by).dropna().distinct().collect()], []
     for k in range(1, rounds + 1):
         if not moving:
             break
         local = pa.table({n: [m[i] for m in moving] for i, n in enumerate(names)}, to_arrow_schema(kinds))  # rows of the plan itself, no job
         now = F.broadcast(spark.createDataFrame(local))
-        sums = base.join(now, by).select(*by, "_now", q.alias("_q")).groupBy(*by, "_now").agg(*[F.avg(F.col("_q")[j]).alias(f"_c{j}") for j in range(len(source))])
+        sums = base.join(now, by).groupBy(*by, "_now").agg(*[mean(j).alias(f"_c{j}") for j in range(len(source))])
         still = []
         for r in sums.collect():
             new = [r[f"_c{j}"] for j in range(len(source))]
@@ -180,8 +217,7 @@ def priors_by(preds: DataFrame, source: list[float], by=("model",), tolerance: f
             else:
                 still.append(row)
         moving = still
-    typed = ", ".join(f"`{b}` {base.schema[b].dataType.simpleString()}" for b in by)
-    return spark.createDataFrame(done, f"{typed}, priors array<double>, rounds int, settled boolean")
+    return told.unionByName(spark.createDataFrame(done, typed))
 
 
 def search_offsets(preds: DataFrame, k: int, span: float = 2.5, points: int = 101, by=()) -> DataFrame:
