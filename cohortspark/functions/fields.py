@@ -45,6 +45,15 @@ def has_token(c: Column | str, token: str, mark: str = "|") -> Column:
     return F.array_contains(F.transform(F.split(c, "\\" + mark), lambda x: F.trim(x)), token)
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """A double to ``places``, as SQL engines round: the nearest whole multiple of the double product, halves away from zero.
+
+    Spark's own rounds the shortest decimal of the value, so it differs where that ends in a 5 which the product doesn't reach.
+    """
+    unit = 10.0**places
+    return F.round((F.col(c) if isinstance(c, str) else c) * unit, 0) / unit
+
+
 def clip(c: Column, low, high) -> Column:
     return F.greatest(F.least(c, high), low)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortspark.functions.fields import rounded
 from cohortspark.operators import metrics as M
 from cohortspark.sources.fixtures import CLASSES as K
 from cohortspark.sources.fixtures import PREDS, preds
@@ -11,7 +12,7 @@ from cohortspark.sources.fixtures import PREDS, preds
 
 def r(df, *keep):
     """Doubles to six places."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+    return df.select(*[rounded(c, 6).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
 def q(f):

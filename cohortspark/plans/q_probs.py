@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cohortspark.functions.fields import rounded
 from cohortspark.operators import metrics as M
 from cohortspark.operators import probs as P
 from cohortspark.plans.q_metrics import AUROC, r  # noqa: F401
@@ -15,7 +16,7 @@ MODELS = ["ref", "cand", "third"]
 
 
 def ra(c: str = "p"):
-    return F.transform(c, lambda v: F.round(v, 9)).alias(c)
+    return F.transform(c, lambda v: rounded(v, 9)).alias(c)
 
 
 def on(f):
@@ -58,11 +59,11 @@ QUERIES = {
         f"WITH {PREDS}, {WEIGHTS}, {BLEND} SELECT fusion, id, y, {RP.format('p')} AS p FROM bl",
     ),
     "fusion_accuracy": (
-        on(lambda s, p: r(M.accuracy(M.with_prediction(P.blend(p, fusions(s)).select("fusion", "id", "y", F.transform("p", lambda v: F.round(v, 9)).alias("p"))), ("fusion",)))),
+        on(lambda s, p: r(M.accuracy(M.with_prediction(P.blend(p, fusions(s)).select("fusion", "id", "y", F.transform("p", lambda v: rounded(v, 9)).alias("p"))), ("fusion",)))),
         f"WITH {PREDS}, {WEIGHTS}, {BLEND}, k AS (SELECT fusion, y, list_transform(p, lambda v: round(v, 9)) AS p FROM bl) SELECT fusion, count(*) AS n, count(*) FILTER (list_position(p, list_max(p)) - 1 <> y) AS errors, round(avg(CASE WHEN list_position(p, list_max(p)) - 1 = y THEN 1.0 ELSE 0 END), 6) AS accuracy FROM k GROUP BY fusion",
     ),
     "weight_violations": (
-        on(lambda s, p: P.weight_violations(p.groupBy(F.col("split").alias("fusion"), "model").agg((F.avg("conf") - 0.2).alias("w")), ["ref", "cand"]).select("fusion", "negative", F.round("total", 6).alias("total"), "unknown", "repeated")),
+        on(lambda s, p: P.weight_violations(p.groupBy(F.col("split").alias("fusion"), "model").agg((F.avg("conf") - 0.2).alias("w")), ["ref", "cand"]).select("fusion", "negative", rounded("total", 6).alias("total"), "unknown", "repeated")),
         f"WITH {PREDS}, w AS (SELECT split AS fusion, model, avg(conf) - 0.2 AS w FROM preds GROUP BY ALL) SELECT fusion, count(*) FILTER (w < 0) AS negative, round(sum(w), 6) AS total, count(*) FILTER (model NOT IN ('ref', 'cand')) AS unknown, count(*) - count(DISTINCT model) AS repeated FROM w GROUP BY fusion HAVING negative > 0 OR abs(sum(w) - 1) > 1e-9 OR unknown > 0 OR repeated > 0",
     ),
     "seed_mean": (
@@ -82,7 +83,7 @@ QUERIES = {
         f"WITH {PREDS}, g AS (SELECT a || '|' || b || '|' || (10 - a - b) AS weight_id, [a, b, 10 - a - b] AS n FROM range(11) x(a), range(11) z(b) WHERE a + b <= 10), c AS (SELECT model, avg(p[y + 1]) AS own FROM preds GROUP BY model) SELECT weight_id, round(sum(n[k] / 10), 6) AS total, round(sum(n[k] / 10 * own), 6) AS p_label FROM g, (VALUES ('ref', 1), ('cand', 2), ('third', 3)) t(model, k) JOIN c USING (model) GROUP BY weight_id",
     ),
     "blend_selection": (
-        on(lambda s, p: P.select_blend(p, P.weight_grid(s, MODELS, 4), K).select("fusion", "place", F.round("macro_f1", 6).alias("macro_f1"), F.round("log_loss", 6).alias("log_loss"), F.round("ece", 6).alias("ece"))),
+        on(lambda s, p: P.select_blend(p, P.weight_grid(s, MODELS, 4), K).select("fusion", "place", rounded("macro_f1", 6).alias("macro_f1"), rounded("log_loss", 6).alias("log_loss"), rounded("ece", 6).alias("ece"))),
         None,
     ),
     "centred_softmax": (
@@ -104,7 +105,7 @@ QUERIES = {
         on(lambda s, p: p.select("model", "id", P.factorised(F.col("p")[0], F.col("p")[1]).alias("p")).select("model", "id", ra())),
         f"WITH {PREDS} SELECT model, id, {RP.format('[p[1], (1 - p[1]) * (1 - p[2]), (1 - p[1]) * p[2]]')} AS p FROM preds",
     ),
-    "jensen_shannon": (on(lambda s, p: wide(p).select("id", F.round(P.jensen_shannon("pa", "pb"), 6).alias("js"))), f"{WIDE} SELECT id, round({JS}, 6) AS js FROM wide"),
+    "jensen_shannon": (on(lambda s, p: wide(p).select("id", rounded(P.jensen_shannon("pa", "pb"), 6).alias("js"))), f"{WIDE} SELECT id, round({JS}, 6) AS js FROM wide"),
     "stack_features": (
         on(lambda s, p: P.stack_features(wide(p), ["pa", "pb"]).select("id", ra("features"))),
         f"{WIDE} SELECT id, list_transform(list_concat(list_concat({_L.format('pa')}, {_L.format('pb')}), [list_max(pa), {_E.format('pa')}, {_M.format('pa')}, list_max(pb), {_E.format('pb')}, {_M.format('pb')}, {JS}]), lambda v: round(v, 9)) AS features FROM wide",
