@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,15 +55,13 @@ def adapted(preds: DataFrame, classes: int, source: list[float], grid: list[floa
     way = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), p.alias("p")) for n, p in ways.items()])).alias("w")
     simple = rows.join(F.broadcast(told), "model").select("model", "split", "id", "grp", "y", way).select("model", "w.method", "split", "id", "grp", "y", "w.p")  # a row per model is sent
 
-    def calibrate(task: tuple[str, bool]) -> DataFrame:
-        model, balanced = task
-        head, _ = Z.fit_calibrator(train.where(F.col("model") == model).select("id", "grp", "y", "p"), classes, list(grid), folds, balanced)
+    heads = Z.fit_calibrators(train, classes, list(grid), folds, (False, True), parallel)
+
+    def calibrate(model: str, balanced: bool) -> DataFrame:
         name = "balanced_calibrator" if balanced else "calibrator"
-        return Z.calibrated(head, rows.where(F.col("model") == model)).withColumn("method", F.lit(name)).select(*FORM)
+        return Z.calibrated(heads[model, balanced][0], rows.where(F.col("model") == model)).withColumn("method", F.lit(name)).select(*FORM)
 
-    with ThreadPoolExecutor(parallel) as pool:
-        heads = list(pool.map(calibrate, [(m, b) for m in models for b in (False, True)]))
-    return reduce(DataFrame.unionByName, heads, simple)
+    return reduce(DataFrame.unionByName, [calibrate(m, b) for m in models for b in (False, True)], simple)
 
 
 def gains(rows: DataFrame, classes: int, draws: int, seed: int, base: str = "unchanged", group: str = "grp") -> DataFrame:

@@ -117,22 +117,24 @@ def with_temperature(p: Column | str, t: Column | float) -> Column:
 def fit_temperature(preds: DataFrame, by=("model",), rounds: int = 12) -> DataFrame:
     """(by, temperature, nll): least log loss for log temperatures in [-4, 4], by Newton steps on the inverse temperature.
 
-    The loss is convex in it. A round is one aggregate over all rows; the driver holds one number per group.
+    The loss is convex in it. A round is one aggregate over all rows, of which equal ones are one with a count; the driver holds one number per group.
     """
-    base = materialize(preds.select(*by, "y", centred_logs("p").alias("z")).select(*by, F.element_at("z", F.col("y") + 1).alias("own"), "z"))
+    each = preds.groupBy(*by, "y", "p").agg(F.count("*").alias("n"))
+    base = materialize(each.select(*by, "y", "n", centred_logs("p").alias("z")).select(*by, "n", F.element_at("z", F.col("y") + 1).alias("own"), "z"))
     now = preds.select(*by).distinct().withColumn("b", F.lit(1.0))
     e = held(F.array_max("z"), lambda top: F.transform("z", lambda v: F.exp(F.col("b") * (v - top))))
     moment = lambda k: F.aggregate(F.zip_with("e", "z", lambda w, v: w * F.pow(v, F.lit(k))), F.lit(0.0), lambda a, v: a + v) / total("e")
     for _ in range(rounds):
         rows = base.join(F.broadcast(now), list(by)).withColumn("e", e).withColumns({"m1": moment(1), "m2": moment(2)})
         loss = F.ln(total("e")) + F.col("b") * F.array_max("z") - F.col("b") * F.col("own")
-        sums = rows.groupBy(*by, "b").agg(F.avg(F.col("m1") - F.col("own")).alias("g"), F.avg(F.col("m2") - F.col("m1") * F.col("m1")).alias("h"), F.avg(loss).alias("nll"))
+        mean = lambda v: F.sum(F.col("n") * v) / F.sum(F.when(v.isNotNull(), F.col("n")))
+        sums = rows.groupBy(*by, "b").agg(mean(F.col("m1") - F.col("own")).alias("g"), mean(F.col("m2") - F.col("m1") * F.col("m1")).alias("h"), mean(loss).alias("nll"))
         step = F.col("b") - F.col("g") / F.greatest("h", F.lit(1e-12))
         bounded = F.greatest(F.least(step, F.col("b") * 3, F.exp(F.lit(4.0))), F.col("b") / 3, F.exp(F.lit(-4.0)))
         found = sums.select(*by, bounded.alias("b"), F.col("b").alias("tried"), "nll")
-        held = found.collect()  # one row per group
-        done = preds.sparkSession.createDataFrame(held, found.schema)
-        if all(abs(r["b"] - r["tried"]) <= 1e-9 * r["tried"] for r in held):
+        told = found.collect()  # one row per group
+        done = preds.sparkSession.createDataFrame(told, found.schema)
+        if all(abs(r["b"] - r["tried"]) <= 1e-9 * r["tried"] for r in told):
             break
         now = done.select(*by, "b")
     return done.select(*by, (1 / F.col("tried")).alias("temperature"), "nll")

@@ -56,13 +56,13 @@ def _geometry(s, d):
 
 def _calibrated(s, d):
     """Log loss on all other rows of each model before and after a calibrator that is fitted on its val rows."""
-    parts = []
-    for name, *_ in X.MODELS:
-        rows = X.preds(s, d).where(F.col("model") == name).select("model", "split", "id", "grp", "y", "p")
-        head, c = Z.fit_calibrator(rows.where("split = 'val'").select("id", "grp", "y", "p"), K, [0.1, 10.0])
-        rest = rows.where("split <> 'val'")
-        parts.append(M.log_loss(rest, ("model", "split")).withColumnRenamed("log_loss", "before").join(M.log_loss(Z.calibrated(head, rest), ("model", "split")).hint("merge"), ["model", "split"]).withColumn("c", F.lit(c)))
-    return r(reduce(DataFrame.unionByName, parts))
+    rows = X.preds(s, d).select("model", "split", "id", "grp", "y", "p")
+    told = Z.fit_calibrators(rows.where("split = 'val'"), K, [0.1, 10.0])
+    by = ("model", "split")
+    rest = materialize(rows.where("split <> 'val'").groupBy(*by, "y", "p").agg(F.count("*").alias("n")))  # equal rows are one with a count
+    loss = (-F.sum(F.col("n") * F.ln(F.greatest(M.of_label(), F.lit(M.EPS)))) / F.sum("n")).alias("log_loss")
+    after = reduce(DataFrame.unionByName, [Z.calibrated(head, rest.where(F.col("model") == m)).withColumn("c", F.lit(c)) for (m, _), (head, c) in told.items()])
+    return r(rest.groupBy(*by).agg(loss).withColumnRenamed("log_loss", "before").join(after.groupBy(*by, "c").agg(loss).select(*by, "log_loss", "c").hint("merge"), list(by)))
 
 
 def _ledger(s, d):
