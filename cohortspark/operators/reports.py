@@ -61,15 +61,21 @@ def adjacent_errors(preds: DataFrame, by=("model",)) -> DataFrame:
 
 def leave_one_out(preds: DataFrame, models: list[str], k: int) -> DataFrame:
     """(omitted, accuracy, macro_f1, agreement): equal blends without one model, and their agreement with the blend of all ('none')."""
-    from cohortspark.operators.probs import blend
+    from cohortspark.operators.probs import by_model, mixed, with_weights
 
-    spark = preds.sparkSession
     table = [("none", m, 1 / len(models)) for m in models] + [(o, m, 1 / (len(models) - 1)) for o in models for m in models if m != o]
-    rows = M.with_prediction(blend(preds, spark.createDataFrame(table, "fusion string, model string, w double")).withColumn("p", F.transform("p", lambda v: F.round(v, 12)))).withColumnRenamed("fusion", "omitted")
-    base = rows.where("omitted = 'none'").select("id", F.col("pred").alias("base"))
-    by = ("omitted",)
-    agree = rows.join(base.hint("merge"), "id").groupBy("omitted").agg(F.avg((F.col("pred") == F.col("base")).cast("double")).alias("agreement"))
-    return M.accuracy(rows, by).select("omitted", "accuracy").join(M.macro_f1(rows, k, by).hint("merge"), "omitted").join(agree.hint("merge"), "omitted")
+    weights = preds.sparkSession.createDataFrame(table, "fusion string, model string, w double")
+    best = lambda w: M.with_prediction(rows.select("*", F.transform(mixed(w, k), lambda v: F.round(v, 12)).alias("p"))).drop("p", "conf")
+    rows = by_model(preds, models, ("id", "y"), k)
+    rows = best([F.lit(1 / len(models))] * len(models)).withColumnRenamed("pred", "base")  # the blend of all stays with its row
+    rows = with_weights(rows, weights, models)
+    rows = best([F.col("w")[i] for i in range(len(models))]).withColumnRenamed("fusion", "omitted")
+    wrong, by = (F.col("y") != F.col("pred")).cast("int"), ("omitted",)
+    cells = rows.groupBy("omitted", "y", "pred").agg(F.count("*").alias("n"), F.sum(wrong).alias("wrong"), F.count(wrong).alias("told"), F.sum((F.col("pred") == F.col("base")).cast("int")).alias("same"), F.count(F.col("pred") == F.col("base")).alias("both"))
+    cells = materialize(cells)
+    out = cells.groupBy("omitted").agg((1 - F.try_divide(F.sum("wrong"), F.sum("told"))).alias("accuracy"), F.try_divide(F.sum("same"), F.sum("both")).alias("agreement"))
+    f1 = M.macro(M.per_class(M.confusion(cells, k, by, F.col("n")), by), by)
+    return out.join(f1.select("omitted", "macro_f1").hint("merge"), "omitted").select("omitted", "accuracy", "macro_f1", "agreement")
 
 
 def _with(out: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
