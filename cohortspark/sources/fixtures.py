@@ -5,8 +5,14 @@ The classes, seeds and scores are integer arithmetic over the keys, so both engi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortspark.sources.tables import table
 
@@ -49,19 +55,34 @@ preds0 AS (SELECT model, seed, id, grp, price, yr, y, CASE WHEN grp % 10 < 7 THE
 preds AS (SELECT *, list_transform(s, lambda v: v / list_sum(s)) AS p, list_position(s, list_max(s)) - 1 AS pred, list_max(s) / list_sum(s) AS conf FROM preds0)"""
 
 
+@F.arrow_udf(T.LongType())
+def _voted(texts: pa.Array) -> pa.Array:
+    """32-bit SimHash of the distinct words between blanks, 0 without words; each word of a batch is digested once, and no row leaves its task."""
+    words = pc.split_pattern(texts, " ")
+    flat = words.flatten().dictionary_encode()
+    known = [-1 if not w else int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") for w in flat.dictionary.to_pylist()]
+    v = np.array(known or [-1], np.int64)
+    signs = np.where(v[:, None] < 0, 0, 2 * (v[:, None] >> np.arange(32) & 1) - 1).astype(np.int16)
+    at, ends = flat.indices.to_numpy(zero_copy_only=False), np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    out, low = np.zeros(len(words), np.int64), 0
+    for k, high in enumerate(ends.tolist()):
+        if high > low:
+            out[k] = (1 << np.flatnonzero(signs[np.unique(at[low:high])].sum(0, dtype=np.int64) > 0)).sum()
+        low = high
+    return pa.array(out, pa.int64())
+
+
+def simhash(text: Column | str) -> Column:
+    """The 32-bit SimHash of a text's distinct lower-cased words between blanks; 0 of a null text or one without words."""
+    return F.coalesce(_voted(F.lower(text)), F.lit(0))  # never null, so that a test for null doesn't work it out again
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, split, label, sha256, h32, original_name, text): the documents as a cohort table; h32 is a 32-bit SimHash of the words."""
     d = table(spark, sf_dir, "documents")
-    words = d.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).where("w <> ''")
-    bits = words.withColumn("v", F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint"))
-    sums = bits.groupBy("doc_id").agg(*[F.sum(F.shiftright("v", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(32)])
-    hashed = sums.select("doc_id", sum((F.when(F.col(f"b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(32)), F.lit(0).cast("bigint")).alias("h32"))
     sha = F.sha2("text", 256)
     name = F.concat(F.lit("["), "lang", F.lit("]_getty_p"), F.col("doc_id") % 90, F.lit("_"), F.substring(sha, 1, 8), F.lit("-00"), F.col("doc_id") % 2, F.lit(".jpg"))
-    return (
-        d.join(hashed.hint("merge"), "doc_id", "left")
-        .select(F.col("doc_id").alias("id"), split_of("doc_id").alias("split"), F.col("lang").alias("label"), sha.alias("sha256"), F.coalesce("h32", F.lit(0)).alias("h32"), name.alias("original_name"), "text", "source")
-    )
+    return d.select(F.col("doc_id").alias("id"), split_of("doc_id").alias("split"), F.col("lang").alias("label"), sha.alias("sha256"), simhash("text").alias("h32"), name.alias("original_name"), "text", "source")
 
 
 MANIFEST = """
