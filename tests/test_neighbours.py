@@ -67,3 +67,52 @@ def test_the_query_finds_what_the_exact_one_does(spark):
     ids = lambda name: {(r.left_id, r.right_id) for r in registry.queries()[name](spark, "/root/testdata/sf0.001").collect()}
     found, want = ids("hashed_neighbours"), ids("embedding_neighbours")
     assert len(want) > 0 and len(found & want) >= 0.9 * len(want)
+
+
+def frame(spark, v, split):
+    return spark.createDataFrame([(i, str(split[i]), v[i].tolist()) for i in range(len(v))], "vec_id long, split string, features array<double>").repartition(8)
+
+
+def test_recall_by_buckets(spark, monkeypatch):
+    """The same by buckets alone, crowded ones split by further signs, where a whole comparison would cost less."""
+    monkeypatch.setattr(N, "SHARE", 1e9)
+    monkeypatch.setattr(N, "BUCKET", 32)
+    needed, asked = N.tables_needed, []
+    monkeypatch.setattr(N, "tables_needed", lambda *a: asked.append(needed(*a)) or asked[-1])
+    v = cloud(2)
+    split = np.array(["train", "val", "test"])[np.arange(N_ROWS) % 10 // 7 + (np.arange(N_ROWS) % 10 == 9)]
+    got = {(r.left_id, r.right_id): r.cosine for r in N.hashed_neighbours(frame(spark, v, split), 0.8, 5).collect()}
+    want = exact(v, split, 0.8, 5)
+    assert 1 <= asked[0][0] <= N.TABLES and asked[0][1] >= 0.95
+    assert len(want.keys() & got.keys()) >= 0.9 * len(want)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert all(split[a] != split[b] and c == pytest.approx(float(u[a] @ u[b]), abs=1e-12) for (a, b), c in list(got.items())[::50])
+
+
+def test_all_are_compared_where_buckets_spare_nothing(spark):
+    """Neighbours no nearer than most rows: every pair is found, of rows without a split none."""
+    v = np.random.default_rng(3).standard_normal((6_000, 32))
+    split = np.array(["train", "val", "test"])[np.arange(6_000) % 10 // 7 + (np.arange(6_000) % 10 == 9)]
+    odd = spark.createDataFrame([(6_000, None, v[0].tolist())], "vec_id long, split string, features array<double>")
+    got = {(r.left_id, r.right_id) for r in N.hashed_neighbours(frame(spark, v, split).union(odd), 0.5, 5).collect()}
+    assert got == exact(v, split, 0.5, 5).keys()
+
+
+def shuffled(spark):
+    """Bytes written for shuffles by all stages so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_shuffle_grows_with_the_rows(spark):
+    """Four times the rows need more tables, but a row is sent as often as before."""
+    v = np.random.default_rng(4).standard_normal((12_000, 32))
+    split = np.where(np.arange(12_000) % 10 < 8, "train", "test")
+    sent = []
+    for n in (3_000, 12_000):
+        df, before = frame(spark, v[:n], split[:n]).localCheckpoint(), shuffled(spark)
+        assert N.hashed_neighbours(df, 0.55, 5).count() > 100
+        sent.append(shuffled(spark) - before)
+    assert sent[1] < 4.4 * sent[0]
