@@ -33,7 +33,7 @@ PROBES, MORE, MORE_PROBES, SIGNS = 16, 4, 6, 48
 #: Numbers in the vectors of a block (64 MB as doubles); blocks and parts at least.
 BLOCK, BLOCKS, PARTS = 8_000_000, 4, 16
 #: Rows compared at a time, asking and asked; pairs whose cosines are taken at a time; pairs held before they are sorted out; cosines that may tie.
-TALL, WIDE, PAIRS, HELD, TIE = 256, 16_384, 100_000, 2_000_000, 1e-9
+TALL, WIDE, PAIRS, HELD, TIE = 256, 4_096, 100_000, 2_000_000, 1e-9
 
 
 def planes(tables: int, dims: int, seed: int) -> np.ndarray:
@@ -188,11 +188,13 @@ def _meeting(min_cosine: float, top_k: int, tables: int, bits: int, seed: int) -
                         for x in range(0, len(mine), TALL):
                             down = mine[x : x + TALL]
                             c = u[down] @ wide
-                            hit = c >= least[down, None] - TIE
-                            many = np.flatnonzero(np.count_nonzero(hit, axis=1) > top_k)
+                            i, j = np.divmod(np.flatnonzero(c >= least[down, None] - TIE), len(across))
+                            many = np.flatnonzero(np.bincount(i, minlength=len(down)) > top_k)
                             if len(many):
-                                hit[many] &= c[many] >= np.partition(c[many], -top_k, axis=1)[:, -top_k, None] - TIE
-                            i, j = np.nonzero(hit)
+                                bound = least[down]
+                                bound[many] = np.partition(c[many], -top_k, axis=1)[:, -top_k]
+                                near = c[i, j] >= bound[i] - TIE
+                                i, j = i[near], j[near]
                             for p in range(0, len(i), PAIRS):
                                 k, m = down[i[p : p + PAIRS]], across[j[p : p + PAIRS]]
                                 exact = np.einsum("ij,ij->i", u[k], w[m])  # equal vectors, equal cosines
