@@ -55,21 +55,40 @@ preds0 AS (SELECT model, seed, id, grp, price, yr, y, CASE WHEN grp % 10 < 7 THE
 preds AS (SELECT *, list_transform(s, lambda v: v / list_sum(s)) AS p, list_position(s, list_max(s)) - 1 AS pred, list_max(s) / list_sum(s) AS conf FROM preds0)"""
 
 
+#: A byte's bits, each in 16 bits of its own, as two numbers; words that are summed so at a time, too few to overflow.
+LANES, SUMMED = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype("<u2").view("<u8"), 1 << 15
+
+
 @F.arrow_udf(T.LongType())
 def _voted(texts: pa.Array) -> pa.Array:
     """32-bit SimHash of the distinct words between blanks, 0 without words; each word of a batch is digested once, and no row leaves its task."""
     words = pc.split_pattern(texts, " ")
     flat = words.flatten().dictionary_encode()
-    known = [-1 if not w else int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") for w in flat.dictionary.to_pylist()]
-    v = np.array(known or [-1], np.int64)
-    signs = np.where(v[:, None] < 0, 0, 2 * (v[:, None] >> np.arange(32) & 1) - 1).astype(np.int16)
-    at, ends = flat.indices.to_numpy(zero_copy_only=False), np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    out, low = np.zeros(len(words), np.int64), 0
-    for k, high in enumerate(ends.tolist()):
-        if high > low:
-            out[k] = (1 << np.flatnonzero(signs[np.unique(at[low:high])].sum(0, dtype=np.int64) > 0)).sum()
-        low = high
-    return pa.array(out, pa.int64())
+    known = flat.dictionary.cast(pa.binary()) if len(flat.dictionary) else pa.array([b""])
+    first = np.frombuffer(b"".join([hashlib.md5(w).digest() for w in known.to_pylist()]), ">u4")[::4].astype("<u4")
+    lanes, blank = LANES[first.view(np.uint8).reshape(-1, 4)].reshape(-1, 8), pc.equal(known, b"").to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    met = np.sort(row * len(known) + flat.indices.to_numpy(zero_copy_only=False))
+    row, word = np.divmod(met[np.concatenate(([True], met[1:] != met[:-1]))[: len(met)]], len(known))
+    row, word = row[~blank[word]], word[~blank[word]]
+    votes = np.zeros((len(words), 32), np.int64)
+    for low in range(0, len(row), SUMMED):
+        at = row[low : low + SUMMED]
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        votes[at[starts]] += np.add.reduceat(lanes[word[low : low + SUMMED]], starts, axis=0).view(np.uint16).reshape(-1, 32)
+    return pa.array((2 * votes > np.bincount(row, minlength=len(words))[:, None]) @ (1 << np.arange(32)), pa.int64())
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def letter_shares(texts: pa.Array) -> pa.Array:
+    """The shares of a to z among a text's characters, in one pass over its bytes; null of a null text."""
+    texts = texts.cast(pa.large_string())
+    ends, raw = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1], np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    counts = np.zeros((len(texts), 26), np.int64)
+    for k, (low, high) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        counts[k] = np.bincount(raw[low:high], minlength=256)[97:123]
+    shares = counts / np.maximum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False), 1)[:, None]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, 26 * len(texts) + 1, 26, dtype=np.int32)), pa.array(shares.ravel()), mask=texts.is_null())
 
 
 def simhash(text: Column | str) -> Column:
