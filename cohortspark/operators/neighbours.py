@@ -125,13 +125,26 @@ def hashed_neighbours(table: DataFrame, min_cosine: float, top_k: int, key: str
     where tables don't reach it with less work than comparing all, all are compared and none is missed.
     Zero vectors and those with null or non-finite parts take no part, nor do rows without a split; an empty table gives an empty one.
     """
-    kind = table.schema[key].dataType.simpleString()
     rows = materialize(_distinct(table, key, top_k).withColumn("num", F.monotonically_increasing_id()))
     count, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     bits = int(min(max(np.ceil(np.log2(max(count, 1) / BUCKET)), 1), SIGNS // 2))
     most = min(TABLES, int(SHARE * (1 << bits) / PROBES))
     tables, share = tables_needed(rows, count, min_cosine, top_k, bits, recall, seed, most) if most else (0, 0.0)
     near = _compared(rows, -(-count * dims // BLOCK), _meeting(min_cosine, top_k, tables if share >= recall else 0, bits, seed))
+    return _of_ids(table, key, rows, near, top_k)
+
+
+def exact_neighbours(table: DataFrame, min_cosine: float, top_k: int, key: str = "vec_id", blocks: int = BLOCKS, tall: int = TALL) -> DataFrame:
+    """(left_id, right_id, cosine): the same with all rows compared: every part meets every block whole, ``tall`` rows at a time, and no pair is missed."""
+    rows = materialize(_distinct(table, key, top_k).withColumn("num", F.monotonically_increasing_id()))
+    count, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    near = _compared(rows, max(blocks, -(-count * dims // BLOCK)), _meeting(min_cosine, top_k, 0, 1, 0, tall))
+    return _of_ids(table, key, rows, near, top_k)
+
+
+def _of_ids(table: DataFrame, key: str, rows: DataFrame, near: DataFrame, top_k: int) -> DataFrame:
+    """(left_id, right_id, cosine) of the rows of ``table`` from the near vectors found by tasks."""
+    kind = table.schema[key].dataType.simpleString()
     # A row's nearest vectors, then the nearest ids among theirs: of vectors equally near, those with the smallest first ids hold the smallest.
     top = near.withColumn("at", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "first"))).where(F.col("at") <= top_k)
     own = rows.select(F.col("num").alias("b"), F.col("ids").alias("b_ids"))
@@ -154,12 +167,17 @@ def _compared(rows: DataFrame, blocks: int, meet: Callable[[pa.Table, pa.Table],
     return sides[0].cogroup(sides[1]).applyInArrow(meet, f"a long, b long, first {rows.schema['ids'].dataType.elementType.simpleString()}, c double")
 
 
-def _meeting(min_cosine: float, top_k: int, tables: int, bits: int, seed: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Of a part and a block: each asking row's ``top_k`` nearest rows of other splits from ``min_cosine`` on, by buckets of ``tables`` tables or, with none, among all."""
+def _meeting(min_cosine: float, top_k: int, tables: int, bits: int, seed: int, tall: int = TALL) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a part and a block: each asking row's ``top_k`` nearest rows of other splits from ``min_cosine`` on, by buckets of ``tables`` tables or, with none, among all.
+
+    Products in single precision, which are half as dear, tell which pairs may count; the cosines of these are taken anew in double precision.
+    """
 
     def meet(asks: pa.Table, there: pa.Table) -> pa.Table:
         (u, su, a_num, _), (w, sw, b_num, first) = map(_side, (asks, there))
         tie = np.unique(first.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        u_low, w_low, slack = u.astype(np.float32), w.astype(np.float32), TIE + (u.shape[1] + 4) * 2.0**-23  # more than single precision may be off
+        products, enough = np.empty(tall * WIDE, np.float32), np.empty(tall * WIDE, bool)
         least, found, held = np.full(len(u), min_cosine), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
 
         def settle() -> None:
@@ -184,23 +202,25 @@ def _meeting(min_cosine: float, top_k: int, tables: int, bits: int, seed: int) -
                 for others in (b[: np.searchsorted(theirs, split)], b[np.searchsorted(theirs, split, "right") :]):
                     for y in range(0, len(others), WIDE):
                         across = others[y : y + WIDE]
-                        wide = w[across].T
-                        for x in range(0, len(mine), TALL):
-                            down = mine[x : x + TALL]
-                            c = u[down] @ wide
-                            i, j = np.divmod(np.flatnonzero(c >= least[down, None] - TIE), len(across))
+                        wide = w_low[across].T
+                        for x in range(0, len(mine), tall):
+                            down = mine[x : x + tall]
+                            c, near = (z[: len(down) * len(across)].reshape(len(down), -1) for z in (products, enough))
+                            np.matmul(u_low[down], wide, out=c)
+                            np.greater_equal(c, (least[down, None] - slack).astype(np.float32), out=near)
+                            i, j = np.divmod(np.flatnonzero(near), len(across))
                             many = np.flatnonzero(np.bincount(i, minlength=len(down)) > top_k)
                             if len(many):
                                 bound = least[down]
                                 bound[many] = np.partition(c[many], -top_k, axis=1)[:, -top_k]
-                                near = c[i, j] >= bound[i] - TIE
-                                i, j = i[near], j[near]
+                                kept = c[i, j] >= bound[i] - 2 * slack
+                                i, j = i[kept], j[kept]
                             for p in range(0, len(i), PAIRS):
                                 k, m = down[i[p : p + PAIRS]], across[j[p : p + PAIRS]]
                                 exact = np.einsum("ij,ij->i", u[k], w[m])  # equal vectors, equal cosines
-                                near = exact >= min_cosine
-                                found.append((k[near], m[near], exact[near]))
-                                held += int(near.sum())
+                                kept = exact >= min_cosine
+                                found.append((k[kept], m[kept], exact[kept]))
+                                held += int(kept.sum())
                                 if held > HELD:
                                     settle()
 
